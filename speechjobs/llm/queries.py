@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_packing": packing.op7_packing,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
