@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, language_id, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_language_id": language_id.op8_language_id,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
