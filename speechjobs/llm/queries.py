@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, near_dedup, packing
+from . import exact_dedup, language_id, mixing, near_dedup, packing
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 ORACLE = {
+    "op2_mixing": mixing.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
 }
