@@ -10,7 +10,7 @@ a large group of copies is listed twice and no link between components is missed
 `block_shingles` is dealt into blocks that meet pair by pair.
 
 Recall: with threshold 0.85 a tree misses a pair at the threshold with probability 0.15, six trees with about 1e-5;
-the margin of the estimate (40 of 64 coordinates) misses such a pair with about 1e-5.
+the margin of the estimate, five standard deviations of 64 coordinates, misses such a pair with about 1e-5.
 
 Defined results: null text and text without words have an empty set, are linked with nothing and stay; rows that
 share a doc_id share its fate; null ids sort after all others; an empty table gives an empty result; other columns are
@@ -30,7 +30,6 @@ from .common import documents, ensure_checkpoint_dir, shuffle_parts, text_of, wo
 from .components import components
 
 COORDINATES = 64
-LOOSE = 40
 TREES = 6
 LEAF = 256
 DEPTH = 8
@@ -112,7 +111,13 @@ def _branch(trees: int):
     return run
 
 
-def search(signs: np.ndarray, members: np.ndarray, seed: int, depth: int = 0) -> Iterator[tuple[int, int]]:
+def margin(numerator: int, denominator: int) -> int:
+    """Coordinates that must agree: what the threshold predicts less five standard deviations."""
+    t = numerator / denominator
+    return max(1, int(COORDINATES * t - 5 * (COORDINATES * t * (1 - t)) ** 0.5))
+
+
+def search(signs: np.ndarray, members: np.ndarray, agree: int, seed: int, depth: int = 0) -> Iterator[tuple[int, int]]:
     """Loose links in a node, as (pivot, member)."""
     rest, queue = members, []
     budget = 48 * len(members) if depth < DEPTH and len(members) > LEAF else None
@@ -121,7 +126,7 @@ def search(signs: np.ndarray, members: np.ndarray, seed: int, depth: int = 0) ->
             at = queue.pop()
         else:
             at, rest = rest[0], rest[1:]
-        near = (signs[rest] == signs[at]).sum(axis=1) >= LOOSE
+        near = (signs[rest] == signs[at]).sum(axis=1) >= agree
         budget = budget and max(0, budget - len(rest))
         yield from ((at, x) for x in rest[near])
         queue.extend(rest[near])
@@ -135,7 +140,7 @@ def search(signs: np.ndarray, members: np.ndarray, seed: int, depth: int = 0) ->
         order = np.argsort(values, kind="stable")
         for part in np.split(left[order], np.flatnonzero(np.diff(values[order])) + 1):
             if len(part) > 1:
-                yield from search(signs, part, seed, depth + 1)
+                yield from search(signs, part, agree, seed, depth + 1)
 
 
 def runs(batches, keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
@@ -161,18 +166,21 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def _nodes(batches):
-    out = []
-    for (node,), parts in runs(batches, 1):
-        keys = [k for p in parts for k in p.column(1).to_pylist()]
-        if len(keys) > 1:
-            signs = np.frombuffer(b"".join(s for p in parts for s in p.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-            out.extend((keys[a], keys[x]) for a, x in search(signs, order, node % (1 << 31)))
-            if len(out) > 50_000:
-                yield _links(out)
-                out = []
-    yield _links(out)
+def _nodes(agree: int):
+    def run(batches):
+        out = []
+        for (node,), parts in runs(batches, 1):
+            keys = [k for p in parts for k in p.column(1).to_pylist()]
+            if len(keys) > 1:
+                signs = np.frombuffer(b"".join(s for p in parts for s in p.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+                out.extend((keys[a], keys[x]) for a, x in search(signs, order, agree, node % (1 << 31)))
+                if len(out) > 50_000:
+                    yield _links(out)
+                    out = []
+        yield _links(out)
+
+    return run
 
 
 def exact_links(sets: list[np.ndarray], numerator: int, denominator: int) -> Iterator[tuple[int, int]]:
@@ -242,7 +250,7 @@ def near_components(docs: DataFrame, width: int = 3, trees: int = TREES, numerat
     classes = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.max("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
 
     nodes = classes.select("set_key", "sign").mapInArrow(_branch(trees), "node long, set_key binary, sign binary")
-    loose = nodes.repartition(2 * n, "node").sortWithinPartitions("node").mapInArrow(_nodes, "a binary, b binary")
+    loose = nodes.repartition(2 * n, "node").sortWithinPartitions("node").mapInArrow(_nodes(margin(numerator, denominator)), "a binary, b binary")
     rooted = components(loose)
 
     members = classes.select("set_key", "owner", "n_shingles").join(rooted.select(F.col("node").alias("set_key"), "root"), "set_key")
