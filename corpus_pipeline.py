@@ -1,8 +1,60 @@
-"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing, packing."""
+"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes the Parquet rows that the one before it kept, and all but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from speechjobs.llm import exact_dedup, language_id, mixing, near_dedup, packing
+from speechjobs.llm.common import documents, ensure_checkpoint_dir
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language cannot be told go."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays."""
+    return exact_dedup.keep_owners(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, five-word shingles at 0.8, the smallest id stays."""
+    return near_dedup.keep_representatives(docs, width=5, numerator=80, denominator=100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to the target weights; none comes twice in one packed corpus."""
+    return mixing.keep_mixed(docs, share=0.8, max_epochs=1)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+ORACLE_SQL = None  # tokenisation and the language model have no SQL form
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs
