@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing
+from . import exact_dedup, language_id, mixing, near_dedup, packing, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_packing": packing.op7_packing,
