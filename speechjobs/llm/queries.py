@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, pii
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLE = {
     "op2_mixing": mixing.OP2_SQL,
