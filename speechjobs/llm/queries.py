@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,

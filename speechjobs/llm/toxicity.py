@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are chosen by chi-square between their presence and the label, over a bounded sample of labelled rows; inverse
+Terms are chosen by the log-likelihood ratio of their presence and the label, over a bounded sample of labelled rows; inverse
 document frequencies come from all documents. The examples stand in blocks of like vectors; for each term a block
 keeps its greatest weight. A text's vector times these maxima bounds every block, so only blocks that can still hold
 one of the K nearest are scored, exactly. The neighbours vote with their similarity, against the share of toxic
@@ -25,27 +25,29 @@ from pyspark.sql import functions as F
 from .common import documents, id_remainder, text_of
 from .quality import HELD_OUT, labelled_sample
 
-SAMPLE, TERMS, LEAST_DOCS, CHI_SQUARE = 12_000, 800, 4, 15.0
+SAMPLE, TERMS, LEAST_DOCS, RATIO = 12_000, 800, 4, 30.0
 BLOCK, NEAREST = 64, 15
 RUN = re.compile(r"[^\W\d_]+")
 SCHEMA = "score double, evidence array<long>"
 
 
-def terms_of(text: str | None) -> list[str]:
-    return RUN.findall((text or "").lower())
-
-
 @F.pandas_udf("array<string>")
 def distinct_terms(part: pd.Series) -> pd.Series:
-    return part.map(lambda t: sorted(set(terms_of(t))))
+    return part.map(lambda t: sorted(set(RUN.findall((t or "").lower()))))
+
+
+def _terms(text: str | None, place: dict[str, int]) -> list[int]:
+    """Numbers of the chosen terms in the text."""
+    get = place.get
+    return [i for w in RUN.findall((text or "").lower()) if (i := get(w)) is not None]
 
 
-def _presence(vocabulary: frozenset[str]):
-    """Distinct chosen terms of each text."""
+def _presence(place: dict[str, int]):
+    """Numbers of the distinct chosen terms of each text."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: sorted(vocabulary.intersection(terms_of(t))))
+        return part.map(lambda t: sorted(set(_terms(t, place))))
 
     return run
 
@@ -61,14 +63,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not n1 or n1 == n:
         return empty
     present = rows.select("label", F.explode(distinct_terms("text")).alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("b")).where(F.col("b") >= LEAST_DOCS)
-    # chi-square of the two-by-two table of presence and label
-    chi = F.pow(F.col("a") * n - F.col("b") * n1, 2) * n / (F.col("b") * (n - F.col("b")) * float(n1) * float(n - n1))
-    terms = sorted(r["term"] for r in present.where(F.col("b") < n).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect())
+    cells = [(F.col("a"), F.col("b") * n1 / n), (F.col("b") - F.col("a"), F.col("b") * (n - n1) / n), (n1 - F.col("a"), (n - F.col("b")) * n1 / n), (n - n1 - F.col("b") + F.col("a"), (n - F.col("b")) * (n - n1) / n)]
+    ratio = 2 * sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
+    terms = sorted(r["term"] for r in present.where(F.col("b") < n).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
     if not terms:
         return empty
     whole = docs.count()
-    df = {r["term"]: r["n"] for r in text_of(docs).select(F.explode(_presence(frozenset(terms))("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([np.log((whole + 1) / (df.get(t, 0) + 1)) + 1e-6 for t in terms])
+    df = {r["term"]: r["n"] for r in text_of(docs).select(F.explode(_presence({t: i for i, t in enumerate(terms)})("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    idf = np.array([np.log((whole + 1) / (df.get(i, 0) + 1)) + 1e-6 for i in range(len(terms))])
     model = empty | {"terms": terms, "idf": idf}
     vectorise = Vectors(model)
 
@@ -96,8 +98,7 @@ class Vectors:
         self.idf = model["idf"]
 
     def __call__(self, text: str | None) -> list[tuple[int, float]]:
-        get = self.place.get
-        tf = Counter(i for t in terms_of(text) if (i := get(t)) is not None)
+        tf = Counter(_terms(text, self.place))
         items = sorted(tf)
         w = np.array([(1 + np.log(tf[i])) * self.idf[i] for i in items])
         return list(zip(items, (w / np.linalg.norm(w)).tolist(), strict=True)) if items else []
