@@ -31,9 +31,14 @@ RUN = re.compile(r"[^\W\d_]+")
 SCHEMA = "score double, evidence array<long>"
 
 
-@F.pandas_udf("array<string>")
-def distinct_terms(part: pd.Series) -> pd.Series:
-    return part.map(lambda t: sorted(set(RUN.findall((t or "").lower()))))
+def _distinct():
+    """Distinct words of each text."""
+
+    @F.pandas_udf("array<string>")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: sorted(set(RUN.findall((t or "").lower()))))
+
+    return run
 
 
 def _terms(text: str | None, place: dict[str, int]) -> list[int]:
@@ -62,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     empty = {"terms": [], "idf": np.zeros(0), "ids": [], "labels": np.zeros(0), "vectors": np.zeros((0, 0), np.float32), "prior": prior, "rest": prior}
     if not n1 or n1 == n:
         return empty
-    present = rows.select("label", F.explode(distinct_terms("text")).alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("b")).where(F.col("b") >= LEAST_DOCS)
+    present = rows.select("label", F.explode(_distinct()("text")).alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("b")).where(F.col("b") >= LEAST_DOCS)
     cells = [(F.col("a"), F.col("b") * n1 / n), (F.col("b") - F.col("a"), F.col("b") * (n - n1) / n), (n1 - F.col("a"), (n - F.col("b")) * n1 / n), (n - n1 - F.col("b") + F.col("a"), (n - F.col("b")) * (n - n1) / n)]
     ratio = 2 * sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
     terms = sorted(r["term"] for r in present.where(F.col("b") < n).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
