@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, quality, toxicity
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
 }
