@@ -315,7 +315,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b)),
+c AS (SELECT doc_id, 500 * k AS base, substr(h, 1000 * k + 1, 1098) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS k FROM b)),
+w AS (SELECT doc_id, base + j AS i, hash(substr(h, 2 * j + 1, 100)) AS s FROM (SELECT doc_id, base, h, unnest(range(0, least(500, length(h) // 2 - 49))) AS j FROM c)),
 m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
 r AS (SELECT w.doc_id, i FROM w JOIN m ON w.s = m.s WHERE first < w.doc_id),
 g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS fresh FROM r),
