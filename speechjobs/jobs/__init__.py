@@ -1,0 +1,5 @@
+"""Jobs by flow; each module has QUERIES and, in SQL, ORACLE."""
+
+from . import clean
+
+JOBS = [clean]
