@@ -1,5 +1,5 @@
 """Jobs by flow; each module has QUERIES and, in SQL, ORACLE."""
 
-from . import clean
+from . import clean, repair
 
-JOBS = [clean]
+JOBS = [clean, repair]
