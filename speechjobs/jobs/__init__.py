@@ -1,5 +1,5 @@
 """Jobs by flow; each module has QUERIES and, in SQL, ORACLE."""
 
-from . import clean, repair
+from . import clean, repair, translate
 
-JOBS = [clean, repair]
+JOBS = [clean, repair, translate]

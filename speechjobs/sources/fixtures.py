@@ -47,7 +47,7 @@ DERIVED = {
     "raw_ranges": "SELECT track_id, start_ms, end_ms, CASE seg_idx % 3 WHEN 0 THEN 'loop' WHEN 1 THEN 'missed' ELSE 'low' END AS reason, seg_idx FROM segments WHERE (track_id + seg_idx) % 5 = 0",
     "second_ranges": "SELECT track_id, start_ms + CASE WHEN seg_idx % 2 = 0 THEN 20 ELSE 700 END AS start_ms, end_ms, 'second' AS reason, seg_idx FROM segments WHERE (track_id + seg_idx) % 10 = 0",
     "entries": """SELECT track_id, CAST(floor(seg_idx / 8) AS BIGINT) AS window_idx, seg_idx % 8 + 1 AS local_id, seg_idx + 1 AS global_id, text AS input, start_ms, end_ms,
-        CASE (track_id + seg_idx) % 9 WHEN 0 THEN 'one constant line' WHEN 1 THEN NULL WHEN 2 THEN concat('和名：', text) ELSE text END AS text FROM segments""",
+        CASE (track_id + seg_idx) % 9 WHEN 0 THEN 'one constant line' WHEN 4 THEN 'one constant line' WHEN 1 THEN NULL WHEN 2 THEN concat('和名：', text) ELSE text END AS text FROM segments""",
     "sent_ids": """SELECT track_id, CAST(floor(seg_idx / 8) AS BIGINT) AS window_idx, CASE WHEN (track_id + floor(seg_idx / 8)) % 7 = 2 AND seg_idx % 8 = 3 THEN seg_idx % 8 ELSE seg_idx % 8 + 1 END AS local_id, seg_idx % 8 AS pos,
         start_ms + CASE WHEN (track_id + floor(seg_idx / 8)) % 7 = 3 AND seg_idx % 8 = 1 THEN 5 ELSE 0 END AS start_ms, end_ms FROM segments WHERE NOT ((track_id + floor(seg_idx / 8)) % 7 = 1 AND seg_idx % 8 = 2)""",
 }
