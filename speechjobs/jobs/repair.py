@@ -47,7 +47,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    word = F.regexp_extract(F.split("text", r"\.\n")[1], r"([^\s.,]{8,})", 1)
+    word = F.regexp_extract(F.get(F.split("text", r"\.\n"), 1), r"([^\s.,]{8,})", 1)
     terms = docs.where("doc_id % 50 = 0").select(word.alias("ja")).where("ja <> ''").distinct().withColumn("kind", F.lit("term"))
     texts = _numbered(spark, sf_dir).groupBy("track_id", "window_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return windows.glossary_hits(texts, terms)
