@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, documents, ensure_checkpoint_dir, shuffle_parts, text_of
 
-SAMPLES, PER_ROW = 64, 8
+SAMPLES, PER_ROW = 64, 4
+PART_CHARS = 3_000_000
 LAST = (1 << 63) - 1
 KEY = ["doc_id", "text_hash"]
 
@@ -40,10 +41,13 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text, edited: the last quarter replaced by the start of the next document."""
+    """doc_id, text_hash, text, edited: the last quarter replaced by the start of the next document.
+
+    Merge joins keep the rows in the partition of their document, where all later grouping is done.
+    """
     nexts = links.select(F.col("next_id").alias("doc_id"), F.col("next_hash").alias("text_hash"), F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.floor(F.col("n_chars") / 4).cast("int").alias("_quarter"))
-    starts = rows.join(nexts, KEY).select(F.col("_doc_id").alias("doc_id"), F.col("_text_hash").alias("text_hash"), "_quarter", F.expr("substring(text, 1, _quarter)").alias("_start"))
-    return rows.join(starts, KEY).select(*KEY, "text", F.concat(F.expr("substring(text, 1, length(text) - _quarter)"), "_start").alias("edited"))
+    starts = rows.hint("merge").join(nexts, KEY).select(F.col("_doc_id").alias("doc_id"), F.col("_text_hash").alias("text_hash"), "_quarter", F.expr("substring(text, 1, _quarter)").alias("_start"))
+    return rows.hint("merge").join(starts, KEY).select(*KEY, "text", F.concat(F.expr("substring(text, 1, length(text) - _quarter)"), "_start").alias("edited"))
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -51,40 +55,45 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def sample(word: Column, weights: list[Column], k: Column) -> list[Column]:
-    """For each weight a long that orders by ln(a) and carries 32 bits of (word, t)."""
+def draws(word: Column, k: Column) -> list[Column]:
+    """r, b and ln(c) of a word in sample k."""
     one, two = F.xxhash64(word, k), F.xxhash64(k, word)
-    r = -F.log(_uniform(one, 0) * _uniform(one, 21))
-    c = F.log(-F.log(_uniform(two, 0) * _uniform(two, 21)))
-    b = _uniform(one, 42)
-    out = []
-    for weight in weights:
-        t = F.floor(F.log(weight) / r + b)
-        a = c - r * (t - b) - r
-        rank = F.least(F.greatest(((a + 64.0) * float(1 << 24)).cast("long"), F.lit(0).cast("long")), F.lit((1 << 31) - 2).cast("long"))
-        name = F.xxhash64(word.bitwiseXOR(k), t).bitwiseAND(F.lit(0xFFFFFFFF))
-        out.append(F.when(weight > 0, F.shiftleft(rank, 32).bitwiseOR(name)))
-    return out
+    return [-F.log(_uniform(one, 0) * _uniform(one, 21)), _uniform(one, 42), F.log(-F.log(_uniform(two, 0) * _uniform(two, 21)))]
+
+
+def sampled(word: Column, r: Column, b: Column, c: Column, t: Column) -> Column:
+    """A long that orders by ln(a) and carries 32 bits of (word, t); null where t is."""
+    a = c - r * (t - b) - r
+    rank = F.least(F.greatest(((a + 64.0) * float(1 << 24)).cast("long"), F.lit(0).cast("long")), F.lit((1 << 31) - 2).cast("long"))
+    return F.when(t.isNotNull(), F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def signatures(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, text_hash, edited_sha256, own, other: arrays of 32-bit sample names of text and edited text."""
-    blank = F.lit(" ")  # no word begins with a space: such a row carries the hash of the edited text
-    sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))).alias("s"))
-    sides = sides.select(*KEY, "s.side", F.split("s.t", SPACE).alias("words"), F.col("s.sha").alias("sha"))
-    words = sides.select(*KEY, "side", F.explode(F.when(F.col("sha").isNull(), F.col("words")).otherwise(F.concat("words", F.array(F.concat(blank, "sha"))))).alias("word")).where("word <> ''")
-    counts = words.groupBy(*KEY, "word").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"))
+    blank = F.lit(" ")  # no word begins with a space: such rows carry the hash of the edited text, in four longs
+    sha = F.sha2("edited", 256)
+    carriers = F.array(*(F.concat(F.lit(f" {i}"), F.substring(sha, 16 * i + 1, 16)) for i in range(4)))
+    none = F.array().cast("array<string>")
+    sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), none.alias("more")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"), carriers.alias("more")))).alias("s"))
+    words = sides.select(*KEY, "s.side", F.explode(F.concat(F.split("s.t", SPACE), F.col("s.more"))).alias("word")).where("word <> ''")
     carried = F.startswith("word", blank)
-    weighted = counts.select(*KEY, F.xxhash64("word").alias("w"), F.when(carried, F.lit(0.0)).otherwise(F.col("n0").cast("double")).alias("w0"), F.when(carried, F.lit(0.0)).otherwise(F.col("n1").cast("double")).alias("w1"), F.when(carried, F.substring("word", 2, 64)).alias("sha"))
-    each = weighted.select(*KEY, "w", "w0", "w1", "sha", F.explode(F.array(*(F.lit(i).cast("long") for i in range(samples // PER_ROW)))).alias("part"))
-    columns = [F.max("sha").alias("sha")]
+    slot = F.when(carried, F.substring("word", 2, 1).cast("int")).otherwise(-1)
+    number = F.when(carried, F.conv(F.substring("word", 3, 16), 16, -10).cast("long")).otherwise(F.xxhash64("word"))
+    counts = words.select(*KEY, "side", slot.alias("slot"), number.alias("w")).groupBy(*KEY, "slot", "w").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"))
+    weight = lambda n: F.when((F.col("slot") < 0) & (F.col(n) > 0), F.log(F.col(n).cast("double")))
+    each = counts.select(*KEY, "slot", "w", weight("n0").alias("w0"), weight("n1").alias("w1"), F.explode(F.array(*(F.lit(i).cast("long") for i in range(samples // PER_ROW)))).alias("part"))
+    # in three steps, as columns, so that no draw is worked out twice and the generated methods stay small
+    given = [*KEY, "slot", "w", "part"]
+    each = each.select(*given, "w0", "w1", *(d.alias(f"{n}{j}") for j in range(PER_ROW) for n, d in zip("rbc", draws(F.col("w"), F.col("part") * PER_ROW + j), strict=True)))
+    each = each.select(*given, *(f"{n}{j}" for j in range(PER_ROW) for n in "rbc"), *(F.floor(F.col(f"w{x}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}{x}") for j in range(PER_ROW) for x in (0, 1)))
+    columns = [F.max(F.when(F.col("slot") == i, F.col("w"))).alias(f"s{i}") for i in range(4)]
     for j in range(PER_ROW):
-        own, other = sample(F.col("w"), [F.col("w0"), F.col("w1")], F.col("part") * PER_ROW + j)
-        columns += [F.min(own).alias(f"a{j}"), F.min(other).alias(f"b{j}")]
+        columns += [F.min(sampled(F.col("w"), *(F.col(f"{n}{j}") for n in "rbc"), F.col(f"t{j}{x}"))).alias(f"{'ab'[x]}{j}") for x in (0, 1)]
     least = each.groupBy(*KEY, "part").agg(*columns)
     names = lambda x: F.array(*(F.coalesce(F.col(f"{x}{j}"), F.lit(-1).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(PER_ROW)))
-    parts = least.groupBy(*KEY).agg(F.max("sha").alias("edited_sha256"), F.array_sort(F.collect_list(F.struct("part", names("a").alias("own"), names("b").alias("other")))).alias("p"))
-    return parts.select(*KEY, "edited_sha256", F.flatten("p.own").alias("own"), F.flatten("p.other").alias("other"))
+    parts = least.groupBy(*KEY).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(4)), F.array_sort(F.collect_list(F.struct("part", names("a").alias("own"), names("b").alias("other")))).alias("p"))
+    digest = F.lower(F.concat(*(F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4))))
+    return parts.select(*KEY, digest.alias("edited_sha256"), F.flatten("p.own").alias("own"), F.flatten("p.other").alias("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,6 +113,8 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = all_rows
     if not links.where("copies > 1").isEmpty():
         rows = all_rows.dropDuplicates(KEY)
+    chars = links.agg(F.sum("n_chars")).first()[0] or 0
+    rows = rows.repartition(max(shuffle_parts(docs.sparkSession), -(-chars // PART_CHARS)), *KEY)
     signs = signatures(edited_pairs(rows, links), samples).checkpoint()
     follow = signs.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("own").alias("next_own"))
     out = links.join(signs, KEY).join(follow, ["next_id", "next_hash"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
