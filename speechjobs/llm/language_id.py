@@ -36,7 +36,10 @@ SCHEMA = "lang_pred string, score double"
 
 
 def words_of(token: str) -> list[str]:
-    return [w for w in RUN.findall(token.lower()) if any(map(str.isalpha, w))]
+    low = token.lower()
+    if low.isalpha() or (low := low.strip(".,;:!?|*$%&#\"'()[]")).isalpha():
+        return [low]
+    return [w for w in RUN.findall(low) if any(map(str.isalpha, w))]
 
 
 def _count(limit: int):
@@ -68,17 +71,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n over the learning rows."""
     mod, out = HELD_OUT
     rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (id_remainder(docs["doc_id"], mod) != out)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_count(300_000), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_count(200_000), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, entries: int = ENTRIES, per_level: int = PER_LEVEL) -> dict:
-    """The model: languages and, per level (0 words, 1 to 5 n-grams), gram to log frequencies."""
+    """The model: languages, grams per level (0 words, 1 to 5 n-grams), and a matrix of their log frequencies."""
     ensure_checkpoint_dir(docs.sparkSession)
     words = word_counts(docs).checkpoint()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(entries // (NGRAM + 1) // 10).collect()}
     langs = sorted(totals)
     if not langs:
-        return {"langs": [], "levels": []}
+        return {"langs": [], "grams": [], "matrix": np.zeros((1, 0), np.float32)}
     k = max(1, min(per_level, entries // ((NGRAM + 1) * len(langs))))
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     top = [F.desc("n"), F.asc("gram")]
@@ -86,68 +89,89 @@ def fit(docs: DataFrame, entries: int = ENTRIES, per_level: int = PER_LEVEL) ->
     grams = words.select("lang", marked.alias("w"), "n").select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.lit(NGRAM))).alias("level")).where(F.length("w") >= F.col("level"))
     grams = grams.select("lang", "level", "n", "w", F.explode(F.expr("sequence(1, length(w) - level + 1)")).alias("i")).select("lang", "level", F.expr("substring(w, i, level)").alias("gram"), "n")
     levels = levels.unionByName(top_per_key(grams.groupBy("lang", "level", "gram").agg(F.sum("n").alias("n")), ["lang", "level"], top, k))
-    tables = [{} for _ in range(NGRAM + 1)]
-    sums = np.zeros((NGRAM + 1, len(langs)))
     at = {x: i for i, x in enumerate(langs)}
-    for lang, level, gram, n in levels.select("lang", "level", "gram", "n").collect():
+    grams, cells = [{} for _ in range(NGRAM + 1)], []
+    for lang, level, gram, n in levels.select("lang", "level", "gram", "n").orderBy("level", "gram", "lang").collect():
         if lang in at:
-            tables[level].setdefault(gram, np.zeros(len(langs)))[at[lang]] = n
-            sums[level, at[lang]] += n
-    for level, table in enumerate(tables):
-        whole = np.maximum(sums[level] if level else np.array([totals[x] for x in langs], float), 1)
-        for gram, n in table.items():
-            table[gram] = np.log((n + 0.5) / whole).astype(np.float32)
-    return {"langs": langs, "levels": tables}
+            cells.append((level, grams[level].setdefault(gram, len(grams[level])), at[lang], n))
+    parts = []
+    for level, table in enumerate(grams):
+        seen = np.zeros((len(table), len(langs)))
+        for _, row, lang, n in (c for c in cells if c[0] == level):
+            seen[row, lang] = n
+        whole = np.maximum(np.array([totals[x] for x in langs], float) if level == 0 else seen.sum(axis=0), 1)
+        parts.append(np.log((seen + 0.5) / whole).astype(np.float32))
+    return {"langs": langs, "grams": [list(t) for t in grams], "matrix": np.concatenate([*parts, np.zeros((1, len(langs)), np.float32)])}
 
 
 class Scorer:
-    """Holds the vectors of tokens seen, up to a bound."""
+    """Scores texts in batches and holds the vectors of tokens seen, up to a bound.
 
-    LIMIT = 400_000
+    All grams of the model are rows of one matrix. A word is the mean of the rows that its level gives; the words that
+    a batch brings anew are worked out together.
+    """
+
+    LIMIT = 250_000
 
     def __init__(self, model: dict):
-        self.langs, self.levels = model["langs"], model["levels"]
+        self.langs, self.matrix, self.grams, n = model["langs"], model["matrix"], [], 0
+        for table in model["grams"]:
+            self.grams.append(dict(zip(table, range(n, n + len(table)), strict=True)))
+            n += len(table)
         self.rows: dict[str, int] = {}
-        self.vectors, self.words = np.zeros((1024, len(self.langs)), np.float32), np.zeros(1024, np.int32)
-
-    def vector(self, word: str) -> np.ndarray:
-        v = self.levels[0].get(word)
-        if v is None:
-            marked = f"<{word}>"
-            for n in range(min(NGRAM, len(marked)), 0, -1):
-                table = self.levels[n]
-                known = [x for i in range(len(marked) - n + 1) if (x := table.get(marked[i : i + n])) is not None]
-                if known:
-                    v = sum(known) / len(known)
-                    break
-            else:
-                return np.zeros(len(self.langs), np.float32)
-        v = v - v.max()
-        return np.maximum(v - np.log(np.exp(v).sum()), -8)
-
-    def learn(self, token: str) -> int:
-        row = len(self.rows)
-        if row == len(self.vectors):
-            self.vectors, self.words = np.concatenate([self.vectors, np.zeros_like(self.vectors)]), np.concatenate([self.words, np.zeros_like(self.words)])
-        found = words_of(token)
-        self.vectors[row] = sum((self.vector(w) for w in found), np.zeros(len(self.langs), np.float32))
-        self.words[row] = len(found)
-        self.rows[token] = row
-        return row
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
+        self.vectors, self.words = np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int32)
+
+    def known(self, word: str) -> list[int]:
+        """Rows of the word, or of its longest n-grams that the model has; else the row of zeros."""
+        if (row := self.grams[0].get(word)) is not None:
+            return [row]
+        marked = f"<{word}>"
+        for n in range(min(NGRAM, len(marked)), 0, -1):
+            get = self.grams[n].get
+            if found := [x for i in range(len(marked) - n + 1) if (x := get(marked[i : i + n])) is not None]:
+                return found
+        return [len(self.matrix) - 1]
+
+    def learn(self, tokens: list[str]) -> None:
+        grams, sizes, owners, counts = [], [], [], []
+        for i, token in enumerate(tokens):
+            found = words_of(token)
+            counts.append(len(found))
+            for w in found:
+                grams += (k := self.known(w))
+                sizes.append(len(k))
+                owners.append(i)
+        new = np.zeros((len(tokens), len(self.langs)), np.float32)
+        if sizes:
+            firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            v = np.add.reduceat(self.matrix[grams], firsts, axis=0) / np.array(sizes, np.float32)[:, None]
+            v -= v.max(axis=1, keepdims=True)
+            v = np.maximum(v - np.log(np.exp(v).sum(axis=1, keepdims=True)), -8)
+            np.add.at(new, owners, v)
+        n = len(self.rows)
+        self.rows.update(zip(tokens, range(n, n + len(tokens)), strict=True))
+        self.vectors, self.words = np.concatenate([self.vectors[:n], new]), np.concatenate([self.words[:n], np.array(counts, np.int32)])
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For a few hundred texts at a time."""
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.rows) > self.LIMIT:
             self.rows.clear()
-        tokens = text.split()
-        ids = np.array([i if (i := self.rows.get(t)) is not None else self.learn(t) for t in tokens], dtype=np.int64)
-        n = int(self.words[ids].sum()) if len(ids) else 0
-        if not n:
-            return UNKNOWN, 0.0
-        total = self.vectors[ids].sum(axis=0, dtype=np.float64) / math.sqrt(n)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        split = [(t or "").split() for t in texts]
+        if missing := set().union(*split).difference(self.rows):
+            self.learn(sorted(missing))
+        out = []
+        for tokens in split:
+            ids = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+            n = int(self.words[ids].sum())
+            if not n:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.vectors[ids].sum(axis=0, dtype=np.float64) / math.sqrt(n)
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def scorer(model: dict):
@@ -159,9 +183,13 @@ def scorer(model: dict):
     @F.pandas_udf(SCHEMA)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        held = model.get("scorer") or model.setdefault("scorer", Scorer(model))
+        held = model.get("scorer")
+        if held is None:
+            held = model["scorer"] = Scorer(model)
+            model["grams"] = []
         for part in parts:
-            yield pd.DataFrame([held.score(t) for t in part], columns=["lang_pred", "score"])
+            rows = [x for i in range(0, len(part), 500) for x in held.score(part.iloc[i : i + 500].tolist())]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return run
 
