@@ -361,8 +361,8 @@ def test_language_id_awkward(docs, none):
 
 
 def test_backoff_order():
-    v = lambda a, b: np.log(np.array([a, b]))
-    scorer = language_id.Scorer({"langs": ["x", "y"], "levels": [{"known": v(0.9, 0.1)}, {"k": v(0.1, 0.9)}, {}, {"unk": v(0.2, 0.8)}, {}, {}]})
+    matrix = np.log(np.array([[0.9, 0.1], [0.1, 0.9], [0.2, 0.8], [1, 1]])).astype(np.float32)
+    scorer = language_id.Scorer({"langs": ["x", "y"], "grams": [["known"], ["k"], [], ["unk"], [], []], "matrix": matrix})
     assert [p for p, _ in scorer.score(["known", "unkn", "k", "zzz"])] == ["x", "y", "y", "x"]
 
 
@@ -464,3 +464,12 @@ def test_ids_and_text_only_matter(docs):
     renamed = docs.select("doc_id", "text", "lang", "source", "n_chars")
     a = sorted(map(str, rows_of(exact_dedup.exact_dedup(docs))))
     assert a == sorted(map(str, rows_of(exact_dedup.exact_dedup(renamed))))
+
+
+def test_parse_ignores_the_order_of_rows():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(40_000))).encode()) for i in range(20)]
+    one, other = (substring_dedup._parse_of(pa.table({"doc_id": [r[0] for r in x], "body": [r[1] for r in x]})) for x in (rows, rng.sample(rows, 20)))
+    assert (one.starts == other.starts).all() and (one.counts == other.counts).all() and (one.triggers == other.triggers).all()
