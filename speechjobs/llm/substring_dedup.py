@@ -127,7 +127,9 @@ def _values(blob: bytes) -> np.ndarray:
 
 
 def _parse_of(table: pa.Table) -> Parse:
-    return Parse(table.column("doc_id").to_pylist(), table.column("body").to_pylist())
+    """In the order of ids and bytes, so that every pass cuts the group's text alike, however its rows arrive."""
+    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("body").to_pylist(), strict=True))
+    return Parse([r[0] for r in rows], [r[1] for r in rows])
 
 
 _SENT = "part int, grp long, blob binary, extra binary, owners binary"
@@ -281,7 +283,7 @@ def _remove(bits: int, with_text: bool):
         np.add.at(cover, windows + LENGTH, -1)
         gone = np.cumsum(cover[:-1]) > 0
         data, out = np.frombuffer(parse.text, np.uint8), ([], [], [], [], [], [])
-        for doc, a, size in zip(docs.column("doc_id").to_pylist(), parse.firsts.tolist(), parse.sizes.tolist(), strict=True):
+        for doc, a, size in zip(parse.ids.tolist(), parse.firsts.tolist(), parse.sizes.tolist(), strict=True):
             g = gone[a : a + size]
             kept = data[a : a + size][~g].tobytes() if g.any() else parse.text[a : a + size]
             spans = int((g[1:] & ~g[:-1]).sum() + g[0]) if size else 0
@@ -297,7 +299,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_text: b
     rows = text_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    bits = max(1, min(24, (groups - 1).bit_length()))
+    bits = max(1, min(24, (groups - 1).bit_length() + 2))  # four ranges a group keep a range's dictionary small
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     by_group = rows.groupBy("grp")
     ranges = 1 << bits
