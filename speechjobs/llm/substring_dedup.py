@@ -90,7 +90,8 @@ class Parse:
             cuts, lengths = cuts[real], lengths[real]
             starts.append(cuts + at)
             counts.append(lengths)
-            triggers.append(hashes[(least[cuts] & _PLACE).astype(np.int64)])
+            chosen = hashes[(least[cuts] & _PLACE).astype(np.int64)] * _U(0x9E3779B97F4A7C15)
+            triggers.append(chosen ^ (chosen >> _U(29)))  # smallest hashes crowd at 0: spread them over the ranges again
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.starts, self.counts, self.triggers = join(starts, np.int64), join(counts, np.int64), join(triggers, np.uint64)
         self.docs = self.ids[np.searchsorted(self.firsts, self.starts, "right") - 1] if len(self.starts) else np.zeros(0, np.int64)
