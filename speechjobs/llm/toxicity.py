@@ -1,12 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are chosen by the log-likelihood ratio of their presence and the label, over a bounded sample of labelled rows; inverse
-document frequencies come from all documents. The examples stand in blocks of like vectors; for each term a block
-keeps its greatest weight. A text's vector times these maxima bounds every block, so only blocks that can still hold
-one of the K nearest are scored, exactly. The neighbours vote with their similarity, against the share of toxic
-examples among those without any chosen term; the nearest ids are the evidence.
-
-Defined results: null text is empty text; a text without a chosen term gets that share; ties go to the smaller
+The examples are a bounded sample of labelled rows. Every word of theirs is a term; inverse document frequencies come from
+all documents. A term's weight has a factor that grows with what its presence tells of the label, and is never zero. The
+examples stand in blocks of like vectors; the posting list of a term has the greatest weight of each block. A text's
+vector times these maxima bounds every block, so only blocks that can still hold one of the K nearest are scored,
+exactly. The neighbours vote with their similarity, against the share of toxic examples among those without any word;
+the nearest ids are the evidence.
+
+Defined results: null text is empty text; a text without a word of the examples gets that share; ties go to the smaller
 example id; with no labelled rows the score is 0; null ids count as held out; repeated labels count each; an empty
 table gives an empty result; other columns are not looked at.
 """
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import documents, id_remainder, text_of
 from .quality import HELD_OUT, labelled_sample
 
-SAMPLE, TERMS, LEAST_DOCS, RATIO = 12_000, 800, 4, 30.0
-BLOCK, NEAREST = 64, 15
+SAMPLE = 12_000
+PSEUDO, FLOOR = 5.0, 0.01
+BLOCK, NEAREST, PROBED = 64, 15, 4
 RUN = re.compile(r"[^\W\d_]+")
 SCHEMA = "score double, evidence array<long>"
 
@@ -42,113 +44,157 @@ def _distinct():
 
 
 def _terms(text: str | None, place: dict[str, int]) -> list[int]:
-    """Numbers of the chosen terms in the text."""
+    """Numbers of the text's terms."""
     get = place.get
     return [i for w in RUN.findall((text or "").lower()) if (i := get(w)) is not None]
 
 
-def _presence(place: dict[str, int]):
-    """Numbers of the distinct chosen terms of each text."""
+def _frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
+    """Number of documents with each term, summed in each part first."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    @F.pandas_udf("array<int>")
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: sorted(set(_terms(t, place))))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = {t: i for i, t in enumerate(shared.value)}
+        n = np.zeros(len(place), np.int64)
+        for part in parts:
+            for text in part["text"]:
+                n[list(set(_terms(text, place)))] += 1
+        yield pd.DataFrame({"term": np.flatnonzero(n), "n": n[n > 0]})
 
-    return run
+    found = text_of(docs).select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms), np.int64)
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def label_factor(a: np.ndarray, b: np.ndarray, prior: float) -> np.ndarray:
+    """Divergence of the label's share among the b examples with a term, a of them toxic, from its share among all."""
+    q = (a + PSEUDO * prior) / (b + PSEUDO)
+    return FLOOR + q * np.log(q / prior) + (1 - q) * np.log((1 - q) / (1 - prior))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """terms with idf, and the examples: ids, labels and weighted unit vectors, in blocks of like vectors."""
+    """terms with idf and factor, and the examples: ids, labels and sparse unit vectors, in blocks of like vectors."""
     chosen = labelled_sample(labels, "toxic", sample)
     rows = text_of(docs).join(F.broadcast(chosen), "doc_id")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n = counts.get(1, 0), sum(counts.values())
     prior = (n1 + 0.0) / n if n else 0.0
-    empty = {"terms": [], "idf": np.zeros(0), "ids": [], "labels": np.zeros(0), "vectors": np.zeros((0, 0), np.float32), "prior": prior, "rest": prior}
+    empty = {"terms": [], "idf": np.zeros(0), "factor": np.zeros(0), "ids": [], "labels": np.zeros(0), "vectors": np.zeros((0, 0), np.float32), "prior": prior, "rest": prior}
     if not n1 or n1 == n:
         return empty
-    present = rows.select("label", F.explode(_distinct()("text")).alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("b")).where(F.col("b") >= LEAST_DOCS)
-    cells = [(F.col("a"), F.col("b") * n1 / n), (F.col("b") - F.col("a"), F.col("b") * (n - n1) / n), (n1 - F.col("a"), (n - F.col("b")) * n1 / n), (n - n1 - F.col("b") + F.col("a"), (n - F.col("b")) * (n - n1) / n)]
-    ratio = 2 * sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
-    terms = sorted(r["term"] for r in present.where(F.col("b") < n).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
+    present = rows.select("label", F.explode(_distinct()("text")).alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("b")).toArrow().sort_by("term")
+    terms = present["term"].to_pylist()
     if not terms:
         return empty
-    whole = docs.count()
-    df = {r["term"]: r["n"] for r in text_of(docs).select(F.explode(_presence({t: i for i, t in enumerate(terms)})("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([np.log((whole + 1) / (df.get(i, 0) + 1)) + 1e-6 for i in range(len(terms))])
-    model = empty | {"terms": terms, "idf": idf}
-    vectorise = Vectors(model)
-
-    @F.pandas_udf("array<double>")
-    def weights(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: [x for pair in vectorise(t) for x in pair])
-
-    found = rows.select("doc_id", "label", weights("text").alias("v")).orderBy("doc_id", "label").collect()
-    vectors = np.zeros((len(found), len(terms)), np.float32)
-    for i, r in enumerate(found):
-        vectors[i, [int(x) for x in r["v"][::2]]] = r["v"][1::2]
-    ids, y = np.array([r["doc_id"] for r in found]), np.array([r["label"] for r in found], float)
-    full = vectors.any(axis=1)
+    factor = label_factor(present["a"].to_numpy(), present["b"].to_numpy(), prior)
+    idf = np.log((docs.count() + 1) / (_frequencies(docs, terms) + 1)) + 1e-6
+    model = empty | {"terms": terms, "idf": idf, "factor": factor}
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("terms", "idf", "factor")})
+
+    @F.pandas_udf("places binary, weights binary")
+    def weights(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vectorise = Vectors(shared.value)
+        for part in parts:
+            yield pd.DataFrame([(i.astype(np.int32).tobytes(), w.astype(np.float32).tobytes()) for i, w in map(vectorise, part)], columns=["places", "weights"])
+
+    found = rows.select("doc_id", "label", weights("text").alias("v")).select("doc_id", "label", "v.*").toArrow()
+    ids, y = found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float)
+    vectors = [(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for i, w in zip(found["places"].to_pylist(), found["weights"].to_pylist(), strict=True)]
+    full = np.array([len(i) > 0 for i, _ in vectors])
     rest = (y[~full].sum() + prior) / ((~full).sum() + 1)
-    order = np.lexsort((ids, vectors.argmax(axis=1)))
+    strongest = np.array([i[w.argmax()] if len(i) else -1 for i, w in vectors])
+    order = np.lexsort((y, ids, strongest))
     order = order[full[order]]
-    return model | {"ids": ids[order], "labels": y[order], "vectors": vectors[order], "rest": float(rest)}
+    starts = np.concatenate([[0], np.cumsum([len(vectors[r][0]) for r in order])])
+    packed = (starts, np.concatenate([vectors[r][0] for r in order]), np.concatenate([vectors[r][1] for r in order]))
+    return model | {"ids": ids[order], "labels": y[order], "vectors": packed, "rest": float(rest)}
 
 
 class Vectors:
-    """Text to (term, weight) pairs of a unit vector."""
+    """Text to the terms, in order, and weights of a unit vector."""
 
     def __init__(self, model: dict):
         self.place = {t: i for i, t in enumerate(model["terms"])}
-        self.idf = model["idf"]
+        self.weight = model["idf"] * model.get("factor", 1.0)
 
-    def __call__(self, text: str | None) -> list[tuple[int, float]]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         tf = Counter(_terms(text, self.place))
-        items = sorted(tf)
-        w = np.array([(1 + np.log(tf[i])) * self.idf[i] for i in items])
-        return list(zip(items, (w / np.linalg.norm(w)).tolist(), strict=True)) if items else []
+        items = np.array(sorted(tf), np.int64)
+        w = (1 + np.log(np.array([tf[i] for i in items.tolist()], float))) * self.weight[items]
+        return items, w / np.linalg.norm(w) if len(items) else w
+
+
+def _sparse(dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts of the rows, terms, weights."""
+    rows, terms = np.nonzero(dense)
+    return np.searchsorted(rows, np.arange(len(dense) + 1)), terms, dense[rows, terms]
 
 
 class BlockMaxIndex:
-    """Exact nearest examples by cosine."""
+    """Exact nearest examples by cosine, from posting lists with a maximum for each block of examples."""
 
     def __init__(self, model: dict):
-        self.model, self.vectorise, self.known = model, Vectors(model), {}
-        self.vectors, self.ids, self.labels = model["vectors"], np.asarray(model["ids"]), model["labels"]
-        starts = range(0, len(self.vectors), BLOCK)
-        self.starts = np.array(starts, np.int64)
-        self.most = np.stack([self.vectors[i : i + BLOCK].max(axis=0) for i in starts]) if len(self.vectors) else np.zeros((0, len(model["terms"])), np.float32)
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
+        self.vectorise, self.rest = Vectors(model), model["rest"]
+        self.ids, self.labels = np.asarray(model["ids"]), model["labels"]
+        vectors = model["vectors"]
+        starts, terms, weights = vectors if isinstance(vectors, tuple) else _sparse(vectors)
+        order = np.argsort(terms, kind="stable")
+        numbers = np.arange(len(model["terms"]) + 1)
+        self.rows, self.weights = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))[order], weights[order]
+        self.first = np.searchsorted(terms[order], numbers)
+        key = terms[order].astype(np.int64) * (len(starts) // BLOCK + 1) + self.rows // BLOCK
+        self.group = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, self.group) if len(self.group) else self.weights
+        self.block = self.rows[self.group] // BLOCK
+        self.first_group = np.searchsorted(self.group, self.first)
+        self.group = np.append(self.group, np.int32(len(self.rows)))
+        self.n_blocks = -(-(len(starts) - 1) // BLOCK)
+
+    def _sums(self, terms: np.ndarray, weights: np.ndarray, groups: np.ndarray | None, lengths: np.ndarray) -> np.ndarray:
+        """Cosine of every example, over whole posting lists or only some blocks of theirs."""
+        if groups is None:
+            spans, factors = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True)], np.repeat(weights, self.first[terms + 1] - self.first[terms])
+            rows, values = np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.weights[s] for s in spans])
+        else:
+            n = self.group[groups + 1] - self.group[groups]
+            at = np.repeat(self.group[groups] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows, values, factors = self.rows[at], self.weights[at], np.repeat(lengths, n)
+        return np.bincount(rows, values * factors, minlength=len(self.ids))
+
+    def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest."""
-        bounds = self.most[:, terms] @ weights
-        order = np.argsort(-bounds, kind="stable")
-        at, rows, cosines = 0, np.zeros(0, np.int64), np.zeros(0, np.float32)
-        while at < len(order) and bounds[order[at]] > 0:
-            least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
-            if bounds[order[at]] < least - 1e-6:
-                break
-            take = order[at : at + 4]
-            at += 4
-            new = (self.starts[take][:, None] + np.arange(BLOCK)).ravel()
-            new = new[new < len(self.vectors)]
-            rows, cosines = np.concatenate([rows, new]), np.concatenate([cosines, self.vectors[new][:, terms] @ weights])
-        best = np.lexsort((self.ids[rows], -np.round(cosines, 6)))[:k]
-        return [(float(cosines[i]), int(rows[i])) for i in best if cosines[i] > 0]
+        terms, weights = np.asarray(terms, np.int64), np.asarray(weights, float)
+        if not len(terms) or not len(self.rows):
+            return []
+        counts = self.first_group[terms + 1] - self.first_group[terms]
+        groups = np.repeat(self.first_group[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        factors, blocks = np.repeat(weights, counts), self.block[groups]
+        bounds = np.bincount(blocks, self.most[groups] * factors, minlength=self.n_blocks)
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[np.argsort(-bounds, kind="stable")[:PROBED]] = True
+        mask = wanted[blocks]
+        cosines = self._sums(terms, weights, groups[mask], factors[mask])
+        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
+        wanted = (bounds > 0) & (bounds >= least - 1e-5)
+        if wanted.sum() * 2 > self.n_blocks:
+            cosines = self._sums(terms, weights, None, factors)
+        elif wanted.sum() > 0:
+            mask = wanted[blocks]
+            cosines = self._sums(terms, weights, groups[mask], factors[mask])
+        rounded = np.round(cosines, 6)
+        floor = np.partition(rounded, len(rounded) - k)[len(rounded) - k] if len(rounded) > k else 0.0
+        rows = np.flatnonzero((rounded >= floor) & (cosines > 0))
+        best = rows[np.lexsort((self.ids[rows], -rounded[rows]))[:k]]
+        return [(float(cosines[i]), int(i)) for i in best]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        pairs = self.vectorise(text)
-        rest = self.model["rest"]
-        if not pairs or not len(self.vectors):
-            return rest, []
-        key = tuple((i, round(w, 7)) for i, w in pairs)
-        if (done := self.known.get(key)) is None:
-            near = self.nearest([i for i, _ in pairs], np.array([w for _, w in pairs], np.float32))
-            votes = sum(c * self.labels[i] for c, i in near)
-            if len(self.known) > 50_000:
-                self.known.clear()
-            done = self.known[key] = (float((votes + 0.5 * rest) / (sum(c for c, _ in near) + 0.5)), [int(self.ids[i]) for _, i in near[:3]])
-        return done
+        terms, weights = self.vectorise(text)
+        if not len(terms) or not len(self.ids):
+            return self.rest, []
+        near = self.nearest(terms, weights)
+        votes = sum(c * self.labels[i] for c, i in near)
+        return float((votes + 0.5 * self.rest) / (sum(c for c, _ in near) + 0.5)), [int(self.ids[i]) for _, i in near[:3]]
 
 
 def scorer(spark: SparkSession, model: dict):
@@ -158,6 +204,7 @@ def scorer(spark: SparkSession, model: dict):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         index = model.get("index") or model.setdefault("index", BlockMaxIndex(model))
+        model.pop("vectors", None)
         for part in parts:
             yield pd.DataFrame([index.score(t) for t in part], columns=["score", "evidence"])
 

@@ -280,6 +280,19 @@ def test_block_max_is_exact():
         assert np.allclose([c for c, _ in index.nearest(terms, w)], plain[plain > 0], atol=1e-5)
 
 
+def test_toxicity_rare_terms(spark):
+    clean = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)} stand here") for i in range(150)]
+    rare = [(200 + i, f"plain words vilest {chr(97 + i)} here") for i in range(8)]
+    rows = [*clean, *rare, (900, "here stand plain words of the vilest kind"), (901, "here stand plain words")]
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i, _ in [*clean, *rare]], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    learned = [t for i, t in [*clean, *rare] if zlib.crc32(str(i).encode()) % 5]
+    assert model["terms"] == sorted({w for t in learned for w in t.split()})
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert got[900]["predicted"] == 1 and got[901]["predicted"] == 0 and all(i >= 200 for i in got[900]["evidence"])
+
+
 # --- packing
 
 
