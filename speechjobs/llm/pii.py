@@ -1,15 +1,15 @@
 """Personal data by patterns and by information-theoretic sanitisation, with DataFrame operations only.
 
-Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words near an occurrence of an
-entity may reveal it. Over the whole corpus, n(c, t) occurrences of entity c have word t within `REACH` code points,
-n(c) and n(t) are their occurrences, N is the number of words. The disclosure of c by t is
+Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words of a document that holds an
+entity may reveal it. Of N documents, n(c) hold entity c, n(t) hold word t and n(c, t) hold both. The disclosure of c by t is
 
     log2(n(c, t) * N / (n(c) * n(t))) / log2(N / n(c))
 
-and is 1 for a word that is only seen beside c. A word seen beside c in `SUPPORT` documents or more whose disclosure
-reaches `GENERALISE` is a span of kind `term` wherever it stands beside c: it is generalised, or removed from
-`REMOVE` on. Patterns start at a word's border or where the last match ended and never backtrack into a run, so the
-time is linear in the text.
+and is 1 for a word that is in all documents of c and in no other. A word that is together with c in `SUPPORT` different
+documents or more and whose disclosure reaches `GENERALISE` is a span of kind `term` wherever it stands in a document of c:
+it is generalised, or removed from `REMOVE` on. As n(c, t) is n(c) at most, words too frequent to disclose an entity are
+left out before pairs are made, which changes no result. Patterns start at a word's border or where the last match ended
+and never backtrack into a run, so the time is linear in the text.
 
 Defined results: null text is empty text; equal rows give equal results and each counts in the statistics; null ids
 pass through; an empty table gives an empty result; other columns are not looked at.
@@ -17,7 +17,7 @@ pass through; an empty table gives an empty result; other columns are not looked
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, ensure_checkpoint_dir, text_of
@@ -32,9 +32,7 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 MARKS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"(?<!\S)[^\s\p{L}0-9@]*+(\p{L}[\p{L}\p{M}'’-]{3,}+)[^\s\p{L}0-9@]*+(?!\S)"
-REACH = 96
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-BROADCAST_TERMS = 200_000
 
 
 def _digits(value: Column) -> Column:
@@ -63,25 +61,21 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def placed(matches: Column, gaps: Column) -> Column:
-    """Structs (start, end, value, left, right) from the matches of a pattern and the pieces that it splits off."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>").alias("out"))
+    """Structs (start, end, value) from the matches of a pattern and the pieces that it splits off."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def add(state: Column, i: Column) -> Column:
-        left, right, value = gaps[i], gaps[i + 1], matches[i]
-        begin = state["at"] + F.length(left)
+        value = matches[i]
+        begin = state["at"] + F.length(gaps[i])
         end = begin + F.length(value)
-        before = F.substring(left, -REACH, REACH)
-        before = F.when(F.length(left) > REACH, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-        after = F.substring(right, 1, REACH)
-        after = F.when(F.length(right) > REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-        one = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"), before.alias("left"), after.alias("right"))
+        one = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add)["out"]).otherwise(start["out"])
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, found: the valid matches of all kinds, with the text around each."""
+    """doc_id, text_hash, found: the valid matches of all kinds, and the text where there is one."""
     rows = text_of(docs).withColumn("text_hash", F.xxhash64("text"))
     for kind, pattern in PATTERNS.items():
         matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
@@ -93,51 +87,68 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def part(i: int, kind: str) -> Column:
         valid = F.filter(placed(F.col(f"_{kind}"), F.col(f"_{kind}_gaps")), lambda x: _valid(kind, x["value"]))
-        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
     parts = [part(i, kind) for i, kind in enumerate(PATTERNS)]
-    return rows.select("doc_id", "text_hash", F.concat(*parts).alias("found"))
-
-
-def nearby(found: DataFrame) -> DataFrame:
-    """A row for each word beside an entity: doc_id, text_hash, kind, value, at (the entity's place), term, start, end."""
-    each = found.select("doc_id", "text_hash", F.explode("found").alias("x")).select("doc_id", "text_hash", "x.*")
-    sides = each.select("doc_id", "text_hash", "kind", "value", F.col("start").alias("at"), F.explode(F.array(F.struct((F.col("start") - F.length("left")).alias("base"), F.col("left").alias("side")), F.struct(F.col("end").alias("base"), F.col("right").alias("side")))).alias("s"))
-    sides = sides.select("doc_id", "text_hash", "kind", "value", "at", "s.base", "s.side")
-    sides = sides.withColumn("_whole", F.regexp_extract_all("side", F.lit(TERM), F.lit(0))).withColumn("_gaps", F.split("side", TERM, -1))
-    words = sides.select("doc_id", "text_hash", "kind", "value", "at", "base", F.explode(placed(F.col("_whole"), F.col("_gaps"))).alias("w"))
-    inner = F.regexp_extract(F.col("w.value"), TERM, 1)
-    start = F.col("base") + F.col("w.start") + F.instr(F.col("w.value"), inner) - 1
-    return words.select("doc_id", "text_hash", "kind", "value", "at", F.lower(inner).alias("term"), start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"))
-
-
-def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """kind, value, term, disclosure for pairs with enough support."""
-    beside = nearby(found)
-    pairs = beside.groupBy("doc_id", "text_hash", "kind", "value", "term").agg(F.countDistinct("at").alias("n")).groupBy("kind", "value", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("docs")).where(F.col("docs") >= support).checkpoint()
-    n_c = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n_c"))
-    wanted = pairs.select("term").distinct()
-    terms = text_of(docs).select(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(1)).alias("terms"))
-    small = F.broadcast if wanted.count() <= BROADCAST_TERMS else (lambda df: df)
-    n_t = terms.select(F.explode("terms").alias("term")).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = terms.agg(F.sum(F.size("terms"))).first()[0] or 1
-    together = F.least("n_ct", "n_t").cast("double")
-    gain = F.log2(together * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
+    rows = rows.select("doc_id", "text_hash", F.concat(*parts).alias("found"), "text")
+    return rows.withColumn("text", F.when(F.size("found") > 0, F.col("text")))
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["_doc_id"]) & (a["text_hash"] == b["_text_hash"])
+
+
+def renamed(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(1)), F.lower))
+
+
+def telling_words(docs: DataFrame, holders: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """doc_id, text_hash, term, disclosure: the words of each document that disclose an entity of its own."""
+    total = docs.count() or 1
+    each = holders.select("doc_id", "text_hash", "copies", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("x")).select("doc_id", "text_hash", "copies", "x.*")
+    n_c = each.groupBy("kind", "value").agg(F.sum("copies").alias("n_c"), F.count("*").alias("docs")).where(F.col("docs") >= support)
     whole = F.log2(F.lit(float(total)) / F.least(F.col("n_c"), F.lit(max(total // 2, 1))))
-    return pairs.join(n_c, ["kind", "value"]).join(n_t, "term").select("kind", "value", "term", (gain / whole).alias("disclosure"))
+    n_c = n_c.select("kind", "value", "n_c", whole.alias("whole"), (total * F.pow(F.lit(2.0), -generalise * whole) * (1 + 1e-9)).alias("most"))
+    each = each.join(n_c, ["kind", "value"]).checkpoint()
+    n_t = text_of(docs).select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
+    wanted = renamed(each.groupBy("doc_id", "text_hash").agg(F.max("most").alias("greatest")))
+    words = holders.join(wanted, same_document(holders, wanted)).select("_doc_id", "_text_hash", "greatest", F.explode(words_of(F.col("text"))).alias("term"))
+    words = words.join(n_t, "term").where(F.col("n_t") <= F.col("greatest")).select("_doc_id", "_text_hash", "term", "n_t")
+    both = each.join(words, same_document(each, words) & (words["n_t"] <= each["most"])).drop("_doc_id", "_text_hash").checkpoint()
+    pairs = both.groupBy("kind", "value", "term").agg(F.sum("copies").cast("double").alias("n_ct"), F.count("*").alias("docs"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"), F.first("whole").alias("whole")).where(F.col("docs") >= support)
+    gain = F.log2(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t")))
+    telling = pairs.select("kind", "value", "term", F.try_divide(gain, F.col("whole")).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return both.join(telling, ["kind", "value", "term"]).groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def occurrences(holders: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, end, disclosure: every place of the telling words in their documents."""
+    documents = renamed(telling.select("doc_id", "text_hash").distinct())
+    rows = holders.join(documents, same_document(holders, documents), "left_semi")
+    pieces = F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("whole"), F.transform(F.split("text", TERM, -1), F.length).alias("gap"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode(pieces).alias("i", "x")).where("x.whole is not null").select("doc_id", "text_hash", "i", "x.*")
+    end = F.sum(F.col("gap") + F.length("whole")).over(Window.partitionBy("doc_id", "text_hash").orderBy("i"))
+    inner = F.regexp_extract("whole", TERM, 1)
+    rows = rows.withColumn("at", end - F.length("whole")).select("doc_id", "text_hash", F.lower(inner).alias("term"), (F.col("at") + F.instr("whole", inner) - 1).cast("int").alias("start"), F.length(inner).alias("n"))
+    right = renamed(telling).withColumnRenamed("term", "_term")
+    return rows.join(right, same_document(rows, right) & (rows["term"] == right["_term"])).select("doc_id", "text_hash", "start", (F.col("start") + F.col("n")).cast("int").alias("end"), "disclosure")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, text_hash, base, all_spans: structs (start, kind, end, disclosure), in order; base ones have none."""
     ensure_checkpoint_dir(docs.sparkSession)
     found = entities(docs).checkpoint()
-    telling = disclosures(docs, found, support).where(F.col("disclosure") >= generalise)
-    spans = nearby(found).join(telling, ["kind", "value", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", "disclosure")).alias("terms"))
+    holders = found.where(F.size("found") > 0).groupBy("doc_id", "text_hash").agg(F.first("found").alias("found"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    telling = telling_words(docs, holders, support, generalise).checkpoint()
+    spans = occurrences(holders, telling).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", "disclosure")).alias("terms"))
     base = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(None).cast("double").alias("disclosure"))))
     left = found.select("doc_id", "text_hash", base.alias("base"))
-    right = spans.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
-    joined = left.join(right, left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["text_hash"] == right["_text_hash"]), "left")
+    right = renamed(spans)
+    joined = left.join(right, same_document(left, right), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
     return joined.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", F.coalesce("terms", none))).alias("all_spans"))
 

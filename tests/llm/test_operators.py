@@ -104,6 +104,22 @@ def test_pii_terms(spark, tmp_path):
     assert clean[0].startswith("Ask () common, at [EMAIL]") and clean[100] == filler[0][1] and clean[None] == ""
 
 
+def test_pii_terms_anywhere(spark, tmp_path):
+    """Telling words far from the entity, again and again, and beyond a number that is no card; equal rows, null ids."""
+    filler = [(100 + i, f"common words stand here and there number{i} with common words") for i in range(40)]
+    far = [(i, "Jaronix, " + "common words " * 40 + "at jx@corp.example, " + "common words " * 40 + "(JARONIX)") for i in range(3)]
+    card = [(10 + i, "common Jonathan, room 12, 4111 1111 1111 1111 common words") for i in range(3)]
+    rows = [*filler, *far, *card, *[(60, "Copied x@copy.example common")] * 4, (None, far[0][1] + " words")]
+    got = {}
+    for r in run_op1(spark, rows, tmp_path):
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    text, marks = far[0][1], got[0][0]["spans"].split(",")
+    assert [m for m in marks if m.startswith("term")] == ["term:0:7", f"term:{text.index('JARONIX')}:{text.index('JARONIX') + 7}"]
+    assert got[None][0]["n_term"] == 2 and "term:7:15" in got[10][0]["spans"].split(",")
+    assert not any(r["n_term"] for i, part in got.items() if i is not None and i >= 60 for r in part)
+
+
 # --- mixing
 
 
