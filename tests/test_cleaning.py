@@ -183,3 +183,13 @@ def test_sentence_times(spark):
     assert [(r["start_time"], r["end_time"]) for r in got] == [(1.0, 2.0), (2.0, 5.0), (5.0, 5.5)]
     near = spark.createDataFrame([("この文章はほとんど同じです", "この文章はほとんど同じでし"), ("短い", "短い"), ("まったく違う文章をここに書く", "abcdefghijklmnop")], "a string, b string")
     assert [r["x"] for r in near.select(align.leaks_nearly()("a", "b").alias("x")).collect()] == [True, False, False]
+
+
+def test_sentence_times_of_long_segments(spark):
+    from speechjobs.jobs import translate
+    from speechjobs.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    long = fixtures.segments(spark, sf).where("length(text) >= 400").select("track_id", F.explode(align.sentences(F.col("text"))).alias("text")).distinct()
+    got = translate.sentence_times(spark, sf).select("track_id", "text")
+    assert long.count() and not long.join(got, ["track_id", "text"], "left_anti").count()
