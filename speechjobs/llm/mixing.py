@@ -10,8 +10,8 @@ A leaf's order is dealt into buckets of its hash; sums per bucket find the one w
 rows of that bucket are sorted, so a source with a third of all rows is never in one task.
 
 Defined results: null text has no tokens and is never taken; null domain parts are named `unknown`; equal rows count
-one by one; null ids order as the empty string; an empty table gives an empty result; other columns are carried along
-untouched in keep_mixed.
+one by one, and those with one id and one size in no fixed order; null ids order as the empty string; very long texts count
+whole; an empty table gives an empty result; other columns are carried along untouched in keep_mixed.
 """
 
 from __future__ import annotations
@@ -67,23 +67,29 @@ def leaf_budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: dict[
 
 def _order(seed: int) -> Column:
     """A fraction in [0, 1) from 52 bits of a hash of seed, epoch and id."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = hashed_domain, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """_row (the input row), domain, lang, source, epoch, n_tokens, taken: a row for each document and epoch taken."""
+def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = hashed_domain, weights: dict[str, dict[str, float]] | None = None, carry: bool = True) -> DataFrame:
+    """A row for each document and epoch taken: doc_id, domain, lang, source, epoch, n_tokens, taken, and the input row as _row.
+
+    Tokens are counted once, into a table of one small row a document; without `carry` the texts are not read again.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     named = lambda c: F.coalesce(docs[c].cast("string"), F.lit("unknown"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), domain(named("source")).alias("domain"), named("lang").alias("lang"), named("source").alias("source"), F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")).where("n_tokens > 0")
-    leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).checkpoint()
+    n_tokens = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    small_row = [docs["doc_id"], domain(named("source")).alias("domain"), named("lang").alias("lang"), named("source").alias("source"), n_tokens.alias("n_tokens")]
+    sizes = docs.select(*small_row).where("n_tokens > 0").checkpoint()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *small_row).where("n_tokens > 0") if carry else sizes
+    leaves = sizes.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).checkpoint()
     total, n_leaves = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     plan = leaf_budgets(leaves, int(share * total), max_epochs, weights or {"lang": LANGUAGE_WEIGHTS}).where("grant > 0")
     plan = plan.withColumn("epochs", F.floor(F.col("grant") / F.col("tokens"))).withColumn("rest", F.col("grant") - F.col("epochs") * F.col("tokens")).withColumn("buckets", F.ceil(F.col("rows") / F.lit(BUCKET_ROWS)).cast("long")).drop("tokens", "rows", "grant").checkpoint()
     small = F.broadcast if n_leaves <= BROADCAST_LEAVES else (lambda df: df)
     bucket = F.floor(_order(seed) * F.col("buckets"))
 
-    ends = rows.join(small(plan.where("rest > 0")), LEAF).withColumn("epoch", F.col("epochs")).withColumn("bucket", bucket)
+    ends = sizes.join(small(plan.where("rest > 0")), LEAF).withColumn("epoch", F.col("epochs")).withColumn("bucket", bucket)
     ends = ends.groupBy(*LEAF, "rest", "bucket").agg(F.sum("n_tokens").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = ends.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))).select(*LEAF, F.col("bucket").alias("last"), "before")
@@ -93,9 +99,9 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
     whole = taken.where("epoch < epochs").withColumn("taken", F.col("n_tokens"))
     prefix = taken.where("epoch = epochs and last is not null").withColumn("_u", _order(seed)).withColumn("bucket", F.floor(F.col("_u") * F.col("buckets")))
     inside = prefix.where("bucket < last").withColumn("taken", F.col("n_tokens"))
-    running = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("_u", "_row.doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    running = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("_u", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = prefix.where("bucket = last").withColumn("_left", F.col("rest") - F.col("before") - running).where("_left > 0").withColumn("taken", F.least("n_tokens", "_left"))
-    out = ["_row", *LEAF, "epoch", "n_tokens", "taken"]
+    out = [*["_row"] * carry, "doc_id", *LEAF, "epoch", "n_tokens", "taken"]
     return whole.select(*out).unionByName(inside.select(*out)).unionByName(edge.select(*out))
 
 
@@ -105,7 +111,7 @@ def keep_mixed(docs: DataFrame, **how) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("_row.doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
+    return mix(documents(spark, sf_dir), carry=False).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
 
 
 def _sql_level(depth: int, weight: str) -> str:
