@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_of(docs: DataFrame) -> DataFrame:
-    """doc_id and text only, null text as empty; clashing extra columns go."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def text_of(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text and what is named, null text as empty; clashing extra columns go."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def id_remainder(doc_id: Column, mod: int) -> Column:
@@ -30,10 +31,13 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes spark.checkpoint.dir where it is set; a folder of its own only where it is not (tests)."""
+    """Takes spark.checkpoint.dir where it is set; a folder of its own only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:

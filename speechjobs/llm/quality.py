@@ -6,7 +6,8 @@ with zero, and the rest is compiled into one Spark column expression that scores
 
 Defined results: null text is empty text, with all statistics zero; labels that are null, or held out, are not
 learned from; with one label only, or none, the score is the smoothed share of label 1; null ids count as held out;
-repeated labels count each; an empty table gives an empty result; other columns are not looked at.
+repeated labels count once, and of rows with one id one text is learned from; very long texts are read whole; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, id_remainder, text_of
 
 SAMPLE = 20_000
+HASHES = 1 << 40
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.3
 PENALTY = 0.002
 HELD_OUT = (5, 0)
@@ -31,9 +33,9 @@ COUNTS = {
 STATISTICS = ["n_words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share", "bar_share", "shout_share", "words_per_stop", "line_length", "short_share", "capital_share", "long_share", "odd_share", "distinct_share", "line_repeats"]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each text."""
-    rows = text_of(docs).select("doc_id", "text", *(F.regexp_count("text", F.lit(p)).cast("double").alias(f"_{k}") for k, p in COUNTS.items()), F.length("text").cast("double").alias("_n"))
+def statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, carried columns, and the statistics of each text."""
+    rows = text_of(docs, *carried).select("doc_id", *carried, "text", *(F.regexp_count("text", F.lit(p)).cast("double").alias(f"_{k}") for k, p in COUNTS.items()), F.length("text").cast("double").alias("_n"))
     rows = rows.withColumn("_parts", F.split("text", " ")).withColumn("_rows", F.split("text", "\n"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     columns = [
@@ -41,14 +43,34 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.col("_words") / (F.col("_stops") + 1), F.col("_n") / (F.col("_lines") + 1), share("_short", "_words"), share("_capitals", "_words"), share("_long", "_words"), share("_odd", "_words"),
         F.size(F.array_distinct("_parts")).cast("double") / F.size("_parts"), 1 - F.size(F.array_distinct("_rows")).cast("double") / F.size("_rows"),
     ]
-    return rows.select("doc_id", *(c.alias(k) for k, c in zip(STATISTICS, columns, strict=True)))
+    return rows.select("doc_id", *carried, *(c.alias(k) for k, c in zip(STATISTICS, columns, strict=True)))
 
 
 def labelled_sample(labels: DataFrame, name: str, size: int) -> DataFrame:
-    """doc_id, label for at most `size` learning rows, in hash order."""
+    """doc_id, label for at most `size` learning rows: those with the smallest hashes of the id, found without a sort.
+
+    A count gives the hashes below which about twice as many lie; counts in 1,000 slices of these give the cut.
+    """
     mod, out = HELD_OUT
     rows = labels.where(labels["doc_id"].isNotNull() & labels[name].isin(0, 1) & (id_remainder(labels["doc_id"], mod) != out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
+    n = rows.count()
+    if n <= size:
+        return rows.distinct()
+    top, slices = min(HASHES, HASHES * 2 * size // n), 1000
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
+    near = rows.where(place < top).distinct().withColumn("_slice", F.floor(place * slices / F.lit(top)))
+    cut, held = slices, 0
+    for r in near.groupBy("_slice").agg(F.count("*").alias("n")).orderBy("_slice").collect():
+        held += r["n"]
+        if held > size:
+            cut = r["_slice"]
+            break
+    return near.where(F.col("_slice") < cut).drop("_slice")
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, name: str, size: int) -> DataFrame:
+    """doc_id, label, text for at most `size` labels; of rows with one id the smallest text counts."""
+    return text_of(docs).join(F.broadcast(labelled_sample(labels, name, size)), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def grow(binned: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int, rows: np.ndarray, path: tuple, out: dict) -> np.ndarray:
@@ -137,8 +159,8 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, list[tuple[Rule, float]]]:
-    chosen = labelled_sample(labels, "quality", sample)
-    rows = statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label").toPandas()
+    chosen = learning_rows(docs, labels, "quality", sample)
+    rows = statistics(chosen, "label").orderBy("doc_id", "label").toPandas()
     return fit_rules(rows[STATISTICS].to_numpy(float).reshape(-1, len(STATISTICS)), rows["label"].to_numpy(float))
 
 

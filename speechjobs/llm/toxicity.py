@@ -2,14 +2,19 @@
 
 The examples are a bounded sample of labelled rows. Every word of theirs is a term; inverse document frequencies come from
 all documents. A term's weight has a factor that grows with what its presence tells of the label, and is never zero. The
-examples stand in blocks of like vectors; the posting list of a term has the greatest weight of each block. A text's
-vector times these maxima bounds every block, so only blocks that can still hold one of the K nearest are scored,
-exactly. The neighbours vote with their similarity, against the share of toxic examples among those without any word;
-the nearest ids are the evidence.
+examples stand in blocks of like vectors; the posting list of a term has the greatest weight of each block. A text first
+reads the short lists of its rare terms whole. What its common terms can add to an example is bounded twice: by the sum of
+their block maxima, and by the product of the two vectors' norms over common terms. Only blocks with an example that can
+still be among the K nearest read the long lists, so the cosines of the nearest are exact.
+
+The neighbours vote with their similarity, against the share of toxic examples among those without any word. A fifth of
+the sample gives no examples: a logistic curve through its votes and labels turns votes into calibrated scores. The
+nearest ids are the evidence.
 
 Defined results: null text is empty text; a text without a word of the examples gets that share; ties go to the smaller
-example id; with no labelled rows the score is 0; null ids count as held out; repeated labels count each; an empty
-table gives an empty result; other columns are not looked at.
+example id; with no labelled rows the score is 0; null ids count as held out; repeated labels count once, and of rows with
+one id one text is learned from; very long texts are read whole; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -23,24 +28,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_remainder, text_of
-from .quality import HELD_OUT, labelled_sample
+from .common import documents, ensure_checkpoint_dir, id_remainder, text_of
+from .quality import HELD_OUT, learning_rows
 
-SAMPLE = 12_000
+SAMPLE, CURVE_PART = 12_000, 5
 PSEUDO, FLOOR = 5.0, 0.01
-BLOCK, NEAREST, PROBED = 64, 15, 4
+BLOCK, NEAREST, PROBED, COMMON = 64, 15, 4, 64
 RUN = re.compile(r"[^\W\d_]+")
 SCHEMA = "score double, evidence array<long>"
 
 
-def _distinct():
-    """Distinct words of each text."""
-
-    @F.pandas_udf("array<string>")
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: sorted(set(RUN.findall((t or "").lower()))))
-
-    return run
+def _present(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each word of a task's rows: how many have it, and how many of them are toxic."""
+    a, b = Counter(), Counter()
+    for part in parts:
+        for label, text in zip(part["label"], part["text"], strict=True):
+            words = set(RUN.findall((text or "").lower()))
+            b.update(words)
+            if label:
+                a.update(words)
+    yield pd.DataFrame({"term": list(b), "a": [a[t] for t in b], "b": list(b.values())})
 
 
 def _terms(text: str | None, place: dict[str, int]) -> list[int]:
@@ -74,23 +81,26 @@ def label_factor(a: np.ndarray, b: np.ndarray, prior: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """terms with idf and factor, and the examples: ids, labels and sparse unit vectors, in blocks of like vectors."""
-    chosen = labelled_sample(labels, "toxic", sample)
-    rows = text_of(docs).join(F.broadcast(chosen), "doc_id")
+    """terms with idf and factor, the examples (ids, labels and sparse unit vectors, in blocks of like vectors), calibration."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    learned = learning_rows(docs, labels, "toxic", sample).checkpoint()
+    kept_back = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE_PART)) == 0
+    rows = learned.where(~kept_back)
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n = counts.get(1, 0), sum(counts.values())
     prior = (n1 + 0.0) / n if n else 0.0
     empty = {"terms": [], "idf": np.zeros(0), "factor": np.zeros(0), "ids": [], "labels": np.zeros(0), "vectors": np.zeros((0, 0), np.float32), "prior": prior, "rest": prior}
     if not n1 or n1 == n:
         return empty
-    present = rows.select("label", F.explode(_distinct()("text")).alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("b")).toArrow().sort_by("term")
+    present = rows.select("label", "text").mapInPandas(_present, "term string, a double, b double").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().sort_by("term")
     terms = present["term"].to_pylist()
     if not terms:
         return empty
     factor = label_factor(present["a"].to_numpy(), present["b"].to_numpy(), prior)
     idf = np.log((docs.count() + 1) / (_frequencies(docs, terms) + 1)) + 1e-6
     model = empty | {"terms": terms, "idf": idf, "factor": factor}
-    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("terms", "idf", "factor")})
+    shared = spark.sparkContext.broadcast({k: model[k] for k in ("terms", "idf", "factor")})
 
     @F.pandas_udf("places binary, weights binary")
     def weights(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -108,7 +118,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     order = order[full[order]]
     starts = np.concatenate([[0], np.cumsum([len(vectors[r][0]) for r in order])])
     packed = (starts, np.concatenate([vectors[r][0] for r in order]), np.concatenate([vectors[r][1] for r in order]))
-    return model | {"ids": ids[order], "labels": y[order], "vectors": packed, "rest": float(rest)}
+    model |= {"ids": ids[order], "labels": y[order], "vectors": packed, "rest": float(rest)}
+    return model | {"curve": calibrated(learned.where(kept_back), model)}
+
+
+def calibrated(rows: DataFrame, model: dict) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve from the votes for these rows to their labels."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def votes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = index_of(shared)
+        for part in parts:
+            yield pd.DataFrame({"label": part["label"], "vote": [index.score(t)[0] for t in part["text"]]})
+
+    found = rows.select("label", "text").mapInPandas(votes, "label int, vote double").toArrow()
+    return logistic(odds(found["vote"].to_numpy()), found["label"].to_numpy().astype(float))
+
+
+def odds(vote: np.ndarray) -> np.ndarray:
+    return np.log((vote + 1e-3) / (1 - vote + 1e-3))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope (above 0) and intercept by Newton's steps, drawn towards 1 and 0."""
+    w, z = np.array([1.0, 0.0]), np.c_[x, np.ones(len(x))]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(2), z.T @ (p - y) + ridge * (w - [1.0, 0.0]))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 and np.isfinite(w).all() else (1.0, 0.0)
 
 
 class Vectors:
@@ -119,9 +159,8 @@ class Vectors:
         self.weight = model["idf"] * model.get("factor", 1.0)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        tf = Counter(_terms(text, self.place))
-        items = np.array(sorted(tf), np.int64)
-        w = (1 + np.log(np.array([tf[i] for i in items.tolist()], float))) * self.weight[items]
+        items, tf = np.unique(np.array(_terms(text, self.place), np.int64), return_counts=True)
+        w = (1 + np.log(tf)) * self.weight[items]
         return items, w / np.linalg.norm(w) if len(items) else w
 
 
@@ -139,9 +178,10 @@ class BlockMaxIndex:
         self.ids, self.labels = np.asarray(model["ids"]), model["labels"]
         vectors = model["vectors"]
         starts, terms, weights = vectors if isinstance(vectors, tuple) else _sparse(vectors)
+        self.n = len(starts) - 1
         order = np.argsort(terms, kind="stable")
         numbers = np.arange(len(model["terms"]) + 1)
-        self.rows, self.weights = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))[order], weights[order]
+        self.rows, self.weights = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order], weights[order]
         self.first = np.searchsorted(terms[order], numbers)
         key = terms[order].astype(np.int64) * (len(starts) // BLOCK + 1) + self.rows // BLOCK
         self.group = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
@@ -149,46 +189,62 @@ class BlockMaxIndex:
         self.block = self.rows[self.group] // BLOCK
         self.first_group = np.searchsorted(self.group, self.first)
         self.group = np.append(self.group, np.int32(len(self.rows)))
-        self.n_blocks = -(-(len(starts) - 1) // BLOCK)
-
-    def _sums(self, terms: np.ndarray, weights: np.ndarray, groups: np.ndarray | None, lengths: np.ndarray) -> np.ndarray:
-        """Cosine of every example, over whole posting lists or only some blocks of theirs."""
-        if groups is None:
-            spans, factors = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True)], np.repeat(weights, self.first[terms + 1] - self.first[terms])
-            rows, values = np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.weights[s] for s in spans])
-        else:
-            n = self.group[groups + 1] - self.group[groups]
-            at = np.repeat(self.group[groups] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            rows, values, factors = self.rows[at], self.weights[at], np.repeat(lengths, n)
-        return np.bincount(rows, values * factors, minlength=len(self.ids))
+        self.n_blocks = -(-self.n // BLOCK)
+        self.common = np.diff(self.first) * COMMON > self.n
+        long = self.common[terms]
+        self.norm = np.sqrt(np.bincount(np.repeat(np.arange(self.n), np.diff(starts))[long], weights[long].astype(float) ** 2, minlength=self.n))
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What these terms add to the cosine of every example."""
+        first, last = self.first[terms].tolist(), self.first[terms + 1].tolist()
+        if not first:
+            return np.zeros(self.n)
+        spans = [slice(a, b) for a, b in zip(first, last, strict=True)]
+        factors = np.repeat(weights, self.first[terms + 1] - self.first[terms])
+        return np.bincount(np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]) * factors, minlength=self.n)
+
+    def _blocks(self, groups: np.ndarray, factors: np.ndarray) -> np.ndarray:
+        """The same from single blocks of lists."""
+        n = self.group[groups + 1] - self.group[groups]
+        at = np.repeat(self.group[groups] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.rows[at], self.weights[at] * np.repeat(factors, n), minlength=self.n)
+
+    def cosines(self, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Exact for every example that can be among the k nearest, no more than exact for the others."""
+        long = self.common[terms]
+        sums = self._lists(terms[~long], weights[~long])
+        terms, weights = terms[long], weights[long]
+        if not len(terms):
+            return sums
+        counts = self.first_group[terms + 1] - self.first_group[terms]
+        groups = np.repeat(self.first_group[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        factors, blocks = np.repeat(weights, counts), self.block[groups]
+        most = np.bincount(blocks, self.most[groups] * factors, minlength=self.n_blocks)
+        bound = sums + np.minimum(np.repeat(most, BLOCK)[: self.n], np.linalg.norm(weights) * self.norm)
+        of_block = np.maximum.reduceat(bound, np.arange(0, self.n, BLOCK))
+        read = np.zeros(self.n_blocks, bool)
+        read[np.argpartition(-of_block, min(PROBED, self.n_blocks) - 1)[:PROBED]] = True
+        exact = sums + self._blocks(groups[read[blocks]], factors[read[blocks]])
+        least = np.partition(exact, self.n - k)[self.n - k] if self.n >= k else 0.0
+        wanted = (of_block >= least - 1e-5) & ~read
+        if wanted.any():
+            mask = wanted[blocks]
+            exact += self._lists(terms, weights) - (exact - sums) if wanted.sum() * 2 > self.n_blocks else self._blocks(groups[mask], factors[mask])
+        return exact
 
     def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest."""
         terms, weights = np.asarray(terms, np.int64), np.asarray(weights, float)
         if not len(terms) or not len(self.rows):
             return []
-        counts = self.first_group[terms + 1] - self.first_group[terms]
-        groups = np.repeat(self.first_group[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        factors, blocks = np.repeat(weights, counts), self.block[groups]
-        bounds = np.bincount(blocks, self.most[groups] * factors, minlength=self.n_blocks)
-        wanted = np.zeros(self.n_blocks, bool)
-        wanted[np.argsort(-bounds, kind="stable")[:PROBED]] = True
-        mask = wanted[blocks]
-        cosines = self._sums(terms, weights, groups[mask], factors[mask])
-        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
-        wanted = (bounds > 0) & (bounds >= least - 1e-5)
-        if wanted.sum() * 2 > self.n_blocks:
-            cosines = self._sums(terms, weights, None, factors)
-        elif wanted.sum() > 0:
-            mask = wanted[blocks]
-            cosines = self._sums(terms, weights, groups[mask], factors[mask])
-        rounded = np.round(cosines, 6)
-        floor = np.partition(rounded, len(rounded) - k)[len(rounded) - k] if len(rounded) > k else 0.0
-        rows = np.flatnonzero((rounded >= floor) & (cosines > 0))
-        best = rows[np.lexsort((self.ids[rows], -rounded[rows]))[:k]]
+        cosines = self.cosines(terms, weights, k)
+        floor = np.partition(cosines, self.n - k)[self.n - k] if self.n > k else 0.0
+        rows = np.flatnonzero((cosines >= floor - 2e-6) & (cosines > 0))
+        best = rows[np.lexsort((self.ids[rows], -np.round(cosines[rows], 6)))[:k]]
         return [(float(cosines[i]), int(i)) for i in best]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
+        """The neighbours' similarity-weighted share of toxic labels, and the ids of the nearest."""
         terms, weights = self.vectorise(text)
         if not len(terms) or not len(self.ids):
             return self.rest, []
@@ -197,16 +253,23 @@ class BlockMaxIndex:
         return float((votes + 0.5 * self.rest) / (sum(c for c, _ in near) + 0.5)), [int(self.ids[i]) for _, i in near[:3]]
 
 
+def index_of(shared) -> BlockMaxIndex:
+    """One index for each Python worker and broadcast model."""
+    model = shared.value
+    return model.get("index") or model.setdefault("index", BlockMaxIndex(model))
+
+
 def scorer(spark: SparkSession, model: dict):
     shared = spark.sparkContext.broadcast(model)
+    slope, intercept = model.get("curve", (1.0, 0.0))
 
     @F.pandas_udf(SCHEMA)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        index = model.get("index") or model.setdefault("index", BlockMaxIndex(model))
-        model.pop("vectors", None)
+        index = index_of(shared)
         for part in parts:
-            yield pd.DataFrame([index.score(t) for t in part], columns=["score", "evidence"])
+            out = pd.DataFrame([index.score(t) for t in part], columns=["score", "evidence"])
+            bent = 1 / (1 + np.exp(-(slope * odds(out["score"].to_numpy()) + intercept)))
+            yield out.assign(score=np.where(out["evidence"].map(len) > 0, bent, out["score"]))
 
     return run
 
