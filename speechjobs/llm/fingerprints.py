@@ -12,8 +12,9 @@ Each text is paired with its edited form and shuffled once; words are counted, s
 the partition of their document. The order of ids comes from a range partitioning, with one small row per range.
 
 Defined results: null text is empty text; texts without words share one fingerprint; rows equal in id and text are
-one document, whose result is repeated; null ids come last; with one document it is its own next; an empty table
-gives an empty result; other columns are not looked at.
+one document, whose result is repeated; rows with one id stand in the order of their texts' hashes; null ids come last;
+with one document it is its own next; very long texts are read whole; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def sampled(word: Column, r: Column, b: Column, c: Column, t: Column) -> Column:
 
 
 def signatures(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, text_hash, edited_sha256, own, other: arrays of 32-bit sample names of text and edited text."""
+    """doc_id, text_hash, edited_sha256, own, other: arrays of sample names, as 32-bit integers, of text and edited text."""
     blank = F.lit(" ")  # no word begins with a space: such rows carry the hash of the edited text, in four longs
     sha = F.sha2("edited", 256)
     carriers = F.array(*(F.concat(F.lit(f" {i}"), F.substring(sha, 16 * i + 1, 16)) for i in range(4)))
@@ -90,7 +91,8 @@ def signatures(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     for j in range(PER_ROW):
         columns += [F.min(sampled(F.col("w"), *(F.col(f"{n}{j}") for n in "rbc"), F.col(f"t{j}{x}"))).alias(f"{'ab'[x]}{j}") for x in (0, 1)]
     least = each.groupBy(*KEY, "part").agg(*columns)
-    names = lambda x: F.array(*(F.coalesce(F.col(f"{x}{j}"), F.lit(-1).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(PER_ROW)))
+    low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
+    names = lambda x: F.array(*(low(F.coalesce(F.col(f"{x}{j}"), F.lit(-1).cast("long"))) for j in range(PER_ROW)))
     parts = least.groupBy(*KEY).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(4)), F.array_sort(F.collect_list(F.struct("part", names("a").alias("own"), names("b").alias("other")))).alias("p"))
     digest = F.lower(F.concat(*(F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4))))
     return parts.select(*KEY, digest.alias("edited_sha256"), F.flatten("p.own").alias("own"), F.flatten("p.other").alias("other"))
@@ -101,7 +103,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
