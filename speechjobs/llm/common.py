@@ -40,15 +40,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
-    """The first k rows of each key, with a salted first round so that no task sorts a whole hot key."""
-    from pyspark.sql import Window
-
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    first = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_rn") <= k)
-    return first.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn", "_salt")
-
-
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, which Spark uses for many tasks."""
     import sys

@@ -1,14 +1,18 @@
 """Language ID by word-first backoff.
 
-Counts of lower-cased letter runs per language come from all learning rows. A word is scored by its log frequency in
-each language where it is among the most frequent words of any language; otherwise by the longest character n-grams
-(with word marks) that the model knows, from five letters down to one. Each word gives a bounded log posterior over
-the languages, and a document sums its words. The model is bounded: `entries` rows over all languages and levels, so
-it may be broadcast at any input size; the counts behind it cover all rows.
+Counts of lower-cased letter runs, and of their character n-grams with word marks, come from all learning rows. A word is
+known where it is at least the `LEAST_SHARE`th part of all words of a language, an n-gram where it is of all n-grams of
+its length: the model of a language has at most 1 / `LEAST_SHARE` entries a level, however large the corpus. A known word
+is scored by its log frequency in each language; any other by the longest n-grams that are known, from five letters down
+to one. Each word gives a bounded log posterior over the languages, and a document sums its words.
+
+The model is sent to all tasks while it has no more than `ENTRIES` entries; with so many languages that it has more,
+words meet it in joins, with the same results. Only the list of languages is always held on the driver.
 
 Defined results: null text, or text without a letter, gives `und` with score 0, as does a corpus from which nothing
 can be learned; ties go to the language first in code-point order; rows with null language are not learned from;
-null ids count as remainder 0; other columns are not looked at.
+null ids count as remainder 0; repeated rows count and are scored one by one; very long texts are read whole; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ensure_checkpoint_dir, id_remainder, top_per_key
+from .common import documents, ensure_checkpoint_dir, id_remainder
 
 RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-ENTRIES = 600_000
-PER_LEVEL = 20_000
+ENTRIES = 1_500_000
+LEAST_SHARE = 2e-6
 NGRAM = 5
+FLOOR = -8.0
 HELD_OUT = (3, 1)
 SCHEMA = "lang_pred string, score double"
 
@@ -74,34 +79,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count(200_000), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, entries: int = ENTRIES, per_level: int = PER_LEVEL) -> dict:
-    """The model: languages, grams per level (0 words, 1 to 5 n-grams), and a matrix of their log frequencies."""
+def model_tables(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """cells (level, gram, lang, n): all that is known, level 0 for words; wholes (level, lang, whole): all counts."""
     ensure_checkpoint_dir(docs.sparkSession)
     words = word_counts(docs).checkpoint()
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(entries // (NGRAM + 1) // 10).collect()}
-    langs = sorted(totals)
+    marked = words.select("lang", F.concat(F.lit("<"), "word", F.lit(">")).alias("w"), "n")
+    place = F.length("w") + 1 - F.col("level")
+    levels = marked.select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.lit(NGRAM))).alias("level")).where(place >= 1)
+    wholes = levels.groupBy("level", "lang").agg(F.sum(F.col("n") * place).alias("whole")).unionByName(words.groupBy("lang").agg(F.sum("n").alias("whole")).withColumn("level", F.lit(0))).checkpoint()
+    grams = levels.select("lang", "level", "n", "w", F.explode(F.sequence(F.lit(1), place)).alias("i")).groupBy("level", F.expr("substring(w, i, level)").alias("gram"), "lang").agg(F.sum("n").alias("n"))
+    both = words.select(F.lit(0).alias("level"), F.col("word").alias("gram"), "lang", "n").unionByName(grams)
+    cells = both.join(F.broadcast(wholes), ["level", "lang"]).where(F.col("n") >= F.col("whole") * least_share).select("level", "gram", "lang", "n")  # a row for each language and level
+    return cells.checkpoint(), wholes
+
+
+def fit(docs: DataFrame, entries: int = ENTRIES, least_share: float = LEAST_SHARE) -> dict:
+    """The model: languages, grams per level (0 words, 1 to 5 n-grams), and a matrix of their log frequencies; or its tables."""
+    cells, wholes = model_tables(docs, least_share)
+    whole = {(r["level"], r["lang"]): r["whole"] for r in wholes.collect()}
+    langs = sorted(lang for level, lang in whole if level == 0)
     if not langs:
         return {"langs": [], "grams": [], "matrix": np.zeros((1, 0), np.float32)}
-    k = max(1, min(per_level, entries // ((NGRAM + 1) * len(langs))))
-    marked = F.concat(F.lit("<"), "word", F.lit(">"))
-    top = [F.desc("n"), F.asc("gram")]
-    levels = top_per_key(words.select("lang", F.lit(0).alias("level"), F.col("word").alias("gram"), "n"), ["lang", "level"], top, k)
-    grams = words.select("lang", marked.alias("w"), "n").select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.lit(NGRAM))).alias("level")).where(F.length("w") >= F.col("level"))
-    grams = grams.select("lang", "level", "n", "w", F.explode(F.expr("sequence(1, length(w) - level + 1)")).alias("i")).select("lang", "level", F.expr("substring(w, i, level)").alias("gram"), "n")
-    levels = levels.unionByName(top_per_key(grams.groupBy("lang", "level", "gram").agg(F.sum("n").alias("n")), ["lang", "level"], top, k))
-    at = {x: i for i, x in enumerate(langs)}
-    grams, cells = [{} for _ in range(NGRAM + 1)], []
-    for lang, level, gram, n in levels.select("lang", "level", "gram", "n").orderBy("level", "gram", "lang").collect():
-        if lang in at:
-            cells.append((level, grams[level].setdefault(gram, len(grams[level])), at[lang], n))
-    parts = []
-    for level, table in enumerate(grams):
-        seen = np.zeros((len(table), len(langs)))
-        for _, row, lang, n in (c for c in cells if c[0] == level):
-            seen[row, lang] = n
-        whole = np.maximum(np.array([totals[x] for x in langs], float) if level == 0 else seen.sum(axis=0), 1)
-        parts.append(np.log((seen + 0.5) / whole).astype(np.float32))
-    return {"langs": langs, "grams": [list(t) for t in grams], "matrix": np.concatenate([*parts, np.zeros((1, len(langs)), np.float32)])}
+    if cells.count() > entries:
+        return {"langs": langs, "cells": cells, "wholes": whole}
+    found = cells.toArrow()
+    level, n = found["level"].to_numpy(), found["n"].to_numpy()
+    lang = np.searchsorted(np.array(langs, object), np.array(found["lang"].to_pylist(), object))
+    grams, parts = [], []
+    for i in range(NGRAM + 1):
+        mask = level == i
+        coded = found["gram"].filter(pa.array(mask)).combine_chunks().dictionary_encode()
+        seen = np.zeros((len(coded.dictionary), len(langs)))
+        seen[coded.indices.to_numpy(), lang[mask]] = n[mask]
+        grams.append(coded.dictionary.to_pylist())
+        parts.append(np.log((seen + 0.5) / np.array([max(whole.get((i, x), 1), 1) for x in langs], float)).astype(np.float32))
+    return {"langs": langs, "grams": grams, "matrix": np.concatenate([*parts, np.zeros((1, len(langs)), np.float32)])}
 
 
 class Scorer:
@@ -146,7 +158,7 @@ class Scorer:
             firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             v = np.add.reduceat(self.matrix[grams], firsts, axis=0) / np.array(sizes, np.float32)[:, None]
             v -= v.max(axis=1, keepdims=True)
-            v = np.maximum(v - np.log(np.exp(v).sum(axis=1, keepdims=True)), -8)
+            v = np.maximum(v - np.log(np.exp(v).sum(axis=1, keepdims=True)), FLOOR)
             np.add.at(new, owners, v)
         n = len(self.rows)
         self.rows.update(zip(tokens, range(n, n + len(tokens)), strict=True))
@@ -194,17 +206,71 @@ def scorer(model: dict):
     return run
 
 
+def _words(batches):
+    """id, word, n for the distinct words of each text; a row with a null word stands for each text."""
+    for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+        rows = []
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows.append((i, None, 0))
+            rows += ((i, w, n) for w, n in Counter(w for t in (text or "").split() for w in words_of(t)).items())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["id", "word", "n"])
+
+
+def word_vectors(words: DataFrame, model: dict) -> DataFrame:
+    """word, v: its bounded log posterior over the languages, from joins with the model's tables."""
+    langs, cells = F.array(*map(F.lit, model["langs"])), model["cells"]
+    wholes = F.array(*(F.array(*(F.lit(float(max(model["wholes"].get((i, x), 1), 1))) for x in model["langs"])) for i in range(NGRAM + 1)))
+    logs = F.transform(langs, lambda x, i: F.log((F.coalesce(F.try_element_at("seen", x), F.lit(0)) + 0.5) / F.get(F.get(wholes, F.col("level")), i)))
+    rows = cells.groupBy("level", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("seen")).select("level", "gram", logs.alias("v"))
+    known = words.join(rows.where("level = 0").select(F.col("gram").alias("word"), "v"), "word")
+    other = words.join(known.select("word"), "word", "left_anti").withColumn("w", F.concat(F.lit("<"), "word", F.lit(">")))
+    other = other.select("word", "w", F.explode(F.sequence(F.lit(1), F.lit(NGRAM))).alias("level")).where(F.length("w") >= F.col("level"))
+    other = other.select("word", "level", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1 - F.col("level")), lambda i: F.substring(F.col("w"), i, F.col("level")))).alias("gram"))
+    found = other.join(rows, ["level", "gram"]).groupBy("word", "level").agg(F.collect_list("v").alias("vs")).groupBy("word").agg(F.max_by("vs", "level").alias("vs"))
+    none = F.transform(langs, lambda x: F.lit(0.0))
+    mean = F.transform(F.aggregate("vs", none, lambda s, x: F.zip_with(s, x, lambda a, b: a + b)), lambda x: x / F.size("vs"))
+    v = known.unionByName(other.select("word").distinct().join(found.select("word", mean.alias("v")), "word", "left").select("word", F.coalesce("v", none).alias("v")))
+    spread = F.log(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("v")))) + F.array_max("v")
+    return v.withColumn("_log", spread).select("word", F.transform("v", lambda x: F.greatest(x - F.col("_log"), F.lit(FLOOR))).alias("v"))
+
+
+def _joined(docs: DataFrame, model: dict) -> DataFrame:
+    """_row and _s, with the model in tables."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id")).checkpoint()
+    words = rows.select("_id", F.col("_row.text").cast("string").alias("t")).mapInArrow(_words, "id long, word string, n long").checkpoint()
+    each = words.where("word is not null")
+    vectors = word_vectors(each.select("word").distinct(), model)
+    sums = each.join(vectors, "word").select("id", "n", F.posexplode("v").alias("i", "x")).groupBy("id", "i").agg(F.sum(F.col("x") * F.col("n")).alias("x"), F.sum("n").alias("n"))
+    sums = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.sqrt("n")).alias("x")))).alias("v"))
+    best = F.array_max(F.transform("v", lambda e: e["x"]))
+    at = F.get(F.filter("v", lambda e: e["x"] == best), 0)["i"]
+    score = 1 / F.aggregate("v", F.lit(0.0), lambda s, e: s + F.exp(e["x"] - best))
+    named = sums.select(F.col("id").alias("_id"), F.struct(F.get(F.array(*map(F.lit, model["langs"])), at).alias("lang_pred"), score.alias("score")).alias("_s"))
+    nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return rows.join(named, "_id", "left").select("_row", F.coalesce("_s", nothing).alias("_s"))
+
+
+def scored(docs: DataFrame, model: dict) -> DataFrame:
+    """_row (the input row) and _s (lang_pred, score)."""
+    if "cells" in model:
+        return _joined(docs, model)
+    return docs.select(F.struct(*docs.columns).alias("_row"), scorer(model)(F.col("text").cast("string")).alias("_s"))
+
+
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     mod, out = HELD_OUT
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(model)(F.col("text").cast("string")).alias("_s"))
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), mod) == out).alias("held_out"), "_s.lang_pred", "_s.score")
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("_row.doc_id", "_s")
+    return rows.select("doc_id", (id_remainder(F.col("doc_id"), mod) == out).alias("held_out"), "_s.lang_pred", "_s.score")
 
 
-def keep_identified(docs: DataFrame, model: dict, least: float = 0.4) -> DataFrame:
-    """The input rows whose language is found with at least that score, with all their columns."""
-    scored = docs.select(F.struct(*docs.columns).alias("_row"), scorer(model)(F.col("text").cast("string")).alias("_s"))
-    return scored.where((F.col("_s.lang_pred") != UNKNOWN) & (F.col("_s.score") >= least)).select("_row.*")
+def keep_identified(docs: DataFrame, model: dict, least: float | None = None) -> DataFrame:
+    """The input rows whose language is found, with all their columns.
+
+    A score under `least` is as good as none; by default that is a fifth above what it would be with all languages alike.
+    """
+    least = 1.2 / max(2, len(model["langs"])) if least is None else least
+    return scored(docs, model).where((F.col("_s.lang_pred") != UNKNOWN) & (F.col("_s.score") >= least)).select("_row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,11 +304,52 @@ def test_toxicity_rare_terms(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit(docs, labels)
     learned = [t for i, t in [*clean, *rare] if zlib.crc32(str(i).encode()) % 5]
-    assert model["terms"] == sorted({w for t in learned for w in t.split()})
+    assert "vilest" in model["terms"] and set(model["terms"]) <= {w for t in learned for w in t.split()}
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert got[900]["predicted"] == 1 and got[901]["predicted"] == 0 and all(i >= 200 for i in got[900]["evidence"])
 
 
+def test_toxicity_plain(spark):
+    """All scores by dense vectors, a full sort of the cosines, votes and the curve."""
+    rng = random.Random(31)
+    common, rare = [f"word{chr(97 + i)}" for i in range(20)], ["".join(rng.choice("bcdfg") for _ in range(5)) for _ in range(250)]
+    rows = [(i, " ".join([rng.choice(common) for _ in range(rng.randrange(0, 30))] + [rng.choice(rare) for _ in range(rng.randrange(0, 9))] + ["vile"] * (i % 7 == 0))) for i in range(500)]
+    rows += [(600, None), (601, ""), (602, "12 34"), (None, rows[3][1]), (5, "another text of number five")]
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(400)] + [(3, 0), (None, 1), (999, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    texts = {}
+    for i, t in rows:
+        texts[i] = min(texts.get(i, t or ""), t or "")
+    assert all(i is not None and zlib.crc32(str(i).encode()) % 5 for i in model["ids"].tolist()) and 200 < len(model["ids"]) < 320
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    df = Counter(w for _, t in rows for w in set(words(t)))
+    weight = {t: (np.log((len(rows) + 1) / (df[t] + 1)) + 1e-6) * f for t, f in zip(model["terms"], model["factor"], strict=True)}
+
+    def vector(t):
+        tf = Counter(w for w in words(t) if w in weight)
+        v = {w: (1 + np.log(n)) * weight[w] for w, n in tf.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [(int(i), y, vector(texts[int(i)])) for i, y in zip(model["ids"], model["labels"], strict=True)]
+    slope, intercept = model["curve"]
+    got = sorted(toxicity.score(docs, model).collect(), key=lambda r: (str(r["doc_id"]), r["score"]))
+    want = []
+    for i, t in rows:
+        v = vector(t)
+        if not v:
+            want.append((str(i), model["rest"]))
+            continue
+        near = sorted(((sum(x * e.get(w, 0) for w, x in v.items()), j, y) for j, y, e in examples), key=lambda c: (-round(c[0], 6), c[1]))
+        near = [c for c in near if c[0] > 0][: toxicity.NEAREST]
+        vote = (sum(c * y for c, _, y in near) + 0.5 * model["rest"]) / (sum(c for c, _, _ in near) + 0.5)
+        want.append((str(i), 1 / (1 + np.exp(-(slope * np.log((vote + 1e-3) / (1 - vote + 1e-3)) + intercept)))))
+    assert len(got) == len(want)
+    off = [abs(r["score"] - w) for r, (_, w) in zip(got, sorted(want), strict=True)]
+    assert max(off) < 1e-2 and np.mean(np.array(off) > 1e-4) < 0.02  # float sums may swap neighbours that tie
+
+
 # --- packing
 
 
@@ -389,6 +430,64 @@ def test_language_id_awkward(docs, none):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.fit(none)).collect()} == {"und"}
 
 
+def languages_plain(rows, least_share):
+    """rows: (doc_id, text, lang); one prediction and score a row, by the plain statement of the method."""
+    words_in = lambda t: [w for x in (t or "").split() for w in language_id.words_of(x)]
+    grams_in = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode() if i is not None else b"") % 3 * (i is not None) != 1:
+            for w in words_in(text):
+                counts[0][lang][w] += 1
+                for n in range(1, 6):
+                    counts[n][lang].update(grams_in(w, n))
+    langs = sorted(counts[0])
+    whole = [[max(1, sum(c[x].values())) for x in langs] for c in counts]
+    known = [{k: [c[x][k] if c[x][k] >= whole[n][j] * least_share else 0 for j, x in enumerate(langs)] for x in langs for k in c[x]} for n, c in enumerate(counts)]
+    known = [{k: np.log((np.array(v) + 0.5) / whole[n]) for k, v in t.items() if any(v)} for n, t in enumerate(known)]
+
+    def vector(w):
+        if w in known[0]:
+            return known[0][w]
+        for n in range(5, 0, -1):
+            found = [known[n][g] for g in grams_in(w, n) if g in known[n]]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for _, text, _ in rows:
+        vs = [vector(w) for w in words_in(text)] if langs else []
+        if not vs:
+            out.append(("und", 0.0))
+            continue
+        total = sum(np.maximum(v - np.log(np.exp(v).sum()), -8) for v in vs) / len(vs) ** 0.5
+        out.append((langs[int(total.argmax())], 1 / np.exp(total - total.max()).sum()))
+    return out
+
+
+@pytest.mark.parametrize("entries", [10**6, 0])
+def test_language_id_plain(spark, entries):
+    """Scores by the plain statement; with the model sent to all tasks, and with words that meet it in joins."""
+    rng = random.Random(21)
+    vocabulary = {x: ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(60)] for x, letters in (("aa", "abcdef"), ("bb", "cdefgh"), ("cc", "éfgßi"))}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(vocabulary))
+        words = [rng.choice(vocabulary[lang]) if rng.random() < 0.9 else "".join(rng.choice("abghxyzé") for _ in range(4)) for _ in range(rng.randrange(0, 12))]
+        rows.append((i, " ".join(words), lang if rng.random() < 0.9 else None))
+    rows += [(200, None, "aa"), (201, "12 34 !", "bb"), (None, "cde fgh", "bb"), (None, "cde fgh", "bb"), (202, "ααα βββ", None), (203, "don't stop-here x2y", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, entries, 0.004)
+    assert ("cells" in model) == (entries == 0)
+    got = language_id.identify(df, model).collect()
+    want = languages_plain(rows, 0.004)
+    assert len(got) == len(rows)
+    order = lambda r: (str(r[0]), r[1], r[2])
+    for a, b in zip(sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=order), sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=order), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3
+
+
 def test_backoff_order():
     matrix = np.log(np.array([[0.9, 0.1], [0.1, 0.9], [0.2, 0.8], [1, 1]])).astype(np.float32)
     scorer = language_id.Scorer({"langs": ["x", "y"], "grams": [["known"], ["k"], [], ["unk"], [], []], "matrix": matrix})
