@@ -50,12 +50,6 @@ def _present(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"term": list(b), "a": [a[t] for t in b], "b": list(b.values())})
 
 
-def _terms(text: str | None, place: dict[str, int]) -> list[int]:
-    """Numbers of the text's terms."""
-    get = place.get
-    return [i for w in RUN.findall((text or "").lower()) if (i := get(w)) is not None]
-
-
 def _frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
     """Number of documents with each term, summed in each part first."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -65,7 +59,7 @@ def _frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
         n = np.zeros(len(place), np.int64)
         for part in parts:
             for text in part["text"]:
-                n[list(set(_terms(text, place)))] += 1
+                n[[i for w in set(RUN.findall((text or "").lower())) if (i := place.get(w)) is not None]] += 1
         yield pd.DataFrame({"term": np.flatnonzero(n), "n": n[n > 0]})
 
     found = text_of(docs).select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -159,7 +153,9 @@ class Vectors:
         self.weight = model["idf"] * model.get("factor", 1.0)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        items, tf = np.unique(np.array(_terms(text, self.place), np.int64), return_counts=True)
+        get = self.place.get
+        found = sorted((i, n) for w, n in Counter(RUN.findall((text or "").lower())).items() if (i := get(w)) is not None)
+        items, tf = np.array(found, np.int64).reshape(-1, 2).T
         w = (1 + np.log(tf)) * self.weight[items]
         return items, w / np.linalg.norm(w) if len(items) else w
 
@@ -178,59 +174,54 @@ class BlockMaxIndex:
         self.ids, self.labels = np.asarray(model["ids"]), model["labels"]
         vectors = model["vectors"]
         starts, terms, weights = vectors if isinstance(vectors, tuple) else _sparse(vectors)
-        self.n = len(starts) - 1
+        self.n, n_terms = len(starts) - 1, len(model["terms"])
+        self.n_blocks = -(-self.n // BLOCK)
         order = np.argsort(terms, kind="stable")
-        numbers = np.arange(len(model["terms"]) + 1)
         self.rows, self.weights = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order], weights[order]
-        self.first = np.searchsorted(terms[order], numbers)
-        key = terms[order].astype(np.int64) * (len(starts) // BLOCK + 1) + self.rows // BLOCK
-        self.group = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, self.group) if len(self.group) else self.weights
-        self.block = self.rows[self.group] // BLOCK
-        self.first_group = np.searchsorted(self.group, self.first)
-        self.group = np.append(self.group, np.int32(len(self.rows)))
-        self.n_blocks = -(-self.n // BLOCK)
-        self.common = np.diff(self.first) * COMMON > self.n
-        long = self.common[terms]
+        self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        common = np.diff(self.first) * COMMON > self.n
+        self.number = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)  # of a term among the common ones
+        long = common[terms]
         self.norm = np.sqrt(np.bincount(np.repeat(np.arange(self.n), np.diff(starts))[long], weights[long].astype(float) ** 2, minlength=self.n))
-
-    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What these terms add to the cosine of every example."""
-        first, last = self.first[terms].tolist(), self.first[terms + 1].tolist()
-        if not first:
-            return np.zeros(self.n)
-        spans = [slice(a, b) for a, b in zip(first, last, strict=True)]
-        factors = np.repeat(weights, self.first[terms + 1] - self.first[terms])
-        return np.bincount(np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]) * factors, minlength=self.n)
-
-    def _blocks(self, groups: np.ndarray, factors: np.ndarray) -> np.ndarray:
-        """The same from single blocks of lists."""
-        n = self.group[groups + 1] - self.group[groups]
-        at = np.repeat(self.group[groups] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.rows[at], self.weights[at] * np.repeat(factors, n), minlength=self.n)
+        # for each common term, where its postings of each block begin, and the greatest weight there
+        key = self.number[terms[order]].astype(np.int64) * self.n_blocks + self.rows // BLOCK
+        key[~common[terms[order]]] = -1
+        cells = np.arange(common.sum() * self.n_blocks)
+        at, of = np.flatnonzero(key >= 0), key[key >= 0]
+        lengths = np.bincount(of, minlength=len(cells)).reshape(-1, self.n_blocks)
+        offsets = np.cumsum(lengths, axis=1) - lengths
+        self.begin, self.length = (self.first[:-1][common][:, None] + offsets).astype(np.int32), lengths.astype(np.int32)
+        self.most = np.zeros(len(cells), np.float32)
+        np.maximum.at(self.most, of, self.weights[at])
+        self.most = self.most.reshape(-1, self.n_blocks)
+
+    def _add(self, begin: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What these stretches of postings add to the cosine of every example."""
+        at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return np.bincount(self.rows[at], self.weights[at] * np.repeat(weights, length), minlength=self.n)
 
     def cosines(self, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
         """Exact for every example that can be among the k nearest, no more than exact for the others."""
-        long = self.common[terms]
-        sums = self._lists(terms[~long], weights[~long])
-        terms, weights = terms[long], weights[long]
-        if not len(terms):
+        numbers = self.number[terms]
+        short = terms[numbers < 0]
+        sums = self._add(self.first[short], self.first[short + 1] - self.first[short], weights[numbers < 0])
+        numbers, weights = numbers[numbers >= 0], weights[numbers >= 0]
+        if not len(numbers):
             return sums
-        counts = self.first_group[terms + 1] - self.first_group[terms]
-        groups = np.repeat(self.first_group[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        factors, blocks = np.repeat(weights, counts), self.block[groups]
-        most = np.bincount(blocks, self.most[groups] * factors, minlength=self.n_blocks)
+        most = weights.astype(np.float32) @ self.most[numbers]
         bound = sums + np.minimum(np.repeat(most, BLOCK)[: self.n], np.linalg.norm(weights) * self.norm)
         of_block = np.maximum.reduceat(bound, np.arange(0, self.n, BLOCK))
-        read = np.zeros(self.n_blocks, bool)
-        read[np.argpartition(-of_block, min(PROBED, self.n_blocks) - 1)[:PROBED]] = True
-        exact = sums + self._blocks(groups[read[blocks]], factors[read[blocks]])
+
+        def read(blocks: np.ndarray) -> np.ndarray:
+            begin, length = self.begin[numbers][:, blocks], self.length[numbers][:, blocks]
+            return self._add(begin.ravel(), length.ravel(), np.repeat(weights, len(blocks)))
+
+        probed = np.argpartition(-of_block, min(PROBED, self.n_blocks) - 1)[:PROBED]
+        exact = sums + read(probed)
         least = np.partition(exact, self.n - k)[self.n - k] if self.n >= k else 0.0
-        wanted = (of_block >= least - 1e-5) & ~read
-        if wanted.any():
-            mask = wanted[blocks]
-            exact += self._lists(terms, weights) - (exact - sums) if wanted.sum() * 2 > self.n_blocks else self._blocks(groups[mask], factors[mask])
-        return exact
+        of_block[probed] = -1
+        wanted = np.flatnonzero(of_block >= least - 1e-5)
+        return exact + read(wanted) if len(wanted) else exact
 
     def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest."""
