@@ -532,8 +532,8 @@ def test_near_dedup(spark, docs, none):
             rows.append((n, " ".join(copy)))
             n += 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (4_000_000, 400):  # the second one deals components into blocks
-        got = rows_of(near_dedup.near_components(df, block_shingles=block))
+    for block, node_rows in ((4_000_000, 2000), (400, 2000), (150, 3)):  # the others deal components into blocks, and nodes into parts
+        got = rows_of(near_dedup.near_components(df, block_shingles=block, node_rows=node_rows))
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_plain(rows)
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(near_dedup.near_components(df, width=5, numerator=80))) == near_plain(rows, 5, 80)
@@ -546,6 +546,37 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_components(none).count() == 0
 
 
+def test_near_dedup_large_nodes(spark):
+    """A node far above the bound: a large group of near copies, pairs apart from it, and chains of copies of copies."""
+    rng = np.random.default_rng(4)
+    signs = rng.integers(0, 1 << 32, (1500, near_dedup.COORDINATES), dtype=np.uint32)
+    near = lambda i, j, n: signs.__setitem__(i, np.where(rng.permutation(64) < n, rng.integers(0, 1 << 32, 64, dtype=np.uint32), signs[j]))
+    for i in range(1, 900):
+        near(i, 0, 4)
+    for i in range(900, 1100, 2):
+        near(i + 1, i, 6)
+    for i in range(1101, 1200):
+        near(i, i - 1, 6)
+    keys = [b"%04d" % i for i in range(1500)]
+    df = spark.createDataFrame([(5, keys[i], signs[i].tobytes()) for i in range(1500)], "node long, set_key binary, sign binary")
+    links = near_dedup.loose_links(df, near_dedup.margin(85, 100), 4, node_rows=100).collect()
+    assert len(links) < 3 * 1500
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in ((bytes(r["a"]), bytes(r["b"])) for r in links):
+        root[find(a)] = find(b)
+    groups = Counter(find(k) for k in keys[:900])
+    assert groups.most_common(1)[0][1] >= 895
+    assert sum(find(keys[i]) == find(keys[i + 1]) for i in range(900, 1100, 2)) >= 90
+    assert sum(find(keys[i]) == find(keys[i - 1]) for i in range(1101, 1200)) >= 90
+    assert len({find(k) for k in keys[1200:]}) == 300
+
+
 def test_search_recall_in_large_nodes():
     rng = np.random.default_rng(1)
     signs = rng.integers(0, 1 << 32, (3000, near_dedup.COORDINATES), dtype=np.uint32)
