@@ -5,7 +5,7 @@ all documents. A term's weight has a factor that grows with what its presence te
 examples stand in blocks of like vectors; the posting list of a term has the greatest weight of each block. A text first
 reads the short lists of its rare terms whole. What its common terms can add to an example is bounded twice: by the sum of
 their block maxima, and by the product of the two vectors' norms over common terms. Only blocks with an example that can
-still be among the K nearest read the long lists, so the cosines of the nearest are exact.
+still be among the K nearest read the long lists, which are held without gaps, so the cosines of the nearest are exact.
 
 The neighbours vote with their similarity, against the share of toxic examples among those without any word. A fifth of
 the sample gives no examples: a logistic curve through its votes and labels turns votes into calibrated scores. The
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from .quality import HELD_OUT, learning_rows
 
 SAMPLE, CURVE_PART = 12_000, 5
 PSEUDO, FLOOR = 5.0, 0.01
-BLOCK, NEAREST, PROBED, COMMON = 64, 15, 4, 64
+BLOCK, NEAREST, PROBED, COMMON = 64, 15, 4, 16
 RUN = re.compile(r"[^\W\d_]+")
 SCHEMA = "score double, evidence array<long>"
 
@@ -56,11 +57,11 @@ def _frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = {t: i for i, t in enumerate(shared.value)}
-        n = np.zeros(len(place), np.int64)
+        counts: Counter = Counter()
         for part in parts:
             for text in part["text"]:
-                n[[i for w in set(RUN.findall((text or "").lower())) if (i := place.get(w)) is not None]] += 1
-        yield pd.DataFrame({"term": np.flatnonzero(n), "n": n[n > 0]})
+                counts.update(filter(place.__contains__, set(RUN.findall((text or "").lower()))))
+        yield pd.DataFrame({"term": np.fromiter(map(place.get, counts), np.int64, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
     found = text_of(docs).select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms), np.int64)
@@ -146,16 +147,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 
 
 class Vectors:
-    """Text to the terms, in order, and weights of a unit vector."""
+    """Text to the terms and weights of a unit vector."""
 
     def __init__(self, model: dict):
         self.place = {t: i for i, t in enumerate(model["terms"])}
         self.weight = model["idf"] * model.get("factor", 1.0)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        get = self.place.get
-        found = sorted((i, n) for w, n in Counter(RUN.findall((text or "").lower())).items() if (i := get(w)) is not None)
-        items, tf = np.array(found, np.int64).reshape(-1, 2).T
+        counts = Counter(RUN.findall((text or "").lower()))
+        items = np.fromiter(map(self.place.get, counts, repeat(-1)), np.int64, len(counts))
+        tf = np.fromiter(counts.values(), float, len(counts))[items >= 0]
+        items = items[items >= 0]
         w = (1 + np.log(tf)) * self.weight[items]
         return items, w / np.linalg.norm(w) if len(items) else w
 
@@ -175,64 +177,69 @@ class BlockMaxIndex:
         vectors = model["vectors"]
         starts, terms, weights = vectors if isinstance(vectors, tuple) else _sparse(vectors)
         self.n, n_terms = len(starts) - 1, len(model["terms"])
-        self.n_blocks = -(-self.n // BLOCK)
+        self.block_starts = np.arange(0, self.n, BLOCK)
+        self.n_blocks = len(self.block_starts)
         order = np.argsort(terms, kind="stable")
-        self.rows, self.weights = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))[order], weights[order]
+        self.rows, self.weights = np.repeat(np.arange(self.n), np.diff(starts))[order], weights[order].astype(float)
         self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
         common = np.diff(self.first) * COMMON > self.n
         self.number = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)  # of a term among the common ones
         long = common[terms]
         self.norm = np.sqrt(np.bincount(np.repeat(np.arange(self.n), np.diff(starts))[long], weights[long].astype(float) ** 2, minlength=self.n))
-        # for each common term, where its postings of each block begin, and the greatest weight there
-        key = self.number[terms[order]].astype(np.int64) * self.n_blocks + self.rows // BLOCK
-        key[~common[terms[order]]] = -1
-        cells = np.arange(common.sum() * self.n_blocks)
-        at, of = np.flatnonzero(key >= 0), key[key >= 0]
-        lengths = np.bincount(of, minlength=len(cells)).reshape(-1, self.n_blocks)
-        offsets = np.cumsum(lengths, axis=1) - lengths
-        self.begin, self.length = (self.first[:-1][common][:, None] + offsets).astype(np.int32), lengths.astype(np.int32)
-        self.most = np.zeros(len(cells), np.float32)
-        np.maximum.at(self.most, of, self.weights[at])
-        self.most = self.most.reshape(-1, self.n_blocks)
+        # the lists of common terms without gaps, block by block, and the greatest weight of each block
+        at = np.flatnonzero(common[terms[order]])
+        self.dense = np.zeros((int(common.sum()), self.n_blocks * BLOCK), np.float32)
+        self.dense[self.number[terms[order][at]], self.rows[at]] = self.weights[at]
+        self.most = self.dense.reshape(-1, self.n_blocks, BLOCK).max(axis=2) if self.n_blocks else self.dense
 
     def _add(self, begin: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What these stretches of postings add to the cosine of every example."""
         at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
         return np.bincount(self.rows[at], self.weights[at] * np.repeat(weights, length), minlength=self.n)
 
-    def cosines(self, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-        """Exact for every example that can be among the k nearest, no more than exact for the others."""
+    def candidates(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """All examples that can be among the k nearest, and their exact cosines."""
         numbers = self.number[terms]
-        short = terms[numbers < 0]
-        sums = self._add(self.first[short], self.first[short + 1] - self.first[short], weights[numbers < 0])
-        numbers, weights = numbers[numbers >= 0], weights[numbers >= 0]
+        rare = numbers < 0
+        short = terms[rare]
+        sums = self._add(self.first[short], self.first[short + 1] - self.first[short], weights[rare])
+        numbers, weights = numbers[~rare], weights[~rare]
         if not len(numbers):
-            return sums
-        most = weights.astype(np.float32) @ self.most[numbers]
-        bound = sums + np.minimum(np.repeat(most, BLOCK)[: self.n], np.linalg.norm(weights) * self.norm)
-        of_block = np.maximum.reduceat(bound, np.arange(0, self.n, BLOCK))
-
-        def read(blocks: np.ndarray) -> np.ndarray:
-            begin, length = self.begin[numbers][:, blocks], self.length[numbers][:, blocks]
-            return self._add(begin.ravel(), length.ravel(), np.repeat(weights, len(blocks)))
+            rows = np.flatnonzero(sums)
+            return rows, sums[rows]
+        weights = weights.astype(np.float32)
+        bound = sums + np.minimum(np.repeat(weights @ self.most[numbers], BLOCK)[: self.n], np.linalg.norm(weights) * self.norm)
+        of_block = np.maximum.reduceat(bound, self.block_starts)
+        lists = self.dense.reshape(-1, self.n_blocks, BLOCK)
+
+        def read(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rows = (self.block_starts[blocks][:, None] + np.arange(BLOCK)).ravel()
+            many = len(blocks) * 2 > self.n_blocks
+            more = (weights @ self.dense[numbers])[rows] if many else weights @ lists[numbers[:, None], blocks].reshape(len(numbers), -1)
+            real = rows < self.n
+            return rows[real], sums[rows[real]] + more[real]
 
         probed = np.argpartition(-of_block, min(PROBED, self.n_blocks) - 1)[:PROBED]
-        exact = sums + read(probed)
-        least = np.partition(exact, self.n - k)[self.n - k] if self.n >= k else 0.0
+        rows, cosines = read(probed)
+        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
         of_block[probed] = -1
         wanted = np.flatnonzero(of_block >= least - 1e-5)
-        return exact + read(wanted) if len(wanted) else exact
+        if len(wanted):
+            more = read(wanted)
+            rows, cosines = np.concatenate([rows, more[0]]), np.concatenate([cosines, more[1]])
+        return rows, cosines
 
     def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest."""
         terms, weights = np.asarray(terms, np.int64), np.asarray(weights, float)
         if not len(terms) or not len(self.rows):
             return []
-        cosines = self.cosines(terms, weights, k)
-        floor = np.partition(cosines, self.n - k)[self.n - k] if self.n > k else 0.0
-        rows = np.flatnonzero((cosines >= floor - 2e-6) & (cosines > 0))
-        best = rows[np.lexsort((self.ids[rows], -np.round(cosines[rows], 6)))[:k]]
-        return [(float(cosines[i]), int(i)) for i in best]
+        rows, cosines = self.candidates(terms, weights, k)
+        floor = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) > k else 0.0
+        high = (cosines >= floor - 2e-6) & (cosines > 0)
+        rows, cosines = rows[high], cosines[high]
+        best = np.lexsort((self.ids[rows], -np.round(cosines, 6)))[:k]
+        return list(zip(cosines[best].tolist(), rows[best].tolist(), strict=True))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """The neighbours' similarity-weighted share of toxic labels, and the ids of the nearest."""
