@@ -1,5 +1,5 @@
 """Jobs by flow; each module has QUERIES and, in SQL, ORACLE."""
 
-from . import clean, repair, translate
+from . import clean, files, repair, translate
 
-JOBS = [clean, repair, translate]
+JOBS = [clean, repair, translate, files]

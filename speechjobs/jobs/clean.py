@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, energy
 from ..sources import fixtures
+from ..sources.shared import ensure_checkpoint_dir
 
 PART = ["seg_idx", "part_idx"]
 
@@ -18,7 +19,7 @@ def scored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resplit, marked as repeated, and classified."""
     rows = clean.resplit(scored_segments(spark, sf_dir), fixtures.words(spark, sf_dir))
-    return clean.classify(clean.repetition_exact(rows, ["start_ms", *PART]))
+    return clean.classify(clean.repetition_fuzzy(rows, ["start_ms", *PART]))
 
 
 def _kept(flagged: DataFrame) -> DataFrame:
@@ -30,13 +31,28 @@ def clean_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(flagged_segments(spark, sf_dir))
 
 
+def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned rows once more, as after a repair: what no rule takes keeps its mismatch."""
+    rows = clean.repetition_fuzzy(clean_segments(spark, sf_dir), ["start_ms", "run"])
+    return clean.classify(rows).select("track_id", "run", "rule_id", "dropped", "repeated", "mismatch_type")
+
+
 def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Mismatches and kept rows. The flagged rows are held, as both are made from them; a lost part is made again."""
-    flagged = flagged_segments(spark, sf_dir).persist()
-    kept = _kept(flagged).persist()
+    """Mismatches and kept rows. Flagged and kept rows are written, as two results are made from each."""
+    ensure_checkpoint_dir(spark)
+    flagged = flagged_segments(spark, sf_dir).checkpoint()
+    kept = _kept(flagged).checkpoint()
     return clean.mismatch_log(flagged, clean.missed_speech(fixtures.energy_windows(spark, sf_dir), kept)), kept
 
 
+def same_start_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours with one start as one, with their words in order."""
+    words = fixtures.words(spark, sf_dir).groupBy("track_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "start_ms", "w_dur"))).alias("words"))
+    rows = scored_segments(spark, sf_dir).withColumn("mismatch_type", F.lit(None).cast("string")).join(words, ["track_id", "seg_idx"], "left")
+    out = clean.merge_same_start(rows, ["start_ms", "seg_idx"])
+    return out.select("track_id", "run", F.size("words").cast("long").alias("n_words"), F.array_join(F.transform("words", lambda w: F.concat_ws(":", w["start_ms"].cast("string"), w["text"])), "|").alias("words"))
+
+
 def mismatch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir)[0]
 
@@ -65,7 +81,7 @@ def fine_energy_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     half = (F.size("embedding") / 2).cast("int")
     blocks = e.select(F.col("vec_id").alias("track_id"), F.slice("embedding", 1, half).alias("vocal"), F.slice("embedding", half + 1, half).alias("other"))
-    return energy.fine_energy_arrays(blocks, 16).select("track_id", "win_idx", "n", F.round("vocal_rms", 4).alias("vocal_rms"), F.round("other_rms", 4).alias("other_rms"))
+    return energy.fine_energy_arrays(blocks, 16)
 
 
 def missed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +96,12 @@ QUERIES = {
     "repetition_exact": lambda spark, sf_dir: clean.repetition_exact(fixtures.segments(spark, sf_dir), ["seg_idx"]).select("track_id", "seg_idx", "repeated"),
     "repetition_fuzzy": lambda spark, sf_dir: clean.repetition_fuzzy(fixtures.segments(spark, sf_dir), ["seg_idx"]).select("track_id", "seg_idx", "repeated"),
     "same_start_segments": lambda spark, sf_dir: clean.merge_same_start(scored_segments(spark, sf_dir).withColumn("mismatch_type", F.lit(None).cast("string")), ["start_ms", "seg_idx"]).drop("mismatch_type"),
+    "same_start_words": same_start_words,
     "missed_blocks": missed_blocks,
+    "missed_blocks_any": lambda spark, sf_dir: clean.missed_blocks_any(fixtures.derived(spark, sf_dir, "odd_windows")),
     "missed_speech": lambda spark, sf_dir: clean.missed_speech(fixtures.energy_windows(spark, sf_dir), fixtures.segments(spark, sf_dir)),
     "clean_segments": clean_segments,
+    "second_pass": second_pass,
     "mismatch_log": mismatch_log,
     "repair_ranges": repair_ranges,
     "fine_energy": fine_energy,
@@ -100,20 +119,20 @@ scored AS (SELECT s.*, e.vocal_u, e.other_u, e.snr_milli FROM segments s LEFT JO
   FROM segments s JOIN energy_windows w ON s.track_id = w.track_id AND w.start_ms < s.end_ms AND w.end_ms > s.start_ms GROUP BY ALL) e ON s.track_id = e.track_id AND s.seg_idx = e.seg_idx)"""
 
 
-def rules_sql(source: str, repair: bool = False) -> str:
-    """CTEs f and ruled from a table with energies."""
+def rules_sql(source: str, repair: bool = False, p: str = "") -> str:
+    """CTE {p}ruled from a table with energies."""
     outro = f"WHEN regexp_full_match(regexp_replace(text, '{B}', '', 'g'), '{'|'.join(clean.OUTROS)}') THEN 13" if repair else ""
     return f""",
-f AS (SELECT *, {EFF} AS eff, coalesce(vocal_u < 1000, false) AS silent, coalesce(vocal_u < 50, false) AS absent, coalesce(snr_milli < 2000, false) AS noisy, vocal_u IS NOT NULL AS has, nospeech_c > 80 OR logprob_c < -150 OR ratio_c > 250 AS rej FROM {source}),
-f2 AS (SELECT *, list_sort([len(eff) - len(replace(eff, c, '')) FOR c IN list_distinct(string_split(eff, ''))], 'DESC') AS top FROM f),
-ruled AS (SELECT * EXCLUDE (eff, silent, absent, noisy, has, rej, top), CASE WHEN ratio_c > 250 THEN 1 WHEN rej AND has AND NOT silent AND NOT noisy THEN 2 WHEN NOT rej AND absent THEN 3
+{p}f AS (SELECT *, {EFF} AS eff, coalesce(vocal_u < 1000, false) AS silent, coalesce(vocal_u < 50, false) AS absent, coalesce(snr_milli < 2000, false) AS noisy, vocal_u IS NOT NULL AS has, nospeech_c > 80 OR logprob_c < -150 OR ratio_c > 250 AS rej FROM {source}),
+{p}f2 AS (SELECT *, list_sort([len(eff) - len(replace(eff, c, '')) FOR c IN list_distinct(string_split(eff, ''))], 'DESC') AS top FROM {p}f),
+{p}ruled AS (SELECT * EXCLUDE (eff, silent, absent, noisy, has, rej, top), CASE WHEN ratio_c > 250 THEN 1 WHEN rej AND has AND NOT silent AND NOT noisy THEN 2 WHEN NOT rej AND absent THEN 3
   WHEN NOT rej AND silent AND end_ms - start_ms < 200 THEN 4 WHEN NOT rej AND silent AND len(text) > 20 THEN 5 WHEN NOT rej AND silent AND coalesce(snr_milli < 0, false) THEN 6 WHEN rej THEN 7
   WHEN start_ms = 0 AND end_ms > 15000 AND len(text) > 200 THEN 8 WHEN len(eff) < 2 THEN 9 WHEN len(eff) > 10 AND len(eff) * 1000 > 25 * greatest(end_ms - start_ms, 100) THEN 10
-  WHEN len(eff) > 10 AND (coalesce(top[1], 0) * 10 > len(eff) * 6 OR (len(eff) > 20 AND (coalesce(top[1], 0) + coalesce(top[2], 0)) * 100 > len(eff) * 85)) THEN 11 {outro} ELSE 14 END AS rule_id FROM f2)"""
+  WHEN len(eff) > 10 AND (coalesce(top[1], 0) * 10 > len(eff) * 6 OR (len(eff) > 20 AND (coalesce(top[1], 0) + coalesce(top[2], 0)) * 100 > len(eff) * 85)) THEN 11 {outro} ELSE 14 END AS rule_id FROM {p}f2)"""
 
 
 DROPS = "rule_id IN (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13)"
-MISMATCH = "CASE WHEN rule_id = 2 THEN 'uncertain' WHEN rule_id IN (1, 3, 4, 5, 6, 10, 11, 13) THEN 'hallucinated' END"
+MISMATCH = "CASE WHEN rule_id = 2 THEN 'uncertain' WHEN rule_id IN (1, 3, 4, 5, 6, 10, 11, 13) THEN 'hallucinated'{} END"
 
 
 def resplit_sql(source: str) -> str:
@@ -134,6 +153,16 @@ rr AS (SELECT *, sum(CASE WHEN blank THEN 0 WHEN last IS NULL OR norm = '' OR la
 rep AS (SELECT * EXCLUDE (blank, norm, last, rrun), rrun > 0 AND sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY track_id, rrun) >= 3 AS repeated FROM rr)"""
 
 
+def fuzzy_sql(source: str, order: str, p: str = "") -> str:
+    """CTE {p}rep: a recursive fold over a track's rows."""
+    return f""",
+{p}fo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY {order}) AS ford, lower({EFF}) AS norm, regexp_replace(text, '{B}', '', 'g') = '' AS blank FROM {source}),
+{p}ff AS (SELECT track_id, ford, CASE WHEN blank THEN NULL ELSE norm END AS anchor, CASE WHEN blank THEN 0 ELSE 1 END AS frun FROM {p}fo WHERE ford = 1
+  UNION ALL SELECT n.track_id, n.ford, CASE WHEN n.blank OR m.same THEN c.anchor ELSE n.norm END, CASE WHEN n.blank OR m.same THEN c.frun ELSE c.frun + 1 END
+  FROM {p}ff c JOIN {p}fo n ON n.track_id = c.track_id AND n.ford = c.ford + 1, LATERAL (SELECT coalesce(n.norm <> '' AND c.anchor <> '' AND (n.norm = c.anchor OR (len(n.norm) > 10 AND len(c.anchor) > 10 AND (contains(n.norm, c.anchor) OR contains(c.anchor, n.norm)))), false) AS same) m),
+{p}rep AS (SELECT o.* EXCLUDE (ford, norm, blank), frun > 0 AND sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY o.track_id, frun) >= 3 AS repeated FROM {p}fo o JOIN {p}ff r ON o.track_id = r.track_id AND o.ford = r.ford)"""
+
+
 def merged_sql(source: str, order: str) -> str:
     return f""",
 mo AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY {order}) AS ord, lag(start_ms) OVER (PARTITION BY track_id ORDER BY {order}) AS ps FROM {source}),
@@ -142,11 +171,15 @@ merged AS (SELECT track_id, run::BIGINT AS run, string_agg(text, '' ORDER BY ord
   max(vocal_u) AS vocal_u, min(snr_milli) AS snr_milli, arg_min(other_u, ord) AS other_u, arg_min_null(mismatch_type, ord) AS mismatch_type, count(*) AS n_merged FROM mr GROUP BY track_id, run)"""
 
 
-ISLANDS = """,
-io AS (SELECT *, vocal_u > 1000 AND snr_milli > 2000 AS act FROM energy_windows),
-il AS (SELECT *, coalesce(lag(act) OVER (PARTITION BY track_id ORDER BY win_idx), false) AS pa FROM io),
-ii AS (SELECT *, sum(CASE WHEN act AND NOT pa THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY win_idx ROWS UNBOUNDED PRECEDING) AS island FROM il),
-isl AS (SELECT *, row_number() OVER (PARTITION BY track_id, island ORDER BY win_idx) - 1 AS pos FROM ii WHERE act)"""
+def islands_sql(source: str = "energy_windows", p: str = "") -> str:
+    return f""",
+{p}io AS (SELECT *, vocal_u > 1000 AND snr_milli > 2000 AS act FROM {source}),
+{p}il AS (SELECT *, coalesce(lag(act) OVER (PARTITION BY track_id ORDER BY win_idx), false) AS pa FROM {p}io),
+{p}ii AS (SELECT *, sum(CASE WHEN act AND NOT pa THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY win_idx ROWS UNBOUNDED PRECEDING) AS island FROM {p}il),
+{p}isl AS (SELECT *, row_number() OVER (PARTITION BY track_id, island ORDER BY win_idx) - 1 AS pos FROM {p}ii WHERE act)"""
+
+
+ISLANDS = islands_sql()
 BLOCKS = ISLANDS + """,
 bl AS (SELECT *, pos // 29 - CASE WHEN pos > 0 AND pos % 29 = 0 AND end_ms - start_ms < 1000 THEN 1 ELSE 0 END AS block FROM isl),
 blocks AS (SELECT track_id, island::BIGINT AS island, block::BIGINT AS block, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(vocal_u)::DOUBLE / count(*) AS vocal_u, sum(snr_milli)::DOUBLE / count(*) AS snr_milli FROM bl GROUP BY ALL)"""
@@ -168,8 +201,8 @@ def united_sql(source: str, name: str, gap: int, longest: int | None) -> str:
 {name} AS (SELECT track_id, arg_max(s, ord) AS start_ms, arg_max(e, ord) AS end_ms, arg_max(r, ord) AS reason FROM {name}_fold GROUP BY track_id, grp)"""
 
 
-FLAGGED = fixtures.DUCK + SCORED + resplit_sql("scored") + repeats_sql("split_", "start_ms, seg_idx, part_idx") + rules_sql("rep") + f""",
-flagged AS (SELECT *, {DROPS} AS dropped, {MISMATCH} AS mismatch_type FROM ruled)"""
+FLAGGED = fixtures.DUCK + SCORED + resplit_sql("scored") + fuzzy_sql("split_", "start_ms, seg_idx, part_idx") + rules_sql("rep") + f""",
+flagged AS (SELECT *, {DROPS} AS dropped, {MISMATCH.format("")} AS mismatch_type FROM ruled)"""
 CLEAN = FLAGGED + ", kept AS (SELECT * FROM flagged WHERE NOT repeated AND NOT dropped)" + merged_sql("kept", "start_ms, seg_idx, part_idx")
 LOG = CLEAN + missed_sql("merged") + """,
 log_ AS (SELECT track_id, CASE WHEN repeated THEN 'repeated' ELSE mismatch_type END AS kind, start_ms, end_ms, vocal_u, snr_milli, logprob_c FROM flagged WHERE repeated OR mismatch_type IS NOT NULL
@@ -182,22 +215,34 @@ cando AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms,
 ranges AS (SELECT track_id, greatest(start_ms - 2000, 0) AS start_ms, end_ms + 2000 AS end_ms, reason FROM united)"""
 _RULES_OUT = f" SELECT track_id, rule_id, count(*) AS n, sum(({DROPS})::INT)::BIGINT AS n_dropped FROM ruled GROUP BY ALL"
 
+SIGNALS = """,
+sd AS (SELECT *, greatest(-60.0::DOUBLE, least(0.0::DOUBLE, 20 * log10(greatest(vocal_u * 1e-6, 1e-10)))) AS v, greatest(-60.0::DOUBLE, least(0.0::DOUBLE, 20 * log10(greatest(other_u * 1e-6, 1e-10)))) AS o FROM energy_windows),
+sg AS (SELECT *, least(min(v) OVER t, min(o) OVER t) AS lo, greatest(max(v) OVER t, max(o) OVER t) AS hi, min(snr_milli) OVER t AS a, max(snr_milli) OVER t AS b FROM sd WINDOW t AS (PARTITION BY track_id)),
+sig AS (SELECT track_id, win_idx, start_ms, end_ms, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 5) AS vocal_01, round(CASE WHEN hi > lo THEN (o - lo) / (hi - lo) ELSE 0 END, 5) AS other_01, round(CASE WHEN b > a THEN (snr_milli - a) / (b - a) ELSE 0 END, 5) AS snr_01 FROM sg)"""
+
 ORACLE = {
     "energy_join": fixtures.DUCK + SCORED + " SELECT * FROM scored",
     "garble_rules": fixtures.DUCK + SCORED + rules_sql("scored") + _RULES_OUT,
     "garble_rules_repair": fixtures.DUCK + SCORED + rules_sql("scored", True) + _RULES_OUT,
     "resplit": fixtures.DUCK + resplit_sql("segments") + " SELECT * FROM split_",
     "repetition_exact": fixtures.DUCK + repeats_sql("segments", "seg_idx") + " SELECT track_id, seg_idx, repeated FROM rep",
-    "repetition_fuzzy": fixtures.DUCK + f""",
-fn AS (SELECT track_id, seg_idx, lower({EFF}) AS norm, regexp_replace(text, '{B}', '', 'g') = '' AS blank FROM segments),
-ff AS (SELECT track_id, seg_idx, CASE WHEN blank THEN NULL ELSE norm END AS anchor, CASE WHEN blank THEN 0 ELSE 1 END AS run, blank FROM fn WHERE seg_idx = 0
-  UNION ALL SELECT n.track_id, n.seg_idx, CASE WHEN n.blank OR m.same THEN ff.anchor ELSE n.norm END, CASE WHEN n.blank OR m.same THEN ff.run ELSE ff.run + 1 END, n.blank
-  FROM ff JOIN fn n ON n.track_id = ff.track_id AND n.seg_idx = ff.seg_idx + 1, LATERAL (SELECT coalesce(n.norm <> '' AND ff.anchor <> '' AND (n.norm = ff.anchor OR (len(n.norm) > 10 AND len(ff.anchor) > 10 AND (contains(n.norm, ff.anchor) OR contains(ff.anchor, n.norm)))), false) AS same) m)
-SELECT track_id, seg_idx, run > 0 AND sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY track_id, run) >= 3 AS repeated FROM ff""",
+    "repetition_fuzzy": fixtures.DUCK + fuzzy_sql("segments", "seg_idx") + " SELECT track_id, seg_idx, repeated FROM rep",
     "same_start_segments": fixtures.DUCK + SCORED + ", sm AS (SELECT *, NULL::VARCHAR AS mismatch_type FROM scored)" + merged_sql("sm", "start_ms, seg_idx") + " SELECT * EXCLUDE (mismatch_type) FROM merged",
+    "same_start_words": fixtures.DUCK + """,
+sw AS (SELECT *, lag(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS ps FROM segments),
+sr AS (SELECT track_id, seg_idx, sum(CASE WHEN ps = start_ms THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx ROWS UNBOUNDED PRECEDING) AS run FROM sw),
+so AS (SELECT track_id, seg_idx, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS ord FROM segments)
+SELECT r.track_id, run::BIGINT AS run, count(*) AS n_words, string_agg(w.start_ms || ':' || w.text, '|' ORDER BY o.ord, w.word_idx) AS words
+FROM sr r JOIN so o ON o.track_id = r.track_id AND o.seg_idx = r.seg_idx JOIN words w ON w.track_id = r.track_id AND w.seg_idx = r.seg_idx GROUP BY r.track_id, run""",
     "missed_blocks": fixtures.DUCK + BLOCKS + " SELECT * FROM blocks",
+    "missed_blocks_any": fixtures.DUCK + fixtures.derived_sql("odd_windows") + islands_sql("odd_windows", "o") + """,
+ow AS MATERIALIZED (SELECT * FROM oisl),
+of AS (SELECT track_id, island, pos, start_ms AS bs, 0 AS block, end_ms, vocal_u, snr_milli FROM ow WHERE pos = 0
+  UNION ALL SELECT n.track_id, n.island, n.pos, CASE WHEN n.end_ms - c.bs >= 30000 THEN n.start_ms ELSE c.bs END, c.block + (n.end_ms - c.bs >= 30000)::INT, n.end_ms, n.vocal_u, n.snr_milli FROM of c JOIN ow n ON n.track_id = c.track_id AND n.island = c.island AND n.pos = c.pos + 1)
+SELECT track_id, island::BIGINT AS island, block::BIGINT AS block, min(bs) AS start_ms, max(end_ms) AS end_ms, sum(vocal_u)::DOUBLE / count(*) AS vocal_u, sum(snr_milli)::DOUBLE / count(*) AS snr_milli FROM of GROUP BY ALL""",
     "missed_speech": fixtures.DUCK + missed_sql("segments") + " SELECT * FROM missed",
     "clean_segments": CLEAN + " SELECT * FROM merged",
+    "second_pass": CLEAN + fuzzy_sql("merged", "start_ms, run", "s") + rules_sql("srep", p="s") + f" SELECT track_id, run, rule_id, {DROPS} AS dropped, repeated, {MISMATCH.format(' WHEN rule_id = 14 THEN mismatch_type')} AS mismatch_type FROM sruled",
     "mismatch_log": LOG + " SELECT * FROM log_",
     "repair_ranges": RANGES + " SELECT * FROM ranges",
     "fine_energy": """
@@ -209,10 +254,7 @@ SELECT track_id, win_idx, n, round(vr, 4) AS vocal_rms, round(orr, 4) AS other_r
 WITH b AS (SELECT vec_id AS track_id, embedding[1 : len(embedding) // 2] AS v, embedding[len(embedding) // 2 + 1 : 2 * (len(embedding) // 2)] AS o FROM embeddings),
 w AS (SELECT *, unnest(range(0, (least(len(v), len(o)) - 1) // 16 + 1)) AS win_idx FROM b),
 x AS (SELECT track_id, win_idx, v[win_idx * 16 + 1 : win_idx * 16 + 16] AS v, o[win_idx * 16 + 1 : win_idx * 16 + 16] AS o FROM w)
-SELECT track_id, win_idx, len(v) AS n, round(round(sqrt(list_sum([i::DOUBLE * i::DOUBLE FOR i IN v]) / len(v)), 6), 4) AS vocal_rms, round(round(sqrt(list_sum([i::DOUBLE * i::DOUBLE FOR i IN o]) / len(v)), 6), 4) AS other_rms FROM x""",
+SELECT track_id, win_idx, len(v) AS n, round(sqrt(list_sum([i::DOUBLE * i::DOUBLE FOR i IN v]) / len(v)), 6) AS vocal_rms, round(sqrt(list_sum([i::DOUBLE * i::DOUBLE FOR i IN o]) / len(v)), 6) AS other_rms FROM x""",
     "vad_islands": fixtures.DUCK + ISLANDS + " SELECT track_id, island::BIGINT AS island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_windows FROM isl GROUP BY ALL",
-    "signal_norm": fixtures.DUCK + """,
-d AS (SELECT *, greatest(-60.0::DOUBLE, least(0.0::DOUBLE, 20 * log10(greatest(vocal_u * 1e-6, 1e-10)))) AS v, greatest(-60.0::DOUBLE, least(0.0::DOUBLE, 20 * log10(greatest(other_u * 1e-6, 1e-10)))) AS o FROM energy_windows),
-g AS (SELECT *, least(min(v) OVER t, min(o) OVER t) AS lo, greatest(max(v) OVER t, max(o) OVER t) AS hi, min(snr_milli) OVER t AS a, max(snr_milli) OVER t AS b FROM d WINDOW t AS (PARTITION BY track_id))
-SELECT track_id, win_idx, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 5) AS vocal_01, round(CASE WHEN hi > lo THEN (o - lo) / (hi - lo) ELSE 0 END, 5) AS other_01, round(CASE WHEN b > a THEN (snr_milli - a) / (b - a) ELSE 0 END, 5) AS snr_01 FROM g""",
+    "signal_norm": fixtures.DUCK + SIGNALS + " SELECT * FROM sig",
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean, repair, windows
 from ..sources import fixtures
+from ..sources.shared import ensure_checkpoint_dir
 from .clean import DROPS, MISMATCH, SCORED, rules_sql, scored_segments, united_sql
 
-OVERHEAD = 600
+PROMPT_CHARS = 500  # length of the caller's template without glossary and transcript
 
 
 def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,9 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.classify(scored_segments(spark, sf_dir))
+    """Written, as more than one thing is made from it."""
+    ensure_checkpoint_dir(spark)
+    return clean.classify(scored_segments(spark, sf_dir)).checkpoint()
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,27 +33,90 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("engine", F.when(F.col("range_idx") % 2 == 0, "mms").otherwise("qwen")).withColumn("text", text).withColumn("logprob_c", F.lit(-40).cast("long")).withColumn("ratio_c", F.lit(120).cast("long")).withColumn("nospeech_c", F.lit(10).cast("long"))
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = _classified(spark, sf_dir).where("not dropped and mismatch_type is null")
-    return repair.judge(_candidates(spark, sf_dir), fixtures.energy_windows(spark, sf_dir), good)
+def judged(spark: SparkSession, sf_dir: str, classified: DataFrame | None = None) -> DataFrame:
+    rows = classified if classified is not None else _classified(spark, sf_dir)
+    return repair.judge(_candidates(spark, sf_dir), fixtures.energy_windows(spark, sf_dir), rows.where("not dropped and mismatch_type is null")).checkpoint()
+
+
+def _with_engine(spark: SparkSession, sf_dir: str, classified: DataFrame) -> DataFrame:
+    return classified.where("not dropped or mismatch_type is not null").join(fixtures.derived(spark, sf_dir, "engines"), ["track_id", "seg_idx"])
+
+
+def _mismatches(classified: DataFrame) -> DataFrame:
+    return classified.where("mismatch_type is not null").select("track_id", F.col("seg_idx").alias("mismatch_idx"), "start_ms", "end_ms", "mismatch_type")
+
+
+def apply_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir)
+    return repair.apply_repair(_with_engine(spark, sf_dir, rows), judged(spark, sf_dir, rows))
+
+
+def repair_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir)
+    return repair.apply_repair_log(_mismatches(rows), judged(spark, sf_dir, rows))
+
+
+def repair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of unmerged ranges, which may overlap, with two new rows each; every fourth entry failed."""
+    r = fixtures.derived(spark, sf_dir, "raw_ranges")
+    new = lambda a, b, text: F.struct(a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"), F.concat(F.lit(text), F.col("seg_idx").cast("string")).alias("text"), F.lit("qwen").alias("engine"))
+    rows = F.array(new(F.col("start_ms"), F.col("start_ms") + 400, "a"), new(F.col("end_ms") - 300, F.col("end_ms") + 900, "b"))
+    status = F.when(F.col("seg_idx") % 4 == 3, "failed").otherwise("success")
+    return r.select("track_id", F.col("seg_idx").alias("log_idx"), (F.col("start_ms") - 2000).alias("r_start"), (F.col("end_ms") + 2000).alias("r_end"), status.alias("status"), rows.alias("new_segments"))
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _classified(spark, sf_dir)
+    return repair.replay_log(_with_engine(spark, sf_dir, rows), _mismatches(rows), repair_log(spark, sf_dir))
+
+
+def _sent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged_ranges(spark, sf_dir).select("track_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+
+
+def results_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a track's ranges by their number; a result stands for each third segment."""
+    r = fixtures.segments(spark, sf_dir).where("seg_idx % 3 = 0").select("track_id", F.floor(F.col("seg_idx") / 3).alias("ordinal"), "text")
+    return repair.assign_by_order(_sent_ranges(spark, sf_dir), r)
+
+
+def results_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.segments(spark, sf_dir).select("track_id", "seg_idx", "start_ms", "end_ms")
+    return repair.assign_by_time(_sent_ranges(spark, sf_dir), rows)
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work's glossary: the first word of eight letters or more in each of its lines; works are track % 10."""
+    s = fixtures.segments(spark, sf_dir).select((F.col("track_id") % 10).alias("work_id"), F.regexp_extract("text", r"([^\s。、]{8,})", 1).alias("ja")).where("ja <> ''").distinct()
+    kind = F.when(F.length("ja") % 7 == 0, "cv").when(F.length("ja") % 7 == 1, "character").otherwise("term")
+    return s.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), F.dense_rank().over(Window.partitionBy("work_id").orderBy("ja")).cast("long").alias("ord"))
+
+
+def _few_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shorter words of that glossary, so that budgets are not used up by names."""
+    return _terms(spark, sf_dir).where("length(ja) between 8 and 9")
 
 
 def budget_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"])
-    rows = s.withColumn("base", windows.json_base(F.col("text"), F.col("start_ms"), F.col("end_ms"))).withColumn("terms", F.array().cast("array<struct<id:bigint,chars:bigint>>"))
-    return windows.budget_windows(rows, OVERHEAD)
+    s = windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).withColumn("work_id", F.col("track_id") % 10)
+    glossary = _few_terms(spark, sf_dir)
+    terms = glossary.where("kind = 'term'").select("work_id", F.col("ord").alias("term_id"), "ja", F.length(windows.glossary_entry(F.col("ja"), F.col("zh"))).cast("long").alias("chars"))
+    places = windows.term_places(s, terms).groupBy("track_id", "id").agg(F.collect_list(F.struct(F.col("term_id").alias("id"), "chars", "first")).alias("terms"))
+    rows = s.withColumn("base", windows.json_base(F.col("text"), F.col("start_ms"), F.col("end_ms"))).join(places, ["track_id", "id"], "left").join(windows.glossary_overhead(glossary), "work_id", "left")
+    return windows.budget_windows(rows.withColumn("overhead", F.coalesce("chars", F.lit(windows.EMPTY_GLOSSARY)) + PROMPT_CHARS))
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.derived(spark, sf_dir, "entries").select("track_id", "window_idx", "local_id", F.col("input").alias("text"), "start_ms", "end_ms")
 
 
+def _window_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_id", "text"))), lambda x: x["text"]), "")
+    return _numbered(spark, sf_dir).groupBy("track_id", "window_idx").agg(joined.alias("text")).withColumn("work_id", F.col("track_id") % 10)
+
+
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    word = F.regexp_extract(F.get(F.split("text", r"\.\n"), 1), r"([^\s.,]{8,})", 1)
-    terms = docs.where("doc_id % 50 = 0").select(word.alias("ja")).where("ja <> ''").distinct().withColumn("kind", F.lit("term"))
-    texts = _numbered(spark, sf_dir).groupBy("track_id", "window_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return windows.glossary_hits(texts, terms)
+    return windows.glossary_hits(_window_texts(spark, sf_dir), _terms(spark, sf_dir).select("work_id", "kind", "ja"))
 
 
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +134,12 @@ QUERIES = {
     "range_members": lambda spark, sf_dir: repair.range_members(merged_ranges(spark, sf_dir), fixtures.segments(spark, sf_dir)).select("track_id", "seg_idx", "r_start", "r_end"),
     "new_ranges": lambda spark, sf_dir: repair.new_ranges(fixtures.derived(spark, sf_dir, "raw_ranges"), fixtures.derived(spark, sf_dir, "second_ranges")),
     "repair_filter": lambda spark, sf_dir: judged(spark, sf_dir).select("track_id", "range_idx", "cand_idx", "engine", "text", "rule_id", "accepted"),
-    "apply_repair": lambda spark, sf_dir: repair.apply_repair(_classified(spark, sf_dir).where("not dropped or mismatch_type is not null"), judged(spark, sf_dir)),
+    "apply_repair": apply_repair,
+    "repair_mismatches": repair_mismatches,
+    "replay_log": lambda spark, sf_dir: replayed(spark, sf_dir)[0],
+    "replay_mismatches": lambda spark, sf_dir: replayed(spark, sf_dir)[1],
+    "results_by_order": results_by_order,
+    "results_by_time": results_by_time,
     "repair_outcome": lambda spark, sf_dir: repair.repair_outcome(merged_ranges(spark, sf_dir), judged(spark, sf_dir)),
     "tr_segments": lambda spark, sf_dir: windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).select("track_id", "id", "seg_idx", "start_ms", "end_ms"),
     "glossary_hits": glossary_hits,
@@ -79,20 +150,26 @@ QUERIES = {
     "retry_split": lambda spark, sf_dir: windows.retry_split(_numbered(spark, sf_dir), ["track_id", "window_idx"]).select("track_id", "window_idx", "local_id", "half", "pair"),
 }
 
-MERGED = fixtures.DUCK + fixtures.derived_sql("raw_ranges") + ", ro AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS ord FROM raw_ranges)" + united_sql("ro", "mr_", 0, None)
+RANGES_SQL = fixtures.derived_sql("raw_ranges") + ", ro AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS ord FROM raw_ranges)" + united_sql("ro", "mr_", 0, None)
+MERGED = fixtures.DUCK + RANGES_SQL
 _C = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF66}-\x{FF9F}]"
 _W = r"[A-Za-z0-9_\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF66}-\x{FF9F}]"
-CLASSIFIED = f"{SCORED}{rules_sql('scored')}, classified AS (SELECT *, {DROPS} AS dropped, {MISMATCH} AS mismatch_type FROM ruled)"
-JUDGED = MERGED + CLASSIFIED + """,
+JUDGED_SQL = RANGES_SQL + f"{rules_sql('scored', p='c')}, classified AS (SELECT *, {DROPS} AS dropped, {MISMATCH.format('')} AS mismatch_type FROM cruled)" + """,
 rg AS (SELECT track_id, start_ms AS r_start, end_ms AS r_end, start_ms // 100 AS range_idx FROM mr_ WHERE end_ms - start_ms >= 6000),
 cd AS (SELECT *, 0 AS cand_idx, r_start + 2500 AS start_ms, r_start + 4000 AS end_ms FROM rg UNION ALL SELECT *, 1, r_end - 4000, r_end - 1500 FROM rg),
 ct AS (SELECT *, CASE WHEN range_idx % 2 = 0 THEN 'mms' ELSE 'qwen' END AS engine, CASE (range_idx + cand_idx) % 4 WHEN 0 THEN 'ab' WHEN 1 THEN 'またね。' WHEN 2 THEN 'いってきます' ELSE 'あ' END AS text, -40 AS logprob_c, 120 AS ratio_c, 10 AS nospeech_c FROM cd),
 ce AS (SELECT c.*, e.vocal_u, e.snr_milli FROM ct c LEFT JOIN (SELECT c.track_id, c.range_idx, c.cand_idx, sum(w.vocal_u)::DOUBLE / count(*) AS vocal_u, sum(w.snr_milli)::DOUBLE / count(*) AS snr_milli
-  FROM ct c JOIN energy_windows w ON w.track_id = c.track_id AND w.start_ms < c.end_ms AND w.end_ms > c.start_ms GROUP BY ALL) e USING (track_id, range_idx, cand_idx))""" + rules_sql("ce", True).replace("f AS", "jf AS").replace("FROM f)", "FROM jf)").replace("f2 AS", "jf2 AS").replace("FROM f2)", "FROM jf2)").replace("ruled AS", "jruled AS") + f""",
+  FROM ct c JOIN energy_windows w ON w.track_id = c.track_id AND w.start_ms < c.end_ms AND w.end_ms > c.start_ms GROUP BY ALL) e USING (track_id, range_idx, cand_idx))""" + rules_sql("ce", True, "j") + f""",
 judged AS (SELECT track_id, range_idx, cand_idx, r_start, r_end, start_ms, end_ms, engine, CASE WHEN engine = 'mms' AND regexp_full_match(text, '[A-Za-z]{{1,2}}') THEN '' ELSE text END AS text, rule_id,
   NOT (CASE WHEN engine = 'mms' THEN (len(regexp_extract_all(text, '{_C}')) < 2 AND len(regexp_extract_all(text, '{_W}')) < 2) OR coalesce(vocal_u, 0) < 50 ELSE {DROPS} END)
   AND NOT EXISTS (SELECT 1 FROM classified g WHERE g.track_id = j.track_id AND NOT g.dropped AND g.mismatch_type IS NULL AND g.start_ms < j.end_ms AND g.end_ms > j.start_ms AND g.start_ms < j.r_end AND g.end_ms > j.r_start) AS accepted FROM jruled j)"""
+JUDGED = fixtures.DUCK + SCORED + JUDGED_SQL
+OUTCOME_SQL = """ SELECT r.track_id, r.start_ms, r.end_ms, count(j.track_id) AS n_new, coalesce(sum(j.accepted::INT), 0)::BIGINT AS n_accepted, CASE WHEN count(j.track_id) = 0 THEN 'no_change' WHEN sum(j.accepted::INT) > 0 THEN 'success' ELSE 'failed' END AS status
+  FROM mr_ r LEFT JOIN judged j ON j.track_id = r.track_id AND j.r_start = r.start_ms AND j.r_end = r.end_ms GROUP BY r.track_id, r.start_ms, r.end_ms"""
 ENTRIES = fixtures.DUCK + fixtures.derived_sql("entries")
+TERMS = r""",
+tg AS (SELECT DISTINCT track_id % 10 AS work_id, regexp_extract(text, '([^\s。、]{8,})', 1) AS ja FROM segments),
+terms_ AS (SELECT work_id, CASE len(ja) % 7 WHEN 0 THEN 'cv' WHEN 1 THEN 'character' ELSE 'term' END AS kind, ja, reverse(ja) AS zh, dense_rank() OVER (PARTITION BY work_id ORDER BY ja) AS ord FROM tg WHERE ja <> '')"""
 
 ORACLE = {
     "merge_ranges": MERGED + " SELECT * FROM mr_",
@@ -107,20 +184,28 @@ SELECT track_id, r_start, r_end, cluster, start_ms, CASE WHEN e - s < 1500 THEN
     "new_ranges": fixtures.DUCK + fixtures.derived_sql("raw_ranges") + fixtures.derived_sql("second_ranges") + """ SELECT track_id, start_ms, end_ms, reason FROM raw_ranges
   UNION ALL SELECT track_id, start_ms, end_ms, reason FROM second_ranges b WHERE NOT EXISTS (SELECT 1 FROM raw_ranges a WHERE a.track_id = b.track_id AND (a.start_ms + 50) // 100 = (b.start_ms + 50) // 100 AND (a.end_ms + 50) // 100 = (b.end_ms + 50) // 100)""",
     "repair_filter": JUDGED + " SELECT track_id, range_idx, cand_idx, engine, text, rule_id, accepted FROM judged",
-    "apply_repair": JUDGED + """ SELECT track_id, start_ms, end_ms, text, 'first' AS origin FROM classified s WHERE (NOT dropped OR mismatch_type IS NOT NULL) AND (mismatch_type IS NULL OR NOT EXISTS (SELECT 1 FROM judged j WHERE j.accepted AND j.track_id = s.track_id AND s.start_ms < j.r_end AND s.end_ms > j.r_start))
+    "apply_repair": JUDGED + fixtures.derived_sql("engines") + """ SELECT s.track_id, start_ms, end_ms, text, coalesce(g.engine, 'first') AS origin FROM classified s JOIN engines g ON g.track_id = s.track_id AND g.seg_idx = s.seg_idx WHERE (NOT dropped OR mismatch_type IS NOT NULL) AND ((mismatch_type IS NULL AND g.engine IS NULL) OR NOT EXISTS (SELECT 1 FROM judged j WHERE j.accepted AND j.track_id = s.track_id AND s.start_ms < j.r_end AND s.end_ms > j.r_start))
   UNION ALL SELECT track_id, start_ms, end_ms, text, engine FROM judged WHERE accepted""",
-    "repair_outcome": JUDGED + """ SELECT r.track_id, r.start_ms, r.end_ms, count(j.track_id) AS n_new, coalesce(sum(j.accepted::INT), 0)::BIGINT AS n_accepted, CASE WHEN count(j.track_id) = 0 THEN 'no_change' WHEN sum(j.accepted::INT) > 0 THEN 'success' ELSE 'failed' END AS status
-  FROM mr_ r LEFT JOIN judged j ON j.track_id = r.track_id AND j.r_start = r.start_ms AND j.r_end = r.end_ms GROUP BY r.track_id, r.start_ms, r.end_ms""",
+    "repair_mismatches": JUDGED + " SELECT track_id, seg_idx AS mismatch_idx, start_ms, end_ms, mismatch_type FROM classified s WHERE mismatch_type IS NOT NULL AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.accepted AND j.track_id = s.track_id AND s.start_ms < j.r_end AND s.end_ms > j.r_start)",
+    "results_by_order": MERGED + """, rn AS (SELECT track_id, start_ms AS r_start, end_ms AS r_end, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms) - 1 AS ordinal FROM mr_)
+SELECT rn.track_id, rn.ordinal, r_start, r_end, s.text FROM rn JOIN segments s ON s.track_id = rn.track_id AND s.seg_idx = 3 * rn.ordinal""",
+    "results_by_time": MERGED + " SELECT s.track_id, s.seg_idx, s.start_ms, s.end_ms, r.start_ms AS r_start, r.end_ms AS r_end FROM mr_ r JOIN segments s ON s.track_id = r.track_id AND s.start_ms >= r.start_ms - 500 AND s.end_ms <= r.end_ms + 500",
+    "repair_outcome": JUDGED + OUTCOME_SQL,
     "tr_segments": fixtures.DUCK + " SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, seg_idx, start_ms, end_ms FROM segments",
-    "glossary_hits": ENTRIES + r""",
-terms AS (SELECT DISTINCT regexp_extract(string_split(text, '.' || chr(10))[2], '([^\s.,]{8,})', 1) AS ja FROM documents WHERE doc_id % 50 = 0),
-t AS (SELECT track_id, window_idx, string_agg(input, chr(10) ORDER BY local_id) AS text FROM entries GROUP BY ALL)
-SELECT track_id, window_idx, ja, 'term' AS kind FROM t JOIN terms ON contains(text, ja) WHERE ja <> ''""",
-    "budget_windows": fixtures.DUCK + f""",
-b AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, len(to_json(text)::VARCHAR) + len(start_ms::VARCHAR) + len(end_ms::VARCHAR) + 40 AS base FROM segments),
-g AS (SELECT track_id, id, 0 AS window_idx, 1 AS local_id, base AS total FROM b WHERE id = 1
-  UNION ALL SELECT g.track_id, b.id, g.window_idx + m.cut, CASE WHEN m.cut = 1 THEN 1 ELSE g.local_id + 1 END, CASE WHEN m.cut = 1 THEN b.base ELSE g.total + b.base END
-  FROM g JOIN b ON b.track_id = g.track_id AND b.id = g.id + 1, LATERAL (SELECT (g.local_id >= 3 AND {OVERHEAD} + g.total + b.base + (g.local_id + 1) * len(b.id::VARCHAR) + 2 * g.local_id + 4 > 2500)::INT AS cut) m)
+    "glossary_hits": ENTRIES + TERMS + """,
+t AS (SELECT track_id, window_idx, track_id % 10 AS work_id, string_agg(input, '' ORDER BY local_id) AS text FROM entries GROUP BY ALL)
+SELECT t.work_id, track_id, window_idx, kind, ja FROM t JOIN terms_ g ON g.work_id = t.work_id AND (kind <> 'term' OR contains(text, ja))""",
+    "budget_windows": fixtures.DUCK + TERMS + f""",
+few AS (SELECT *, 33 + len(to_json(ja)::VARCHAR) + len(to_json(zh)::VARCHAR) AS chars FROM terms_ WHERE len(ja) BETWEEN 8 AND 9),
+names AS (SELECT work_id, sum(CASE WHEN n > 0 THEN c + 2 * n + 2 ELSE 0 END)::BIGINT AS more FROM (SELECT work_id, kind, count(*) AS n, sum(chars) AS c FROM few WHERE kind <> 'term' GROUP BY ALL) GROUP BY ALL),
+b AS MATERIALIZED (SELECT s.track_id, track_id % 10 AS work_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, text, len(to_json(text)::VARCHAR) + len(start_ms::VARCHAR) + len(end_ms::VARCHAR) + 40 AS base,
+  {PROMPT_CHARS} + 51 + coalesce((SELECT more FROM names n WHERE n.work_id = track_id % 10), 0) AS overhead FROM segments s),
+tl AS MATERIALIZED (SELECT work_id, list(ja) AS jas, list(chars + 2) AS costs FROM few WHERE kind = 'term' GROUP BY ALL),
+g AS (SELECT track_id, id, 0 AS window_idx, 1 AS local_id, base AS total, text AS txt FROM b WHERE id = 1
+  UNION ALL SELECT g.track_id, b.id, g.window_idx + m.cut, CASE WHEN m.cut = 1 THEN 1 ELSE g.local_id + 1 END, CASE WHEN m.cut = 1 THEN b.base ELSE g.total + b.base END, CASE WHEN m.cut = 1 THEN b.text ELSE g.txt || b.text END
+  FROM g JOIN b ON b.track_id = g.track_id AND b.id = g.id + 1 LEFT JOIN tl ON tl.work_id = b.work_id,
+  LATERAL (SELECT coalesce(list_sum([CASE WHEN contains(g.txt || b.text, tl.jas[i]) THEN tl.costs[i] ELSE 0 END FOR i IN range(1, len(tl.jas) + 1)]), 0) AS terms) h,
+  LATERAL (SELECT (g.local_id >= 3 AND b.overhead + h.terms + CASE WHEN h.terms > 0 THEN 2 ELSE 0 END + g.total + b.base + (g.local_id + 1) * len(b.id::VARCHAR) + 2 * g.local_id + 4 > 2500)::INT AS cut) m)
 SELECT track_id, id, window_idx, local_id FROM g QUALIFY count(*) OVER (PARTITION BY track_id, window_idx) >= 3""",
     "token_budget": ENTRIES + """, n AS (SELECT track_id, window_idx, count(*) AS n, greatest(1, ceil((sum(len(input)) + 900) / 2)) AS p FROM entries GROUP BY ALL)
 SELECT track_id, window_idx, greatest(1, least(512 * n, ceil(p * 3.5), greatest(0, 8192 - p), greatest(0, 4096 - p)))::BIGINT AS n_predict FROM n""",

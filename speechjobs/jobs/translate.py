@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_runs, strip_speaker
-from ..operators import align, energy, metadata, report, resolve, subtitles, windows
+from ..functions.text import collapse_runs, path_safe, strip_speaker
+from ..operators import align, energy, metadata, repair, report, resolve, subtitles, windows
 from ..sources import fixtures
-from .clean import CLEAN, ISLANDS, LOG, _log, clean_segments, flagged_segments
+from .clean import CLEAN, LOG, SIGNALS, _log, clean_segments, flagged_segments, islands_sql
+from .repair import JUDGED_SQL, OUTCOME_SQL, judged, merged_ranges
 
 ITEM = "struct<id:bigint,text:string>"
+KINDS = ["circle", "cv", "character", "term"]  # in the order in which a later one counts
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,16 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir).select("track_id", "global_id", resolve.extract_array(F.col("raw")).alias("body"))
+    """The array's text, and what is in it where it parses."""
+    items = resolve.parse_items(F.col("raw"), ITEM)
+    return _raw(spark, sf_dir).select("track_id", "global_id", resolve.extract_array(F.col("raw")).alias("body"), F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["id"].cast("string"), x["text"])), "|").alias("items"))
+
+
+def parse_model_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entries(spark, sf_dir)
+    raw = F.concat(F.lit("<think>{x}</think>so "), F.to_json(F.struct(F.col("global_id").alias("id"), F.col("input").alias("text"))), F.lit(" done"))
+    found = resolve.parse_object(raw, ITEM)
+    return e.select("track_id", "global_id", found["id"].alias("id"), found["text"].alias("text"))
 
 
 def salvage_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +46,43 @@ def salvage_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("track_id", "global_id", F.size(found).cast("long").alias("n"), F.array_join(F.transform(found, lambda x: x["text"]), "|").alias("texts"))
 
 
-def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _attempts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Attempts with ok for each chunk, and the segments with the chunks that they would be in."""
     s = windows.retry_split(_entries(spark, sf_dir), ["track_id", "window_idx"])
     k = F.col("track_id") + F.col("window_idx")
     w = s.select("track_id", "window_idx").distinct()
     chunk = lambda attempt, chunks: w.withColumn("attempt", F.lit(attempt)).withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     ok = F.when(F.col("attempt") == 1, k % 3 != 0).when(F.col("attempt") == 2, k % 5 != 0).when(F.col("attempt") == 3, (k % 2 != 0) | (F.col("chunk_idx") == 0)).otherwise((k + F.col("chunk_idx")) % 3 != 0)
-    attempts = chunk(1, 1).unionByName(chunk(2, 1)).unionByName(chunk(3, 2)).unionByName(chunk(4, 4)).withColumn("ok", ok)
-    return resolve.resolve(attempts, s)
+    return chunk(1, 1).unionByName(chunk(2, 1)).unionByName(chunk(3, 2)).unionByName(chunk(4, 4)).withColumn("ok", ok), s
+
+
+def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(*_attempts(spark, sf_dir))
+
+
+def resolved_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry a segment from every attempt, its text marked with the attempt."""
+    attempts, s = _attempts(spark, sf_dir)
+    each = s.withColumn("attempt", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))))
+    chunk = F.when(F.col("attempt") < 3, 0).when(F.col("attempt") == 3, F.col("half")).otherwise(F.col("pair"))
+    entries = each.select("track_id", "window_idx", "attempt", chunk.cast("long").alias("chunk_idx"), F.col("local_id").alias("entry_idx"), F.array("local_id").alias("ids"), F.concat_ws(":", F.col("attempt").cast("string"), "text").alias("text"), F.lit(None).cast("string").alias("input"), "start_ms", "end_ms")
+    own = s.select("track_id", "window_idx", "local_id", "half", "pair", F.col("input").alias("text"), "start_ms", "end_ms")
+    out = resolve.resolved_entries(entries, attempts, own, echo=True)
+    return out.select("track_id", "window_idx", "number", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "text", "input", "start_ms", "end_ms")
+
+
+def collapse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls are (track, window, attempt, chunk): whole windows once, and half windows where the number is even."""
+    e = _entries(spark, sf_dir)
+    calls = e.withColumn("attempt", F.lit(1)).withColumn("chunk_idx", F.lit(0)).unionByName(e.where("window_idx % 2 = 0").withColumn("attempt", F.lit(3)).withColumn("chunk_idx", F.when(F.col("local_id") <= 4, 0).otherwise(1)))
+    return resolve.collapse(calls, ["track_id", "window_idx", "attempt", "chunk_idx"])
+
+
+def entry_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.derived(spark, sf_dir, "sent_rows")
+    placed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    entries = rows.groupBy("track_id", "window_idx", "entry_idx").agg(placed("local_id").alias("ids"), F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.array_join(placed("text"), " ").alias("input"))
+    return resolve.conformance(entries, _entries(spark, sf_dir).select("track_id", "window_idx", "local_id", F.col("input").alias("text"), "start_ms", "end_ms"))
 
 
 def restore_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,26 +92,31 @@ def restore_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtitles.merge_same_start(_entries(spark, sf_dir), ["start_ms", "global_id"])
+    return subtitles.merge_same_start(_entries(spark, sf_dir).withColumn("ids", F.array("global_id")), ["start_ms", "global_id"])
+
+
+def merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("track_id", "run", "text", "start_ms", "end_ms", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with whole texts in one of three fields, numbers for texts, and an inner record with an id of its own."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    plain = F.regexp_replace(F.substring("text", 1, 40), '["\\\\\\\\\n]', " ")
-    quoted = F.concat(F.lit('"'), plain, F.lit('"'))
-    field = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"uploader": 5, "channel": '), quoted)).when(F.col("turn") % 3 == 1, F.concat(F.lit('"uploader": '), quoted)).otherwise(F.concat(F.lit('"creator": '), quoted, F.lit(', "tags": ["a", 3, "b"]')))
-    return c.select("conv_id", "turn", F.concat(F.lit('{"id": "c'), F.col("conv_id").cast("string"), F.lit('", '), field, F.lit("}")).alias("info"))
+    t, k = F.col("text"), F.col("turn") % 3
+    rest = F.struct(F.when(k == 0, t).alias("channel"), F.when(k == 2, t).alias("creator"), F.when(k == 1, t).alias("uploader"), F.col("role").alias("description"), F.struct(F.lit("inner").alias("id")).alias("box"))
+    numbers = F.concat(F.when(k == 0, '"uploader": 5, ').otherwise(""), F.when(F.col("turn") % 4 == 3, F.concat(F.lit('"id": '), F.col("conv_id").cast("string"))).otherwise(F.concat(F.lit('"id": "c'), F.col("conv_id").cast("string"), F.lit('"'))), F.lit(', "title": null, "tags": ["a [1]", 3, null, "b", {"id": "z"}], '))
+    return c.select("conv_id", "turn", F.concat(F.lit("{"), numbers, F.substring(F.to_json(rest), F.lit(2), F.length(F.to_json(rest)))).alias("info"))
 
 
 def info_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select("conv_id", "turn", metadata.info_record(F.col("info")).alias("r")).select("conv_id", "turn", "r.*")
+    return _turns(spark, sf_dir).select("conv_id", "turn", metadata.info_record(F.col("info")).alias("r")).select("conv_id", "turn", "r.id", "r.title", "r.uploader", "r.description", F.array_join("r.tags", "|").alias("tags"))
 
 
 def _glossary(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     """Rows by segment: work is track % 10, ja its first token, zh that reversed with a mark."""
     s = fixtures.segments(spark, sf_dir).where(f"(track_id + seg_idx + {shift}) % 3 = 0")
     ja = F.split("text", " ")[0]
-    kind = F.element_at(F.array(F.lit("cv"), F.lit("character"), F.lit("term")), (F.length(ja) % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.length(ja) % 4 + 1).cast("int"))
     return s.select((F.col("track_id") % 10).alias("work_id"), kind.alias("kind"), (F.col("track_id") * 1000 + F.col("seg_idx")).alias("ord"), ja.alias("ja"), F.concat(F.reverse(ja), F.lit(f"{shift}")).alias("zh"))
 
 
@@ -86,12 +131,44 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = F.split("text", "\n")[0]
-    return d.select(F.col("doc_id").alias("work_id"), F.nullif(F.substring(first, 1, 30), F.lit("")).alias("title"), F.col("source").alias("uploader"), metadata.split_names(F.substring(first, 1, 60)).alias("voices"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 50)).alias("description"))
+    return d.select(F.col("doc_id").alias("work_id"), F.nullif(first, F.lit("")).alias("title"), F.col("source").alias("uploader"), metadata.split_names(first).alias("voices"), F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("description"))
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.floor(F.col("doc_id") / 7).alias("work_id"), (F.col("doc_id") % 7 + 1).alias("number"), F.split("text", "\n")[0].alias("ja"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mp3")).alias("rel_path"))
+
+
+def metadata_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = _works(spark, sf_dir).join(metadata.file_lists(_tracks(spark, sf_dir)), "work_id", "left")
+    return works.select("work_id", metadata.markdown(F.col("title"), F.col("uploader"), F.col("voices"), F.col("description"), F.col("files")).alias("markdown"))
+
+
+def track_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second number has a translated title."""
+    t = _tracks(spark, sf_dir).select("work_id", "number", "ja")
+    return metadata.track_titles(t, t.where("number % 2 = 0").withColumn("zh", F.reverse("ja")))
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the parts of a product's page, made from whole documents; every fifth lacks its maker and its voices."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    there = F.col("doc_id") % 5 != 0
+    html = F.concat(
+        F.lit('<html><body><h1 class="a b" id="work_name"> '), F.split(safe, "\n")[0], F.lit(" </h1>"),
+        F.when(there, F.concat(F.lit('<span class="x maker_name"><a href="#">'), F.col("source"), F.lit("</a></span><table><tr><th>x</th><td>y</td></tr><tr><th> 声優 </th><td>"), F.col("lang"), F.lit(" / b</td></tr></table>"))).otherwise(""),
+        F.lit('<div class="work_parts_container"><div><b>'), safe, F.lit("</b></div>\nend <div></div></div><div>other</div></body></html>"),
+    )
+    return d.select("doc_id", metadata.product_page(html).alias("p")).select("doc_id", "p.*")
 
 
 def _chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = fixtures.words(spark, sf_dir).where("word_idx < 40")
-    return w.select("track_id", (F.col("seg_idx") * 100 + F.col("word_idx")).alias("char_idx"), F.substring("text", 1, 2).alias("char"), F.floor(F.col("start_ms") / 20).alias("frame"))
+    """Every character of every word, at the times of the word."""
+    w = fixtures.words(spark, sf_dir).where("length(text) > 0")
+    place = F.row_number().over(Window.partitionBy("track_id").orderBy("seg_idx", "word_idx", "at")).cast("long")
+    each = w.select("track_id", "seg_idx", "word_idx", "start_ms", "w_dur", F.length("text").alias("n"), F.posexplode(F.split("text", "")).alias("at", "char"))
+    return each.select("track_id", place.alias("char_idx"), "char", F.floor((F.col("start_ms") + F.floor(F.col("w_dur") * F.col("at") / F.col("n"))) / 20).alias("frame"))
 
 
 def sentence_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +178,34 @@ def sentence_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sentence_times(s.join(tokens, ["track_id", "seg_idx"]).select("track_id", F.col("seg_idx").alias("chunk_idx"), align.sentences(F.col("text")).alias("sentences"), "tokens"))
 
 
-def prompt_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents against the benchmark item of their number."""
+def _prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents against the benchmark item of their number; every fourth is a sentence of that item instead."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     n = items.count()
     lines = fixtures.segments(spark, sf_dir).withColumn("item", F.pmod("track_id", F.lit(n)))
-    prompts = items.select(F.pmod("item_id", F.lit(n)).alias("item"), F.col("text").alias("prompt"))
-    part = F.when(F.col("seg_idx") % 4 == 0, F.substring("prompt", 5, 40)).otherwise(F.col("text"))
-    return lines.join(prompts, "item").withColumn("text", part).select("track_id", "seg_idx", "item", align.leaks_exactly(F.col("text"), F.col("prompt")).alias("leaks"))
+    prompts = items.select(F.pmod("item_id", F.lit(n)).alias("item"), F.col("text").alias("prompt"), F.split("text", r"\.\s*").alias("s"))
+    part = F.when(F.col("seg_idx") % 4 == 0, F.get("s", (F.col("seg_idx") % F.size("s")).cast("int"))).otherwise(F.col("text"))
+    return lines.join(prompts, "item").withColumn("text", part)
+
+
+def prompt_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompted(spark, sf_dir).select("track_id", "seg_idx", "item", align.leaks_exactly(F.col("text"), F.col("prompt")).alias("leaks"))
+
+
+def leak_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that leak neither exactly nor nearly, of tracks that do not leak as a whole."""
+    chunks = _prompted(spark, sf_dir).select("track_id", F.col("seg_idx").alias("chunk_idx"), "text", "prompt")
+    return align.drop_leaks(chunks).select("track_id", "chunk_idx", "text")
+
+
+def clip_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and their words, shifted by the start of their clip."""
+    w = fixtures.words(spark, sf_dir).select("track_id", "seg_idx", "word_idx", F.struct("text", (F.col("start_ms") / 1000).alias("start_time"), ((F.col("start_ms") + F.col("w_dur")) / 1000).alias("end_time")).alias("w"))
+    words = w.groupBy("track_id", "seg_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "w"))), lambda x: x["w"]).alias("words"))
+    rows = fixtures.segments(spark, sf_dir).join(words, ["track_id", "seg_idx"]).select("track_id", "seg_idx", (F.col("start_ms") / 1000).alias("start_time"), (F.col("end_ms") / 1000).alias("end_time"), "words", (F.col("track_id") * 0.25).alias("offset"))
+    out = align.shift_times(rows, "offset")
+    total = lambda c: F.round(F.aggregate("words", F.lit(0.0), lambda s, x: s + x[c]), 2)
+    return out.select("track_id", "seg_idx", "start_time", "end_time", F.size("words").cast("long").alias("n_words"), F.get("words", 0)["start_time"].alias("first"), total("end_time").alias("sum_end"))
 
 
 def track_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +215,19 @@ def track_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, kept = _log(spark, sf_dir)
-    return report.timeline(flagged_segments(spark, sf_dir), kept, energy.vad_islands(fixtures.energy_windows(spark, sf_dir)), log)
+    w = fixtures.energy_windows(spark, sf_dir)
+    outcome = repair.repair_outcome(merged_ranges(spark, sf_dir), judged(spark, sf_dir))
+    return report.timeline(flagged_segments(spark, sf_dir), kept, energy.vad_islands(w), log, energy.signal_norm(w), outcome)
+
+
+def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.sentence_list(fixtures.segments(spark, sf_dir))
+    return out.select("track_id", F.size("sentences").cast("long").alias("n"), F.array_join("sentences", "|").alias("sentences"))
+
+
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", path_safe(F.split("text", "\n")[0]).alias("name"))
 
 
 def shift_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,32 +243,43 @@ def hint_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "parse_model_output": parse_model_output,
+    "parse_model_object": parse_model_object,
     "salvage_output": salvage_output,
-    "collapse_check": lambda spark, sf_dir: resolve.collapse(_entries(spark, sf_dir), ["track_id", "window_idx"]),
-    "entry_conformance": lambda spark, sf_dir: resolve.conformance(fixtures.derived(spark, sf_dir, "sent_ids"), _entries(spark, sf_dir)),
+    "collapse_check": collapse_check,
+    "entry_conformance": entry_conformance,
     "resolve_attempts": resolve_attempts,
+    "resolved_entries": resolved_entries,
     "restore_ids": restore_ids,
     "strip_prefix": lambda spark, sf_dir: _entries(spark, sf_dir).select("track_id", "global_id", strip_speaker(F.col("text")).alias("text")),
     "speaker_prefixes": lambda spark, sf_dir: resolve.speaker_prefixes(_entries(spark, sf_dir)),
+    "merged_entries": merged_entries,
     "lrc_lines": lambda spark, sf_dir: subtitles.lrc_lines(_merged(spark, sf_dir), collapse=False),
     "vtt_cues": lambda spark, sf_dir: subtitles.vtt_cues(_merged(spark, sf_dir), collapse=False),
+    "vtt_files": lambda spark, sf_dir: subtitles.vtt_files(subtitles.vtt_cues(_merged(spark, sf_dir), collapse=False)),
     "collapse_runs": lambda spark, sf_dir: _entries(spark, sf_dir).select("track_id", "global_id", collapse_runs(F.col("text")).alias("text")),
     "page_metadata": lambda spark, sf_dir: metadata.page_metadata(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "product_id": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", metadata.product_id(F.concat(F.regexp_replace("url", r"(\d+)", "rj$1"), F.lit("/x"))).alias("product_id")),
     "info_metadata": info_metadata,
     "cv_split": lambda spark, sf_dir: _works(spark, sf_dir).select("work_id", F.posexplode("voices").alias("pos", "ja")).withColumn("zh", F.col("ja")),
-    "metadata_markdown": lambda spark, sf_dir: _works(spark, sf_dir).select("work_id", metadata.markdown(F.col("title"), F.col("uploader"), F.col("voices"), F.col("description")).alias("markdown")),
+    "metadata_markdown": metadata_markdown,
+    "product_pages": product_pages,
+    "track_titles": track_titles,
+    "latin_routes": lambda spark, sf_dir: metadata.latin_routes(_names(spark, sf_dir)),
     "fallback_glossary": lambda spark, sf_dir: metadata.fallback_glossary(_works(spark, sf_dir), _glossary(spark, sf_dir, 0)),
     "glossary_merge": _merged_glossary,
     "glossary_lookup": lambda spark, sf_dir: metadata.lookup(_names(spark, sf_dir), _merged_glossary(spark, sf_dir)),
-    "glossary_subset": lambda spark, sf_dir: metadata.work_subset(_names(spark, sf_dir), _merged_glossary(spark, sf_dir), ["cv", "character", "term"]),
+    "glossary_subset": lambda spark, sf_dir: metadata.work_subset(_names(spark, sf_dir), _merged_glossary(spark, sf_dir), KINDS),
     "glossary_conformance": lambda spark, sf_dir: metadata.glossary_faults(_merged_glossary(spark, sf_dir)),
     "hint_conformance": hint_conformance,
     "char_gap_segments": lambda spark, sf_dir: align.char_gap_segments(_chars(spark, sf_dir)),
     "sentence_split": lambda spark, sf_dir: fixtures.segments(spark, sf_dir).select("track_id", "seg_idx", F.posexplode(align.sentences(F.col("text"))).alias("pos", "sentence")),
     "sentence_times": sentence_times,
     "prompt_leakage": prompt_leakage,
+    "leak_free": leak_free,
+    "clip_times": clip_times,
     "shift_times": shift_times,
+    "sentence_list": sentence_list,
+    "path_names": path_names,
     "full_text": lambda spark, sf_dir: report.full_text(fixtures.segments(spark, sf_dir), fixtures.words(spark, sf_dir)),
     "track_report": track_report,
     "timeline": timeline,
@@ -172,67 +292,95 @@ RAW = ENTRIES + f""",
 it AS (SELECT *, {_ITEM} AS item, (track_id + global_id) % 4 AS kind FROM entries)"""
 _T = r"[\s\x{00A0}\x{3000}\x{FEFF}]"
 GLOSS = fixtures.DUCK + "".join(f""",
-g{k} AS (SELECT track_id % 10 AS work_id, ['cv', 'character', 'term'][(len(string_split(text, ' ')[1]) % 3 + 1)::INT] AS kind, track_id * 1000 + seg_idx AS ord, string_split(text, ' ')[1] AS ja, reverse(string_split(text, ' ')[1]) || '{k}' AS zh FROM segments WHERE (track_id + seg_idx + {k}) % 3 = 0)""" for k in (0, 1, 2)) + """,
+g{k} AS (SELECT track_id % 10 AS work_id, ['circle', 'cv', 'character', 'term'][(len(string_split(text, ' ')[1]) % 4 + 1)::INT] AS kind, track_id * 1000 + seg_idx AS ord, string_split(text, ' ')[1] AS ja, reverse(string_split(text, ' ')[1]) || '{k}' AS zh FROM segments WHERE (track_id + seg_idx + {k}) % 3 = 0)""" for k in (0, 1, 2)) + """,
 gl AS (SELECT work_id, kind, ja, arg_max(zh, {'l': l, 'o': ord}) AS zh FROM (SELECT *, 0 AS l FROM g0 UNION ALL SELECT *, 1 FROM g1) WHERE ja <> '' AND zh <> '' GROUP BY ALL),
 nm AS (SELECT DISTINCT work_id, kind, ja FROM g2)"""
 WORKS = rf"""
-WITH wk AS (SELECT doc_id AS work_id, nullif(substr(string_split(text, chr(10))[1], 1, 30), '') AS title, source AS uploader,
-  [v FOR v IN [regexp_replace(x, '^{_T}+|{_T}+$', '', 'g') FOR x IN string_split_regex(substr(string_split(text, chr(10))[1], 1, 60), '[,、，／/]')] IF v <> ''] AS voices, CASE WHEN doc_id % 3 > 0 THEN substr(text, 1, 50) END AS description FROM documents)"""
+WITH wk AS (SELECT doc_id AS work_id, nullif(string_split(text, chr(10))[1], '') AS title, source AS uploader,
+  [v FOR v IN [regexp_replace(x, '^{_T}+|{_T}+$', '', 'g') FOR x IN string_split_regex(string_split(text, chr(10))[1], '[,、，／/]')] IF v <> ''] AS voices, CASE WHEN doc_id % 3 > 0 THEN text END AS description FROM documents)"""
 MERGED = ENTRIES + """,
-eo AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, global_id) AS ord, lag(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, global_id) AS ps FROM entries),
+eo AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, global_id) AS ord, lag(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, global_id) AS ps FROM entries WHERE regexp_replace(coalesce(text, ''), '^[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+|[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+$', '', 'g') <> ''),
 er AS (SELECT *, sum(CASE WHEN ps = start_ms THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS run FROM eo),
-em AS (SELECT track_id, run, string_agg(text, '～' ORDER BY ord) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM er GROUP BY track_id, run)"""
+em AS (SELECT track_id, run, string_agg(text, '～' ORDER BY ord) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(global_id::VARCHAR, ',' ORDER BY ord) AS ids FROM er GROUP BY track_id, run)"""
 _LRC = "printf('[%02d:%02d.%02d]', {0} // 60000, (({0} % 60000 + 5) // 10) // 100, (({0} % 60000 + 5) // 10) % 100)"
 _VTT = "printf('%02d:%02d:%02d.%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
 
 ORACLE = {
-    "parse_model_output": RAW + """ SELECT track_id, global_id, CASE kind WHEN 0 THEN '[' || item || ', ' || item || ']' WHEN 1 THEN '[' || item || ', ]' WHEN 2 THEN 'so ' || item || ' and {"id": 7, "text": " "}' ELSE '[' || item || ']' END AS body FROM it""",
+    "parse_model_output": RAW + """ SELECT track_id, global_id, CASE kind WHEN 0 THEN '[' || item || ', ' || item || ']' WHEN 1 THEN '[' || item || ', ]' WHEN 2 THEN 'so ' || item || ' and {"id": 7, "text": " "}' ELSE '[' || item || ']' END AS body,
+  CASE kind WHEN 0 THEN local_id || ':w' || global_id || '|' || local_id || ':w' || global_id WHEN 3 THEN local_id || ':w' || global_id END AS items FROM it""",
+    "parse_model_object": ENTRIES + " SELECT track_id, global_id, global_id AS id, input AS text FROM entries",
     "salvage_output": RAW + " SELECT track_id, global_id, CASE WHEN kind = 0 THEN 2 ELSE 1 END AS n, CASE WHEN kind = 0 THEN 'w' || global_id || '|' ELSE '' END || 'w' || global_id AS texts FROM it",
-    "collapse_check": ENTRIES + " SELECT track_id, window_idx, text, count(DISTINCT input) AS n_inputs FROM entries WHERE len(text) > 5 GROUP BY ALL HAVING n_inputs >= CASE WHEN len(text) > 15 THEN 2 ELSE 3 END",
-    "entry_conformance": ENTRIES + fixtures.derived_sql("sent_ids") + """,
-b AS (SELECT track_id, window_idx, coalesce(local_id <= lag(local_id) OVER (PARTITION BY track_id, window_idx ORDER BY pos), false) AS back FROM sent_ids),
-u AS (SELECT track_id, window_idx, local_id, count(*) AS n, min(start_ms) AS s, max(end_ms) AS e FROM sent_ids GROUP BY ALL)
-SELECT x.track_id, x.window_idx, sum((u.n IS NULL)::INT)::BIGINT AS n_missing, sum(coalesce(u.n > 1, false)::INT)::BIGINT AS n_double, sum(coalesce(u.s <> x.start_ms OR u.e <> x.end_ms, false)::INT)::BIGINT AS n_times,
-  coalesce((SELECT sum(back::INT) FROM b WHERE b.track_id = x.track_id AND b.window_idx = x.window_idx), 0)::BIGINT AS n_order
-FROM entries x LEFT JOIN u ON u.track_id = x.track_id AND u.window_idx = x.window_idx AND u.local_id = x.local_id GROUP BY x.track_id, x.window_idx""",
+    "collapse_check": ENTRIES + """, c AS (SELECT *, 1 AS attempt, 0 AS chunk_idx FROM entries UNION ALL SELECT *, 3, CASE WHEN local_id <= 4 THEN 0 ELSE 1 END FROM entries WHERE window_idx % 2 = 0)
+SELECT track_id, window_idx, attempt, chunk_idx, text, count(DISTINCT input) AS n_inputs FROM c WHERE len(text) > 5 GROUP BY ALL HAVING n_inputs >= CASE WHEN len(text) > 15 THEN 2 ELSE 3 END""",
+    "entry_conformance": ENTRIES + fixtures.derived_sql("sent_rows") + """,
+se AS (SELECT track_id, window_idx, entry_idx, list(local_id ORDER BY pos) AS ids, arg_min(start_ms, pos) AS s, arg_max(end_ms, pos) AS e, string_agg(text, ' ' ORDER BY pos) AS input FROM sent_rows GROUP BY ALL),
+sx AS (SELECT track_id, window_idx, entry_idx, ids[i] AS local_id, i FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM se)),
+sb AS (SELECT track_id, window_idx, sum(coalesce(back, false)::INT)::BIGINT AS n_order FROM (SELECT *, local_id <= lag(local_id) OVER (PARTITION BY track_id, window_idx ORDER BY entry_idx, i) AS back FROM sx) GROUP BY ALL),
+su AS (SELECT track_id, window_idx, local_id, count(*) AS n FROM sx GROUP BY ALL),
+si AS (SELECT coalesce(k.track_id, u.track_id) AS track_id, coalesce(k.window_idx, u.window_idx) AS window_idx, sum((u.n IS NULL)::INT)::BIGINT AS n_missing, sum((k.local_id IS NULL)::INT)::BIGINT AS n_unknown, sum(coalesce(u.n > 1, false)::INT)::BIGINT AS n_double
+  FROM entries k FULL JOIN su u ON k.track_id = u.track_id AND k.window_idx = u.window_idx AND k.local_id = u.local_id GROUP BY 1, 2),
+sm AS (SELECT x.track_id, x.window_idx, x.entry_idx, arg_min_null(g.start_ms, i) AS gs, arg_max_null(g.end_ms, i) AS ge, string_agg(coalesce(g.input, ''), ' ' ORDER BY i) AS gt FROM sx x LEFT JOIN entries g ON g.track_id = x.track_id AND g.window_idx = x.window_idx AND g.local_id = x.local_id GROUP BY ALL),
+sp AS (SELECT track_id, window_idx, sum((len(ids) < 1 OR len(ids) > 5)::INT)::BIGINT AS n_size, sum(coalesce(list_bool_or([ids[i + 1] <> ids[i] + 1 FOR i IN range(1, len(ids))]), false)::INT)::BIGINT AS n_gaps,
+  sum((coalesce(s <> gs, false) OR coalesce(e <> ge, false))::INT)::BIGINT AS n_times, sum(coalesce(input <> gt, false)::INT)::BIGINT AS n_input FROM se JOIN sm USING (track_id, window_idx, entry_idx) GROUP BY ALL)
+SELECT si.*, coalesce(n_order, 0) AS n_order, coalesce(n_size, 0) AS n_size, coalesce(n_gaps, 0) AS n_gaps, coalesce(n_times, 0) AS n_times, coalesce(n_input, 0) AS n_input FROM si LEFT JOIN sb USING (track_id, window_idx) LEFT JOIN sp USING (track_id, window_idx)""",
     "resolve_attempts": ENTRIES + """, k AS (SELECT *, track_id + window_idx AS k FROM entries),
 a AS (SELECT *, CASE WHEN k % 3 <> 0 THEN 1 WHEN k % 5 <> 0 THEN 2 WHEN k % 2 <> 0 THEN 3 ELSE 4 END AS attempt FROM k)
 SELECT track_id, window_idx, local_id, attempt, attempt = 4 AND (k + (local_id - 1) // 2) % 3 = 0 AS fallback FROM a""",
+    "resolved_entries": ENTRIES + """, k AS (SELECT *, track_id + window_idx AS k FROM entries),
+a AS (SELECT *, CASE WHEN k % 3 <> 0 THEN 1 WHEN k % 5 <> 0 THEN 2 WHEN k % 2 <> 0 THEN 3 ELSE 4 END AS attempt FROM k),
+f AS (SELECT *, attempt = 4 AND (k + (local_id - 1) // 2) % 3 = 0 AS fallback FROM a)
+SELECT track_id, window_idx, row_number() OVER (PARTITION BY track_id ORDER BY window_idx, local_id) AS number, local_id::VARCHAR AS ids, CASE WHEN fallback THEN input ELSE concat_ws(':', attempt::VARCHAR, text) END AS text, CASE WHEN fallback THEN input END AS input, start_ms, end_ms FROM f""",
     "restore_ids": ENTRIES + """ SELECT e.track_id, e.window_idx, e.local_id AS entry_idx, e.global_id || ',' || coalesce(n.global_id, e.local_id + 1) AS ids FROM entries e LEFT JOIN entries n ON n.track_id = e.track_id AND n.window_idx = e.window_idx AND n.local_id = e.local_id + 1""",
     "strip_prefix": ENTRIES + r" SELECT track_id, global_id, regexp_replace(text, '^[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]{1,10}[：:]\s*', '') AS text FROM entries",
     "speaker_prefixes": ENTRIES + r" SELECT DISTINCT track_id, regexp_extract(text, '^[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]{1,10}[：:]\s*') AS prefix FROM entries WHERE regexp_extract(text, '^[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]{1,10}[：:]\s*') <> ''",
     "lrc_lines": MERGED + f""", n AS (SELECT *, lead(start_ms) OVER (PARTITION BY track_id ORDER BY run) AS nx FROM em)
-SELECT track_id, string_agg({_LRC.format('start_ms')} || text || CASE WHEN nx - end_ms > 2000 THEN chr(10) || {_LRC.format('end_ms')} ELSE '' END, chr(10) ORDER BY run) || chr(10) AS lrc FROM n WHERE regexp_replace(coalesce(text, ''), '^{_T}+|{_T}+$', '', 'g') <> '' GROUP BY track_id""",
-    "vtt_cues": MERGED + f" SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY run) AS cue, {_VTT.format('start_ms')} || ' --> ' || {_VTT.format('end_ms')} AS times, text FROM em WHERE regexp_replace(coalesce(text, ''), '^{_T}+|{_T}+$', '', 'g') <> ''",
+SELECT track_id, string_agg({_LRC.format('start_ms')} || text || CASE WHEN nx - end_ms > 2000 THEN chr(10) || {_LRC.format('end_ms')} ELSE '' END, chr(10) ORDER BY run) || chr(10) AS lrc FROM n GROUP BY track_id""",
+    "vtt_cues": MERGED + f" SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY run) AS cue, {_VTT.format('start_ms')} || ' --> ' || {_VTT.format('end_ms')} AS times, text FROM em",
+    "vtt_files": MERGED + f""", c AS (SELECT track_id, run, row_number() OVER (PARTITION BY track_id ORDER BY run) || chr(10) || {_VTT.format('start_ms')} || ' --> ' || {_VTT.format('end_ms')} || chr(10) || text || chr(10) AS b FROM em)
+SELECT track_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(b, chr(10) ORDER BY run) AS vtt FROM c GROUP BY ALL""",
+    "merged_entries": MERGED + " SELECT track_id, run, text, start_ms, end_ms, ids FROM em",
     "page_metadata": rf"""SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '^{_T}+|{_T}+$', '', 'g'), '') AS title,
   nullif(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '^{_T}+|{_T}+$', '', 'g'), '') AS heading, nullif(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), '') AS lang FROM pages""",
     "product_id": r"SELECT page_id, 'RJ' || nullif(regexp_extract(url, '(\d+)', 1), '') AS product_id FROM pages",
-    "info_metadata": r"""WITH p AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 40), '["\\\n]', ' ', 'g') AS t FROM conversations)
-SELECT conv_id, turn, 'c' || conv_id AS id, NULL::VARCHAR AS title, t AS uploader, CASE WHEN turn % 3 = 2 THEN 'a|b' END AS tags FROM p""",
+    "info_metadata": """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'unknown' ELSE 'c' || conv_id END AS id, NULL::VARCHAR AS title, text AS uploader, role AS description, 'a [1]|b' AS tags FROM conversations""",
     "cv_split": WORKS + " SELECT work_id, i - 1 AS pos, voices[i] AS ja, voices[i] AS zh FROM (SELECT work_id, voices, unnest(range(1, len(voices) + 1)) AS i FROM wk)",
-    "metadata_markdown": WORKS + " SELECT work_id, concat_ws(chr(10) || chr(10), '# ' || title, 'Maker: ' || uploader, CASE WHEN len(voices) > 0 THEN 'Voices: ' || array_to_string(voices, ', ') END, '## Description' || chr(10) || description) AS markdown FROM wk",
+    "metadata_markdown": WORKS + """, fl AS (SELECT doc_id // 7 AS work_id, string_agg('- ' || source || '/' || doc_id || '.mp3', chr(10) ORDER BY source || '/' || doc_id || '.mp3') AS files FROM documents GROUP BY ALL)
+SELECT work_id, concat_ws(chr(10) || chr(10), '# ' || title, 'Maker: ' || uploader, CASE WHEN len(voices) > 0 THEN 'Voices: ' || array_to_string(voices, ', ') END, '## Description' || chr(10) || description, '## Files' || chr(10) || files) AS markdown FROM wk LEFT JOIN fl USING (work_id)""",
+    "product_pages": rf"""SELECT doc_id, nullif(regexp_replace(string_split(text, chr(10))[1], '^{_T}+|{_T}+$', '', 'g'), '') AS title, CASE WHEN doc_id % 5 <> 0 THEN source END AS maker, CASE WHEN doc_id % 5 <> 0 THEN lang || ' / b' END AS voices,
+  regexp_replace(text || chr(10) || 'end ', '^{_T}+|{_T}+$', '', 'g') AS description FROM documents""",
+    "track_titles": "SELECT doc_id // 7 AS work_id, doc_id % 7 + 1 AS number, string_split(text, chr(10))[1] AS ja, CASE WHEN (doc_id % 7 + 1) % 2 = 0 THEN reverse(string_split(text, chr(10))[1]) ELSE string_split(text, chr(10))[1] END AS zh FROM documents",
+    "latin_routes": GLOSS + " SELECT *, CASE WHEN regexp_matches(ja, '[A-Za-zＡ-Ｚａ-ｚ]') THEN 'permissive' ELSE 'strict' END AS list FROM nm",
     "fallback_glossary": GLOSS.replace("WITH RECURSIVE", WORKS.replace("\nWITH", "WITH RECURSIVE") + ",", 1) + " SELECT work_id, title, coalesce(description, '') AS summary, CASE WHEN len(voices) > 0 THEN array_to_string(voices, '|') ELSE coalesce(uploader, '') END AS cvs FROM wk WHERE work_id NOT IN (SELECT work_id FROM g0)",
     "glossary_merge": GLOSS + " SELECT * FROM gl",
     "glossary_lookup": GLOSS + " SELECT work_id, kind, ja, coalesce(zh, ja) AS zh FROM nm LEFT JOIN gl USING (work_id, kind, ja)",
-    "glossary_subset": GLOSS + " SELECT work_id, ja, arg_max(zh, list_position(['cv', 'character', 'term'], kind)) AS zh, arg_max(kind, list_position(['cv', 'character', 'term'], kind)) AS kind FROM nm JOIN gl USING (work_id, kind, ja) GROUP BY ALL",
+    "glossary_subset": GLOSS + " SELECT work_id, ja, arg_max(zh, list_position(['circle', 'cv', 'character', 'term'], kind)) AS zh, arg_max(kind, list_position(['circle', 'cv', 'character', 'term'], kind)) AS kind FROM nm JOIN gl USING (work_id, kind, ja) GROUP BY ALL",
     "glossary_conformance": GLOSS + r" SELECT *, regexp_matches(zh, '[\x{3040}-\x{30FF}]') AS kana, regexp_matches(zh, '[A-Za-zＡ-Ｚａ-ｚ]') AND NOT regexp_matches(ja, '[A-Za-zＡ-Ｚａ-ｚ]') AS latin FROM gl",
     "hint_conformance": fixtures.DUCK + f" SELECT track_id, seg_idx, len(substr(regexp_replace(text, '^{_T}+|{_T}+$', '', 'g'), 1, 250)) AS n, regexp_matches(text, '[*#&|]') AS symbols, len(text) > 250 AS long FROM segments",
-    "char_gap_segments": fixtures.DUCK + """, ch AS (SELECT track_id, seg_idx * 100 + word_idx AS char_idx, substr(text, 1, 2) AS char, start_ms // 20 AS frame FROM words WHERE word_idx < 40),
+    "char_gap_segments": fixtures.DUCK + """, cx AS (SELECT *, unnest(range(0, len(text))) AS nth FROM words WHERE len(text) > 0),
+ch AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seg_idx, word_idx, nth) AS char_idx, substr(text, nth + 1, 1) AS char, (start_ms + (w_dur * nth) // len(text)) // 20 AS frame FROM cx),
 cl AS (SELECT *, lag(frame) OVER (PARTITION BY track_id ORDER BY char_idx) AS pf FROM ch),
 cr AS (SELECT *, sum(CASE WHEN frame - pf > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY char_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM cl)
 SELECT track_id, run, string_agg(char, '' ORDER BY char_idx) AS text, min(frame) * 20 AS start_ms, max(frame) * 20 AS end_ms FROM cr GROUP BY track_id, run""",
     "sentence_split": fixtures.DUCK + """, ss AS (SELECT track_id, seg_idx, [x FOR x IN [trim(y) FOR y IN regexp_extract_all(text, '[^。！？．!?、…・]*[。！？．!?、…・]+|[^。！？．!?、…・]+$')] IF x <> ''] AS s FROM segments)
 SELECT track_id, seg_idx, i - 1 AS pos, s[i] AS sentence FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM ss)""",
-    "prompt_leakage": fixtures.DUCK + r""", n AS (SELECT count(*) AS n FROM benchmark), pr AS (SELECT item_id % n AS item, text AS prompt FROM benchmark, n),
-l AS (SELECT track_id, seg_idx, track_id % n AS item, text FROM segments, n), j AS (SELECT track_id, seg_idx, item, CASE WHEN seg_idx % 4 = 0 THEN substr(prompt, 5, 40) ELSE text END AS text, prompt FROM l JOIN pr USING (item))
-SELECT track_id, seg_idx, item, len(regexp_replace(text, '[。！？．!?、…・\s]', '', 'g')) > 5 AND contains(regexp_replace(prompt, '[。！？．!?、…・\s]', '', 'g'), regexp_replace(text, '[。！？．!?、…・\s]', '', 'g')) AS leaks FROM j""",
+    "prompt_leakage": fixtures.DUCK + r""", n AS (SELECT count(*) AS n FROM benchmark), pr AS (SELECT item_id % n AS item, text AS prompt, string_split_regex(text, '\.\s*') AS s FROM benchmark, n),
+l AS (SELECT track_id, seg_idx, track_id % n AS item, text FROM segments, n), j AS (SELECT track_id, seg_idx, item, CASE WHEN seg_idx % 4 = 0 THEN s[seg_idx % len(s) + 1] ELSE text END AS text, prompt FROM l JOIN pr USING (item))
+SELECT track_id, seg_idx, item, len(regexp_replace(text, '[。！？．.!?、…・\s]', '', 'g')) > 5 AND contains(regexp_replace(prompt, '[。！？．.!?、…・\s]', '', 'g'), regexp_replace(text, '[。！？．.!?、…・\s]', '', 'g')) AS leaks FROM j""",
+    "clip_times": fixtures.DUCK + """, cw AS (SELECT track_id, seg_idx, count(*) AS n_words, arg_min(start_ms, word_idx) AS first, list(round((start_ms + w_dur) / 1000 + track_id * 0.25::DOUBLE, 3) ORDER BY word_idx) AS ends FROM words GROUP BY ALL)
+SELECT s.track_id, s.seg_idx, round(start_ms / 1000 + s.track_id * 0.25::DOUBLE, 3) AS start_time, round(end_ms / 1000 + s.track_id * 0.25::DOUBLE, 3) AS end_time, n_words, round(first / 1000 + s.track_id * 0.25::DOUBLE, 3) AS first, round(list_sum(ends), 2) AS sum_end FROM segments s JOIN cw USING (track_id, seg_idx)""",
+    "sentence_list": fixtures.DUCK + """, ss AS (SELECT track_id, seg_idx, [x FOR x IN [trim(y) FOR y IN regexp_extract_all(text, '[^。！？．!?、…・]*[。！？．!?、…・]+|[^。！？．!?、…・]+$')] IF x <> ''] AS s FROM segments),
+sf AS (SELECT track_id, flatten(list(s ORDER BY seg_idx)) AS s FROM ss GROUP BY ALL)
+SELECT track_id, len(s) AS n, array_to_string(s, '|') AS sentences FROM sf""",
+    "path_names": """SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(string_split(text, chr(10))[1], '%', '%25'), '<', '%3C'), '>', '%3E'), ':', '%3A'), '"', '%22'), '/', '%2F'), chr(92), '%5C'), '|', '%7C'), '?', '%3F'), '*', '%2A') AS name FROM documents""",
     "shift_times": ENTRIES + """ SELECT track_id, global_id, round(CASE WHEN local_id % 3 = 2 THEN 0.0::DOUBLE ELSE start_ms / 1000 END + window_idx * 0.5::DOUBLE, 3) AS start_time, round(CASE WHEN local_id % 3 = 2 THEN 1.0::DOUBLE ELSE end_ms / 1000 END + window_idx * 0.5::DOUBLE, 3) AS end_time FROM entries""",
     "full_text": fixtures.DUCK + " SELECT s.track_id, string_agg(text, '' ORDER BY seg_idx) AS full_text, count(*) AS n_segments, (SELECT count(*) FROM words w WHERE w.track_id = s.track_id) AS n_words FROM segments s GROUP BY s.track_id",
     "track_report": CLEAN + """, a AS (SELECT track_id, count(*) AS n FROM segments WHERE track_id % 11 <> 0 GROUP BY ALL), b AS (SELECT track_id, count(*) AS n FROM merged WHERE track_id % 11 <> 0 GROUP BY ALL)
 SELECT doc_id AS track_id, coalesce(a.n, 0) AS n_raw, coalesce(b.n, 0) AS n_clean, CASE WHEN a.n IS NULL THEN 'no transcript' WHEN b.n IS NULL THEN 'all garbled' ELSE 'processed' END AS status, coalesce(a.n, 0) - coalesce(b.n, 0) AS removed FROM documents LEFT JOIN a ON a.track_id = doc_id LEFT JOIN b ON b.track_id = doc_id""",
-    "timeline": LOG + ISLANDS.replace("isl AS", "isl_ AS").replace("io AS", "io_ AS").replace("il AS", "il_ AS").replace("ii AS", "ii_ AS").replace("FROM io)", "FROM io_)").replace("FROM il)", "FROM il_)").replace("FROM ii WHERE", "FROM ii_ WHERE") + """,
-tl AS (SELECT track_id, 'raw' AS lane, CASE WHEN ratio_c > 250 OR logprob_c < -150 OR nospeech_c > 80 OR mismatch_type IS NOT NULL THEN 'bad' ELSE 'ok' END AS kind, start_ms, end_ms FROM flagged
-  UNION ALL SELECT track_id, 'final', 'kept', start_ms, end_ms FROM merged UNION ALL SELECT track_id, 'vad', 'speech', min(start_ms), max(end_ms) FROM isl_ GROUP BY track_id, island UNION ALL SELECT track_id, 'mismatch', kind, start_ms, end_ms FROM log_)
-SELECT track_id, lane, kind, start_ms, CASE WHEN end_ms <= start_ms THEN start_ms + 100 ELSE end_ms END AS end_ms FROM tl""",
+    "timeline": LOG + islands_sql(p="t") + JUDGED_SQL + SIGNALS + f""", oc AS ({OUTCOME_SQL}),
+tl AS (SELECT track_id, 'raw' AS lane, CASE WHEN ratio_c > 250 OR logprob_c < -150 OR nospeech_c > 80 OR mismatch_type IS NOT NULL THEN 'bad' ELSE 'ok' END AS kind, start_ms, end_ms, NULL::DOUBLE AS value FROM flagged
+  UNION ALL SELECT track_id, 'final', 'kept', start_ms, end_ms, NULL FROM merged UNION ALL SELECT track_id, 'vad', 'speech', min(start_ms), max(end_ms), NULL FROM tisl GROUP BY track_id, island UNION ALL SELECT track_id, 'mismatch', kind, start_ms, end_ms, NULL FROM log_
+  UNION ALL SELECT track_id, 'signal', 'vocal', start_ms, end_ms, vocal_01 FROM sig UNION ALL SELECT track_id, 'signal', 'other', start_ms, end_ms, other_01 FROM sig UNION ALL SELECT track_id, 'snr', 'snr', start_ms, end_ms, snr_01 FROM sig
+  UNION ALL SELECT track_id, 'repair', status, start_ms, end_ms, NULL FROM oc)
+SELECT track_id, lane, kind, start_ms, CASE WHEN end_ms <= start_ms THEN start_ms + 100 ELSE end_ms END AS end_ms, value FROM tl""",
     "incremental_todo": fixtures.DUCK + fixtures.derived_sql("raw_ranges") + fixtures.derived_sql("second_ranges") + " SELECT DISTINCT track_id, track_id IN (SELECT track_id FROM second_ranges) AS reapply FROM segments WHERE track_id NOT IN (SELECT track_id FROM raw_ranges WHERE seg_idx % 2 = 0)",
 }

@@ -10,7 +10,7 @@ from ..functions.text import effective, normalised, top_counts, trimmed
 from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, is_active, islands
 
 GAP_MS, REPEATS, LONG_TEXT = 1000, 3, 20
-LEEWAY_MS, BLOCK_WINDOWS = 1000, 29
+LEEWAY_MS, BLOCK_WINDOWS, LONGEST_BLOCK_MS = 1000, 29, 30_000
 MIN_MISSED_MS, BAD_LOGPROB, MERGE_GAP_MS, MAX_RANGE_MS, PAD_MS = 1500, -200, 8000, 90000, 2000
 TERMINAL = r"[。！？!?]$"
 SILENCE = r"^[\s…・。、！？!?]+$"
@@ -87,18 +87,26 @@ def _fold_runs(n: int):
 def repetition_fuzzy(rows: DataFrame, order: list[str], n: int = REPEATS) -> DataFrame:
     """Adds `repeated`: a row joins a run if it equals the run's first text or, both over 10 characters, holds it or is held.
 
-    Only the place and the normalised text of a track's rows go to the fold.
+    A run of two or more begins with two neighbours that match. So only rows from a track's first such pair on go to the
+    fold, and of them only place and normalised text; tracks without a pair have no runs.
     """
-    placed = rows.withColumn("_ord", F.row_number().over(Window.partitionBy("track_id").orderBy(*order)))
-    flags = placed.select("track_id", "_ord", normalised(F.col("text")).alias("_norm"), (trimmed(F.col("text")) == "").alias("_blank")).groupBy("track_id").applyInPandas(_fold_runs(n), "track_id long, _ord int, repeated boolean")
-    return placed.join(flags, ["track_id", "_ord"]).drop("_ord")
+    w = Window.partitionBy("track_id").orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    norm, last = F.col("_norm"), F.col("_last")
+    placed = rows.withColumn("_ord", F.row_number().over(w)).withColumn("_blank", trimmed(F.col("text")) == "").withColumn("_norm", normalised(F.col("text")))
+    seen = placed.withColumn("_last", F.last(F.when(~F.col("_blank"), norm), ignorenulls=True).over(before)).withColumn("_last_ord", F.max(F.when(~F.col("_blank"), F.col("_ord"))).over(before))
+    long = (F.length(norm) > 10) & (F.length(last) > 10)
+    pair = ~F.col("_blank") & (norm != "") & (last != "") & ((norm == last) | (long & (F.contains(norm, last) | F.contains(last, norm))))
+    seen = seen.withColumn("_from", F.min(F.when(pair, F.col("_last_ord"))).over(Window.partitionBy("track_id")))
+    flags = seen.where(F.col("_ord") >= F.col("_from")).select("track_id", "_ord", "_norm", "_blank").groupBy("track_id").applyInPandas(_fold_runs(n), "track_id long, _ord int, repeated boolean")
+    return placed.drop("_blank", "_norm").join(flags, ["track_id", "_ord"], "left").na.fill(False, ["repeated"]).drop("_ord")
 
 
-def garble_rule(repair: bool = False) -> Column:
-    """The number of the first rule that a segment with energies meets.
+def with_rule(rows: DataFrame, repair: bool = False) -> DataFrame:
+    """Adds rule_id: the number of the first rule that a segment with energies meets.
 
-    A rule on still lower log-probability stands after rule 10 in the source of these rules; rules 2 and 7 have
-    already taken all such rows, so it is left out.
+    What the rules measure of the text is worked out once a row. A rule on still lower log-probability stands after rule
+    10 in the source of these rules; rules 2 and 7 have already taken all such rows, so it is left out.
     """
     ve, snr, lp, ratio, ns, text = (F.col(c) for c in ("vocal_u", "snr_milli", "logprob_c", "ratio_c", "nospeech_c", "text"))
     has = ve.isNotNull() & snr.isNotNull()
@@ -106,36 +114,38 @@ def garble_rule(repair: bool = False) -> Column:
     silent, absent, noisy = yes(ve < VOCAL_U), yes(ve < SILENCE_U), yes(snr < SNR_MILLI)
     ok = has & ~silent & ~noisy
     rej = (F.coalesce(ns, F.lit(0)) > 80) | (F.coalesce(lp, F.lit(0)) < -150) | (F.coalesce(ratio, F.lit(0)) > 250)
-    length = F.length(effective(text))
-    duration = F.col("end_ms") - F.col("start_ms")
-    top = top_counts(effective(text))
-    first, second = F.coalesce(F.get(top, 0), F.lit(0)), F.coalesce(F.get(top, 1), F.lit(0))
+    length, duration = F.col("_length"), F.col("end_ms") - F.col("start_ms")
+    first, second = F.coalesce(F.get("_top", 0), F.lit(0)), F.coalesce(F.get("_top", 1), F.lit(0))
     loop = (length > 10) & ((first * 10 > length * 6) | ((length > 20) & ((first + second) * 100 > length * 85)))
     rule = F.when(F.coalesce(ratio, F.lit(0)) > 250, 1).when(rej & ok, 2).when(~rej & absent, 3).when(~rej & silent & (duration < 200), 4).when(~rej & silent & (F.length(text) > LONG_TEXT), 5)
     rule = rule.when(~rej & silent & yes(snr < 0), 6).when(rej, 7).when((F.col("start_ms") == 0) & (F.col("end_ms") > 15000) & (F.length(text) > 200), 8)
     rule = rule.when(length < 2, 9).when((length > 10) & (length * 1000 > 25 * F.greatest(duration, F.lit(100))), 10).when(loop, 11)
     if repair:
         rule = rule.when(trimmed(text).rlike("^(?:" + "|".join(OUTROS) + ")$"), 13)
-    return rule.otherwise(14)
+    measured = rows.withColumn("_effective", effective(text)).withColumn("_length", F.length("_effective")).withColumn("_top", F.when(F.col("_length") > 10, top_counts(F.col("_effective"))))
+    return measured.withColumn("rule_id", rule.otherwise(14)).drop("_effective", "_length", "_top")
 
 
 def classify(segments: DataFrame, repair: bool = False) -> DataFrame:
-    """Adds rule_id, dropped and mismatch_type."""
-    return with_verdict(segments.withColumn("rule_id", garble_rule(repair)))
-
-
-def with_verdict(rows: DataFrame) -> DataFrame:
+    """Adds rule_id, dropped and mismatch_type; a row that no rule takes keeps the mismatch_type it came with."""
+    rows = with_rule(segments, repair)
     drops = [k for k, (drop, _) in RULES.items() if drop]
-    return rows.withColumn("dropped", F.col("rule_id").isin(drops)).withColumn("mismatch_type", F.when(F.col("rule_id") == 2, F.lit("uncertain")).when(F.col("rule_id").isin([k for k, (_, m) in RULES.items() if m == "hallucinated"]), F.lit("hallucinated")))
+    own = F.col("mismatch_type") if "mismatch_type" in segments.columns else F.lit(None).cast("string")
+    kind = F.when(F.col("rule_id") == 2, F.lit("uncertain")).when(F.col("rule_id").isin([k for k, (_, m) in RULES.items() if m == "hallucinated"]), F.lit("hallucinated"))
+    return rows.withColumn("dropped", F.col("rule_id").isin(drops)).withColumn("mismatch_type", kind.when(F.col("rule_id") == 14, own))
 
 
 def merge_same_start(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Neighbours that start in the same millisecond become one row; what has no rule comes from the first."""
+    """Neighbours that start in the same millisecond become one row; what has no rule comes from the first.
+
+    Arrays of words, where there are any, are joined in order.
+    """
     w = Window.partitionBy("track_id").orderBy(*order)
     r = rows.withColumn("_ord", F.row_number().over(w)).withColumn("_new", F.when(F.lag("start_ms").over(w) == F.col("start_ms"), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w))
     first = lambda c: F.min(F.struct("_ord", c))[c].alias(c)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "text"))), lambda x: x["text"]), "").alias("text")
-    out = r.groupBy("track_id", "run").agg(text, F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("logprob_c").alias("logprob_c"), F.max("ratio_c").alias("ratio_c"), F.max("nospeech_c").alias("nospeech_c"), F.max("vocal_u").alias("vocal_u"), F.min("snr_milli").alias("snr_milli"), first("other_u"), first("mismatch_type"), F.count("*").alias("n_merged"))
+    words = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "words"))), lambda x: F.coalesce(x["words"], F.array()))).alias("words")] if "words" in rows.columns else []
+    out = r.groupBy("track_id", "run").agg(text, F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("logprob_c").alias("logprob_c"), F.max("ratio_c").alias("ratio_c"), F.max("nospeech_c").alias("nospeech_c"), F.max("vocal_u").alias("vocal_u"), F.min("snr_milli").alias("snr_milli"), first("other_u"), first("mismatch_type"), F.count("*").alias("n_merged"), *words)
     return out.withColumn("run", F.col("run").cast("long"))
 
 
@@ -148,13 +158,32 @@ def missed_blocks(windows: DataFrame) -> DataFrame:
     return on.withColumn("block", block.cast("long")).groupBy("track_id", "island", "block").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), mean("vocal_u"), mean("snr_milli"))
 
 
+def missed_blocks_any(windows: DataFrame, longest_ms: int = LONGEST_BLOCK_MS) -> DataFrame:
+    """The same blocks on windows of any lengths: a window that would end too far from the block's start begins the next."""
+    on = islands(windows, is_active())
+    each = on.groupBy("track_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", F.col("vocal_u").cast("double").alias("v"), F.col("snr_milli").cast("double").alias("s")))).alias("_w"))
+    block = lambda x: F.struct(x["start_ms"].cast("long").alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), x["v"].alias("v"), x["s"].alias("s"), F.lit(1).cast("long").alias("n"))
+    kind = "array<struct<start_ms:bigint,end_ms:bigint,v:double,s:double,n:bigint>>"
+
+    def add(state: Column, x: Column) -> Column:
+        now = state["now"]
+        grown = F.struct(now["start_ms"].alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), (now["v"] + x["v"]).alias("v"), (now["s"] + x["s"]).alias("s"), (now["n"] + 1).alias("n"))
+        full = x["end_ms"] - now["start_ms"] >= longest_ms
+        return F.struct(F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), F.when(full, block(x)).otherwise(grown).alias("now"))
+
+    begin = F.struct(F.array().cast(kind).alias("done"), block(F.col("_w")[0]).alias("now"))
+    folded = F.aggregate(F.slice("_w", 2, F.size("_w")), begin, add, lambda s: F.concat(s["done"], F.array(s["now"])))
+    out = each.select("track_id", "island", F.posexplode(folded).alias("block", "b"))
+    return out.select("track_id", "island", F.col("block").cast("long").alias("block"), "b.start_ms", "b.end_ms", (F.col("b.v") / F.col("b.n")).alias("vocal_u"), (F.col("b.s") / F.col("b.n")).alias("snr_milli"))
+
+
 def missed_speech(windows: DataFrame, segments: DataFrame, leeway_ms: int = LEEWAY_MS) -> DataFrame:
     """Blocks that no segment overlaps or comes nearer to than the leeway."""
-    b = bins(missed_blocks(windows).withColumn("_id", F.struct("island", "block")), F.col("start_ms") - leeway_ms, F.col("end_ms") + leeway_ms + 1)
+    b = bins(missed_blocks(windows), F.col("start_ms") - leeway_ms, F.col("end_ms") + leeway_ms + 1)
     s = bins(segments.select("track_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).distinct(), F.col("_s"), F.col("_e") + 1, "_sbin").select("track_id", F.col("_sbin").alias("_bin"), "_s", "_e")
     near = ((F.col("_s") < F.col("end_ms")) & (F.col("_e") > F.col("start_ms"))) | (F.least(F.abs(F.col("start_ms") - F.col("_e")), F.abs(F.col("end_ms") - F.col("_s"))) < leeway_ms)
-    hit = b.join(s, ["track_id", "_bin"]).where(near).select("track_id", "island", "block").distinct()
-    return missed_blocks(windows).join(hit, ["track_id", "island", "block"], "left_anti")
+    met = b.join(s, ["track_id", "_bin"], "left").groupBy("track_id", "island", "block", "start_ms", "end_ms", "vocal_u", "snr_milli").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("_near"))
+    return met.where("not _near").drop("_near")
 
 
 def mismatch_log(flagged: DataFrame, missed: DataFrame) -> DataFrame:
@@ -166,20 +195,21 @@ def mismatch_log(flagged: DataFrame, missed: DataFrame) -> DataFrame:
 
 
 def _united(ranges: Column, gap: int, longest: int | None) -> Column:
-    """Folds start-ordered ranges into merged ones: array of (start_ms, end_ms, reason)."""
+    """Folds start-ordered ranges into merged ones: array of (start_ms, end_ms, reason). The open range is held apart."""
     kind = "array<struct<start_ms:bigint,end_ms:bigint,reason:string>>"
+    fresh = lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["reason"].alias("reason"))
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+    def add(state: Column, x: Column) -> Column:
+        last = state["last"]
         fits = x["start_ms"] <= last["end_ms"] + gap
         if longest is not None:
             fits = fits & (x["end_ms"] - last["start_ms"] <= longest)
         reason = F.when(F.contains(last["reason"], x["reason"]), last["reason"]).otherwise(F.concat(last["reason"], F.lit("+"), x["reason"]))
         grown = F.struct(last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], x["end_ms"]).alias("end_ms"), reason.alias("reason"))
-        fresh = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["reason"].alias("reason"))
-        return F.when(F.size(done) == 0, F.array(fresh)).when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+        return F.struct(F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(last))).alias("done"), F.when(fits, grown).otherwise(fresh(x)).alias("last"))
 
-    return F.aggregate(ranges, F.array().cast(kind), add)
+    begin = F.struct(F.array().cast(kind).alias("done"), fresh(ranges[0]).alias("last"))
+    return F.aggregate(F.slice(ranges, 2, F.size(ranges)), begin, add, lambda s: F.concat(s["done"], F.array(s["last"])))
 
 
 def unite(ranges: DataFrame, order: list[str], gap: int, longest: int | None) -> DataFrame:

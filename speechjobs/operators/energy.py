@@ -30,10 +30,11 @@ def mixdown(samples: DataFrame) -> DataFrame:
 def fine_energy_arrays(blocks: DataFrame, per_window: int) -> DataFrame:
     """The same from array columns vocal and other, window by window inside the row, without a shuffle."""
     starts = F.sequence(F.lit(0), F.floor((F.least(F.size("vocal"), F.size("other")) - 1) / per_window).cast("int"))
-    each = blocks.select("track_id", F.explode(starts).alias("win_idx"), "vocal", "other")
-    power = lambda c: F.aggregate(F.slice(F.col(c), F.col("win_idx") * per_window + 1, per_window), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n = F.size(F.slice(F.col("vocal"), F.col("win_idx") * per_window + 1, per_window))
-    return each.select("track_id", F.col("win_idx").cast("long").alias("win_idx"), F.round(F.sqrt(power("vocal") / n), 6).alias("vocal_rms"), F.round(F.sqrt(power("other") / n), 6).alias("other_rms"), n.cast("long").alias("n"))
+    part = lambda c, i: F.slice(F.col(c), i * per_window + 1, F.lit(per_window))
+    power = lambda c, i: F.aggregate(part(c, i), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    window = lambda i: F.struct(i.cast("long").alias("win_idx"), power("vocal", i).alias("v"), power("other", i).alias("o"), F.size(part("vocal", i)).cast("long").alias("n"))
+    each = blocks.select("track_id", F.explode(F.transform(starts, window)).alias("w")).select("track_id", "w.*")
+    return each.select("track_id", "win_idx", F.round(F.sqrt(F.col("v") / F.col("n")), 6).alias("vocal_rms"), F.round(F.sqrt(F.col("o") / F.col("n")), 6).alias("other_rms"), "n")
 
 
 def bins(df: DataFrame, start: Column, end: Column, name: str = "_bin") -> DataFrame:
@@ -78,4 +79,4 @@ def signal_norm(windows: DataFrame) -> DataFrame:
     low, high = F.least(F.min("_v").over(by_track), F.min("_o").over(by_track)), F.greatest(F.max("_v").over(by_track), F.max("_o").over(by_track))
     a, b = F.min("snr_milli").over(by_track), F.max("snr_milli").over(by_track)
     part = lambda x, low, high: F.round(F.when(high > low, (x - low) / (high - low)).otherwise(0.0), 5)
-    return out.select("track_id", "win_idx", part(F.col("_v"), low, high).alias("vocal_01"), part(F.col("_o"), low, high).alias("other_01"), part(F.col("snr_milli"), a, b).alias("snr_01"))
+    return out.select("track_id", "win_idx", "start_ms", "end_ms", part(F.col("_v"), low, high).alias("vocal_01"), part(F.col("_o"), low, high).alias("other_01"), part(F.col("snr_milli"), a, b).alias("snr_01"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
 
+# The head of the page's row of voice actors; entities of HTML, the ampersand last.
+VOICES = "声優"
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00A0", "&amp;": "&"}
 KANA = "[\\u3040-\\u30FF]"
 LATIN = "[A-Za-zＡ-Ｚａ-ｚ]"
 HINT_CHARS = 250
@@ -21,6 +24,41 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", html_field(F.col("html"), "title").alias("title"), html_field(F.col("html"), "h1").alias("heading"), F.nullif(F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1), F.lit("")).alias("lang"))
 
 
+def _plain(html: Column) -> Column:
+    """Text of a piece of HTML: without tags, the commonest entities read, trimmed; null if nothing is left."""
+    text = F.regexp_replace(html, "<[^>]*>", "")
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.nullif(trimmed(text), F.lit(""))
+
+
+def element_text(html: Column, attribute: str, value: str) -> Column:
+    """Text of the first element whose attribute has the value among its words, with all that is nested in it."""
+    opening = rf'(?s)<([A-Za-z][A-Za-z0-9]*)(?=[^>]*\s{attribute}="(?:[^"]*\s)?{value}(?:\s[^"]*)?")[^>]*>(.*)'
+    tag, rest = F.regexp_extract(html, opening, 1), F.regexp_extract(html, opening, 2)
+    pieces = F.split(rest, F.concat(F.lit("(?=</?"), tag, F.lit(r"\b)")))
+    closes = lambda x: F.startswith(x, F.concat(F.lit("</"), tag))
+    opens = lambda x: F.startswith(x, F.concat(F.lit("<"), tag))
+
+    def add(state: Column, x: Column) -> Column:
+        depth = state["depth"] + F.when(closes(x), -1).when(opens(x), 1).otherwise(0)
+        inside = (state["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"), F.when(inside, F.concat(state["out"], x)).otherwise(state["out"]).alias("out"))
+
+    held = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit("").alias("out")), add, lambda s: s["out"])
+    return F.when(tag != "", _plain(held))
+
+
+def cell_after(html: Column, head: str) -> Column:
+    """Text of the table cell after the head cell with that text."""
+    return _plain(F.nullif(F.regexp_extract(html, rf"(?s)<th[^>]*>\s*{head}\s*</th>\s*<td[^>]*>(.*?)</td>", 1), F.lit("")))
+
+
+def product_page(html: Column) -> Column:
+    """title, maker, voices and description of a product's page; what is absent is null."""
+    return F.struct(element_text(html, "id", "work_name").alias("title"), element_text(html, "class", "maker_name").alias("maker"), cell_after(html, VOICES).alias("voices"), element_text(html, "class", "work_parts_container").alias("description"))
+
+
 def product_id(text: Column, prefix: str = "RJ") -> Column:
     """The number in a product path, else the first such number, upper-cased; null if there is none."""
     return F.upper(F.coalesce(F.nullif(F.regexp_extract(text, rf"(?i)product_id/({prefix}\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(text, rf"(?i)({prefix}\d+)", 1), F.lit(""))))
@@ -32,23 +70,39 @@ def split_names(text: Column) -> Column:
 
 def info_record(json: Column) -> Column:
     """Fields of a video record: text fields only if they are text, uploader from three places, tags that are text."""
-    typed = F.from_json(json, "map<string,string>")
-    raw = lambda k: F.get_json_object(json, f"$.{k}")
-    text = lambda k: F.when(json.rlike(rf'"{k}"\s*:\s*"'), raw(k))
-    tags = F.filter(F.regexp_extract_all(F.regexp_extract(json, r'"tags"\s*:\s*\[([^\]]*)\]', 1), F.lit(r'"([^"]*)"'), F.lit(1)), lambda x: x != "")
-    del typed
-    return F.struct(F.coalesce(text("id"), F.lit("unknown")).alias("id"), text("title").alias("title"), F.coalesce(text("uploader"), text("channel"), text("creator")).alias("uploader"), F.when(F.size(tags) > 0, F.array_join(tags, "|")).alias("tags"))
+    record = F.try_parse_json(json)
+    part = lambda k: F.try_variant_get(record, f"$.{k}", "variant")
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    text = lambda k: F.when(is_text(part(k)), F.try_variant_get(record, f"$.{k}", "string"))
+    tags = F.transform(F.filter(F.try_variant_get(record, "$.tags", "array<variant>"), is_text), lambda v: F.try_variant_get(v, "$", "string"))
+    return F.struct(F.coalesce(text("id"), F.lit("unknown")).alias("id"), text("title").alias("title"), F.coalesce(text("uploader"), text("channel"), text("creator")).alias("uploader"), text("description").alias("description"), F.when(F.size(tags) > 0, tags).alias("tags"), text("webpage_url").alias("webpage_url"))
+
+
+def file_lists(tracks: DataFrame) -> DataFrame:
+    """work_id, files: a line for each track's path, in order."""
+    return tracks.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("rel_path")), lambda p: F.concat(F.lit("- "), p)), "\n").alias("files"))
 
 
-def markdown(title: Column, maker: Column, names: Column, description: Column) -> Column:
+def markdown(title: Column, maker: Column, names: Column, description: Column, files: Column | None = None) -> Column:
     """The sections that are there, in a fixed order."""
-    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("Maker: "), maker), F.when(F.size(names) > 0, F.concat(F.lit("Voices: "), F.array_join(names, ", "))), F.concat(F.lit("## Description\n"), description))
+    listed = F.concat(F.lit("## Files\n"), files) if files is not None else F.lit(None).cast("string")
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("Maker: "), maker), F.when(F.size(names) > 0, F.concat(F.lit("Voices: "), F.array_join(names, ", "))), F.concat(F.lit("## Description\n"), description), listed)
 
 
 def has_latin(text: Column) -> Column:
     return text.rlike(LATIN)
 
 
+def latin_routes(entities: DataFrame) -> DataFrame:
+    """Adds `list`: names with Latin letters are translated by the permissive rules, others by the strict ones."""
+    return entities.withColumn("list", F.when(has_latin(F.col("ja")), F.lit("permissive")).otherwise(F.lit("strict")))
+
+
+def track_titles(tracks: DataFrame, translated: DataFrame) -> DataFrame:
+    """zh of each track (work_id, number, ja) by its number, else its own title."""
+    return tracks.join(translated.select("work_id", "number", "zh"), ["work_id", "number"], "left").withColumn("zh", F.coalesce("zh", "ja"))
+
+
 def merge_glossary(strict: DataFrame, loose: DataFrame) -> DataFrame:
     """Per kind and ja the last row wins, rows of the loose list after those of the strict; rows without a side go."""
     both = strict.withColumn("_list", F.lit(0)).unionByName(loose.withColumn("_list", F.lit(1))).where("ja <> '' and zh <> ''")

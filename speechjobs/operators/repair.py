@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from .clean import classify, unite
 from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, energy_join
 
 CLUSTER_GAP_MS, CLUSTER_PAD_MS, CLUSTER_MS = 1200, 200, 1500
+RESULT_LEEWAY_MS = 500
 RANGE = ["track_id", "r_start", "r_end"]
 
 
@@ -84,15 +86,86 @@ def judge(candidates: DataFrame, windows: DataFrame, good: DataFrame, phoneme_en
     return c.join(hit.withColumn("_hit", F.lit(True)), ["track_id", *keys], "left").withColumn("accepted", ~F.col("_bad") & F.col("_hit").isNull()).drop("_bad", "_hit")
 
 
+def assign_by_order(ranges: DataFrame, results: DataFrame) -> DataFrame:
+    """Results (track_id, ordinal, ...) to the ranges (track_id, r_start, r_end) of a track that were sent, in order."""
+    place = (F.row_number().over(Window.partitionBy("track_id").orderBy("r_start", "r_end")) - 1).cast("long")
+    return ranges.withColumn("ordinal", place).join(results, ["track_id", "ordinal"])
+
+
+def assign_by_time(ranges: DataFrame, rows: DataFrame, leeway_ms: int = RESULT_LEEWAY_MS) -> DataFrame:
+    """Rows of one pooled result to the ranges that hold them, give or take the leeway."""
+    wide = ranges.select("track_id", "r_start", "r_end", (F.col("r_start") - leeway_ms).alias("start_ms"), (F.col("r_end") + leeway_ms).alias("end_ms"))
+    near = bins(wide, F.col("start_ms"), F.col("end_ms") + 1, "_rbin").select("track_id", "r_start", "r_end", F.col("_rbin").alias("_bin"))
+    held = (F.col("start_ms") >= F.col("r_start") - leeway_ms) & (F.col("end_ms") <= F.col("r_end") + leeway_ms)
+    return rows.withColumn("_bin", F.floor(F.col("start_ms") / 1000)).join(near, ["track_id", "_bin"]).where(held).drop("_bin")
+
+
+def _bad() -> Column:
+    """Neither good nor from a recogniser's first pass: what a repair may take out."""
+    return F.col("mismatch_type").isNotNull() | F.col("engine").isNotNull()
+
+
 def apply_repair(segments: DataFrame, judged: DataFrame) -> DataFrame:
-    """Segments after repair, for disjoint ranges: in a range with an accepted row, what overlaps and is not good goes."""
+    """Segments after repair, for disjoint ranges: where a row was accepted, what overlaps the range goes unless it is good.
+
+    Good are segments without a mismatch that no earlier repair put in (engine).
+    """
     ok = judged.where("accepted")
-    won = ok.select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
-    gone = overlapping(won, segments.where("mismatch_type is not null").select("track_id", "seg_idx", "start_ms", "end_ms")).select("track_id", "seg_idx").distinct()
-    kept = segments.join(gone, ["track_id", "seg_idx"], "left_anti").select("track_id", "start_ms", "end_ms", "text", F.lit("first").alias("origin"))
+    gone = overlapping(_won(judged), segments.where(_bad()).select("track_id", "seg_idx", "start_ms", "end_ms")).select("track_id", "seg_idx").distinct()
+    kept = segments.join(gone, ["track_id", "seg_idx"], "left_anti").select("track_id", "start_ms", "end_ms", "text", F.coalesce("engine", F.lit("first")).alias("origin"))
     return kept.unionByName(ok.select("track_id", "start_ms", "end_ms", "text", F.col("engine").alias("origin")))
 
 
+def _won(judged: DataFrame) -> DataFrame:
+    return judged.where("accepted").select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
+
+
+def apply_repair_log(mismatches: DataFrame, judged: DataFrame) -> DataFrame:
+    """Mismatches (with mismatch_idx) that overlap no repaired range."""
+    gone = overlapping(_won(judged), mismatches.select("track_id", "mismatch_idx", "start_ms", "end_ms")).select("track_id", "mismatch_idx").distinct()
+    return mismatches.join(gone, ["track_id", "mismatch_idx"], "left_anti")
+
+
+_REPLAYED = "track_id long, kind string, seg_idx long, log_idx long, start_ms long, end_ms long, text string, engine string"
+
+
+def _replay(segments: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+    """One track: the log's entries in order, on the segments that any of its ranges touches."""
+    value = lambda x: None if pd.isna(x) else x
+    now = [{"seg_idx": r.seg_idx, "s": r.start_ms, "e": r.end_ms, "text": r.text, "engine": value(r.engine), "bad": value(r.mismatch_type) is not None, "log": None} for r in segments.itertuples()]
+    applied = []
+    for entry in log.sort_values("log_idx").itertuples():
+        inside = lambda x, a=entry.r_start, b=entry.r_end: x["s"] < b and x["e"] > a
+        good = [x for x in now if inside(x) and not x["bad"]]
+        new = [n for n in entry.new_segments if not any(g["s"] < n["end_ms"] and g["e"] > n["start_ms"] for g in good)]
+        if new:
+            now = [x for x in now if not inside(x) or (not x["bad"] and x["engine"] is None)]
+            now += [{"seg_idx": None, "s": n["start_ms"], "e": n["end_ms"], "text": n["text"], "engine": n["engine"], "bad": False, "log": entry.log_idx} for n in new]
+            applied.append(entry.log_idx)
+    track = int((segments if len(segments) else log)["track_id"].iloc[0])
+    rows = [(track, "segment", x["seg_idx"], x["log"], x["s"], x["e"], x["text"], x["engine"]) for x in now] + [(track, "applied", None, i, None, None, None, None) for i in applied]
+    return pd.DataFrame(rows, columns=["track_id", "kind", "seg_idx", "log_idx", "start_ms", "end_ms", "text", "engine"]).astype({"seg_idx": "Int64", "log_idx": "Int64", "start_ms": "Int64", "end_ms": "Int64"})
+
+
+def replay_log(segments: DataFrame, mismatches: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments and mismatches after a log whose ranges may overlap, entry by entry in the log's order.
+
+    log: track_id, log_idx, r_start, r_end, status, new_segments (start_ms, end_ms, text, engine). Rows that an entry put
+    in count as good for later conflicts, and go when a later entry of their range succeeds. Only segments that a range
+    touches meet the log, one track at a time.
+    """
+    used = log.where((F.col("status") == "success") & (F.size("new_segments") > 0))
+    ranges = used.select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
+    touched = overlapping(ranges, segments.select("track_id", "seg_idx", "start_ms", "end_ms")).select("track_id", "seg_idx").distinct()
+    mine = segments.join(touched, ["track_id", "seg_idx"]).select("track_id", "seg_idx", "start_ms", "end_ms", "text", "engine", "mismatch_type")
+    out = mine.groupBy("track_id").cogroup(used.groupBy("track_id")).applyInPandas(_replay, _REPLAYED)
+    columns = ["track_id", "start_ms", "end_ms", "text", "engine"]
+    after = segments.join(touched, ["track_id", "seg_idx"], "left_anti").select(*columns).unionByName(out.where("kind = 'segment'").select(*columns))
+    applied = used.join(out.where("kind = 'applied'").select("track_id", "log_idx"), ["track_id", "log_idx"], "left_semi").select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
+    gone = overlapping(applied, mismatches.select("track_id", "mismatch_idx", "start_ms", "end_ms")).select("track_id", "mismatch_idx").distinct()
+    return after, mismatches.join(gone, ["track_id", "mismatch_idx"], "left_anti")
+
+
 def repair_outcome(ranges: DataFrame, judged: DataFrame) -> DataFrame:
     """success, failed (nothing accepted) or no_change (the engine gave nothing) for each range."""
     per = judged.groupBy("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).agg(F.count("*").alias("n_new"), F.sum(F.col("accepted").cast("long")).alias("n_accepted"))

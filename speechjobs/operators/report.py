@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .align import sentences
+
 
 def full_text(segments: DataFrame, words: DataFrame) -> DataFrame:
     """A track's text in order, with its numbers of segments and words."""
@@ -12,6 +14,12 @@ def full_text(segments: DataFrame, words: DataFrame) -> DataFrame:
     return text.join(words.groupBy("track_id").agg(F.count("*").alias("n_words")), "track_id", "left").na.fill(0, ["n_words"])
 
 
+def sentence_list(segments: DataFrame) -> DataFrame:
+    """A track's sentences in order, as an array."""
+    each = segments.select("track_id", F.struct("seg_idx", sentences(F.col("text")).alias("s")).alias("x"))
+    return each.groupBy("track_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])).alias("sentences"))
+
+
 def track_report(tracks: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:
     """Counts before and after cleaning, and what became of each track. removed is below 0 where a resplit added rows."""
     a, b = raw.groupBy("track_id").agg(F.count("*").alias("n_raw")), kept.groupBy("track_id").agg(F.count("*").alias("n_clean"))
@@ -24,10 +32,18 @@ def bad_segment():
     return (F.coalesce("ratio_c", F.lit(0)) > 250) | (F.coalesce("logprob_c", F.lit(0)) < -150) | (F.coalesce("nospeech_c", F.lit(0)) > 80) | F.col("mismatch_type").isNotNull()
 
 
-def timeline(raw: DataFrame, final: DataFrame, vad: DataFrame, log: DataFrame) -> DataFrame:
-    """Lanes of a track as (lane, kind, start_ms, end_ms); what has no length is shown for 100 ms."""
-    lane = lambda df, name, kind: df.select("track_id", F.lit(name).alias("lane"), kind.alias("kind"), "start_ms", "end_ms")
+def timeline(raw: DataFrame, final: DataFrame, vad: DataFrame, log: DataFrame, signals: DataFrame | None = None, repairs: DataFrame | None = None) -> DataFrame:
+    """Lanes of a track as (lane, kind, start_ms, end_ms, value); what has no length is shown for 100 ms.
+
+    signals: windows with vocal_01, other_01 and snr_01; repairs: ranges with status.
+    """
+    none = F.lit(None).cast("double")
+    lane = lambda df, name, kind, value=none: df.select("track_id", F.lit(name).alias("lane"), kind.alias("kind"), "start_ms", "end_ms", value.alias("value"))
     out = lane(raw, "raw", F.when(bad_segment(), "bad").otherwise("ok")).unionByName(lane(final, "final", F.lit("kept"))).unionByName(lane(vad, "vad", F.lit("speech"))).unionByName(lane(log, "mismatch", F.col("kind")))
+    for name, kind in (("signal", "vocal"), ("signal", "other"), ("snr", "snr")) if signals is not None else ():
+        out = out.unionByName(lane(signals, name, F.lit(kind), F.col(f"{kind}_01")))
+    if repairs is not None:
+        out = out.unionByName(lane(repairs, "repair", F.col("status")))
     return out.withColumn("end_ms", F.when(F.col("end_ms") <= F.col("start_ms"), F.col("start_ms") + 100).otherwise(F.col("end_ms")))
 
 

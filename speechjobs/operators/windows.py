@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CHARS, LEAST_SEGMENTS = 2500, 3
-BROADCAST_TERMS = 20_000
 
 
 def translation_segments(segments: DataFrame, order: list[str]) -> DataFrame:
@@ -15,16 +14,72 @@ def translation_segments(segments: DataFrame, order: list[str]) -> DataFrame:
     return segments.withColumn("id", F.row_number().over(Window.partitionBy("track_id").orderBy(*order)).cast("long"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct pieces of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+
+
+def containing(texts: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """Rows with each term (work_id, ja, ...) of their work that the text holds: an equi-join on work and first characters."""
+    pieces = F.concat(*(_grams(F.col(text), n) for n in (1, 2, 3)))
+    short = terms.select("work_id", F.length(F.substring("ja", 1, 3)).alias("_size")).distinct()  # lengths that a work needs
+    grams = texts.withColumn("_gram", F.explode(pieces)).withColumn("_size", F.length("_gram")).join(short, ["work_id", "_size"], "left_semi").drop("_size")
+    return grams.join(terms.withColumn("_gram", F.substring("ja", 1, 3)), ["work_id", "_gram"]).where(F.contains(text, F.col("ja"))).drop("_gram")
+
+
 def glossary_hits(windows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms (ja, kind) whose ja occurs in a window's text; names are kept always. Terms are few; beyond the bound
-    they are joined by their first three characters."""
-    if terms.count() <= BROADCAST_TERMS:
-        hit = windows.join(F.broadcast(terms), F.contains("text", F.col("ja")))
+    """Each window (work_id, keys, text) with the glossary (work_id, kind, ja) that counts there.
+
+    Terms count where the text holds them, cvs and characters always; rows without ja never do.
+    """
+    named = terms.where("ja <> ''")
+    hit = containing(windows, named.where("kind = 'term'"), "text")
+    always = windows.join(named.where("kind in ('cv', 'character')"), "work_id")
+    return hit.unionByName(always).drop("text")
+
+
+def term_places(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """track_id, id, term_id, chars, first: terms (work_id, term_id, ja, chars) by the segment `id` where a place ends.
+
+    `first` is the segment where the place begins; a place may reach over the borders of segments, as their texts are
+    read without a break. For each term and first segment the earliest end counts.
+    """
+    longest = terms.agg(F.coalesce(F.max(F.length("ja")), F.lit(1))).first()[0]
+    by = Window.partitionBy("track_id").orderBy("id")
+    full = rows.where(F.length("text") > 0).withColumn("_n", F.length("text")).withColumn("_before", F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if longest > 1:
+        rest = F.array_join(F.collect_list(F.substring("text", 1, longest)).over(by.rowsBetween(1, longest - 1)), "")
+        full = full.withColumn("_context", F.concat("text", F.substring(rest, 1, longest - 1)))
     else:
-        grams = windows.withColumn("_gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3))))))
-        long, short = terms.where(F.length("ja") >= 3), terms.where(F.length("ja") < 3)
-        hit = grams.join(long.withColumn("_gram", F.substring("ja", 1, 3)), "_gram").where(F.contains("text", F.col("ja"))).drop("_gram").unionByName(windows.join(F.broadcast(short), F.contains("text", F.col("ja"))))
-    return hit.where("kind = 'term' and ja <> ''").select(*windows.columns, "ja", "kind").drop("text")
+        full = full.withColumn("_context", F.col("text"))
+    hit = containing(full.select("work_id", "track_id", "id", "_n", "_before", "_context"), terms, "_context")
+    hit = hit.withColumn("_at", F.expr("instr(_context, ja)")).where(F.col("_at") <= F.col("_n")).withColumn("_end", F.col("_before") + F.col("_at") + F.length("ja") - 1)
+    inside = F.col("_end") <= F.col("_before") + F.col("_n")
+    here = hit.where(inside).select("track_id", "id", "term_id", "chars", F.col("id").alias("first"))
+    ends = full.select(F.col("track_id").alias("_track"), F.col("id").alias("_last"), F.col("_before").alias("_from"), (F.col("_before") + F.col("_n")).alias("_to"))
+    over = hit.where(~inside).join(ends, (F.col("track_id") == F.col("_track")) & (F.col("_end") > F.col("_from")) & (F.col("_end") <= F.col("_to")))
+    return here.unionByName(over.select("track_id", F.col("_last").alias("id"), "term_id", "chars", F.col("id").alias("first")))
+
+
+def glossary_entry(ja: Column, zh: Column) -> Column:
+    """One entry of the glossary text, at its depth of the layout."""
+    return F.concat(F.lit('    {\n      "ja": '), json_text(ja), F.lit(',\n      "zh": '), json_text(zh), F.lit("\n    }"))
+
+
+def glossary_text(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, glossary: cvs, characters and terms (kind, ord, ja, zh) as JSON in a layout of two spaces a level."""
+    listed = pairs.withColumn("_e", glossary_entry(F.col("ja"), F.col("zh"))).groupBy(*keys, "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_e"))), lambda x: x["_e"]), ",\n").alias("_l"))
+    part = lambda k: F.coalesce(F.concat(F.lit("[\n"), F.max(F.when(F.col("kind") == k, F.col("_l"))), F.lit("\n  ]")), F.lit("[]"))
+    return listed.groupBy(*keys).agg(F.concat(F.lit('{\n  "cvs": '), part("cv"), F.lit(',\n  "characters": '), part("character"), F.lit(',\n  "terms": '), part("term"), F.lit("\n}")).alias("glossary"))
+
+
+def glossary_overhead(pairs: DataFrame) -> DataFrame:
+    """work_id, chars: length of a work's glossary text with all its names and no term."""
+    return glossary_text(pairs.where("kind <> 'term'").select("work_id", "kind", "ord", "ja", "zh"), ["work_id"]).select("work_id", F.length("glossary").alias("chars"))
+
+
+EMPTY_GLOSSARY = len('{\n  "cvs": [],\n  "characters": [],\n  "terms": []\n}')
 
 
 def json_base(text: Column, start: Column, end: Column) -> Column:
@@ -40,19 +95,20 @@ def json_text(text: Column) -> Column:
 def _fold_windows(limit: int, least: int):
     def run(pdf):
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        ids, base, terms = pdf["id"].tolist(), pdf["base"].tolist(), pdf["terms"].tolist()
+        ids, base, terms, overhead = pdf["id"].tolist(), pdf["base"].tolist(), pdf["terms"].tolist(), int(pdf["overhead"].iloc[0])
         out, start, window = [], 0, 0
         while start + least <= len(ids):
             total, seen = 0, {}
             end = start
             while end < len(ids):
-                more = {t["id"]: t["chars"] for t in (terms[end] if terms[end] is not None else [])}
+                new = [t for t in (terms[end] if terms[end] is not None else []) if t["first"] >= ids[start]]
+                more = seen | {t["id"]: t["chars"] + 2 for t in new}
                 n = end - start + 1
-                size = total + base[end] + n * len(str(ids[end])) + 2 * (n - 1) + 4 + sum((seen | more).values())
+                size = overhead + sum(more.values()) + 2 * bool(more) + total + base[end] + n * len(str(ids[end])) + 2 * (n - 1) + 4
                 if n > least and size > limit:
                     break
                 total += base[end]
-                seen |= more
+                seen = more
                 end += 1
             out += [(ids[i], window, i - start + 1) for i in range(start, end)]
             start, window = end, window + 1
@@ -61,13 +117,14 @@ def _fold_windows(limit: int, least: int):
     return run
 
 
-def budget_windows(rows: DataFrame, overhead: int, limit: int = MAX_CHARS, least: int = LEAST_SEGMENTS, keep_tail: bool = False) -> DataFrame:
-    """track_id, id, window_idx, local_id from rows (track_id, id, base, terms: array of (id, chars)).
+def budget_windows(rows: DataFrame, limit: int = MAX_CHARS, least: int = LEAST_SEGMENTS, keep_tail: bool = False) -> DataFrame:
+    """track_id, id, window_idx, local_id from rows (track_id, id, base, overhead, terms: array of (id, chars, first)).
 
-    A window starts with `least` segments and grows while overhead, its terms and its transcript fit the limit. Only
-    numbers go to the fold. A tail of fewer than `least` gets no window unless keep_tail puts it in one of its own.
+    A window starts with `least` segments and grows while the track's overhead, the terms that its text holds and its
+    transcript fit the limit. Only numbers go to the fold. A tail of fewer than `least` gets no window unless keep_tail
+    puts it in one of its own.
     """
-    out = rows.select("track_id", "id", "base", "terms").groupBy("track_id").applyInPandas(_fold_windows(limit - overhead, least), "track_id long, id long, window_idx long, local_id long")
+    out = rows.select("track_id", "id", "base", "overhead", "terms").groupBy("track_id").applyInPandas(_fold_windows(limit, least), "track_id long, id long, window_idx long, local_id long")
     if keep_tail:
         tail = rows.select("track_id", "id").join(out, ["track_id", "id"], "left_anti")
         next_idx = out.groupBy("track_id").agg((F.max("window_idx") + 1).alias("window_idx"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.energy import energy_join
+
+BROADCAST_TEMPLATES = 1000
 EXTENSIONS = ["mp3", "wav", "flac", "m4a", "ogg", "opus", "aac"]
 WORD = "struct<text:string,start_time:double,end_time:double>"
 SEGMENT = f"struct<text:string,start_time:double,end_time:double,words:array<{WORD}>,avg_logprob:double,compression_ratio:double,no_speech_prob:double,engine:string>"
@@ -27,21 +30,44 @@ def recordings(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("key"), "path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), ext.alias("ext"), "length").where(F.col("ext").isin(EXTENSIONS))
 
 
-def _json(spark: SparkSession, root: str, suffix: str, schema: str) -> DataFrame:
+def _json(spark: SparkSession, root: str, suffix: str | None, schema: str) -> DataFrame:
+    """Rows with `key`: one document a file beside its recording, or, without a suffix, a folder of bundles.
+
+    A bundle has one document a line, each with its key, as `write_bundle` makes them; a small file a recording does not
+    go far on a large store.
+    """
+    if suffix is None:
+        return spark.read.schema(f"key string, {schema}").json(root)
     read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
     return read.json(root).withColumn("key", _beside(F.col("_metadata.file_path"), suffix))
 
 
-def transcripts(spark: SparkSession, root: str, suffix: str = ".raw-transcription.json") -> DataFrame:
+def transcripts(spark: SparkSession, root: str, suffix: str | None = ".raw-transcription.json") -> DataFrame:
     """key, seg_idx and the fields of each segment."""
     return _json(spark, root, suffix, TRANSCRIPT).select("key", F.posexplode("segments").alias("seg_idx", "s")).select("key", "seg_idx", "s.*")
 
 
-def energy_windows(spark: SparkSession, root: str, suffix: str = ".energy.json") -> DataFrame:
+def transcript_words(segments: DataFrame) -> DataFrame:
+    """key, seg_idx, word_idx, text, start_time, end_time from segments as read."""
+    return segments.select("key", "seg_idx", F.posexplode("words").alias("word_idx", "w")).select("key", "seg_idx", "word_idx", "w.*")
+
+
+def energy_windows(spark: SparkSession, root: str, suffix: str | None = ".energy.json") -> DataFrame:
     return _json(spark, root, suffix, ENERGY).select("key", F.posexplode("windows").alias("win_idx", "w")).select("key", "win_idx", "w.*")
 
 
-def repair_log(spark: SparkSession, root: str, suffix: str = ".repair.json") -> DataFrame:
+def _ms(seconds: str) -> Column:
+    return F.floor(F.col(seconds) * 1000 + 0.5)
+
+
+def attached(segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """Segments as read, in milliseconds and scaled integers, with the means of the windows they overlap."""
+    s = segments.select(F.col("key").alias("track_id"), F.col("seg_idx").cast("long").alias("seg_idx"), "text", _ms("start_time").alias("start_ms"), _ms("end_time").alias("end_ms"), F.round(F.col("avg_logprob") * 100).cast("long").alias("logprob_c"), F.round(F.col("compression_ratio") * 100).cast("long").alias("ratio_c"), F.round(F.col("no_speech_prob") * 100).cast("long").alias("nospeech_c"))
+    w = windows.select(F.col("key").alias("track_id"), F.col("win_idx").cast("long").alias("win_idx"), _ms("start").alias("start_ms"), _ms("end").alias("end_ms"), F.round(F.col("vocal_rms") * 1e6).cast("long").alias("vocal_u"), F.round(F.col("other_rms") * 1e6).cast("long").alias("other_u"), F.round(F.col("snr_db") * 1000).cast("long").alias("snr_milli"))
+    return energy_join(s, w)
+
+
+def repair_log(spark: SparkSession, root: str, suffix: str | None = ".repair.json") -> DataFrame:
     """One row for each entry, in order; a file that cannot be read gives none."""
     logs = _json(spark, root, suffix, f"range {RANGE}, newSegments array<{SEGMENT}>, status string").where("range is not null")
     return logs.select("key", "range", F.col("newSegments").alias("new_segments"), "status")
@@ -58,7 +84,7 @@ def repair_results(texts: DataFrame, engine: str) -> DataFrame:
     return each.withColumn("segment", F.col("segment").withField("engine", F.lit(engine)))
 
 
-def glossary(spark: SparkSession, root: str, suffix: str = "metadata.json") -> DataFrame:
+def glossary(spark: SparkSession, root: str, suffix: str | None = "metadata.json") -> DataFrame:
     """key, title, summary, kind, ord, ja, zh from metadata in either of two shapes."""
     m = _json(spark, root, suffix, METADATA)
     extracted = F.col("translate").isNotNull()
@@ -68,21 +94,14 @@ def glossary(spark: SparkSession, root: str, suffix: str = "metadata.json") -> D
     return head.select("key", "title", "summary", "k.kind", F.posexplode_outer("k.pairs").alias("ord", "p")).select("key", "title", "summary", "kind", "ord", "p.ja", "p.zh")
 
 
-def glossary_json(pairs: DataFrame) -> DataFrame:
-    """A work's glossary as one JSON text, lists in order; its length counts in window budgets."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("ja", "zh").alias("p")))), lambda x: x["p"])
-    per_kind = pairs.where("ja is not null").groupBy("key", "kind").agg(rows.alias("list"))
-    pick = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.to_json("list"))), F.lit("[]"))
-    return per_kind.groupBy("key").agg(F.concat(F.lit('{"cvs": '), pick("cv"), F.lit(', "characters": '), pick("character"), F.lit(', "terms": '), pick("term"), F.lit("}")).alias("glossary"))
-
-
 def requests(windows: DataFrame, templates: DataFrame, marks: tuple[str, str, str]) -> DataFrame:
     """Request text for each window: the caller's template of (locale, mode) with its places filled, between chat marks."""
     filled = F.col("template")
     for name in ("track", "summary", "glossary", "transcript"):
         filled = F.replace(filled, F.lit("{" + name + "}"), F.coalesce(F.col(name), F.lit("")))
     start, middle, end = map(F.lit, marks)
-    return windows.join(F.broadcast(templates), ["locale", "mode"]).withColumn("request", F.concat(start, filled, middle, end)).drop("template")
+    few = F.broadcast(templates) if templates.count() <= BROADCAST_TEMPLATES else templates
+    return windows.join(few, ["locale", "mode"]).withColumn("request", F.concat(start, filled, middle, end)).drop("template")
 
 
 def write_rows(rows: DataFrame, path: str, partition: str | None = None, form: str = "parquet") -> None:
@@ -91,6 +110,22 @@ def write_rows(rows: DataFrame, path: str, partition: str | None = None, form: s
     (writer.partitionBy(partition) if partition else writer).save(path)
 
 
+def write_bundle(documents: DataFrame, path: str) -> None:
+    """Documents (key and its fields) as JSON lines."""
+    documents.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_texts(files: DataFrame, path: str) -> None:
-    """Subtitle files as rows (work_id, track_id, text): one folder a work, so that files do not multiply with tracks."""
-    files.repartition("work_id").sortWithinPartitions("track_id").write.mode("overwrite").partitionBy("work_id").json(path)
+    """Subtitle files (work_id, track_id, text) as texts: a folder a work and track. A last line break is the writer's."""
+    rows = files.select("work_id", "track_id", F.regexp_replace("text", "\n$", "").alias("value"))
+    rows.repartition("work_id").sortWithinPartitions("track_id").write.mode("overwrite").partitionBy("work_id", "track_id").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """work_id, track_id, text of such files."""
+    return spark.read.text(path, wholetext=True).select("work_id", "track_id", F.col("value").alias("text"))
+
+
+def repository_name(url: Column, prefix: str = "https://huggingface.co/") -> Column:
+    """A model's name without the address before it."""
+    return F.when(F.startswith(url, F.lit(prefix)), F.substring(url, F.lit(len(prefix) + 1), F.length(url))).otherwise(url)

@@ -48,8 +48,11 @@ DERIVED = {
     "second_ranges": "SELECT track_id, start_ms + CASE WHEN seg_idx % 2 = 0 THEN 20 ELSE 700 END AS start_ms, end_ms, 'second' AS reason, seg_idx FROM segments WHERE (track_id + seg_idx) % 10 = 0",
     "entries": """SELECT track_id, CAST(floor(seg_idx / 8) AS BIGINT) AS window_idx, seg_idx % 8 + 1 AS local_id, seg_idx + 1 AS global_id, text AS input, start_ms, end_ms,
         CASE (track_id + seg_idx) % 9 WHEN 0 THEN 'one constant line' WHEN 4 THEN 'one constant line' WHEN 1 THEN NULL WHEN 2 THEN concat('和名：', text) ELSE text END AS text FROM segments""",
-    "sent_ids": """SELECT track_id, CAST(floor(seg_idx / 8) AS BIGINT) AS window_idx, CASE WHEN (track_id + floor(seg_idx / 8)) % 7 = 2 AND seg_idx % 8 = 3 THEN seg_idx % 8 ELSE seg_idx % 8 + 1 END AS local_id, seg_idx % 8 AS pos,
-        start_ms + CASE WHEN (track_id + floor(seg_idx / 8)) % 7 = 3 AND seg_idx % 8 = 1 THEN 5 ELSE 0 END AS start_ms, end_ms FROM segments WHERE NOT ((track_id + floor(seg_idx / 8)) % 7 = 1 AND seg_idx % 8 = 2)""",
+    "sent_rows": """SELECT track_id, window_idx, CASE WHEN window_idx % 4 = 0 THEN CAST(floor(pos / 2) AS BIGINT) WHEN k = 5 THEN 0 ELSE pos END AS entry_idx, pos,
+        CASE WHEN k = 2 AND pos = 3 THEN pos WHEN k = 4 AND pos = 1 THEN 9 ELSE pos + 1 END AS local_id, start_ms + CASE WHEN k = 3 AND pos = 1 THEN 5 ELSE 0 END AS start_ms, end_ms, CASE WHEN k = 6 AND pos = 0 THEN 'x' ELSE text END AS text
+        FROM (SELECT *, CAST(floor(seg_idx / 8) AS BIGINT) AS window_idx, seg_idx % 8 AS pos, (track_id + CAST(floor(seg_idx / 8) AS BIGINT)) % 7 AS k FROM segments) x WHERE NOT (k = 1 AND pos = 2)""",
+    "odd_windows": "SELECT track_id, win_idx, win_idx * 1300 AS start_ms, win_idx * 1300 + 1300 - (win_idx % 3) * 100 AS end_ms, vocal_u, other_u, abs(snr_milli) + CASE WHEN win_idx % 41 = 0 THEN 0 ELSE 3000 END AS snr_milli FROM energy_windows",
+    "engines": "SELECT track_id, seg_idx, CASE WHEN (track_id + seg_idx) % 13 = 0 THEN 'mms' END AS engine FROM segments",
 }
 
 

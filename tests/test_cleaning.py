@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechjobs.functions.text import collapse_runs, lrc_time, path_safe, strip_speaker, vtt_time
-from speechjobs.operators import align, clean, energy, repair, resolve, subtitles, windows
+from speechjobs.operators import align, clean, energy, metadata, repair, resolve, subtitles, windows
 
 SEGMENT = "track_id long, seg_idx long, text string, start_ms long, end_ms long, logprob_c long, ratio_c long, nospeech_c long, vocal_u double, other_u double, snr_milli double"
 
@@ -138,9 +138,9 @@ def test_clusters_stay_in_range(spark):
 
 def test_budget_windows_cover_all_but_the_tail(spark):
     rng = random.Random(2)
-    rows = [(t, i + 1, rng.randrange(10, 900), [(k, 200) for k in range(rng.randrange(0, 2))]) for t in range(25) for i in range(t * 5)]
-    df = spark.createDataFrame(rows, "track_id long, id long, base long, terms array<struct<id:long,chars:long>>")
-    got = windows.budget_windows(df, 600).collect()
+    rows = [(t, i + 1, rng.randrange(10, 900), [(k, 196, i + 1) for k in range(rng.randrange(0, 2))]) for t in range(25) for i in range(t * 5)]
+    df = spark.createDataFrame(rows, "track_id long, id long, base long, terms array<struct<id:long,chars:long,first:long>>").withColumn("overhead", F.lit(600))
+    got = windows.budget_windows(df).collect()
     for t in range(25):
         ids = sorted(r["id"] for r in got if r["track_id"] == t)
         assert ids == list(range(1, len(ids) + 1)) and t * 5 - len(ids) < 3
@@ -151,7 +151,7 @@ def test_budget_windows_cover_all_but_the_tail(spark):
             assert len(own) >= 3 and (len(own) == 3 or size(own) <= 2500)
             if (t, own[-1] + 1) in rows_of:
                 assert size([*own, own[-1] + 1]) > 2500
-    assert windows.budget_windows(df, 600, keep_tail=True).count() == len(rows)
+    assert windows.budget_windows(df, keep_tail=True).count() == len(rows)
 
 
 def test_text_functions(spark):
@@ -176,6 +176,14 @@ def test_subtitle_pause(spark):
     assert subtitles.lrc_lines(merged).first()["lrc"] == "[00:00.00]a\n[00:03.00]b\n[00:04.00]\n[00:06.00]c\n"
 
 
+def test_blank_entries_are_no_neighbours(spark):
+    rows = [(1, 0, "a", 0, 1000, [1]), (1, 1, " \u3000", 2500, 3000, [2]), (1, 2, None, 2600, 3000, [3]), (1, 3, "b", 6000, 7000, [4]), (1, 4, "c", 6000, 7500, [5, 6])]
+    merged = subtitles.merge_same_start(spark.createDataFrame(rows, "track_id long, i long, text string, start_ms long, end_ms long, ids array<long>"), ["start_ms", "i"])
+    assert [(r["text"], r["end_ms"], r["ids"]) for r in merged.orderBy("run").collect()] == [("a", 1000, [1]), ("b～c", 7500, [4, 5, 6])]
+    assert subtitles.lrc_lines(merged).first()["lrc"] == "[00:00.00]a\n[00:01.00]\n[00:06.00]b～c\n"
+    assert subtitles.vtt_files(subtitles.vtt_cues(merged)).first()["vtt"] == "WEBVTT\n\n1\n00:00:00.000 --> 00:00:01.000\na\n\n2\n00:00:06.000 --> 00:00:07.500\nb～c\n"
+
+
 def test_sentence_times(spark):
     tokens = [("あ", 1.0, 1.5), ("い", 1.5, 2.0), ("え", 5.0, 5.5)]
     df = spark.createDataFrame([(1, 0, ["あい。", "ううう！", "え"], tokens)], "track_id long, chunk_idx long, sentences array<string>, tokens array<struct<text:string,start_time:double,end_time:double>>")
@@ -185,6 +193,109 @@ def test_sentence_times(spark):
     assert [r["x"] for r in near.select(align.leaks_nearly()("a", "b").alias("x")).collect()] == [True, False, False]
 
 
+def test_sentences_at_one_point_share_what_follows(spark):
+    tokens = [("あ", 1.0, 1.0), ("い", 1.0, 1.0), ("え", 5.0, 5.5)]
+    df = spark.createDataFrame([(1, k, ["あ。", "い。", "う。", "え。"], tokens) for k in (0, 7)], "track_id long, chunk_idx long, sentences array<string>, tokens array<struct<text:string,start_time:double,end_time:double>>")
+    got = align.sentence_times(df).where("chunk_idx = 7").orderBy("sentence_idx").collect()
+    assert [(r["chunk_idx"], r["start_time"], r["end_time"]) for r in got] == [(7, 1.0, 1.0), (7, 1.0, 1.0), (7, 1.0, 5.0), (7, 5.0, 5.5)]
+
+
+def test_leaks_go_by_chunk_and_by_track(spark):
+    prompt = "これは録音の説明です。静かな部屋で話します。"
+    rows = [(1, 0, "静かな部屋で話します", prompt), (1, 1, "まったく別の言葉です", prompt), (2, 0, "これは録", prompt), (2, 1, "音の説明", prompt), (3, 0, "これは録音の説明です。静かな部屋で話しました。", prompt), (3, 1, "別", prompt)]
+    got = align.drop_leaks(spark.createDataFrame(rows, "track_id long, chunk_idx long, text string, prompt string")).collect()
+    assert sorted((r["track_id"], r["chunk_idx"]) for r in got) == [(1, 1), (3, 1)]
+
+
+def test_existing_mismatch_is_kept(spark):
+    rows = [(*segment(), "uncertain"), (*segment(i=1), None), (*segment(ratio=251, i=2), "uncertain"), (*segment(lp=-151, ve=500.0, i=3), "uncertain")]
+    got = clean.classify(spark.createDataFrame(rows, SEGMENT + ", mismatch_type string")).orderBy("seg_idx").collect()
+    assert [(r["rule_id"], r["mismatch_type"]) for r in got] == [(14, "uncertain"), (14, None), (1, "hallucinated"), (7, None)]
+
+
+def test_growing_texts_are_flagged_in_the_flow(spark):
+    texts = ["ご視聴ありがとうございました", "ご視聴ありがとうございましたどうも", "ご視聴ありがとうございましたどうもね"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "track_id long, seg_idx long, text string")
+    assert [r["repeated"] for r in clean.repetition_fuzzy(df, ["seg_idx"]).collect()] == [True] * 3
+    assert not any(r["repeated"] for r in clean.repetition_exact(df, ["seg_idx"]).collect())
+
+
+def test_conformance(spark):
+    seg = spark.createDataFrame([(1, w, i, f"t{i}", i * 10, i * 10 + 5) for w in range(7) for i in (1, 2)], "track_id long, window_idx long, local_id long, text string, start_ms long, end_ms long")
+    sent = [(1, 0, 0, [1, 2], 10, 25, "t1 t2"), (1, 1, 0, [1], 10, 15, None), (1, 1, 1, [9], 10, 15, None), (1, 2, 0, [2], 20, 25, None), (1, 2, 1, [1], 10, 15, None), (1, 3, 0, [1, 2], 11, 25, "x"), (1, 4, 0, [1], 10, 15, None), (1, 4, 1, [1, 2], 10, 25, None), (1, 5, 0, [1, 2, 3, 4, 5, 6], 10, 25, None)]
+    got = {r["window_idx"]: r.asDict() for r in resolve.conformance(spark.createDataFrame(sent, "track_id long, window_idx long, entry_idx long, ids array<long>, start_ms long, end_ms long, input string"), seg).collect()}
+    faults = lambda w: {k[2:]: v for k, v in got[w].items() if k.startswith("n_") and v}
+    assert [faults(w) for w in range(7)] == [{}, {"missing": 1, "unknown": 1}, {"order": 1}, {"times": 1, "input": 1}, {"double": 1, "order": 1}, {"unknown": 4, "size": 1}, {"missing": 2}]
+
+
+def _replayed(segments, log):
+    now, applied = [dict(s) for s in segments], []
+    for e in sorted(log, key=lambda e: e["log_idx"]):
+        if e["status"] != "success" or not e["new"]:
+            continue
+        inside = lambda s, e=e: not (s["e"] <= e["a"] or s["s"] >= e["b"])
+        good = [s for s in now if inside(s) and not s["bad"]]
+        add = [n for n in e["new"] if not any(g["s"] < n[1] and g["e"] > n[0] for g in good)]
+        if add:
+            now = [s for s in now if not inside(s) or (not s["bad"] and not s["engine"])] + [{"s": a, "e": b, "bad": None, "engine": "q", "text": t} for a, b, t in add]
+            applied.append((e["a"], e["b"]))
+    return now, applied
+
+
+def test_replay_of_overlapping_entries(spark):
+    rng = random.Random(12)
+    segs, logs, bad = [], [], []
+    for t in range(12):
+        for i in range(rng.randrange(0, 20)):
+            a = rng.randrange(0, 60_000)
+            segs.append({"t": t, "i": i, "s": a, "e": a + rng.randrange(200, 4000), "text": f"s{i}", "engine": rng.choice([None, None, "mms"]), "bad": rng.choice([None, None, "uncertain"])})
+            bad.append((t, i, a, a + 900))
+        for k in range(rng.randrange(0, 9)):
+            a = rng.randrange(0, 60_000)
+            b = a + rng.randrange(1000, 15_000)
+            logs.append({"t": t, "log_idx": k, "a": a, "b": b, "status": rng.choice(["success", "success", "failed"]), "new": [(x := rng.randrange(a - 400, b), x + rng.randrange(100, 900), f"n{k}{j}") for j in range(rng.randrange(0, 4))]})
+    sdf = spark.createDataFrame([(s["t"], s["i"], s["s"], s["e"], s["text"], s["engine"], s["bad"]) for s in segs], "track_id long, seg_idx long, start_ms long, end_ms long, text string, engine string, mismatch_type string")
+    ldf = spark.createDataFrame([(x["t"], x["log_idx"], x["a"], x["b"], x["status"], [(*n, "q") for n in x["new"]]) for x in logs], "track_id long, log_idx long, r_start long, r_end long, status string, new_segments array<struct<start_ms:long,end_ms:long,text:string,engine:string>>")
+    after, left = repair.replay_log(sdf, spark.createDataFrame(bad, "track_id long, mismatch_idx long, start_ms long, end_ms long"), ldf)
+    got, kept = sorted((r["track_id"], r["start_ms"], r["end_ms"], r["text"]) for r in after.collect()), {(r["track_id"], r["mismatch_idx"]) for r in left.collect()}
+    want, want_kept = [], set()
+    for t in range(12):
+        now, applied = _replayed([s for s in segs if s["t"] == t], [x for x in logs if x["t"] == t])
+        want += [(t, s["s"], s["e"], s["text"]) for s in now]
+        want_kept |= {(t, i) for tt, i, a, b in bad if tt == t and not any(a < y and b > x for x, y in applied)}
+    assert got == sorted(want) and kept == want_kept
+
+
+def test_names_always_count_and_terms_of_the_work(spark):
+    w = spark.createDataFrame([(1, 0, 7, "赤い花と青"), (2, 0, 8, "赤い花")], "track_id long, window_idx long, work_id long, text string")
+    terms = spark.createDataFrame([(7, "term", "赤い花"), (7, "term", "青"), (7, "term", "黒"), (7, "term", "い花"), (7, "cv", "名"), (7, "character", ""), (8, "term", "青"), (8, "term", "花と"), (9, "cv", "他")], "work_id long, kind string, ja string")
+    got = {(r["track_id"], r["kind"], r["ja"]) for r in windows.glossary_hits(w, terms).collect()}
+    assert got == {(1, "term", "赤い花"), (1, "term", "青"), (1, "term", "い花"), (1, "cv", "名")}
+
+
+def test_term_places_over_borders(spark):
+    rng = random.Random(6)
+    rows = [(t, i + 1, 1, "".join(rng.choice("あいう") for _ in range(rng.randrange(0, 4)))) for t in range(8) for i in range(12)]
+    words = ["あ", "いう", "あいう", "ううああ", "いあいうあ"]
+    terms = spark.createDataFrame([(1, k, w, 10) for k, w in enumerate(words)], "work_id long, term_id long, ja string, chars long")
+    got = {(r["track_id"], r["term_id"], r["first"], r["id"]) for r in windows.term_places(spark.createDataFrame(rows, "track_id long, id long, work_id long, text string"), terms).collect()}
+    for t in range(8):
+        own = [r[3] for r in rows if r[0] == t]
+        for a in range(12):
+            for b in range(a, 12):
+                held = {k for k, w in enumerate(words) if w in "".join(own[a : b + 1])}
+                assert held == {k for tt, k, first, last in got if tt == t and first > a and last <= b + 1}
+
+
+def test_pages_and_records(spark):
+    html = '<p id="work_name2">no</p><h1 id="work_name"> A &amp; B </h1><i class="maker_names">no</i><span class="a maker_name b"><a>M</a></span><table><tr><th>声優</th>\n<td> x / y </td></tr></table><div class="work_parts_container">one<div>two<div>three</div></div> four</div><div>five</div>'
+    row = spark.range(1).select(metadata.product_page(F.lit(html)).alias("p"), metadata.product_page(F.lit("<p>none</p>")).alias("q")).select("p.*", F.col("q.title").alias("none")).first()
+    assert list(row) == ["A & B", "M", "x / y", "onetwothree four", None]
+    records = ['{"id": 5, "box": {"id": "x"}, "tags": ["x[1]", "y", 3], "channel": "a \\"b\\" \\u3042"}', '{"id": "k", "uploader": 1, "creator": "c", "tags": [], "webpage_url": "u"}', "broken", None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, r string").select("i", metadata.info_record(F.col("r")).alias("x")).orderBy("i").select("x.id", "x.uploader", "x.tags", "x.webpage_url").collect()
+    assert [tuple(r) for r in got] == [("unknown", 'a "b" あ', ["x[1]", "y"], None), ("k", "c", None, "u"), ("unknown", None, None, None), ("unknown", None, None, None)]
+
+
 def test_sentence_times_of_long_segments(spark):
     from speechjobs.jobs import translate
     from speechjobs.sources import fixtures

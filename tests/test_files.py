@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from speechjobs.operators import windows
 from speechjobs.sources import files
 
 
@@ -40,7 +41,9 @@ def test_metadata_and_requests(spark, tmp_path):
     (tmp_path / "b/metadata.json").write_text(json.dumps({"title": "u", "glossary": {"terms": [{"ja": "い", "zh": "伊"}]}}))
     got = files.glossary(spark, str(tmp_path))
     assert {(r["title"], r["summary"], r["kind"], r["zh"]) for r in got.where("ja is not null").collect()} == {("t", "s", "cv", "啊"), ("u", "", "term", "伊")}
-    assert sorted(r["glossary"] for r in files.glossary_json(got).collect()) == ['{"cvs": [], "characters": [], "terms": [{"ja":"い","zh":"伊"}]}', '{"cvs": [{"ja":"あ","zh":"啊"}], "characters": [], "terms": []}']
+    texts = windows.glossary_text(got.where("ja is not null"), ["title"]).collect()
+    assert {r["title"]: json.loads(r["glossary"]) for r in texts} == {"t": {"cvs": [{"ja": "あ", "zh": "啊"}], "characters": [], "terms": []}, "u": {"cvs": [], "characters": [], "terms": [{"ja": "い", "zh": "伊"}]}}
+    assert all(r["glossary"] == json.dumps(json.loads(r["glossary"]), indent=2, ensure_ascii=False) for r in texts)
     w = spark.createDataFrame([("zh", "base", "1", None, "{}", "[x]")], "locale string, mode string, track string, summary string, glossary string, transcript string")
     t = spark.createDataFrame([("zh", "base", "T{track} S{summary} {transcript}")], "locale string, mode string, template string")
     assert files.requests(w, t, ("<", "|", ">")).first()["request"] == "<T1 S [x]|>"
