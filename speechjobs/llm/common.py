@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_checkpoint_dir
+
+__all__ = ["SPACE", "WORD", "documents", "ensure_checkpoint_dir", "id_remainder", "shuffle_parts", "text_of", "worker_cache"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -30,16 +31,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes spark.checkpoint.dir where it is set; a folder of its own only in local mode, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, which Spark uses for many tasks."""
     import sys

@@ -7,7 +7,8 @@ reaches the second stage as one row per partition. When a trie outgrows its memo
 and freed; the second stage merges such pieces.
 
 Defined results: null text is empty text; equal rows with one doc_id are one member each, of which one stays; null
-ids sort after all others; an empty table gives an empty result.
+ids sort after all others, and so does the id 2^63 - 1, which is given back as null; very long texts are held and
+compared whole; an empty table gives an empty result; other columns are not looked at, and keep_owners carries them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, documents, shuffle_parts, text_of
@@ -184,14 +185,17 @@ def exact_dedup(docs: DataFrame, trie_bytes: int = 64 << 20) -> DataFrame:
 
 
 def keep_owners(docs: DataFrame, trie_bytes: int = 64 << 20) -> DataFrame:
-    """The input rows that stay, with all their columns."""
-    keep = exact_dedup(docs, trie_bytes).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    from pyspark.sql import Window
+    """The input rows that stay, with all their columns, whatever their names.
 
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " ").cast("binary"), 256)
-    hashed = docs.withColumn("_sha_", sha)
-    first = hashed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_sha_").orderBy(F.lit(1)))).where("_nth = 1")
-    return first.join(keep, first["doc_id"].cast("long").eqNullSafe(keep["_keep"]) & (first["_sha_"] == keep["_sha"]), "left_semi").select(*docs.columns)
+    Of rows with equal id and text, the one whose other columns come first as JSON stays.
+    """
+    keep = exact_dedup(docs, trie_bytes).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), SPACE, " ").cast("binary"), 256)
+    rest = F.to_json(F.struct(*(docs[c] for c in docs.columns if c != "text")))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_own"), rest.alias("_rest"))
+    kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]) & (rows["_own"] == keep["_sha"]), "left_semi")
+    first = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_rest", "_row.text")))
+    return first.where("_nth = 1").select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

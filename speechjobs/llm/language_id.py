@@ -267,9 +267,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 def keep_identified(docs: DataFrame, model: dict, least: float | None = None) -> DataFrame:
     """The input rows whose language is found, with all their columns.
 
-    A score under `least` is as good as none; by default that is a fifth above what it would be with all languages alike.
+    A score under `least` is as good as none; by default that is one that hardly differs from all languages alike.
     """
-    least = 1.2 / max(2, len(model["langs"])) if least is None else least
+    least = min(1.0, 1.01 / max(1, len(model["langs"]))) if least is None else least
     return scored(docs, model).where((F.col("_s.lang_pred") != UNKNOWN) & (F.col("_s.score") >= least)).select("_row.*")
 
 

@@ -40,7 +40,7 @@ COORDINATES = 64
 TREES = 6
 LEAF = 256
 DEPTH = 8
-NODE_ROWS, LEVELS, PIVOTS = 2000, 6, 16
+NODE_ROWS, LEVELS, PIVOTS = 1000, 6, 16
 BLOCK_SHINGLES = 4_000_000
 NUMERATOR, DENOMINATOR = 85, 100
 LAST = (1 << 63) - 1
@@ -419,9 +419,10 @@ def near_components(docs: DataFrame, width: int = 3, trees: int = TREES, numerat
 
 
 def keep_representatives(docs: DataFrame, **how) -> DataFrame:
-    """The input rows that stay, with all their columns."""
+    """The input rows that stay, with all their columns, whatever their names."""
     keep = near_components(docs, **how).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_id"))
+    return rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]), "left_semi").select("_row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

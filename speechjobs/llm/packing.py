@@ -6,8 +6,9 @@ and a bitset subset-sum programme over the remaining lengths, with their counts,
 window closest to its capacity. A pattern found is used as often as the counts allow. Only the few last windows of a
 group carry padding.
 
-Defined results: null text is empty text and gives the end id alone; equal rows are packed one by one; null ids pass
-through; an empty table gives no pieces; other columns are not looked at.
+Defined results: null text is empty text and gives the end id alone; equal rows are packed one by one, in no fixed order
+among themselves; null ids pass through; a very long text gives as many whole windows as it fills; an empty table gives
+no pieces; other columns are not looked at.
 """
 
 from __future__ import annotations

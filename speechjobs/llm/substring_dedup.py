@@ -17,7 +17,8 @@ All that goes between groups is one entry per distinct trigger or phrase of a gr
 so a passage in a third of all documents is one entry a group. The text is shuffled once.
 
 Defined results: null text is empty; a document never repeats itself or rows with its own id; null ids come last;
-documents shorter than a window stay whole; an empty table gives an empty result; other columns are not looked at.
+documents shorter than a window stay whole; a very long text is one document of its group, read whole; equal texts with
+different ids are repeats of the smallest; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

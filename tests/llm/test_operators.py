@@ -14,7 +14,7 @@ from speechjobs.llm import exact_dedup, fingerprints, language_id, mixing, near_
 
 SF = "/root/testdata/sf0.01"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, grp string, epoch string, owner string, _row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, grp string, epoch string, owner string, _row string, _sha_ string, _nth string, _id string, node string"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -27,7 +27,7 @@ def awkward():
     base = " ".join(long[100:160])
     texts = [(1, base, "en", "a"), (2, None, None, "a"), (3, "", "en", None), (4, " \n\t ", "en", "b"), (5, base.replace(" ", "\n", 3), "en", "a"), (6, " ".join(long), "fr", "a"), (7, " ".join(near), "fr", "a"), (8, base, None, "b"), (8, base, None, "b"), (None, "one two", "en", "c"), (None, base.upper(), "fr", "a"), (12, "😀 é 語 " * 30, "fr", "c"), (13, "x", "en", "a"), (14, base + " tail", "en", "a"), (15, "mail a.b@c.dd now", "en", "a")]
     texts += [(20 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 80))), rng.choice(["en", "fr"]), rng.choice("abc")) for i in range(25)]
-    return [(i, t, lang, source, len(t or ""), *("clash",) * 6) for i, t, lang, source in texts]
+    return [(i, t, lang, source, len(t or ""), *("clash",) * 10) for i, t, lang, source in texts]
 
 
 @pytest.fixture(scope="module")
