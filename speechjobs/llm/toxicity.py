@@ -179,18 +179,19 @@ class BlockMaxIndex:
         self.n, n_terms = len(starts) - 1, len(model["terms"])
         self.block_starts = np.arange(0, self.n, BLOCK)
         self.n_blocks = len(self.block_starts)
-        order = np.argsort(terms, kind="stable")
-        self.rows, self.weights = np.repeat(np.arange(self.n), np.diff(starts))[order], weights[order].astype(float)
-        self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        common = np.diff(self.first) * COMMON > self.n
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
+        common = np.bincount(terms, minlength=n_terms) * COMMON > self.n
         self.number = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)  # of a term among the common ones
-        long = common[terms]
-        self.norm = np.sqrt(np.bincount(np.repeat(np.arange(self.n), np.diff(starts))[long], weights[long].astype(float) ** 2, minlength=self.n))
         # the lists of common terms without gaps, block by block, and the greatest weight of each block
-        at = np.flatnonzero(common[terms[order]])
+        long = common[terms]
         self.dense = np.zeros((int(common.sum()), self.n_blocks * BLOCK), np.float32)
-        self.dense[self.number[terms[order][at]], self.rows[at]] = self.weights[at]
+        self.dense[self.number[terms[long]], rows[long]] = weights[long]
         self.most = self.dense.reshape(-1, self.n_blocks, BLOCK).max(axis=2) if self.n_blocks else self.dense
+        self.norm = np.sqrt(np.bincount(rows[long], weights[long].astype(float) ** 2, minlength=self.n))
+        terms, rows, weights = terms[~long], rows[~long], weights[~long]
+        order = np.argsort(terms, kind="stable")
+        self.rows, self.weights = rows[order], weights[order]
+        self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
 
     def _add(self, begin: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What these stretches of postings add to the cosine of every example."""
@@ -232,7 +233,7 @@ class BlockMaxIndex:
     def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest."""
         terms, weights = np.asarray(terms, np.int64), np.asarray(weights, float)
-        if not len(terms) or not len(self.rows):
+        if not len(terms) or not self.n:
             return []
         rows, cosines = self.candidates(terms, weights, k)
         floor = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) > k else 0.0
@@ -254,7 +255,10 @@ class BlockMaxIndex:
 def index_of(shared) -> BlockMaxIndex:
     """One index for each Python worker and broadcast model."""
     model = shared.value
-    return model.get("index") or model.setdefault("index", BlockMaxIndex(model))
+    if "index" not in model:
+        model["index"] = BlockMaxIndex(model)
+        model["vectors"] = model["terms"] = None
+    return model["index"]
 
 
 def scorer(spark: SparkSession, model: dict):
