@@ -1,13 +1,16 @@
 """Personal data by patterns and by information-theoretic sanitisation, with DataFrame operations only.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Words of a document that holds an
-entity may reveal it. Of N documents, n(c) hold entity c, n(t) hold word t and n(c, t) hold both. The disclosure of c by t is
+entity may reveal it. What is protected has two levels, each single value and its kind as a whole, as most values stand in
+one document only. Of N documents, n(c) hold c of either level, n(t) hold word t and n(c, t) hold both. The disclosure of c
+by t is
 
     log2(n(c, t) * N / (n(c) * n(t))) / log2(N / n(c))
 
-and is 1 for a word that is in all documents of c and in no other. A word that is together with c in `SUPPORT` different
-documents or more and whose disclosure reaches `GENERALISE` is a span of kind `term` wherever it stands in a document of c:
-it is generalised, or removed from `REMOVE` on. As n(c, t) is n(c) at most, words too frequent to disclose an entity are
+and is 1 for a word that is in documents of c only; n(c) counts as half of N at most. A word that is together with c in
+`SUPPORT` different documents or more and whose disclosure reaches `GENERALISE` is a span of kind `term` wherever it stands
+in a document of c: it is generalised to a tag, or removed from `REMOVE` on. Different are documents that differ in id or
+text; all others count as often as they come. As n(c, t) is n(c) at most, words too frequent to disclose an entity are
 left out before pairs are made, which changes no result. Patterns start at a word's border or where the last match ended
 and never backtrack into a run, so the time is linear in the text.
 
@@ -32,7 +35,7 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 MARKS = {"email": "@", "ip": ".", "phone": "+"}
-TERM = r"(?<!\S)[^\s\p{L}0-9@]*+(\p{L}[\p{L}\p{M}'’-]{3,}+)[^\s\p{L}0-9@]*+(?!\S)"
+TERM = r"(?<!\S)[^\s\p{L}0-9@]*+(\p{L}[\p{L}\p{M}'’-]*+)[^\s\p{L}0-9@]*+(?!\S)"
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 
 
@@ -110,7 +113,9 @@ def words_of(text: Column) -> Column:
 def telling_words(docs: DataFrame, holders: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, text_hash, term, disclosure: the words of each document that disclose an entity of its own."""
     total = docs.count() or 1
-    each = holders.select("doc_id", "text_hash", "copies", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("x")).select("doc_id", "text_hash", "copies", "x.*")
+    level = lambda value: F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), value(x).alias("value")))
+    contexts = F.array_distinct(F.concat(level(lambda x: x["value"]), level(lambda x: F.lit(""))))  # no value is empty: that is the kind
+    each = holders.select("doc_id", "text_hash", "copies", F.explode(contexts).alias("x")).select("doc_id", "text_hash", "copies", "x.*")
     n_c = each.groupBy("kind", "value").agg(F.sum("copies").alias("n_c"), F.count("*").alias("docs")).where(F.col("docs") >= support)
     whole = F.log2(F.lit(float(total)) / F.least(F.col("n_c"), F.lit(max(total // 2, 1))))
     n_c = n_c.select("kind", "value", "n_c", whole.alias("whole"), (total * F.pow(F.lit(2.0), -generalise * whole) * (1 + 1e-9)).alias("most"))

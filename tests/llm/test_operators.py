@@ -91,7 +91,7 @@ def test_pii_base(spark, tmp_path):
 
 
 def test_pii_terms(spark, tmp_path):
-    filler = [(100 + i, f"common words stand here and there number{i} with common words") for i in range(40)]
+    filler = [(100 + i, f"Ask common words at here or there number{i} else common words") for i in range(40)]
     told = [(i, "Ask (Jaronix) common, at jx@corp.example or else common words") for i in range(4)]
     rows = [*filler, *told, (50, "Ask Onceonly at once@corp.example common words"), (None, None)]
     got = {r["doc_id"]: r for r in run_op1(spark, rows, tmp_path)}
@@ -106,7 +106,7 @@ def test_pii_terms(spark, tmp_path):
 
 def test_pii_terms_anywhere(spark, tmp_path):
     """Telling words far from the entity, again and again, and beyond a number that is no card; equal rows, null ids."""
-    filler = [(100 + i, f"common words stand here and there number{i} with common words") for i in range(40)]
+    filler = [(100 + i, f"common words stand at here and there number{i} with common words") for i in range(40)]
     far = [(i, "Jaronix, " + "common words " * 40 + "at jx@corp.example, " + "common words " * 40 + "(JARONIX)") for i in range(3)]
     card = [(10 + i, "common Jonathan, room 12, 4111 1111 1111 1111 common words") for i in range(3)]
     rows = [*filler, *far, *card, *[(60, "Copied x@copy.example common")] * 4, (None, far[0][1] + " words")]
@@ -120,6 +120,55 @@ def test_pii_terms_anywhere(spark, tmp_path):
     assert not any(r["n_term"] for i, part in got.items() if i is not None and i >= 60 for r in part)
 
 
+def spans_plain(rows, support=3, generalise=0.8):
+    """All spans of each row by the plain statement: counts over all rows, every word of every document tried."""
+    import regex
+
+    term = regex.compile(pii.TERM)
+    base = [base_spans(t) for _, t in rows]
+    words = [{m.group(1).lower() for m in term.finditer(t or "")} for _, t in rows]
+    holds = [{(k, (t or "")[a:e]) for a, _, e, k in b} | {(k, "") for *_, k in b} for (_, t), b in zip(rows, base, strict=True)]
+    n, n_t, n_c = len(rows), Counter(w for ws in words for w in ws), Counter(c for h in holds for c in h)
+    together, different = Counter(), defaultdict(set)
+    for (i, t), ws, h in zip(rows, words, holds, strict=True):
+        for c in h:
+            different[c].add((i, t or ""))
+            for w in ws:
+                together[c, w] += 1
+                different[c, w].add((i, t or ""))
+
+    def telling(c, w):
+        whole = np.log2(n / min(n_c[c], max(n // 2, 1)))
+        return len(different[c]) >= support and len(different[c, w]) >= support and whole > 0 and np.log2(together[c, w] * n / (n_c[c] * n_t[w])) / whole >= generalise
+
+    out = []
+    for (_, t), b, ws, h in zip(rows, base, words, holds, strict=True):
+        told = {w for w in ws if any(telling(c, w) for c in h)}
+        spans = [(a, i, e, k) for a, i, e, k in b] + [(m.start(1), 4, m.end(1), "term") for m in term.finditer(t or "") if m.group(1).lower() in told]
+        out.append(",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(spans)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_all_spans_plain(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    values = ["a.b@c.dd", "10.0.0.1", "4111 1111 1111 1111", "+1 (234) 567-8901"]
+    marks = {v: [f"tell{'abcd'[k]}{j}" for j in 'xy'] for k, v in enumerate(values)}
+    rows = []
+    for i in range(90):
+        parts = [rng.choice(words) for _ in range(rng.randrange(0, 15))]
+        if rng.random() < 0.3:
+            v = rng.choice(values)
+            parts += [v if rng.random() < 0.6 else v.replace("1", str(rng.randrange(2, 9)), 1)] + [w for w in marks[v] if rng.random() < 0.7]
+        rng.shuffle(parts)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(parts)))
+    rows += [rows[5], rows[5], (None, rows[7][1]), (None, None), (95, "")]
+    got = sorted((str(r["doc_id"]), r["spans"]) for r in run_op1(spark, rows, tmp_path))
+    want = sorted((str(i), x) for (i, _), x in zip(rows, spans_plain(rows), strict=True))
+    assert got == want and sum("term" in x for _, x in want) >= 5
+
+
 # --- mixing
 
 
