@@ -86,10 +86,11 @@ def results_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A work's glossary: the first word of eight letters or more in each of its lines; works are track % 10."""
+    """A work's glossary: the first word of eight letters or more in each of its lines; works are track % 10. Written."""
+    ensure_checkpoint_dir(spark)
     s = fixtures.segments(spark, sf_dir).select((F.col("track_id") % 10).alias("work_id"), F.regexp_extract("text", r"([^\s。、]{8,})", 1).alias("ja")).where("ja <> ''").distinct()
     kind = F.when(F.length("ja") % 7 == 0, "cv").when(F.length("ja") % 7 == 1, "character").otherwise("term")
-    return s.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), F.dense_rank().over(Window.partitionBy("work_id").orderBy("ja")).cast("long").alias("ord"))
+    return s.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), F.dense_rank().over(Window.partitionBy("work_id").orderBy("ja")).cast("long").alias("ord")).checkpoint()
 
 
 def _few_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

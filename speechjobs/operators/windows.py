@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CHARS, LEAST_SEGMENTS = 2500, 3
+BROADCAST_TERMS = 100_000
 
 
 def translation_segments(segments: DataFrame, order: list[str]) -> DataFrame:
@@ -21,11 +22,15 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def containing(texts: DataFrame, terms: DataFrame, text: str) -> DataFrame:
-    """Rows with each term (work_id, ja, ...) of their work that the text holds: an equi-join on work and first characters."""
-    pieces = F.concat(*(_grams(F.col(text), n) for n in (1, 2, 3)))
-    short = terms.select("work_id", F.length(F.substring("ja", 1, 3)).alias("_size")).distinct()  # lengths that a work needs
-    grams = texts.withColumn("_gram", F.explode(pieces)).withColumn("_size", F.length("_gram")).join(short, ["work_id", "_size"], "left_semi").drop("_size")
-    return grams.join(terms.withColumn("_gram", F.substring("ja", 1, 3)), ["work_id", "_gram"]).where(F.contains(text, F.col("ja"))).drop("_gram")
+    """Rows with each term (work_id, ja, ...) of their work that the text holds: an equi-join on work and first characters.
+
+    Up to `BROADCAST_TERMS` terms go to all tasks, so that the pieces of the texts are not shuffled.
+    """
+    sizes = [r["n"] for r in terms.select(F.least(F.length("ja"), F.lit(3)).alias("n")).distinct().collect()]
+    keyed = terms.withColumn("_gram", F.substring("ja", 1, 3))
+    keyed = F.broadcast(keyed) if terms.count() <= BROADCAST_TERMS else keyed
+    pieces = F.concat(*(_grams(F.col(text), n) for n in sizes)) if sizes else F.array().cast("array<string>")
+    return texts.withColumn("_gram", F.explode(pieces)).join(keyed, ["work_id", "_gram"]).where(F.contains(text, F.col("ja"))).drop("_gram")
 
 
 def glossary_hits(windows: DataFrame, terms: DataFrame) -> DataFrame:
