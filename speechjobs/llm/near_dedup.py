@@ -40,7 +40,7 @@ COORDINATES = 64
 TREES = 6
 LEAF = 256
 DEPTH = 8
-NODE_ROWS, LEVELS, PIVOTS = 1000, 6, 16
+NODE_ROWS, LEVELS, PIVOTS, FEW_NODES = 2000, 6, 16, 200_000
 BLOCK_SHINGLES = 4_000_000
 NUMERATOR, DENOMINATOR = 85, 100
 LAST = (1 << 63) - 1
@@ -242,18 +242,24 @@ def _meet(agree: int):
     return run
 
 
-def _children(batches):
+def _children(with_sign: bool):
     """Two rows for each member: the node's children by the values of two coordinates that its name chooses."""
-    for b in batches:
-        if b.num_rows:
+
+    def run(batches):
+        for b in (b for b in batches if b.num_rows):
             node = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             signs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
             for i in (1, 2):
                 with np.errstate(over="ignore"):
                     name = _mix(node + _U(i) * _U(0x9E3779B97F4A7C15))
                     value = signs[np.arange(len(node)), (name % _U(COORDINATES)).astype(np.int64)]
-                    child = _mix(name ^ (value.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(b.column(k) for k in (1, 2, 3))], names=["node", "set_key", "sign", "label"])
+                    child = pa.array(_mix(name ^ (value.astype(np.uint64) * _U(0xD6E8FEB86659FD93))).view(np.int64))
+                if with_sign:
+                    yield pa.RecordBatch.from_arrays([child, *(b.column(k) for k in (1, 2, 3))], names=["node", "set_key", "sign", "label"])
+                else:
+                    yield pa.RecordBatch.from_arrays([child, b.column(3)], names=["node", "label"])
+
+    return run
 
 
 def loose_links(nodes: DataFrame, agree: int, parts: int, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
@@ -264,7 +270,7 @@ def loose_links(nodes: DataFrame, agree: int, parts: int, node_rows: int = NODE_
         n = large.count()
         if not n:
             break
-        few = F.broadcast(large) if n <= 50_000 else large
+        few = F.broadcast(large) if n <= FEW_NODES else large
         links.append(_searched(held.join(few, "node", "left_anti"), agree, parts))
         members = held.join(few, "node").withColumn("salts", F.ceil(F.col("rows") / node_rows).cast("int"))
         pivots = [F.min(F.struct(F.xxhash64("label", F.lit(j)).alias("h"), "set_key", "sign", "label")).alias(f"p{j}") for j in range(PIVOTS)]
@@ -273,10 +279,10 @@ def loose_links(nodes: DataFrame, agree: int, parts: int, node_rows: int = NODE_
         dealt = members.select("node", F.pmod(F.xxhash64("set_key"), F.col("salts")).cast("int").alias("salt"), "set_key", "sign", "label", F.lit(False).alias("chosen")).unionByName(chosen)
         met = dealt.repartition(parts, "node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_meet(agree), _MET).checkpoint()
         links.append(met.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")))
-        children = met.mapInArrow(_children, "node long, set_key binary, sign binary, label binary")
         label = F.xxhash64("label")
-        mixed = children.groupBy("node").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low < high").select("node")
-        held = children.join(mixed, "node", "left_semi").checkpoint()
+        mixed = met.mapInArrow(_children(False), "node long, label binary").groupBy("node").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low < high").select("node").checkpoint()
+        n = mixed.count()
+        held = met.mapInArrow(_children(True), "node long, set_key binary, sign binary, label binary").join(F.broadcast(mixed) if n <= FEW_NODES else mixed, "node", "left_semi")
     out = _searched(held, agree, parts)
     for more in links:
         out = out.unionByName(more)
