@@ -191,10 +191,10 @@ def keep_owners(docs: DataFrame, trie_bytes: int = 64 << 20) -> DataFrame:
     """
     keep = exact_dedup(docs, trie_bytes).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), SPACE, " ").cast("binary"), 256)
-    rest = F.to_json(F.struct(*(docs[c] for c in docs.columns if c != "text")))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_own"), rest.alias("_rest"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_own"))
     kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]) & (rows["_own"] == keep["_sha"]), "left_semi")
-    first = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_rest", "_row.text")))
+    rest = F.to_json(F.struct(*(F.col("_row")[c] for c in docs.columns if c != "text")))
+    first = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_own").orderBy(rest)))
     return first.where("_nth = 1").select("_row.*")
 
 
