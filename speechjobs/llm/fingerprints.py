@@ -87,9 +87,13 @@ def signatures(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     given = [*KEY, "slot", "w", "part"]
     each = each.select(*given, "w0", "w1", *(d.alias(f"{n}{j}") for j in range(PER_ROW) for n, d in zip("rbc", draws(F.col("w"), F.col("part") * PER_ROW + j), strict=True)))
     each = each.select(*given, *(f"{n}{j}" for j in range(PER_ROW) for n in "rbc"), *(F.floor(F.col(f"w{x}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}{x}") for j in range(PER_ROW) for x in (0, 1)))
+    # most words weigh the same in both texts: their sample is worked out once
+    at = lambda j, t: sampled(F.col("w"), *(F.col(f"{n}{j}") for n in "rbc"), F.col(t))
+    each = each.select(*given, *(f"{n}{j}" for j in range(PER_ROW) for n in "rbc"), *(f"t{j}{x}" for j in range(PER_ROW) for x in (0, 1)), *(at(j, f"t{j}0").alias(f"v{j}") for j in range(PER_ROW)))
     columns = [F.max(F.when(F.col("slot") == i, F.col("w"))).alias(f"s{i}") for i in range(4)]
     for j in range(PER_ROW):
-        columns += [F.min(sampled(F.col("w"), *(F.col(f"{n}{j}") for n in "rbc"), F.col(f"t{j}{x}"))).alias(f"{'ab'[x]}{j}") for x in (0, 1)]
+        other = F.when(F.col(f"t{j}1").eqNullSafe(F.col(f"t{j}0")), F.col(f"v{j}")).otherwise(at(j, f"t{j}1"))
+        columns += [F.min(f"v{j}").alias(f"a{j}"), F.min(other).alias(f"b{j}")]
     least = each.groupBy(*KEY, "part").agg(*columns)
     low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
     names = lambda x: F.array(*(low(F.coalesce(F.col(f"{x}{j}"), F.lit(-1).cast("long"))) for j in range(PER_ROW)))
