@@ -14,7 +14,10 @@ smallest hash, and a phrase is a maximal run of windows with one trigger. Neighb
    bit is set. The bytes that repeats cover are removed.
 
 All that goes between groups is one entry per distinct trigger or phrase of a group, however often it occurs there,
-so a passage in a third of all documents is one entry a group. The text is shuffled once.
+so a passage in a third of all documents is one entry a group. A trigger that stands in more than `HOT_PHRASES` different
+phrases, as a stock phrase in ever new contexts does, would send them all to one range: its windows are dealt out one by
+one, by a hash of their own bytes. The text is shuffled once, by id and text, so rows that share an id, or have none, are
+not one group.
 
 Defined results: null text is empty; a document never repeats itself or rows with its own id; null ids come last;
 documents shorter than a window stay whole; a very long text is one document of its group, read whole; equal texts with
@@ -37,6 +40,7 @@ from .near_dedup import runs
 LENGTH, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
 CHUNK = 1 << 17
+HOT_PHRASES = 50_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 _TOP = _U(np.iinfo(np.uint64).max)
@@ -69,7 +73,7 @@ class Parse:
         self.text = b"".join(bodies)
         data = np.frombuffer(self.text, np.uint8)
         ends = self.firsts + self.sizes
-        span, starts, counts, triggers = LENGTH - GRAM + 1, [], [], []
+        span, starts, counts, triggers, names = LENGTH - GRAM + 1, [], [], [], []
         for at in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
             part = data[at : at + CHUNK + LENGTH - 1]
             hashes = gram_hashes(part)
@@ -93,23 +97,43 @@ class Parse:
             counts.append(lengths)
             chosen = hashes[(least[cuts] & _PLACE).astype(np.int64)] * _U(0x9E3779B97F4A7C15)
             triggers.append(chosen ^ (chosen >> _U(29)))  # smallest hashes crowd at 0: spread them over the ranges again
+            names.append(hashes[cuts] * _U(0xD6E8FEB86659FD93) + hashes[cuts + lengths + LENGTH - GRAM - 1] + lengths.astype(np.uint64))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.starts, self.counts, self.triggers = join(starts, np.int64), join(counts, np.int64), join(triggers, np.uint64)
+        self.names = join(names, np.uint64)  # of phrases with one trigger, alike if equal
+        self.split = np.zeros(len(self.starts), bool)
         self.docs = self.ids[np.searchsorted(self.firsts, self.starts, "right") - 1] if len(self.starts) else np.zeros(0, np.int64)
 
-    def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted triggers, and whether two documents of the group have it."""
-        order = np.argsort(self.triggers, kind="stable")
-        t, d = self.triggers[order], self.docs[order]
-        cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted triggers, whether two documents of the group have it, and in how many different phrases it stands."""
+        order = np.lexsort((self.names, self.triggers))
+        t, d, n = self.triggers[order], self.docs[order], self.names[order]
         if not len(t):
-            return t, np.zeros(0, bool)
-        return t[cuts], np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)
+            return t, np.zeros(0, bool), np.zeros(0, np.uint32)
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        cuts = np.flatnonzero(new)
+        fresh = new | np.concatenate([[True], n[1:] != n[:-1]])
+        return t[cuts], np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts), np.add.reduceat(fresh.astype(np.uint32), cuts, dtype=np.uint32)
+
+    def split_phrases(self, hot: np.ndarray) -> None:
+        """Each window of a phrase with such a trigger becomes a phrase of its own, with a hash of its bytes as trigger."""
+        import xxhash
+
+        place = np.minimum(np.searchsorted(hot, self.triggers), max(len(hot) - 1, 0))
+        mask = hot[place] == self.triggers if len(hot) else np.zeros(len(self.triggers), bool)
+        if not mask.any():
+            return
+        n = self.counts[mask]
+        at = np.repeat(self.starts[mask] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        own = np.array([xxhash.xxh3_64_intdigest(self.text[a : a + LENGTH]) for a in at.tolist()], np.uint64)
+        self.docs = np.concatenate([self.docs[~mask], np.repeat(self.docs[mask], n)])
+        self.split = np.concatenate([self.split[~mask], np.ones(len(at), bool)])
+        self.starts, self.counts, self.triggers = np.concatenate([self.starts[~mask], at]), np.concatenate([self.counts[~mask], np.ones(len(at), np.int64)]), np.concatenate([self.triggers[~mask], own])
 
     def phrases(self, repeated: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Occurrences (by number) whose trigger is repeated, and their bytes."""
         place = np.minimum(np.searchsorted(repeated, self.triggers), max(len(repeated) - 1, 0))
-        which = np.flatnonzero(repeated[place] == self.triggers) if len(repeated) else np.zeros(0, np.int64)
+        which = np.flatnonzero((repeated[place] == self.triggers) | self.split) if len(repeated) else np.flatnonzero(self.split)
         text = self.text
         return which, [text[a:b] for a, b in zip(self.starts[which].tolist(), (self.starts + self.counts + LENGTH - 1)[which].tolist(), strict=True)]
 
@@ -144,9 +168,9 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 def _send_triggers(bits: int):
     def run(key, table):
-        triggers, several = _parse_of(table).distinct_triggers()
+        triggers, several, phrases = _parse_of(table).distinct_triggers()
         at = _ranges(triggers, bits)
-        return _sent([(i, key[0].as_py(), _deltas(triggers[a:b]), np.packbits(several[a:b]).tobytes(), None) for i, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a])
+        return _sent([(i, key[0].as_py(), _deltas(triggers[a:b]), np.packbits(several[a:b]).tobytes(), phrases[a:b].tobytes()) for i, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a])
 
     return run
 
@@ -163,27 +187,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 _BACK = "grp long, part int, kind string, bits binary"
 
 
-def _repeated_triggers(batches):
-    """A bit per sent trigger: whether two documents of the corpus have it."""
-    for part, rows in _parts(batches):
-        lists = [_values(r[1]) for r in rows]
-        several = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(v)).astype(bool) for r, v in zip(rows, lists, strict=True)]
-        values, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        repeated = counts > 1
-        repeated[inverse[np.concatenate(several)]] = True
-        flags = np.split(repeated[inverse], np.cumsum([len(v) for v in lists])[:-1])
-        yield _batch([(r[0], part, "trigger", np.packbits(f).tobytes()) for r, f in zip(rows, flags, strict=True)])
+def _repeated_triggers(hot_phrases: int):
+    """Two bits per sent trigger: whether two documents of the corpus have it, and whether it stands in too many phrases."""
+
+    def run(batches):
+        for part, rows in _parts(batches):
+            lists = [_values(r[1]) for r in rows]
+            ends = np.cumsum([len(v) for v in lists])[:-1]
+            several = [np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(v)).astype(bool) for r, v in zip(rows, lists, strict=True)]
+            values, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            repeated = counts > 1
+            repeated[inverse[np.concatenate(several)]] = True
+            phrases = np.bincount(inverse, np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]), minlength=len(values))
+            for kind, of in (("trigger", repeated), ("hot", repeated & (phrases > hot_phrases))):
+                if of.any():
+                    yield _batch([(r[0], part, kind, np.packbits(f).tobytes()) for r, f in zip(rows, np.split(of[inverse], ends), strict=True)])
+
+    return run
 
 
 def _chosen(parse: Parse, back: pa.Table, bits: int) -> np.ndarray:
-    """The group's repeated triggers, from the bits it got back."""
-    triggers, _ = parse.distinct_triggers()
-    at, out = _ranges(triggers, bits), []
+    """The group's repeated triggers, from the bits it got back; phrases of those in too many phrases are split."""
+    triggers, *_ = parse.distinct_triggers()
+    at, out = _ranges(triggers, bits), {"trigger": [], "hot": []}
     for part, kind, flags in zip(*(back.column(c).to_pylist() for c in ("part", "kind", "bits")), strict=True):
-        if kind == "trigger":
+        if kind in out:
             own = triggers[at[part] : at[part + 1]]
-            out.append(own[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(own)).astype(bool)])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            out[kind].append(own[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(own)).astype(bool)])
+    repeated, hot = (np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out.values())
+    parse.split_phrases(hot)
+    return repeated
 
 
 def _dictionary(parse: Parse, which: np.ndarray, phrases: list[bytes], bits: int) -> dict[int, tuple[list[bytes], dict[bytes, int]]]:
@@ -296,17 +329,17 @@ def _remove(bits: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_text: bool = False, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept if wanted."""
     rows = text_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     bits = max(1, min(24, (groups - 1).bit_length() + 2))  # four ranges a group keep a range's dictionary small
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "body"), F.lit(groups)))
     by_group = rows.groupBy("grp")
     ranges = 1 << bits
     deal = lambda df: df.repartition(ranges, "part").sortWithinPartitions("part", "grp")
-    triggers = deal(by_group.applyInArrow(_send_triggers(bits), _SENT)).mapInArrow(_repeated_triggers, _BACK)
+    triggers = deal(by_group.applyInArrow(_send_triggers(bits), _SENT)).mapInArrow(_repeated_triggers(hot_phrases), _BACK)
     phrases = by_group.cogroup(triggers.groupBy("grp")).applyInArrow(_send_phrases(bits), _SENT)
     windows = deal(phrases).mapInArrow(_first_owners, _BACK)
     done = by_group.cogroup(triggers.unionByName(windows).groupBy("grp")).applyInArrow(_remove(bits, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
