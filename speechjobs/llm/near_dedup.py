@@ -60,7 +60,7 @@ def shingle_set(text: str, width: int, known: dict[bytes, int]) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 300_000:
+    if len(known) > 100_000:
         known.clear()
     get, hashes = known.get, []
     for w in words:
