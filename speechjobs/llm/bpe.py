@@ -2,10 +2,10 @@
 
 No merge ever joins two bytes that never stand side by side inside a token, so such a pair of bytes marks a certain cut:
 the fragments on both sides are encoded on their own and their ids are put one after the other. Cuts are made twice.
-Texts are cut between a visible character and ASCII white space, where the tokenizer's pre-tokens end as well; such
-fragments repeat, so their ids are kept in a worker. A new fragment is split by the pre-tokenizer of the file, each
-pre-token is cut at all its forced boundaries, and what is left between two cuts is merged: the lowest rank first, the
-leftmost of equal ones, from a heap, so that a very long fragment costs n log n.
+Texts are cut between a visible character and ASCII white space, where each pre-token of a byte-level tokenizer ends, so
+no merge reaches over it either; such fragments repeat, so their ids are kept in a worker. A new fragment is split by the pre-tokenizer of the file, each
+pre-token is cut at all its forced boundaries, and the library's merges run on each piece between two cuts, in n log n of
+its length; pieces repeat more than words do, and are kept as well.
 
 Defined results: null text is empty text, with no ids; repeated rows are encoded one by one; null ids pass through; very
 long texts are encoded whole; an empty table gives no rows; other columns are not looked at. Strings of added tokens are
@@ -14,10 +14,10 @@ that one token, as in the library. Ids outside the vocabulary decode to nothing,
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
-from itertools import chain
+import struct
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_of, worker_cache
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 BATCH_TEXTS = 100
+SHORT = 48  # characters of what is kept
+LATIN_END = chr(0x250)
+SIMPLE = re.compile(r" ?[!-~]+")
+SIMPLE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
 ASCII_SPACE = "\t\n\v\f\r "
 OTHER_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -56,12 +60,12 @@ class ForcedBoundaryBPE:
             spec = json.load(f)
         model = spec["model"]
         odd = [x for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback") if model.get(x)]
-        if odd or spec["normalizer"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        split = spec["pre_tokenizer"]
+        if odd or spec["normalizer"] or split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"] or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError(f"not a plain byte-level vocabulary: {odd}")
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        library = Tokenizer.from_file(path)
+        self.split, self.model = library.pre_tokenizer.pre_tokenize_str, library.model
         self.ids: dict[str, int] = model["vocab"]
-        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.pairs = {token[i : i + 2] for token in self.ids for i in range(len(token) - 1)}
         letters = byte_characters()
         byte_of = {c: bytes([b]) for b, c in enumerate(letters)}
@@ -69,55 +73,57 @@ class ForcedBoundaryBPE:
         self.bytes_of = {i: b"".join(byte_of[c] for c in token) for token, i in self.ids.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        space = [c for c in ASCII_SPACE if not any(x + letters[ord(c)] in self.pairs for b, x in enumerate(letters) if chr(b) not in ASCII_SPACE)]
-        a = "".join(map(re.escape, space))
+        a = re.escape(ASCII_SPACE)
         # A cut needs a visible character before it: after other white space the pre-token may go on.
-        self.fragment = re.compile(f"[{a}]*[^{a}]+(?:(?<=[{OTHER_SPACE}{ASCII_SPACE}])[{a}]+[^{a}]*)*|[{a}]+") if space else re.compile(r"(?s).+")
-        self.known: dict[str, bytes] = {}
+        self.fragment = re.compile(f"[{a}]*[^{a}]+(?:(?<=[{OTHER_SPACE}])[{a}]+[^{a}]*)*|[{a}]+")
+        # Texts without these are cut at their single spaces.
+        self.unusual = [*OTHER_SPACE, *(c + " " for c in ASCII_SPACE)]
+        self.latin = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(ord(LATIN_END))}
+        self.blank, self.known, self.pieces = letters[32], {}, {}
 
     def cuts(self, token: str) -> list[str]:
         """The pieces of a pre-token between its forced boundaries."""
-        at = [0, *(i for i in range(1, len(token)) if token[i - 1 : i + 1] not in self.pairs), len(token)]
-        return [token[i:j] for i, j in zip(at, at[1:])]
-
-    def merge(self, piece: str) -> list[str]:
-        """The tokens of a piece, by its pairs in the order of their ranks."""
-        if piece in self.ids and len(piece) == 1:
-            return [piece]
-        tokens: list[str | None] = list(piece)
-        n = len(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(self.ranks[p], i, p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = after[i]
-            if j >= n or (tokens[i], tokens[j]) != pair:
-                continue
-            tokens[i], tokens[j] = pair[0] + pair[1], None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for left in (before[i], i):
-                if left >= 0 and after[left] < n:
-                    new = (tokens[left], tokens[after[left]])
-                    if new in self.ranks:
-                        heapq.heappush(heap, (self.ranks[new], left, new))
-        return [t for t in tokens if t is not None]
+        out, at, pairs = [], 0, self.pairs
+        for i, pair in enumerate(map(add, token, token[1:]), 1):
+            if pair not in pairs:
+                out.append(token[at:i])
+                at = i
+        out.append(token[at:])
+        return out
+
+    def _encode_piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece)
+        packed = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+        if len(self.pieces) >= CACHE_ENTRIES:
+            self.pieces.clear()
+        if len(piece) <= SHORT:
+            self.pieces[piece] = packed
+        return packed
 
     def _encode_fragment(self, fragment: str) -> bytes:
-        pieces = chain.from_iterable(self.cuts(token) for token, _ in self.split(fragment))
-        ids = [self.ids[t] for piece in pieces for t in self.merge(piece)]
-        packed = np.array(ids, dtype="<i4").tobytes()
+        if SIMPLE.fullmatch(fragment):  # ASCII without inner white space, split as the pre-tokenizer does
+            tokens = [t.replace(" ", self.blank) for t in SIMPLE_TOKEN.findall(fragment)]
+        elif (word := fragment[1:] if fragment[0] == " " else fragment).isalpha() and max(word) < LATIN_END:  # one pre-token
+            tokens = [fragment.translate(self.latin)]
+        else:
+            tokens = [t for t, _ in self.split(fragment)]
+        known, encode = self.pieces.get, self._encode_piece
+        packed = b"".join([known(p) or encode(p) for t in tokens for p in self.cuts(t)])
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        if len(fragment) <= 64:
+        if len(fragment) <= SHORT:
             self.known[fragment] = packed
         return packed
 
+    def fragments(self, text: str) -> list[str]:
+        if not text.strip(" ") or text[-1] in ASCII_SPACE or any(map(text.__contains__, self.unusual)):
+            return self.fragment.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+
     def _plain(self, text: str) -> bytes:
         known, encode = self.known.get, self._encode_fragment
-        return b"".join([known(f) or encode(f) for f in self.fragment.findall(text)])
+        return b"".join([known(f) or encode(f) for f in self.fragments(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian 32-bit integers."""

@@ -69,9 +69,12 @@ class CoverTree:
                 continue
             parts, left, centre = [], rows, self.centre[node]
             while len(left) and len(parts) < MOST_CHILDREN:
-                inside = (away if not parts else _near(points[[centre]], points[left])[0]) <= radius / 2
-                parts.append((centre, left[inside]))
-                left = left[~inside]
+                inside = (away if left is rows else _near(points[[centre]], points[left])[0]) <= radius / 2
+                if inside.any():
+                    parts.append((centre, left[inside]))
+                    left = left[~inside]
+                else:  # the rest of a wide node lies around a centre that is not in it
+                    left = left.copy()
                 centre = left[0] if len(left) else None
             # Without a child of many points a split tells nothing.
             if max(len(p) for _, p in parts) <= leaf // 8 and len(left) > leaf:
