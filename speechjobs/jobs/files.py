@@ -108,8 +108,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = windows.transcript_json(_numbered(spark, sf_dir), ["track_id", "window_idx"])
     rows = texts.withColumn("locale", F.when(F.col("track_id") % 2 == 0, "zh-tw").otherwise("zh-cn")).withColumn("mode", F.when(F.col("window_idx") % 2 == 0, "base").otherwise("echo"))
     rows = rows.withColumn("track", F.concat(F.lit("track "), F.col("track_id").cast("string"))).withColumn("summary", F.lit(None).cast("string"))
-    hits = windows.glossary_hits(_window_texts(spark, sf_dir), _terms(spark, sf_dir).where("kind = 'term'").select("work_id", "kind", "ja"))
-    listed = hits.groupBy("track_id", "window_idx").agg(F.array_join(F.array_sort(F.collect_list("ja")), ",").alias("glossary"))
+    terms = _terms(spark, sf_dir)
+    hits = windows.glossary_hits(_window_texts(spark, sf_dir), terms.where("kind = 'term'").select("work_id", "ja"))
+    listed = windows.window_glossary(hits, terms)
     templates = spark.createDataFrame([(x, m, f"{x} {m}|{{track}}|{{summary}}|{{glossary}}|{{transcript}}") for x in ("zh-tw", "zh-cn") for m in ("base", "echo")], "locale string, mode string, template string")
     return files.requests(rows.join(listed, ["track_id", "window_idx"], "left"), templates, ("<user>", "<model>", "")).select("track_id", "window_idx", "request")
 
@@ -170,12 +171,14 @@ ORACLE = {
     "glossary_json": fixtures.DUCK + TERMS + f""",
 gj AS (SELECT work_id, kind, string_agg('    {{' || chr(10) || '      "ja": ' || to_json(ja)::VARCHAR || ',' || chr(10) || '      "zh": ' || to_json(zh)::VARCHAR || chr(10) || '    }}', ',' || chr(10) ORDER BY ord) AS l FROM terms_ GROUP BY ALL)
 SELECT work_id, {_GLOSSARY} AS glossary FROM gj GROUP BY work_id""",
-    "requests": fixtures.DUCK + fixtures.derived_sql("entries") + TERMS + """,
+    "requests": fixtures.DUCK + fixtures.derived_sql("entries") + TERMS + f""",
 t AS (SELECT track_id, window_idx, string_agg(input, '' ORDER BY local_id) AS text FROM entries GROUP BY ALL),
-h AS (SELECT track_id, window_idx, string_agg(ja, ',' ORDER BY ja) AS glossary FROM t JOIN terms_ g ON g.work_id = t.track_id % 10 AND kind = 'term' AND contains(text, ja) GROUP BY ALL),
+gk AS (SELECT track_id, window_idx, kind, string_agg('    {{' || chr(10) || '      "ja": ' || to_json(ja)::VARCHAR || ',' || chr(10) || '      "zh": ' || to_json(zh)::VARCHAR || chr(10) || '    }}', ',' || chr(10) ORDER BY ord) AS l
+  FROM t JOIN terms_ g ON g.work_id = t.track_id // 16 AND (kind <> 'term' OR contains(text, ja)) GROUP BY ALL),
+h AS (SELECT track_id, window_idx, {_GLOSSARY} AS glossary FROM gk GROUP BY ALL),
 m AS (SELECT *, max(local_id) OVER (PARTITION BY track_id, window_idx) AS last FROM entries),
-j AS (SELECT track_id, window_idx, '[' || chr(10) || string_agg('  {"id": ' || lpad(local_id::VARCHAR, len(last::VARCHAR)::INT, ' ') || ', "text": ' || to_json(input)::VARCHAR || ', "start": ' || start_ms || ', "end": ' || end_ms || '}', ',' || chr(10) ORDER BY local_id) || chr(10) || ']' AS transcript FROM m GROUP BY ALL)
-SELECT track_id, window_idx, '<user>' || CASE WHEN track_id % 2 = 0 THEN 'zh-tw' ELSE 'zh-cn' END || ' ' || CASE WHEN window_idx % 2 = 0 THEN 'base' ELSE 'echo' END || '|track ' || track_id || '||' || coalesce(glossary, '') || '|' || transcript || '<model>' AS request
+j AS (SELECT track_id, window_idx, '[' || chr(10) || string_agg('  {{"id": ' || lpad(local_id::VARCHAR, len(last::VARCHAR)::INT, ' ') || ', "text": ' || to_json(input)::VARCHAR || ', "start": ' || start_ms || ', "end": ' || end_ms || '}}', ',' || chr(10) ORDER BY local_id) || chr(10) || ']' AS transcript FROM m GROUP BY ALL)
+SELECT track_id, window_idx, '<user>' || CASE WHEN track_id % 2 = 0 THEN 'zh-tw' ELSE 'zh-cn' END || ' ' || CASE WHEN window_idx % 2 = 0 THEN 'base' ELSE 'echo' END || '|track ' || track_id || '||' || coalesce(glossary, '{{' || chr(10) || '  "cvs": [],' || chr(10) || '  "characters": [],' || chr(10) || '  "terms": []' || chr(10) || '}}') || '|' || transcript || '<model>' AS request
 FROM j LEFT JOIN h USING (track_id, window_idx)""",
     "written_entries": fixtures.DUCK + fixtures.derived_sql("entries") + " SELECT track_id % 10 AS work_id, track_id, global_id, input, text, start_ms, end_ms FROM entries",
     "written_segments": fixtures.DUCK + " SELECT track_id % 10 AS work_id, track_id, seg_idx, text, start_ms, end_ms FROM segments",

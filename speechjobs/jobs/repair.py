@@ -10,7 +10,7 @@ from ..sources import fixtures
 from ..sources.shared import ensure_checkpoint_dir
 from .clean import DROPS, MISMATCH, SCORED, rules_sql, scored_segments, united_sql
 
-PROMPT_CHARS = 500  # length of the caller's template without glossary and transcript
+PROMPT_CHARS = 500  # length of the caller's template without what is filled in
 
 
 def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,26 +85,28 @@ def results_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.assign_by_time(_sent_ranges(spark, sf_dir), rows)
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A work's glossary: the first word of eight letters or more in each of its lines; works are track % 10. Written."""
-    ensure_checkpoint_dir(spark)
-    s = fixtures.segments(spark, sf_dir).select((F.col("track_id") % 10).alias("work_id"), F.regexp_extract("text", r"([^\s。、]{8,})", 1).alias("ja")).where("ja <> ''").distinct()
-    kind = F.when(F.length("ja") % 7 == 0, "cv").when(F.length("ja") % 7 == 1, "character").otherwise("term")
-    return s.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), F.dense_rank().over(Window.partitionBy("work_id").orderBy("ja")).cast("long").alias("ord")).checkpoint()
+def _work(track: str = "track_id"):
+    """Works are of sixteen tracks."""
+    return F.floor(F.col(track) / 16)
 
 
-def _few_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shorter words of that glossary, so that budgets are not used up by names."""
-    return _terms(spark, sf_dir).where("length(ja) between 8 and 9")
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work's glossary: the first word of eight letters or more in each of its lines; each tenth is a name. Written."""
+    ensure_checkpoint_dir(spark)
+    s = fixtures.segments(spark, sf_dir).select(_work().alias("work_id"), F.regexp_extract("text", r"([^\s。、]{8,})", 1).alias("ja")).where("ja <> ''").distinct()
+    ranked = s.withColumn("ord", F.dense_rank().over(Window.partitionBy("work_id").orderBy("ja")).cast("long"))
+    kind = F.when(F.col("ord") % 20 == 0, "cv").when(F.col("ord") % 20 == 1, "character").otherwise("term")
+    return ranked.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), "ord").checkpoint()
 
 
 def budget_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).withColumn("work_id", F.col("track_id") % 10)
-    glossary = _few_terms(spark, sf_dir)
+    s = windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).withColumn("work_id", _work()).checkpoint()
+    glossary = _terms(spark, sf_dir)
     terms = glossary.where("kind = 'term'").select("work_id", F.col("ord").alias("term_id"), "ja", F.length(windows.glossary_entry(F.col("ja"), F.col("zh"))).cast("long").alias("chars"))
     places = windows.term_places(s, terms).groupBy("track_id", "id").agg(F.collect_list(F.struct(F.col("term_id").alias("id"), "chars", "first")).alias("terms"))
     rows = s.withColumn("base", windows.json_base(F.col("text"), F.col("start_ms"), F.col("end_ms"))).join(places, ["track_id", "id"], "left").join(windows.glossary_overhead(glossary), "work_id", "left")
-    return windows.budget_windows(rows.withColumn("overhead", F.coalesce("chars", F.lit(windows.EMPTY_GLOSSARY)) + PROMPT_CHARS))
+    name, summary = F.concat(F.lit("track "), F.col("track_id").cast("string")), F.concat(F.lit("summary of "), F.col("work_id").cast("string"))
+    return windows.budget_windows(rows.withColumn("overhead", windows.prompt_overhead(PROMPT_CHARS, name, summary, F.col("chars"))))
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +115,16 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _window_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_id", "text"))), lambda x: x["text"]), "")
-    return _numbered(spark, sf_dir).groupBy("track_id", "window_idx").agg(joined.alias("text")).withColumn("work_id", F.col("track_id") % 10)
+    return _numbered(spark, sf_dir).groupBy("track_id", "window_idx").agg(joined.alias("text")).withColumn("work_id", _work())
 
 
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.glossary_hits(_window_texts(spark, sf_dir), _terms(spark, sf_dir).select("work_id", "kind", "ja"))
+    terms = _terms(spark, sf_dir).where("kind = 'term'").select("work_id", "ja")
+    return windows.glossary_hits(_window_texts(spark, sf_dir), terms).withColumn("terms", F.array_join("terms", "\n"))
+
+
+def glossary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.glossary_names(_terms(spark, sf_dir)).withColumn("names", F.array_join("names", "\n"))
 
 
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +151,7 @@ QUERIES = {
     "repair_outcome": lambda spark, sf_dir: repair.repair_outcome(merged_ranges(spark, sf_dir), judged(spark, sf_dir)),
     "tr_segments": lambda spark, sf_dir: windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).select("track_id", "id", "seg_idx", "start_ms", "end_ms"),
     "glossary_hits": glossary_hits,
+    "glossary_names": glossary_names,
     "budget_windows": budget_windows,
     "token_budget": token_budget,
     "transcript_json": lambda spark, sf_dir: windows.transcript_json(_numbered(spark, sf_dir), ["track_id", "window_idx"]),
@@ -169,8 +177,9 @@ OUTCOME_SQL = """ SELECT r.track_id, r.start_ms, r.end_ms, count(j.track_id) AS
   FROM mr_ r LEFT JOIN judged j ON j.track_id = r.track_id AND j.r_start = r.start_ms AND j.r_end = r.end_ms GROUP BY r.track_id, r.start_ms, r.end_ms"""
 ENTRIES = fixtures.DUCK + fixtures.derived_sql("entries")
 TERMS = r""",
-tg AS (SELECT DISTINCT track_id % 10 AS work_id, regexp_extract(text, '([^\s。、]{8,})', 1) AS ja FROM segments),
-terms_ AS (SELECT work_id, CASE len(ja) % 7 WHEN 0 THEN 'cv' WHEN 1 THEN 'character' ELSE 'term' END AS kind, ja, reverse(ja) AS zh, dense_rank() OVER (PARTITION BY work_id ORDER BY ja) AS ord FROM tg WHERE ja <> '')"""
+tg AS (SELECT DISTINCT track_id // 16 AS work_id, regexp_extract(text, '([^\s。、]{8,})', 1) AS ja FROM segments),
+tr AS (SELECT work_id, ja, dense_rank() OVER (PARTITION BY work_id ORDER BY ja) AS ord FROM tg WHERE ja <> ''),
+terms_ AS (SELECT work_id, CASE ord % 20 WHEN 0 THEN 'cv' WHEN 1 THEN 'character' ELSE 'term' END AS kind, ja, reverse(ja) AS zh, ord FROM tr)"""
 
 ORACLE = {
     "merge_ranges": MERGED + " SELECT * FROM mr_",
@@ -194,13 +203,14 @@ SELECT rn.track_id, rn.ordinal, r_start, r_end, s.text FROM rn JOIN segments s O
     "repair_outcome": JUDGED + OUTCOME_SQL,
     "tr_segments": fixtures.DUCK + " SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, seg_idx, start_ms, end_ms FROM segments",
     "glossary_hits": ENTRIES + TERMS + """,
-t AS (SELECT track_id, window_idx, track_id % 10 AS work_id, string_agg(input, '' ORDER BY local_id) AS text FROM entries GROUP BY ALL)
-SELECT t.work_id, track_id, window_idx, kind, ja FROM t JOIN terms_ g ON g.work_id = t.work_id AND (kind <> 'term' OR contains(text, ja))""",
+t AS (SELECT track_id, window_idx, track_id // 16 AS work_id, string_agg(input, '' ORDER BY local_id) AS text FROM entries GROUP BY ALL)
+SELECT t.work_id, track_id, window_idx, coalesce(string_agg(ja, chr(10) ORDER BY ja), '') AS terms FROM t LEFT JOIN terms_ g ON g.work_id = t.work_id AND kind = 'term' AND contains(text, ja) GROUP BY ALL""",
+    "glossary_names": fixtures.DUCK + TERMS + " SELECT work_id, string_agg(ja, chr(10) ORDER BY ja) AS names FROM terms_ WHERE kind <> 'term' GROUP BY work_id",
     "budget_windows": fixtures.DUCK + TERMS + f""",
-few AS (SELECT *, 33 + len(to_json(ja)::VARCHAR) + len(to_json(zh)::VARCHAR) AS chars FROM terms_ WHERE len(ja) BETWEEN 8 AND 9),
+few AS (SELECT *, 38 + len(to_json(ja)::VARCHAR) + len(to_json(zh)::VARCHAR) AS chars FROM terms_),
 names AS (SELECT work_id, sum(CASE WHEN n > 0 THEN c + 2 * n + 2 ELSE 0 END)::BIGINT AS more FROM (SELECT work_id, kind, count(*) AS n, sum(chars) AS c FROM few WHERE kind <> 'term' GROUP BY ALL) GROUP BY ALL),
-b AS MATERIALIZED (SELECT s.track_id, track_id % 10 AS work_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, text, len(to_json(text)::VARCHAR) + len(start_ms::VARCHAR) + len(end_ms::VARCHAR) + 40 AS base,
-  {PROMPT_CHARS} + 51 + coalesce((SELECT more FROM names n WHERE n.work_id = track_id % 10), 0) AS overhead FROM segments s),
+b AS MATERIALIZED (SELECT s.track_id, track_id // 16 AS work_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, text, len(to_json(text)::VARCHAR) + len(start_ms::VARCHAR) + len(end_ms::VARCHAR) + 40 AS base,
+  {PROMPT_CHARS} + 6 + len(track_id::VARCHAR) + 11 + len((track_id // 16)::VARCHAR) + 2 + {windows.EMPTY_GLOSSARY} + coalesce((SELECT more FROM names n WHERE n.work_id = track_id // 16), 0) AS overhead FROM segments s),
 tl AS MATERIALIZED (SELECT work_id, list(ja) AS jas, list(chars + 2) AS costs FROM few WHERE kind = 'term' GROUP BY ALL),
 g AS (SELECT track_id, id, 0 AS window_idx, 1 AS local_id, base AS total, text AS txt FROM b WHERE id = 1
   UNION ALL SELECT g.track_id, b.id, g.window_idx + m.cut, CASE WHEN m.cut = 1 THEN 1 ELSE g.local_id + 1 END, CASE WHEN m.cut = 1 THEN b.base ELSE g.total + b.base END, CASE WHEN m.cut = 1 THEN b.text ELSE g.txt || b.text END

@@ -1,5 +1,6 @@
 """Rules at both sides of their thresholds, and folds against plain statements of them."""
 
+import json
 import random
 
 import pytest
@@ -154,6 +155,16 @@ def test_budget_windows_cover_all_but_the_tail(spark):
     assert windows.budget_windows(df, keep_tail=True).count() == len(rows)
 
 
+def test_budget_windows_in_pieces(spark):
+    rng = random.Random(3)
+    rows = [(t, i + 1, rng.randrange(150, 400), 600, [(rng.randrange(6), 96, max(1, i - 1))] if rng.random() < 0.3 else []) for t, n in ((1, 700), (2, 161), (3, 2), (4, 81), (5, 162)) for i in range(n)]
+    df = spark.createDataFrame(rows, "track_id long, id long, base long, overhead long, terms array<struct<id:long,chars:long,first:long>>").repartition(4)
+    whole = sorted(map(tuple, windows.budget_windows(df).collect()))
+    assert len({(r[0], r[2]) for r in whole}) > 100 and max(r[3] for r in whole) > 4
+    for piece in (20, 40, 80):
+        assert sorted(map(tuple, windows.budget_windows(df, piece=piece).collect())) == whole
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         collapse_runs(F.lit("嗯" * 79)).alias("a"), lrc_time(F.lit(59_996)).alias("b"), lrc_time(F.lit(6_000_000)).alias("c"), vtt_time(F.lit(3_661_007)).alias("d"),
@@ -267,10 +278,36 @@ def test_replay_of_overlapping_entries(spark):
 
 
 def test_names_always_count_and_terms_of_the_work(spark):
-    w = spark.createDataFrame([(1, 0, 7, "赤い花と青"), (2, 0, 8, "赤い花")], "track_id long, window_idx long, work_id long, text string")
+    w = spark.createDataFrame([(1, 0, 7, "赤い花と青"), (2, 0, 8, "赤い花"), (3, 0, 6, "赤"), (4, 1, 7, "")], "track_id long, window_idx long, work_id long, text string")
     terms = spark.createDataFrame([(7, "term", "赤い花"), (7, "term", "青"), (7, "term", "黒"), (7, "term", "い花"), (7, "cv", "名"), (7, "character", ""), (8, "term", "青"), (8, "term", "花と"), (9, "cv", "他")], "work_id long, kind string, ja string")
-    got = {(r["track_id"], r["kind"], r["ja"]) for r in windows.glossary_hits(w, terms).collect()}
-    assert got == {(1, "term", "赤い花"), (1, "term", "青"), (1, "term", "い花"), (1, "cv", "名")}
+    got = {r["track_id"]: r["terms"] for r in windows.glossary_hits(w, terms.where("kind = 'term'").drop("kind")).collect()}
+    assert got == {1: ["い花", "赤い花", "青"], 2: [], 3: [], 4: []}
+    assert {r["work_id"]: r["names"] for r in windows.glossary_names(terms).collect()} == {7: ["名"], 9: ["他"]}
+    pairs = terms.withColumn("ord", F.lit(0)).withColumn("zh", F.lit("z")).where("ja <> ''")
+    text = {r["track_id"]: json.loads(r["glossary"]) for r in windows.window_glossary(windows.glossary_hits(w, terms.where("kind = 'term'").drop("kind")), pairs).collect()}
+    assert [x["ja"] for x in text[1]["terms"]] and text[4] == {"cvs": [{"ja": "名", "zh": "z"}], "characters": [], "terms": []} and text[3] == {"cvs": [], "characters": [], "terms": []}
+
+
+def test_term_bands_of_any_width(spark):
+    rng = random.Random(8)
+    rows = [(t, i + 1, 1, "".join(rng.choice("あい") for _ in range(rng.randrange(0, 30)))) for t in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "track_id long, id long, work_id long, text string")
+    words = ["あい", "い" * 9, "あいああ", "ああいいあ", "".join(r[3] for r in rows if r[0] == 1)[50:190]]  # one term is longer than bands and segments
+    terms = spark.createDataFrame([(1, k, w, 10) for k, w in enumerate(words)], "work_id long, term_id long, ja string, chars long")
+    want = set()
+    for t in range(3):
+        own = [(r[1], c) for r in rows if r[0] == t for c in r[3]]
+        text = "".join(c for _, c in own)
+        for k, w in enumerate(words):
+            ends = {}
+            for at in range(len(text) - len(w) + 1):
+                if text.startswith(w, at):
+                    ends.setdefault(own[at][0], own[at + len(w) - 1][0])
+            want |= {(t, k, first, last) for first, last in ends.items()}
+    overlap = terms.groupBy("work_id").agg((F.max(F.length("ja")) - 1).cast("long").alias("more"))
+    for width in (7, 64, 8192):
+        got = windows.term_spans(windows.text_bands(df, overlap, width), terms).groupBy("track_id", "term_id", "first").agg(F.min("id").alias("id")).collect()
+        assert {(r["track_id"], r["term_id"], r["first"], r["id"]) for r in got} == want
 
 
 def test_term_places_over_borders(spark):
