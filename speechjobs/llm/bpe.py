@@ -51,7 +51,7 @@ def byte_characters() -> list[str]:
 
 
 class ForcedBoundaryBPE:
-    """Encoder and decoder of one vocabulary file; `pairs` are the characters that stand side by side in some token."""
+    """Encoder of one vocabulary file; `pairs` are the characters that stand side by side in some token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,10 +68,7 @@ class ForcedBoundaryBPE:
         self.ids: dict[str, int] = model["vocab"]
         self.pairs = {token[i : i + 2] for token in self.ids for i in range(len(token) - 1)}
         letters = byte_characters()
-        byte_of = {c: bytes([b]) for b, c in enumerate(letters)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: b"".join(byte_of[c] for c in token) for token, i in self.ids.items()}
-        self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         a = re.escape(ASCII_SPACE)
         # A cut needs a visible character before it: after other white space the pre-token may go on.
@@ -132,13 +129,33 @@ class ForcedBoundaryBPE:
         added = {s: np.array([i], dtype="<i4").tobytes() for s, i in self.added.items()}
         return b"".join(added.get(part) or self._plain(part) for part in self.special.split(text))
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", errors="replace")
 
+class Decoder:
+    """Bytes of ids: one row of bytes for the whole vocabulary, from which tokens are taken by place and width."""
 
-def _coder(path: str) -> ForcedBoundaryBPE:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = {c: bytes([b]) for b, c in enumerate(byte_characters())}
+        tokens = {i: b"".join(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.size = max(tokens) + 1
+        self.width = np.array([len(tokens.get(i, b"")) for i in range(self.size)] + [0])
+        self.begin = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(self.size)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)  # the last place is of width 0
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.begin[ids] - ends + width, width) + np.arange(total)].tobytes().decode("utf-8", errors="replace")
+
+
+def _coder(kind, path: str):
     cache = worker_cache()
-    return cache.get(("bpe", path)) or cache.setdefault(("bpe", path), ForcedBoundaryBPE(path))
+    name = (kind.__name__, path)
+    return cache.get(name) or cache.setdefault(name, kind(path))
 
 
 def _parts(batches):
@@ -150,7 +167,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
 
     def run(batches):
-        coder = _coder(path)
+        coder = _coder(ForcedBoundaryBPE, path)
         for b in _parts(batches):
             packed = [coder.encode(text) for text in b.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
@@ -165,9 +182,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
 
     def run(batches):
-        coder = _coder(path)
+        coder = _coder(Decoder, path)
         for b in _parts(batches):
-            texts = [None if ids is None else coder.decode(ids) for ids in b.column(1).to_pylist()]
+            ids = b.column(1)
+            values, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
+            parts = np.split(values, ends[:-1])
+            texts = [coder.decode(part) if known else None for part, known in zip(parts, ids.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
