@@ -193,7 +193,7 @@ def _round(centroids: list[list[int]]):
 
 def _last(centroids: list[list[int]]):
     def run(batches):
-        tree = CoverTree(_numbers(centroids), 1)
+        tree = CoverTree(_numbers(centroids), 1) if centroids else None
         for ids, vectors, _ in _read(batches):
             cluster, distance = np.zeros(len(ids), np.int32), np.zeros(len(ids), object)
             whole, leaves = assign(vectors, tree)
