@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import ensure_checkpoint_dir
 
-__all__ = ["SPACE", "WORD", "documents", "ensure_checkpoint_dir", "id_remainder", "shuffle_parts", "text_of", "worker_cache"]
+__all__ = ["SPACE", "WORD", "documents", "ensure_checkpoint_dir", "id_remainder", "row_of", "shuffle_parts", "text_of", "worker_cache"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +22,16 @@ def text_of(docs: DataFrame, *carried: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def named(docs: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and backticks in it included."""
+    return docs[f"`{name.replace('`', '``')}`"]
+
+
+def row_of(docs: DataFrame, without: str | None = None) -> Column:
+    """All columns of a row in one struct, whatever their names."""
+    return F.struct(*(named(docs, c).alias(c) for c in docs.columns if c != without))
+
+
 def id_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo `mod`; null ids count as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod)), F.lit(0))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, shuffle_parts, text_of
+from .common import SPACE, documents, row_of, shuffle_parts, text_of
 
 LAST = (1 << 63) - 1
 
@@ -191,10 +191,9 @@ def keep_owners(docs: DataFrame, trie_bytes: int = 64 << 20) -> DataFrame:
     """
     keep = exact_dedup(docs, trie_bytes).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), SPACE, " ").cast("binary"), 256)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_own"))
+    rows = docs.select(row_of(docs).alias("_row"), F.to_json(row_of(docs, without="text")).alias("_rest"), docs["doc_id"].cast("long").alias("_id"), sha.alias("_own"))
     kept = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]) & (rows["_own"] == keep["_sha"]), "left_semi")
-    rest = F.to_json(F.struct(*(F.col("_row")[c] for c in docs.columns if c != "text")))
-    first = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_own").orderBy(rest)))
+    first = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_own").orderBy("_rest")))
     return first.where("_nth = 1").select("_row.*")
 
 

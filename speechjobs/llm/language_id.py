@@ -1,13 +1,12 @@
 """Language ID by word-first backoff.
 
-Counts of lower-cased letter runs, and of their character n-grams with word marks, come from all learning rows. A word is
-known where it is at least the `LEAST_SHARE`th part of all words of a language, an n-gram where it is of all n-grams of
-its length: the model of a language has at most 1 / `LEAST_SHARE` entries a level, however large the corpus. A known word
-is scored by its log frequency in each language; any other by the longest n-grams that are known, from five letters down
-to one. Each word gives a bounded log posterior over the languages, and a document sums its words.
+The model is learned from about `SAMPLE` labelled documents of each language, all where there are fewer, chosen by a hash.
+All lower-cased letter runs of theirs, and all character n-grams with word marks, are known, however rare. A known word is
+scored by its log frequency in each language; any other by the longest n-grams that are known, from five letters down to
+one. Each word gives a bounded log posterior over the languages, and a document sums its words.
 
-The model is sent to all tasks while it has no more than `ENTRIES` entries; with so many languages that it has more,
-words meet it in joins, with the same results. Only the list of languages is always held on the driver.
+The model is sent to all tasks while it has no more than `ENTRIES` entries; with so many languages, or so long texts, that it has
+more, words meet it in joins, with the same results. Only the list of languages is always held on the driver.
 
 Defined results: null text, or text without a letter, gives `und` with score 0, as does a corpus from which nothing
 can be learned; ties go to the language first in code-point order; rows with null language are not learned from;
@@ -28,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ensure_checkpoint_dir, id_remainder
+from .common import documents, ensure_checkpoint_dir, id_remainder, row_of
 
 RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 ENTRIES = 1_500_000
-LEAST_SHARE = 2e-6
+SAMPLE = 3000
 NGRAM = 5
 FLOOR = -8.0
 HELD_OUT = (3, 1)
@@ -72,30 +71,39 @@ def _count(limit: int):
     return run
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, n over the learning rows."""
+def learning_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang, text of about `sample` labelled rows a language: those whose hash is below the share that this is of them all.
+
+    A row's hash is that of its id and text, so repeated rows count and are taken together.
+    """
     mod, out = HELD_OUT
-    rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (id_remainder(docs["doc_id"], mod) != out)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (id_remainder(docs["doc_id"], mod) != out)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("_id"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))  # a row for each language
+    place = F.pmod(F.xxhash64("_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return rows.join(F.broadcast(sizes), "lang").where(place * F.col("_n") < sample).select("lang", "text")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word, n over rows of lang, text."""
     return rows.mapInArrow(_count(200_000), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def model_tables(docs: DataFrame, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """cells (level, gram, lang, n): all that is known, level 0 for words; wholes (level, lang, whole): all counts."""
+def model_tables(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """cells (level, gram, lang, n), level 0 for words; wholes (level, lang, whole): the sums of n."""
     ensure_checkpoint_dir(docs.sparkSession)
-    words = word_counts(docs).checkpoint()
+    words = word_counts(learning_rows(docs, sample)).checkpoint()
     marked = words.select("lang", F.concat(F.lit("<"), "word", F.lit(">")).alias("w"), "n")
     place = F.length("w") + 1 - F.col("level")
     levels = marked.select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.lit(NGRAM))).alias("level")).where(place >= 1)
     wholes = levels.groupBy("level", "lang").agg(F.sum(F.col("n") * place).alias("whole")).unionByName(words.groupBy("lang").agg(F.sum("n").alias("whole")).withColumn("level", F.lit(0))).checkpoint()
     grams = levels.select("lang", "level", "n", "w", F.explode(F.sequence(F.lit(1), place)).alias("i")).groupBy("level", F.expr("substring(w, i, level)").alias("gram"), "lang").agg(F.sum("n").alias("n"))
     both = words.select(F.lit(0).alias("level"), F.col("word").alias("gram"), "lang", "n").unionByName(grams)
-    cells = both.join(F.broadcast(wholes), ["level", "lang"]).where(F.col("n") >= F.col("whole") * least_share).select("level", "gram", "lang", "n")  # a row for each language and level
-    return cells.checkpoint(), wholes
+    return both.checkpoint(), wholes
 
 
-def fit(docs: DataFrame, entries: int = ENTRIES, least_share: float = LEAST_SHARE) -> dict:
+def fit(docs: DataFrame, entries: int = ENTRIES, sample: int = SAMPLE) -> dict:
     """The model: languages, grams per level (0 words, 1 to 5 n-grams), and a matrix of their log frequencies; or its tables."""
-    cells, wholes = model_tables(docs, least_share)
+    cells, wholes = model_tables(docs, sample)
     whole = {(r["level"], r["lang"]): r["whole"] for r in wholes.collect()}
     langs = sorted(lang for level, lang in whole if level == 0)
     if not langs:
@@ -236,7 +244,7 @@ def word_vectors(words: DataFrame, model: dict) -> DataFrame:
 
 def _joined(docs: DataFrame, model: dict) -> DataFrame:
     """_row and _s, with the model in tables."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id")).checkpoint()
+    rows = docs.select(row_of(docs).alias("_row"), F.monotonically_increasing_id().alias("_id")).checkpoint()
     words = rows.select("_id", F.col("_row.text").cast("string").alias("t")).mapInArrow(_words, "id long, word string, n long").checkpoint()
     each = words.where("word is not null")
     vectors = word_vectors(each.select("word").distinct(), model)
@@ -254,7 +262,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     """_row (the input row) and _s (lang_pred, score)."""
     if "cells" in model:
         return _joined(docs, model)
-    return docs.select(F.struct(*docs.columns).alias("_row"), scorer(model)(F.col("text").cast("string")).alias("_s"))
+    return docs.select(row_of(docs).alias("_row"), scorer(model)(F.col("text").cast("string")).alias("_s"))
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, ensure_checkpoint_dir
+from .common import WORD, documents, ensure_checkpoint_dir, row_of
 
 SHARE, MAX_EPOCHS, SEED = 0.6, 4, 17
 PARTS = 1_000_000
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
     n_tokens = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     small_row = [docs["doc_id"], domain(named("source")).alias("domain"), named("lang").alias("lang"), named("source").alias("source"), n_tokens.alias("n_tokens")]
     sizes = docs.select(*small_row).where("n_tokens > 0").checkpoint()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *small_row).where("n_tokens > 0") if carry else sizes
+    rows = docs.select(row_of(docs).alias("_row"), *small_row).where("n_tokens > 0") if carry else sizes
     leaves = sizes.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).checkpoint()
     total, n_leaves = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     plan = leaf_budgets(leaves, int(share * total), max_epochs, weights or {"lang": LANGUAGE_WEIGHTS}).where("grant > 0")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ensure_checkpoint_dir, shuffle_parts, text_of, worker_cache
+from .common import documents, ensure_checkpoint_dir, row_of, shuffle_parts, text_of, worker_cache
 from .components import components
 
 COORDINATES = 64
@@ -427,7 +427,7 @@ def near_components(docs: DataFrame, width: int = 3, trees: int = TREES, numerat
 def keep_representatives(docs: DataFrame, **how) -> DataFrame:
     """The input rows that stay, with all their columns, whatever their names."""
     keep = near_components(docs, **how).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_id"))
+    rows = docs.select(row_of(docs).alias("_row"), docs["doc_id"].cast("long").alias("_id"))
     return rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]), "left_semi").select("_row.*")
 
 

@@ -64,18 +64,38 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def placed(matches: Column, gaps: Column) -> Column:
-    """Structs (start, end, value) from the matches of a pattern and the pieces that it splits off."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+PART = 256
 
-    def add(state: Column, i: Column) -> Column:
-        value = matches[i]
-        begin = state["at"] + F.length(gaps[i])
-        end = begin + F.length(value)
-        one = F.struct(begin.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add)["out"]).otherwise(start["out"])
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(values: Column) -> Column:
+    """Running sums, in time of the square of the length."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")))["out"]
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums by parts of `PART` values and the sums of the parts, so that a long array costs little more a value."""
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda j: _sums(F.slice(v, j * PART + 1, PART)))
+    joined = lambda p: _bound(_sums(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, j: F.transform(x, lambda y: y + F.when(j > 0, F.get(ends, j - 1)).otherwise(0)))))
+    return F.when(F.size(values) > 0, _bound(values, lambda v: _bound(parts(v), joined))).otherwise(F.array().cast("array<int>"))
+
+
+def placed(matches: Column, gaps: Column, valid) -> Column:
+    """Structs (start, end, value) of the valid ones among the matches of a pattern, by the pieces that it splits off."""
+    sizes = _bound(gaps, lambda g: F.transform(matches, lambda m, i: F.length(F.get(g, i)) + F.length(m)))
+    kept = F.filter(F.transform(matches, lambda m, i: F.struct(i.alias("i"), m.alias("value"))), lambda x: valid(x["value"]))
+
+    def one(ends: Column, x: Column) -> Column:
+        end = F.get(ends, x["i"])
+        return F.struct((end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value"))
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(F.size(matches) > 0, _bound(kept, lambda k: F.when(F.size(k) > 0, _bound(running_sums(sizes), lambda ends: F.transform(k, lambda x: one(ends, x)))).otherwise(none))).otherwise(none)
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -90,7 +110,7 @@ def entities(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"_{kind}_gaps", F.when(F.size(f"_{kind}") > 0, F.split("text", pattern, -1)))
 
     def part(i: int, kind: str) -> Column:
-        valid = F.filter(placed(F.col(f"_{kind}"), F.col(f"_{kind}_gaps")), lambda x: _valid(kind, x["value"]))
+        valid = placed(F.col(f"_{kind}"), F.col(f"_{kind}_gaps"), lambda v: _valid(kind, v))
         return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
 
     parts = [part(i, kind) for i, kind in enumerate(PATTERNS)]
@@ -113,9 +133,10 @@ def words_of(text: Column) -> Column:
 def telling_words(docs: DataFrame, holders: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, text_hash, term, disclosure: the words of each document that disclose an entity of its own."""
     total = docs.count() or 1
-    level = lambda value: F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), value(x).alias("value")))
-    contexts = F.array_distinct(F.concat(level(lambda x: x["value"]), level(lambda x: F.lit(""))))  # no value is empty: that is the kind
-    each = holders.select("doc_id", "text_hash", "copies", F.explode(contexts).alias("x")).select("doc_id", "text_hash", "copies", "x.*")
+    level = lambda value: F.transform("found", lambda x: F.concat(x["kind"].cast("string"), value(x)))
+    contexts = F.array_distinct(F.concat(level(lambda x: x["value"]), level(lambda x: F.lit(""))))  # texts, which are told apart by hash; no value is empty: that is the kind
+    each = holders.select("doc_id", "text_hash", "copies", F.explode(contexts).alias("x"))
+    each = each.select("doc_id", "text_hash", "copies", F.substring("x", 1, 1).cast("int").alias("kind"), F.expr("substring(x, 2)").alias("value"))
     n_c = each.groupBy("kind", "value").agg(F.sum("copies").alias("n_c"), F.count("*").alias("docs")).where(F.col("docs") >= support)
     whole = F.log2(F.lit(float(total)) / F.least(F.col("n_c"), F.lit(max(total // 2, 1))))
     n_c = n_c.select("kind", "value", "n_c", whole.alias("whole"), (total * F.pow(F.lit(2.0), -generalise * whole) * (1 + 1e-9)).alias("most"))

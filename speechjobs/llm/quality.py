@@ -5,7 +5,7 @@ conjunction of thresholds on statistics. A logistic regression with an L1 penalt
 with zero, and the rest is compiled into one Spark column expression that scores every row.
 
 Defined results: null text is empty text, with all statistics zero; labels that are null, or held out, are not
-learned from; with one label only, or none, the score is the smoothed share of label 1; null ids count as held out;
+learned from; with one label only, or none, or too few rows for a rule, the score is the smoothed share of label 1; null ids count as held out;
 repeated labels count once, and of rows with one id one text is learned from; very long texts are read whole; an empty
 table gives an empty result; other columns are not looked at.
 """
@@ -52,13 +52,13 @@ def labelled_sample(labels: DataFrame, name: str, size: int) -> DataFrame:
     A count gives the hashes below which about twice as many lie; counts in 1,000 slices of these give the cut.
     """
     mod, out = HELD_OUT
-    rows = labels.where(labels["doc_id"].isNotNull() & labels[name].isin(0, 1) & (id_remainder(labels["doc_id"], mod) != out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label"))
+    rows = labels.where(labels["doc_id"].isNotNull() & labels[name].isin(0, 1) & (id_remainder(labels["doc_id"], mod) != out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias("label")).distinct()
     n = rows.count()
     if n <= size:
-        return rows.distinct()
+        return rows
     top, slices = min(HASHES, HASHES * 2 * size // n), 1000
     place = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
-    near = rows.where(place < top).distinct().withColumn("_slice", F.floor(place * slices / F.lit(top)))
+    near = rows.where(place < top).withColumn("_slice", F.floor(place * slices / F.lit(top)))
     cut, held = slices, 0
     for r in near.groupBy("_slice").agg(F.count("*").alias("n")).orderBy("_slice").collect():
         held += r["n"]
@@ -141,6 +141,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, flo
                 own = hit & inside
                 score[hit] += RATE * (y - p)[own].sum() / ((p * (1 - p))[own].sum() + 1)
         paths |= tree
+    if not paths:  # too few rows for a split
+        return float(np.log(share / (1 - share))), []
     rules = [tuple((f, above, float(edges[f][min(b, len(edges[f]) - 1)])) for f, above, b in path) for path in paths]
     hits = np.stack([np.logical_and.reduce([(x[:, f] > c) == above for f, above, c in rule]) for rule in rules], axis=1).astype(np.float64)
     intercept, weights = lasso(hits, y, PENALTY)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from speechjobs.llm import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, quality, substring_dedup, toxicity
 
@@ -479,7 +480,16 @@ def test_language_id_awkward(docs, none):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.fit(none)).collect()} == {"und"}
 
 
-def languages_plain(rows, least_share):
+def test_language_sample_is_of_each_language(spark):
+    rows = [(i, f"w{i % 7} x", "aa" if i % 20 else "bb") for i in range(6000)] + [(9000, "once", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(r["lang"] for r in language_id.learning_rows(df, 500).collect())
+    every = Counter(lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert 400 < got["aa"] < 600 and got["bb"] == every["bb"] and got["cc"] == every["cc"]
+    assert Counter(r["lang"] for r in language_id.learning_rows(df, 10**6).collect()) == every
+
+
+def languages_plain(rows):
     """rows: (doc_id, text, lang); one prediction and score a row, by the plain statement of the method."""
     words_in = lambda t: [w for x in (t or "").split() for w in language_id.words_of(x)]
     grams_in = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
@@ -492,7 +502,7 @@ def languages_plain(rows, least_share):
                     counts[n][lang].update(grams_in(w, n))
     langs = sorted(counts[0])
     whole = [[max(1, sum(c[x].values())) for x in langs] for c in counts]
-    known = [{k: [c[x][k] if c[x][k] >= whole[n][j] * least_share else 0 for j, x in enumerate(langs)] for x in langs for k in c[x]} for n, c in enumerate(counts)]
+    known = [{k: [c[x][k] for x in langs] for x in langs for k in c[x]} for n, c in enumerate(counts)]
     known = [{k: np.log((np.array(v) + 0.5) / whole[n]) for k, v in t.items() if any(v)} for n, t in enumerate(known)]
 
     def vector(w):
@@ -527,10 +537,10 @@ def test_language_id_plain(spark, entries):
         rows.append((i, " ".join(words), lang if rng.random() < 0.9 else None))
     rows += [(200, None, "aa"), (201, "12 34 !", "bb"), (None, "cde fgh", "bb"), (None, "cde fgh", "bb"), (202, "ααα βββ", None), (203, "don't stop-here x2y", "cc")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.fit(df, entries, 0.004)
+    model = language_id.fit(df, entries)
     assert ("cells" in model) == (entries == 0)
     got = language_id.identify(df, model).collect()
-    want = languages_plain(rows, 0.004)
+    want = languages_plain(rows)
     assert len(got) == len(rows)
     order = lambda r: (str(r[0]), r[1], r[2])
     for a, b in zip(sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=order), sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=order), strict=True):
@@ -668,6 +678,54 @@ def test_fingerprints(spark, docs, none):
 # --- entry
 
 
+def test_labelled_sample_counts_ids(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] * 30, "doc_id long, quality int")
+    learning = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(2000))
+    for size in (400, 1200):
+        rows = quality.labelled_sample(labels, "quality", size).collect()
+        assert 0.9 * size <= len(rows) <= size and len({r["doc_id"] for r in rows}) == len(rows)
+    assert quality.labelled_sample(labels, "quality", 5000).count() == learning
+
+
+def test_quality_of_few_labels(spark):
+    for n in (4, 19):
+        x, y = np.arange(n * 16, dtype=float).reshape(n, 16), np.array([i % 2 for i in range(n)], float)
+        intercept, rules = quality.fit_rules(x, y)
+        assert rules == [] and abs(1 / (1 + np.exp(-intercept)) - (y.sum() + 1) / (n + 2)) < 1e-9
+    docs = spark.createDataFrame([(i, f"text {i}.") for i in range(12)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"))
+    assert model[1] == [] and all(0 < r["score"] < 1 for r in quality.score(docs, model).collect())
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"word{i % 7} {i % 90 + 10}," for i in range(400_000)) + " mail a.b@c.dd card 4539 1488 0343 6467"
+    mails = " ".join(f"a{i}@b.cc" for i in range(100_000))
+    got = {r["doc_id"]: r["base"] for r in pii.find(spark.createDataFrame([(1, text), (2, mails)], "doc_id long, text string")).collect()}
+    assert [text[x["start"] : x["end"]] for x in got[1]] == ["a.b@c.dd", "4539 1488 0343 6467"]
+    at = 0
+    for i, x in enumerate(got[2]):
+        assert (x["start"], x["end"]) == (at, at + len(f"a{i}@b.cc"))
+        at = x["end"] + 1
+    assert len(got[2]) == 100_000
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 255, 256, 257, 512, 1000)]
+    for r in spark.createDataFrame([(x,) for x in rows], "v array<int>").select("v", pii.running_sums(F.col("v")).alias("s")).collect():
+        assert r["s"] == np.cumsum(r["v"]).tolist()
+
+
+@pytest.mark.parametrize("stage", ["identify_language", "drop_copies", "drop_near_copies", "mix_sources"])
+def test_stages_carry_columns_of_any_name(spark, stage):
+    import corpus_pipeline
+
+    rows = [(i, f"the word number {i % 3} and some more words here to be read {i % 3}", "en" if i % 2 else "fr", "s", 1, "x", "y", "z") for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c`d", "_row"])
+    out = getattr(corpus_pipeline, stage)(spark, docs, "")
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
+
+
 def test_ids_and_text_only_matter(docs):
     renamed = docs.select("doc_id", "text", "lang", "source", "n_chars")
     a = sorted(map(str, rows_of(exact_dedup.exact_dedup(docs))))
