@@ -33,7 +33,7 @@ from .common import documents, ensure_checkpoint_dir, id_remainder, text_of
 from .quality import HELD_OUT, learning_rows
 
 SAMPLE, CURVE_PART = 12_000, 5
-PSEUDO, FLOOR = 5.0, 0.01
+PSEUDO, FLOOR = 5.0, 0.1
 BLOCK, NEAREST, PROBED, COMMON = 64, 15, 4, 16
 RUN = re.compile(r"[^\W\d_]+")
 SCHEMA = "score double, evidence array<long>"
