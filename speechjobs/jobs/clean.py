@@ -98,7 +98,7 @@ QUERIES = {
     "same_start_segments": lambda spark, sf_dir: clean.merge_same_start(scored_segments(spark, sf_dir).withColumn("mismatch_type", F.lit(None).cast("string")), ["start_ms", "seg_idx"]).drop("mismatch_type"),
     "same_start_words": same_start_words,
     "missed_blocks": missed_blocks,
-    "missed_blocks_any": lambda spark, sf_dir: clean.missed_blocks_any(fixtures.derived(spark, sf_dir, "odd_windows")),
+    "missed_blocks_any": lambda spark, sf_dir: clean.missed_blocks(fixtures.derived(spark, sf_dir, "odd_windows")),
     "missed_speech": lambda spark, sf_dir: clean.missed_speech(fixtures.energy_windows(spark, sf_dir), fixtures.segments(spark, sf_dir)),
     "clean_segments": clean_segments,
     "second_pass": second_pass,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import effective, normalised, top_counts, trimmed
+from ..sources.shared import ensure_checkpoint_dir
+from .chains import reached
 from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, is_active, islands
 
 GAP_MS, REPEATS, LONG_TEXT = 1000, 3, 20
-LEEWAY_MS, BLOCK_WINDOWS, LONGEST_BLOCK_MS = 1000, 29, 30_000
+LEEWAY_MS, LONGEST_BLOCK_MS, PIECE_ROWS = 1000, 30_000, 4096
 MIN_MISSED_MS, BAD_LOGPROB, MERGE_GAP_MS, MAX_RANGE_MS, PAD_MS = 1500, -200, 8000, 90000, 2000
 TERMINAL = r"[。！？!?]$"
 SILENCE = r"^[\s…・。、！？!?]+$"
@@ -60,36 +62,63 @@ def repetition_exact(rows: DataFrame, order: list[str], n: int = REPEATS) -> Dat
     return r.withColumn("repeated", (F.col("_run") > 0) & (count >= n)).drop("_blank", "_norm", "_new", "_run")
 
 
-def _fold_runs(n: int):
-    def run(pdf):
-        pdf = pdf.sort_values("_ord").reset_index(drop=True)
-        flags, anchor, count, start = [False] * len(pdf), None, 0, 0
-
-        def close(end):
-            if count >= n:
-                flags[start:end] = [True] * (end - start)
-
-        for i, (norm, blank) in enumerate(zip(pdf["_norm"], pdf["_blank"], strict=True)):
-            if blank:
-                continue
-            same = bool(norm) and bool(anchor) and (norm == anchor or (len(norm) > 10 and len(anchor) > 10 and (norm in anchor or anchor in norm)))
-            if same:
-                count += 1
-            else:
-                close(i)
-                anchor, count, start = norm, 1, i
-        close(len(pdf))
-        return pd.DataFrame({"track_id": pdf["track_id"], "_ord": pdf["_ord"], "repeated": flags})
-
-    return run
+def _runs(rows: bool):
+    """Reads pieces (track_id, _piece, _ord, _norm, _blank, _incoming) in order, each from the anchor that comes in.
 
+    Gives the anchor that each piece ends with, or for each row whether it begins a run.
+    """
 
-def repetition_fuzzy(rows: DataFrame, order: list[str], n: int = REPEATS) -> DataFrame:
+    def fold(batches):
+        now, anchor, out = None, None, []
+        for b in batches:
+            for track, piece, place, norm, blank, incoming in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (track, piece) != now:
+                    if now is not None and not rows:
+                        out.append((*now, anchor))
+                    now, anchor = (track, piece), incoming
+                same = blank or (bool(norm) and bool(anchor) and (norm == anchor or (len(norm) > 10 and len(anchor) > 10 and (norm in anchor or anchor in norm))))
+                if not same:
+                    anchor = norm
+                if rows:
+                    out.append((track, place, int(not same), blank))
+            if rows and out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["track_id", "_ord", "_new", "_blank"])
+                out = []
+        if now is not None and not rows:
+            out.append((*now, anchor))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["track_id", "_piece", "_exit"])
+
+    return fold
+
+
+def _anchors(pieces: DataFrame) -> DataFrame:
+    """track_id, _piece, _incoming of tracks with more than one piece.
+
+    All pieces are read as if a run began there; then those again whose predecessor ends with another anchor than they were
+    read with, until none does. A piece mostly ends with an anchor of its own, so one more round is the rule.
+    """
+    many = pieces.where("_piece > 0").select("track_id").distinct()
+    long = pieces.join(many, "track_id", "left_semi").checkpoint()
+    by, read = ["track_id", "_piece"], "track_id long, _piece long, _exit string"
+    exits = lambda df: df.repartition(*by).sortWithinPartitions(*by, "_ord").select(*by, "_ord", "_norm", "_blank", "_incoming").mapInArrow(_runs(False), read)
+    state = exits(long.withColumn("_incoming", F.lit(None).cast("string"))).withColumn("_incoming", F.lit(None).cast("string")).checkpoint()
+    while True:
+        state = state.withColumn("_now", F.lag("_exit").over(Window.partitionBy("track_id").orderBy("_piece")))
+        changed = state.where(~F.col("_now").eqNullSafe(F.col("_incoming"))).select(*by, F.col("_now").alias("_incoming")).checkpoint()
+        if changed.isEmpty():
+            return state.select(*by, "_incoming")
+        again = exits(long.join(changed, by)).withColumnRenamed("_exit", "_again")
+        state = state.join(again, by, "left").select(*by, F.coalesce("_again", "_exit").alias("_exit"), F.col("_now").alias("_incoming")).checkpoint()
+
+
+def repetition_fuzzy(rows: DataFrame, order: list[str], n: int = REPEATS, piece: int = PIECE_ROWS) -> DataFrame:
     """Adds `repeated`: a row joins a run if it equals the run's first text or, both over 10 characters, holds it or is held.
 
     A run of two or more begins with two neighbours that match. So only rows from a track's first such pair on go to the
-    fold, and of them only place and normalised text; tracks without a pair have no runs.
+    fold, and of them only place and normalised text; tracks without a pair have no runs. What a fold carries is its anchor
+    alone, so a track is folded in pieces that many tasks share; runs are counted over them.
     """
+    ensure_checkpoint_dir(rows.sparkSession)
     w = Window.partitionBy("track_id").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     norm, last = F.col("_norm"), F.col("_last")
@@ -98,7 +127,14 @@ def repetition_fuzzy(rows: DataFrame, order: list[str], n: int = REPEATS) -> Dat
     long = (F.length(norm) > 10) & (F.length(last) > 10)
     pair = ~F.col("_blank") & (norm != "") & (last != "") & ((norm == last) | (long & (F.contains(norm, last) | F.contains(last, norm))))
     seen = seen.withColumn("_from", F.min(F.when(pair, F.col("_last_ord"))).over(Window.partitionBy("track_id")))
-    flags = seen.where(F.col("_ord") >= F.col("_from")).select("track_id", "_ord", "_norm", "_blank").groupBy("track_id").applyInPandas(_fold_runs(n), "track_id long, _ord int, repeated boolean")
+    by = ["track_id", "_piece"]
+    pieces = seen.where(F.col("_ord") >= F.col("_from")).select(F.col("track_id").cast("long").alias("track_id"), F.floor((F.col("_ord") - F.col("_from")) / piece).alias("_piece"), "_ord", "_norm", F.coalesce("_blank", F.lit(True)).alias("_blank")).checkpoint()
+    ready = pieces.withColumn("_incoming", F.lit(None).cast("string")) if pieces.where("_piece > 0").isEmpty() else pieces.join(_anchors(pieces), by, "left")
+    dealt = ready.repartition(*by).sortWithinPartitions(*by, "_ord").select(*by, "_ord", "_norm", "_blank", "_incoming")
+    marked = dealt.mapInArrow(_runs(True), "track_id long, _ord int, _new int, _blank boolean")
+    runs = marked.withColumn("_run", F.sum("_new").over(Window.partitionBy("track_id").orderBy("_ord")))
+    size = F.sum((~F.col("_blank")).cast("int")).over(Window.partitionBy("track_id", "_run"))
+    flags = runs.withColumn("repeated", (F.col("_run") > 0) & (size >= n)).where("repeated").select("track_id", "_ord", "repeated")
     return placed.drop("_blank", "_norm").join(flags, ["track_id", "_ord"], "left").na.fill(False, ["repeated"]).drop("_ord")
 
 
@@ -149,32 +185,31 @@ def merge_same_start(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.withColumn("run", F.col("run").cast("long"))
 
 
-def missed_blocks(windows: DataFrame) -> DataFrame:
-    """Blocks of active windows on a one-second grid: a block closes before its thirtieth full window."""
-    on = islands(windows, is_active())
-    tail = (F.col("pos") > 0) & (F.col("pos") % BLOCK_WINDOWS == 0) & (F.col("end_ms") - F.col("start_ms") < 1000)
-    block = F.floor(F.col("pos") / BLOCK_WINDOWS) - tail.cast("int")
-    mean = lambda c: (F.sum(c).cast("double") / F.count("*")).alias(c)
-    return on.withColumn("block", block.cast("long")).groupBy("track_id", "island", "block").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), mean("vocal_u"), mean("snr_milli"))
+def missed_blocks(windows: DataFrame, longest_ms: int = LONGEST_BLOCK_MS) -> DataFrame:
+    """Blocks of active neighbours: a window that would end too far from the block's start begins the next block.
 
-
-def missed_blocks_any(windows: DataFrame, longest_ms: int = LONGEST_BLOCK_MS) -> DataFrame:
-    """The same blocks on windows of any lengths: a window that would end too far from the block's start begins the next."""
-    on = islands(windows, is_active())
-    each = on.groupBy("track_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", F.col("vocal_u").cast("double").alias("v"), F.col("snr_milli").cast("double").alias("s")))).alias("_w"))
-    block = lambda x: F.struct(x["start_ms"].cast("long").alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), x["v"].alias("v"), x["s"].alias("s"), F.lit(1).cast("long").alias("n"))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint,v:double,s:double,n:bigint>>"
-
-    def add(state: Column, x: Column) -> Column:
-        now = state["now"]
-        grown = F.struct(now["start_ms"].alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), (now["v"] + x["v"]).alias("v"), (now["s"] + x["s"]).alias("s"), (now["n"] + 1).alias("n"))
-        full = x["end_ms"] - now["start_ms"] >= longest_ms
-        return F.struct(F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), F.when(full, block(x)).otherwise(grown).alias("now"))
-
-    begin = F.struct(F.array().cast(kind).alias("done"), block(F.col("_w")[0]).alias("now"))
-    folded = F.aggregate(F.slice("_w", 2, F.size("_w")), begin, add, lambda s: F.concat(s["done"], F.array(s["now"])))
-    out = each.select("track_id", "island", F.posexplode(folded).alias("block", "b"))
-    return out.select("track_id", "island", F.col("block").cast("long").alias("block"), "b.start_ms", "b.end_ms", (F.col("b.v") / F.col("b.n")).alias("vocal_u"), (F.col("b.s") / F.col("b.n")).alias("snr_milli"))
+    Windows may have any lengths, with starts and ends in order. Only islands longer than a block are cut: each of their
+    windows is linked with the one that would begin the block after it, and the chain of these links from the island's
+    first window gives the blocks' starts. An island is never held in one row.
+    """
+    ensure_checkpoint_dir(windows.sparkSession)
+    by = ["track_id", "island"]
+    on = islands(windows, is_active()).select(*by, F.col("pos").alias("at"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "vocal_u", "snr_milli").checkpoint()
+    wide = on.groupBy(*by).agg((F.max("end_ms") - F.min("start_ms")).alias("_length")).where(F.col("_length") >= longest_ms).select(*by).checkpoint()
+    blocks = on.withColumn("block", F.lit(0).cast("long"))
+    if not wide.isEmpty():
+        cut = on.join(wide, by, "left_semi")
+        asked = cut.select(*by, (F.col("start_ms") + longest_ms).alias("_ms"), F.lit(1).alias("_asks"), "at", F.lit(None).cast("int").alias("_has"))
+        given = cut.select(*by, F.col("end_ms").alias("_ms"), F.lit(0).alias("_asks"), "at", F.col("at").alias("_has"))
+        later = Window.partitionBy(*by).orderBy(F.col("_ms").desc(), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+        links = asked.unionByName(given).withColumn("_next", F.min("_has").over(later)).where("_asks = 1 and _next is not null").withColumn("to", F.greatest("_next", F.col("at") + 1))
+        links = links.join(given.select(*by, F.col("at").alias("to")), [*by, "to"], "left_semi")
+        starts = reached(links, cut.where("at = 0"), by).withColumn("_first", F.lit(1))
+        number = F.sum(F.coalesce("_first", F.lit(0))).over(Window.partitionBy(*by).orderBy("at")) - 1
+        numbered = cut.join(starts, [*by, "at"], "left").withColumn("block", number.cast("long")).drop("_first")
+        blocks = blocks.join(wide, by, "left_anti").unionByName(numbered)
+    mean = lambda c: (F.sum(c).cast("double") / F.count("*")).alias(c)
+    return blocks.groupBy(*by, "block").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), mean("vocal_u"), mean("snr_milli"))
 
 
 def missed_speech(windows: DataFrame, segments: DataFrame, leeway_ms: int = LEEWAY_MS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..sources.shared import ensure_checkpoint_dir
 from .clean import classify, unite
 from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, energy_join
 
@@ -130,7 +131,7 @@ _REPLAYED = "track_id long, kind string, seg_idx long, log_idx long, start_ms lo
 
 
 def _replay(segments: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-    """One track: the log's entries in order, on the segments that any of its ranges touches."""
+    """One cluster of a track: the log's entries in order, on the segments that any of its ranges touches."""
     value = lambda x: None if pd.isna(x) else x
     now = [{"seg_idx": r.seg_idx, "s": r.start_ms, "e": r.end_ms, "text": r.text, "engine": value(r.engine), "bad": value(r.mismatch_type) is not None, "log": None} for r in segments.itertuples()]
     applied = []
@@ -152,13 +153,23 @@ def replay_log(segments: DataFrame, mismatches: DataFrame, log: DataFrame) -> tu
 
     log: track_id, log_idx, r_start, r_end, status, new_segments (start_ms, end_ms, text, engine). Rows that an entry put
     in count as good for later conflicts, and go when a later entry of their range succeeds. Only segments that a range
-    touches meet the log, one track at a time.
+    touches meet the log. Entries, with what they bring, and segments form clusters that do not overlap, so each cluster is
+    replayed alone, whatever else its track holds.
     """
+    ensure_checkpoint_dir(segments.sparkSession)
     used = log.where((F.col("status") == "success") & (F.size("new_segments") > 0))
     ranges = used.select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
     touched = overlapping(ranges, segments.select("track_id", "seg_idx", "start_ms", "end_ms")).select("track_id", "seg_idx").distinct()
     mine = segments.join(touched, ["track_id", "seg_idx"]).select("track_id", "seg_idx", "start_ms", "end_ms", "text", "engine", "mismatch_type")
-    out = mine.groupBy("track_id").cogroup(used.groupBy("track_id")).applyInPandas(_replay, _REPLAYED)
+    brought = lambda f, c: f(F.transform("new_segments", lambda x: x[c]))
+    entries = used.select("track_id", F.least("r_start", brought(F.array_min, "start_ms")).alias("_s"), F.greatest("r_end", brought(F.array_max, "end_ms")).alias("_e"), F.lit(None).cast("long").alias("seg_idx"), "log_idx")
+    spans = mine.select("track_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), "seg_idx", F.lit(None).cast("long").alias("log_idx")).unionByName(entries)
+    by_time = Window.partitionBy("track_id").orderBy("_s", "_e")
+    reach = F.max("_e").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_cluster", F.sum(F.when(F.col("_s") >= reach, 1).otherwise(0)).over(by_time.rowsBetween(Window.unboundedPreceding, 0))).checkpoint()
+    of = lambda c: spans.where(F.col(c).isNotNull()).select("track_id", c, "_cluster")
+    by = ["track_id", "_cluster"]
+    out = mine.join(of("seg_idx"), ["track_id", "seg_idx"]).groupBy(*by).cogroup(used.join(of("log_idx"), ["track_id", "log_idx"]).groupBy(*by)).applyInPandas(_replay, _REPLAYED)
     columns = ["track_id", "start_ms", "end_ms", "text", "engine"]
     after = segments.join(touched, ["track_id", "seg_idx"], "left_anti").select(*columns).unionByName(out.where("kind = 'segment'").select(*columns))
     applied = used.join(out.where("kind = 'applied'").select("track_id", "log_idx"), ["track_id", "log_idx"], "left_semi").select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()

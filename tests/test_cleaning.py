@@ -231,6 +231,59 @@ def test_growing_texts_are_flagged_in_the_flow(spark):
     assert not any(r["repeated"] for r in clean.repetition_exact(df, ["seg_idx"]).collect())
 
 
+def test_fuzzy_runs_in_pieces(spark):
+    rng = random.Random(5)
+    base = ["ご視聴ありがとうございました", "次回の動画でお会いしましょうね", "はい", "あ", "", "。。。"]
+    rows = []
+    for t in range(9):
+        text = rng.choice(base)
+        for i in range(rng.choice([3, 40, 90])):
+            if rng.random() < (0.5 if t % 2 else 0.05):
+                text = rng.choice(base)
+            rows.append((t, i, text + rng.choice(["", "", "どうも", "ね"]) if len(text) > 5 else text))
+    rows += [(20, i, base[0]) for i in range(100)] + [(21, i, base[0] + "どうも" * (i % 2)) for i in range(100)]
+    df = spark.createDataFrame(rows, "track_id long, seg_idx long, text string")
+
+    want = {}
+    for t in {r[0] for r in rows}:
+        own = [(i, "".join(c for c in x if c not in "。"), x.strip() == "") for tt, i, x in rows if tt == t]
+        anchor, run = None, []
+        for i, norm, blank in [*own, (None, None, False)]:
+            same = blank or (bool(norm) and bool(anchor) and (norm == anchor or (len(norm) > 10 and len(anchor) > 10 and (norm in anchor or anchor in norm))))
+            if not same:
+                want |= {(t, k): anchor is not None and sum(not b for _, b in run) >= 3 for k, _ in run}
+                anchor, run = norm, []
+            if i is not None:
+                run.append((i, blank))
+    for piece in (7, 64, 4096):
+        got = {(r["track_id"], r["seg_idx"]): r["repeated"] for r in clean.repetition_fuzzy(df, ["seg_idx"], piece=piece).collect()}
+        assert got == want and sum(want.values()) > 100
+
+
+def test_blocks_off_the_grid(spark):
+    rng = random.Random(6)
+    rows = []
+    for t, step in ((1, 2000), (2, 1300), (3, 700), (4, 31_000)):
+        at = 0
+        for i in range(60):
+            length = step if t == 1 else rng.randrange(step // 2, step)
+            rows.append((t, i, at, at + length, 5000.0, 10.0, 9000.0 if i % 29 else 0.0))
+            at += length
+    got = sorted((r["track_id"], r["start_ms"], r["end_ms"]) for r in clean.missed_blocks(spark.createDataFrame(rows, WINDOW)).collect())
+    want = []
+    for t in (1, 2, 3, 4):
+        block = None
+        for _, i, a, b, *_ in [r for r in rows if r[0] == t]:
+            if i % 29 == 0:
+                block = None
+            elif block is None or b - block[0] >= 30_000:
+                block = [a, b]
+                want.append((t, block))
+            else:
+                block[1] = b
+    assert got == sorted((t, *b) for t, b in want) and max(b - a for t, a, b in got if t < 4) < 30_000
+
+
 def test_conformance(spark):
     seg = spark.createDataFrame([(1, w, i, f"t{i}", i * 10, i * 10 + 5) for w in range(7) for i in (1, 2)], "track_id long, window_idx long, local_id long, text string, start_ms long, end_ms long")
     sent = [(1, 0, 0, [1, 2], 10, 25, "t1 t2"), (1, 1, 0, [1], 10, 15, None), (1, 1, 1, [9], 10, 15, None), (1, 2, 0, [2], 20, 25, None), (1, 2, 1, [1], 10, 15, None), (1, 3, 0, [1, 2], 11, 25, "x"), (1, 4, 0, [1], 10, 15, None), (1, 4, 1, [1, 2], 10, 25, None), (1, 5, 0, [1, 2, 3, 4, 5, 6], 10, 25, None)]
