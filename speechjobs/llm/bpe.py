@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_of, worker_cache
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 350_000
 BATCH_TEXTS = 100
 SHORT = 48  # characters of what is kept
 LATIN_END = chr(0x250)
