@@ -12,7 +12,7 @@ from ..sources import files, fixtures
 from ..sources.shared import ensure_checkpoint_dir
 from .clean import SCORED
 from .repair import RANGES_SQL, TERMS, _numbered, _terms, _window_texts, merged_ranges
-from .translate import MERGED, _LRC, _entries, _merged
+from .translate import ATTEMPTS_SQL, MERGED, _LRC, _attempts, _entries, _merged
 
 
 def _folder(spark: SparkSession) -> str:
@@ -138,6 +138,43 @@ def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("work_id").cast("long").alias("work_id"), F.col("track_id").cast("long").alias("track_id"), "text")
 
 
+def written_repair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair log by work, read again; a log without entries leaves no folder."""
+    root = _folder(spark)
+    log = _log_entries(spark, sf_dir).withColumn("work_id", F.col("key").cast("long") % 10).checkpoint()
+    n = files.write_unless_empty(log, f"{root}/some", "work_id")
+    none = files.write_unless_empty(log.where("status = 'skipped'"), f"{root}/none", "work_id")
+    back = spark.read.schema(f"key string, range {files.RANGE}, status string, work_id long").json(f"{root}/some")
+    ms = lambda c: F.floor(c * 1000 + 0.5)
+    return back.select("work_id", F.col("key").cast("long").alias("track_id"), ms(F.col("range.start")).alias("r_start"), ms(F.col("range.end")).alias("r_end"), "status", F.lit(n).cast("long").alias("n_written"), F.lit(none).cast("long").alias("n_none"))
+
+
+def written_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts of each window as JSON by track's work, read again."""
+    attempts = _attempts(spark, sf_dir)[0]
+    listed = attempts.groupBy("track_id", "window_idx").agg(F.array_sort(F.collect_list(F.struct("attempt", "chunk_idx", "ok"))).alias("attempts"))
+    files.write_rows(listed.withColumn("work_id", F.col("track_id") % 10), root := _folder(spark), "work_id", "json")
+    back = spark.read.schema("track_id long, window_idx long, attempts array<struct<attempt:long,chunk_idx:long,ok:boolean>>, work_id long").json(root)
+    failed = F.filter("attempts", lambda x: ~x["ok"])
+    return back.select("work_id", "track_id", "window_idx", F.size("attempts").cast("long").alias("n"), F.array_join(F.transform(failed, lambda x: F.concat_ws(":", x["attempt"].cast("string"), x["chunk_idx"].cast("string"))), ",").alias("failed"))
+
+
+def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs: the first sees a part of the tracks, some in an older version; the second works out the rest. One run's rows."""
+    root, segments = _folder(spark), fixtures.segments(spark, sf_dir).checkpoint()
+    tracks = segments.select(F.floor(F.col("track_id") / 16).alias("work_id"), "track_id").distinct()
+    version = lambda old: F.when(F.col("track_id") % old == 0, "0").otherwise("1")
+
+    def make(left: DataFrame) -> DataFrame:
+        rows = segments.join(left, "track_id").groupBy("work_id", "track_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+        return rows.withColumn("run", F.lit(now))
+
+    now = 1
+    files.run_incremental(tracks.where("work_id % 4 <> 3 and track_id % 64 <> 5").withColumn("version", version(96)), make, root)
+    now = 2
+    return files.run_incremental(tracks.withColumn("version", F.lit("1")), make, root).select("work_id", "track_id", "n", "chars", F.col("run").cast("long").alias("run"))
+
+
 def repository_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", files.repository_name(F.col("url"), "https://").alias("name"))
 
@@ -154,6 +191,9 @@ QUERIES = {
     "written_entries": written_entries,
     "written_segments": written_segments,
     "lrc_files": lrc_files,
+    "written_repair_log": written_repair_log,
+    "written_attempts": written_attempts,
+    "incremental_run": incremental_run,
     "repository_names": repository_names,
 }
 
@@ -184,5 +224,10 @@ FROM j LEFT JOIN h USING (track_id, window_idx)""",
     "written_segments": fixtures.DUCK + " SELECT track_id % 10 AS work_id, track_id, seg_idx, text, start_ms, end_ms FROM segments",
     "lrc_files": MERGED + f""", n AS (SELECT *, lead(start_ms) OVER (PARTITION BY track_id ORDER BY run) AS nx FROM em)
 SELECT track_id % 10 AS work_id, track_id, string_agg({_LRC.format('start_ms')} || text || CASE WHEN nx - end_ms > 2000 THEN chr(10) || {_LRC.format('end_ms')} ELSE '' END, chr(10) ORDER BY run) || chr(10) AS text FROM n GROUP BY track_id""",
+    "written_repair_log": fixtures.DUCK + RANGES_SQL + " SELECT track_id % 10 AS work_id, track_id, start_ms AS r_start, end_ms AS r_end, CASE WHEN start_ms % 2 = 0 THEN 'success' ELSE 'failed' END AS status, count(*) OVER () AS n_written, 0::BIGINT AS n_none FROM mr_",
+    "written_attempts": fixtures.DUCK + fixtures.derived_sql("entries") + ATTEMPTS_SQL + " SELECT track_id % 10 AS work_id, track_id, window_idx, count(*) AS n, coalesce(string_agg(attempt || ':' || chunk_idx, ',' ORDER BY attempt, chunk_idx) FILTER (NOT ok), '') AS failed FROM at_ GROUP BY ALL",
+    "incremental_run": fixtures.DUCK + """, ir AS (SELECT track_id // 16 AS work_id, track_id, count(*) AS n, sum(len(text))::BIGINT AS chars FROM segments GROUP BY ALL),
+iw AS (SELECT work_id, bool_or(track_id % 64 = 5 OR track_id % 96 = 0) OR work_id % 4 = 3 AS again FROM ir GROUP BY ALL)
+SELECT ir.work_id, track_id, n, chars, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS run FROM ir JOIN iw USING (work_id)""",
     "repository_names": "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS name FROM pages",
 }

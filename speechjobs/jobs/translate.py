@@ -112,6 +112,10 @@ def info_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("conv_id", "turn", metadata.info_record(F.col("info")).alias("r")).select("conv_id", "turn", "r.id", "r.title", "r.uploader", "r.description", F.array_join("r.tags", "|").alias("tags"))
 
 
+def record_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", metadata.record_markdown(metadata.info_record(F.col("info"))).alias("markdown"))
+
+
 def _glossary(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
     """Rows by segment: work is track % 10, ja its first token, zh that reversed with a mark."""
     s = fixtures.segments(spark, sf_dir).where(f"(track_id + seg_idx + {shift}) % 3 = 0")
@@ -222,7 +226,8 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = report.sentence_list(fixtures.segments(spark, sf_dir))
-    return out.select("track_id", F.size("sentences").cast("long").alias("n"), F.array_join("sentences", "|").alias("sentences"))
+    listed = F.transform("sentences", lambda x: F.concat_ws(":", x["start_ms"].cast("string"), x["end_ms"].cast("string"), x["text"]))
+    return out.select("track_id", F.size("sentences").cast("long").alias("n"), F.array_join(listed, "|").alias("sentences"))
 
 
 def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +265,7 @@ QUERIES = {
     "page_metadata": lambda spark, sf_dir: metadata.page_metadata(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     "product_id": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", metadata.product_id(F.concat(F.regexp_replace("url", r"(\d+)", "rj$1"), F.lit("/x"))).alias("product_id")),
     "info_metadata": info_metadata,
+    "record_markdown": record_markdown,
     "cv_split": lambda spark, sf_dir: _works(spark, sf_dir).select("work_id", F.posexplode("voices").alias("pos", "ja")).withColumn("zh", F.col("ja")),
     "metadata_markdown": metadata_markdown,
     "product_pages": product_pages,
@@ -305,6 +311,10 @@ em AS (SELECT track_id, run, string_agg(text, '～' ORDER BY ord) AS text, min(s
 _LRC = "printf('[%02d:%02d.%02d]', {0} // 60000, (({0} % 60000 + 5) // 10) // 100, (({0} % 60000 + 5) // 10) % 100)"
 _VTT = "printf('%02d:%02d:%02d.%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
 
+ATTEMPTS_SQL = """, aw AS (SELECT DISTINCT track_id, window_idx, track_id + window_idx AS k FROM entries),
+ac AS (SELECT *, unnest([1, 2, 3, 3, 4, 4, 4, 4]) AS attempt, unnest([0, 0, 0, 1, 0, 1, 2, 3]) AS chunk_idx FROM aw),
+at_ AS (SELECT track_id, window_idx, attempt, chunk_idx, CASE attempt WHEN 1 THEN k % 3 <> 0 WHEN 2 THEN k % 5 <> 0 WHEN 3 THEN k % 2 <> 0 OR chunk_idx = 0 ELSE (k + chunk_idx) % 3 <> 0 END AS ok FROM ac)"""
+
 ORACLE = {
     "parse_model_output": RAW + """ SELECT track_id, global_id, CASE kind WHEN 0 THEN '[' || item || ', ' || item || ']' WHEN 1 THEN '[' || item || ', ]' WHEN 2 THEN 'so ' || item || ' and {"id": 7, "text": " "}' ELSE '[' || item || ']' END AS body,
   CASE kind WHEN 0 THEN local_id || ':w' || global_id || '|' || local_id || ':w' || global_id WHEN 3 THEN local_id || ':w' || global_id END AS items FROM it""",
@@ -342,6 +352,7 @@ SELECT track_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(b, chr(10) ORDER B
     "page_metadata": rf"""SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '^{_T}+|{_T}+$', '', 'g'), '') AS title,
   nullif(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '^{_T}+|{_T}+$', '', 'g'), '') AS heading, nullif(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), '') AS lang FROM pages""",
     "product_id": r"SELECT page_id, 'RJ' || nullif(regexp_extract(url, '(\d+)', 1), '') AS product_id FROM pages",
+    "record_markdown": """SELECT conv_id, turn, CASE WHEN text <> '' THEN '# Creator' || chr(10) || chr(10) || text || chr(10) || chr(10) ELSE '' END || '# Tags' || chr(10) || chr(10) || 'a [1], b' || chr(10) || chr(10) || CASE WHEN role <> '' THEN '# Description' || chr(10) || chr(10) || role || chr(10) || chr(10) ELSE '' END AS markdown FROM conversations""",
     "info_metadata": """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'unknown' ELSE 'c' || conv_id END AS id, NULL::VARCHAR AS title, text AS uploader, role AS description, 'a [1]|b' AS tags FROM conversations""",
     "cv_split": WORKS + " SELECT work_id, i - 1 AS pos, voices[i] AS ja, voices[i] AS zh FROM (SELECT work_id, voices, unnest(range(1, len(voices) + 1)) AS i FROM wk)",
     "metadata_markdown": WORKS + """, fl AS (SELECT doc_id // 7 AS work_id, string_agg('- ' || source || '/' || doc_id || '.mp3', chr(10) ORDER BY source || '/' || doc_id || '.mp3') AS files FROM documents GROUP BY ALL)
@@ -368,9 +379,7 @@ l AS (SELECT track_id, seg_idx, track_id % n AS item, text FROM segments, n), j
 SELECT track_id, seg_idx, item, len(regexp_replace(text, '[。！？．.!?、…・\s]', '', 'g')) > 5 AND contains(regexp_replace(prompt, '[。！？．.!?、…・\s]', '', 'g'), regexp_replace(text, '[。！？．.!?、…・\s]', '', 'g')) AS leaks FROM j""",
     "clip_times": fixtures.DUCK + """, cw AS (SELECT track_id, seg_idx, count(*) AS n_words, arg_min(start_ms, word_idx) AS first, list(round((start_ms + w_dur) / 1000 + track_id * 0.25::DOUBLE, 3) ORDER BY word_idx) AS ends FROM words GROUP BY ALL)
 SELECT s.track_id, s.seg_idx, round(start_ms / 1000 + s.track_id * 0.25::DOUBLE, 3) AS start_time, round(end_ms / 1000 + s.track_id * 0.25::DOUBLE, 3) AS end_time, n_words, round(first / 1000 + s.track_id * 0.25::DOUBLE, 3) AS first, round(list_sum(ends), 2) AS sum_end FROM segments s JOIN cw USING (track_id, seg_idx)""",
-    "sentence_list": fixtures.DUCK + """, ss AS (SELECT track_id, seg_idx, [x FOR x IN [trim(y) FOR y IN regexp_extract_all(text, '[^。！？．!?、…・]*[。！？．!?、…・]+|[^。！？．!?、…・]+$')] IF x <> ''] AS s FROM segments),
-sf AS (SELECT track_id, flatten(list(s ORDER BY seg_idx)) AS s FROM ss GROUP BY ALL)
-SELECT track_id, len(s) AS n, array_to_string(s, '|') AS sentences FROM sf""",
+    "sentence_list": fixtures.DUCK + " SELECT track_id, count(*) AS n, string_agg(start_ms || ':' || end_ms || ':' || text, '|' ORDER BY seg_idx) AS sentences FROM segments GROUP BY track_id",
     "path_names": """SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(string_split(text, chr(10))[1], '%', '%25'), '<', '%3C'), '>', '%3E'), ':', '%3A'), '"', '%22'), '/', '%2F'), chr(92), '%5C'), '|', '%7C'), '?', '%3F'), '*', '%2A') AS name FROM documents""",
     "shift_times": ENTRIES + """ SELECT track_id, global_id, round(CASE WHEN local_id % 3 = 2 THEN 0.0::DOUBLE ELSE start_ms / 1000 END + window_idx * 0.5::DOUBLE, 3) AS start_time, round(CASE WHEN local_id % 3 = 2 THEN 1.0::DOUBLE ELSE end_ms / 1000 END + window_idx * 0.5::DOUBLE, 3) AS end_time FROM entries""",
     "full_text": fixtures.DUCK + " SELECT s.track_id, string_agg(text, '' ORDER BY seg_idx) AS full_text, count(*) AS n_segments, (SELECT count(*) FROM words w WHERE w.track_id = s.track_id) AS n_words FROM segments s GROUP BY s.track_id",

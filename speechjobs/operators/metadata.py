@@ -89,6 +89,13 @@ def markdown(title: Column, maker: Column, names: Column, description: Column, f
     return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.concat(F.lit("Maker: "), maker), F.when(F.size(names) > 0, F.concat(F.lit("Voices: "), F.array_join(names, ", "))), F.concat(F.lit("## Description\n"), description), listed)
 
 
+def record_markdown(record: Column) -> Column:
+    """The sections of a video's record (title, uploader, tags, description) that are there; an empty one is none."""
+    section = lambda name, text: F.when(text != "", F.concat(F.lit(f"# {name}\n\n"), text, F.lit("\n\n"))).otherwise("")
+    parts = (("Title", record["title"]), ("Creator", record["uploader"]), ("Tags", F.array_join(record["tags"], ", ")), ("Description", record["description"]))
+    return F.concat(*(F.coalesce(section(name, text), F.lit("")) for name, text in parts))
+
+
 def has_latin(text: Column) -> Column:
     return text.rlike(LATIN)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .align import sentences
-
 
 def full_text(segments: DataFrame, words: DataFrame) -> DataFrame:
     """A track's text in order, with its numbers of segments and words."""
@@ -15,9 +13,9 @@ def full_text(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def sentence_list(segments: DataFrame) -> DataFrame:
-    """A track's sentences in order, as an array."""
-    each = segments.select("track_id", F.struct("seg_idx", sentences(F.col("text")).alias("s")).alias("x"))
-    return each.groupBy("track_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])).alias("sentences"))
+    """A track's sentences in order, as an array of (text, start_ms, end_ms): one for each of its segments."""
+    item = F.struct("seg_idx", F.struct("text", "start_ms", "end_ms").alias("s"))
+    return segments.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("sentences"))
 
 
 def track_report(tracks: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:
@@ -51,3 +49,9 @@ def todo(tracks: DataFrame, done: DataFrame, repaired: DataFrame) -> DataFrame:
     """Tracks without results, and whether a repair log is to be applied again instead of a new repair."""
     left = tracks.select("track_id").join(done.select("track_id").distinct(), "track_id", "left_anti")
     return left.join(repaired.select("track_id").distinct().withColumn("reapply", F.lit(True)), "track_id", "left").na.fill(False, ["reapply"])
+
+
+def stale_works(tracks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """work_id of the works with a track (work_id, track_id, version) that no finished run has seen in this version."""
+    seen = manifest.select("work_id", "track_id", "version").distinct()
+    return tracks.select("work_id", "track_id", "version").join(seen, ["work_id", "track_id", "version"], "left_anti").select("work_id").distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.energy import energy_join
+from ..operators.report import stale_works
 
 BROADCAST_TEMPLATES = 1000
+MANIFEST = "work_id long, track_id long, version string"
 EXTENSIONS = ["mp3", "wav", "flac", "m4a", "ogg", "opus", "aac"]
 WORD = "struct<text:string,start_time:double,end_time:double>"
 SEGMENT = f"struct<text:string,start_time:double,end_time:double,words:array<{WORD}>,avg_logprob:double,compression_ratio:double,no_speech_prob:double,engine:string>"
@@ -110,6 +114,54 @@ def write_rows(rows: DataFrame, path: str, partition: str | None = None, form: s
     (writer.partitionBy(partition) if partition else writer).save(path)
 
 
+def write_unless_empty(rows: DataFrame, path: str, partition: str | None = None, form: str = "json") -> int:
+    """Writes rows as write_rows does, counted on the way; without any, no folder is left. Gives their number.
+
+    So a repair log is there only if something was repaired, and the rows are worked out once.
+    """
+    seen = Observation()
+    write_rows(rows.observe(seen, F.count(F.lit(1)).alias("n")), path, partition, form)
+    n = seen.get["n"]
+    if not n:
+        _folder(rows.sparkSession, path).delete()
+    return n
+
+
+class _folder:
+    """A folder of any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        self.store = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.store.exists(self.path)
+
+    def delete(self) -> None:
+        self.store.delete(self.path, True)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """work_id, track_id, version of what finished runs below root have seen."""
+    path = f"{root}/manifest"
+    return spark.read.schema(MANIFEST).parquet(path) if _folder(spark, path).exists() else spark.createDataFrame([], MANIFEST)
+
+
+def run_incremental(tracks: DataFrame, make: Callable[[DataFrame], DataFrame], root: str) -> DataFrame:
+    """Results of all tracks (work_id, track_id, version) below root; only works with new or changed tracks are worked out.
+
+    make turns tracks into rows with their work_id. They replace those of the same works (dynamic partition overwrite), and
+    the manifest is written after them: a run that breaks off in between does its works again, to the same end.
+    """
+    spark, by = tracks.sparkSession, "work_id"
+    left = tracks.join(stale_works(tracks, manifest(spark, root)), by, "left_semi").select(by, "track_id", "version").checkpoint()
+    if not left.isEmpty():
+        make(left).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{root}/results")
+        left.write.mode("append").parquet(f"{root}/manifest")
+    return spark.read.parquet(f"{root}/results").withColumn(by, F.col(by).cast("long"))
+
+
 def write_bundle(documents: DataFrame, path: str) -> None:
     """Documents (key and its fields) as JSON lines."""
     documents.write.mode("overwrite").option("ignoreNullFields", False).json(path)

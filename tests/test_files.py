@@ -49,3 +49,27 @@ def test_metadata_and_requests(spark, tmp_path):
     assert files.requests(w, t, ("<", "|", ">")).first()["request"] == "<T1 S [x]|>"
     files.write_rows(w.limit(0), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_log_only_if_not_empty(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "work_id long, text string")
+    assert files.write_unless_empty(df, str(tmp_path / "log"), "work_id") == 2 and (tmp_path / "log").exists()
+    assert files.write_unless_empty(df.where("work_id > 5"), str(tmp_path / "none"), "work_id") == 0 and not (tmp_path / "none").exists()
+
+
+def test_two_runs_equal_one(spark, tmp_path):
+    texts = spark.createDataFrame([(t // 3, t, f"text {t}") for t in range(12)], "work_id long, track_id long, text string")
+    asked = []
+
+    def make(left):
+        asked.append(sorted(r["track_id"] for r in left.collect()))
+        return texts.join(left.select("track_id", "version"), "track_id")
+
+    tracks = texts.select("work_id", "track_id").withColumn("version", F.lit("1"))
+    files.run_incremental(tracks.where("track_id < 7"), make, str(tmp_path))
+    files.run_incremental(tracks, make, str(tmp_path))
+    last = files.run_incremental(tracks, make, str(tmp_path))
+    assert asked == [list(range(7)), list(range(6, 12))]  # the work that was begun is done again, whole
+    assert {tuple(r) for r in last.select("work_id", "track_id", "text").collect()} == {tuple(r) for r in texts.collect()}
+    changed = tracks.withColumn("version", F.when(F.col("track_id") == 4, "2").otherwise("1"))
+    assert files.run_incremental(changed, make, str(tmp_path)).count() == 12 and asked[-1] == [3, 4, 5]
