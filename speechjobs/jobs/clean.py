@@ -84,6 +84,14 @@ def fine_energy_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return energy.fine_energy_arrays(blocks, 16)
 
 
+def fine_energy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten vectors are a track, each a block of 21 samples of three stems; windows of 16 samples lie across blocks."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    stem = lambda i: F.slice("embedding", 21 * i + 1, 21)
+    blocks = e.select(F.floor(F.col("vec_id") / 10).alias("track_id"), (F.col("vec_id") % 10 * 21).alias("begin"), stem(0).alias("vocal"), F.array(stem(1), stem(2)).alias("others"))
+    return energy.fine_energy_blocks(blocks, 16).drop("snr_db")
+
+
 def missed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.missed_blocks(fixtures.energy_windows(spark, sf_dir))
 
@@ -106,6 +114,7 @@ QUERIES = {
     "repair_ranges": repair_ranges,
     "fine_energy": fine_energy,
     "fine_energy_arrays": fine_energy_arrays,
+    "fine_energy_blocks": fine_energy_blocks,
     "vad_islands": lambda spark, sf_dir: energy.vad_islands(fixtures.energy_windows(spark, sf_dir)),
     "signal_norm": lambda spark, sf_dir: energy.signal_norm(fixtures.energy_windows(spark, sf_dir)),
 }
@@ -250,6 +259,9 @@ WITH s AS (SELECT user_id AS track_id, event_type IN ('purchase', 'signup') AS v
 m AS (SELECT track_id, sample_idx, avg(value) FILTER (v) AS vocal, sum(value) FILTER (NOT v) AS other FROM s GROUP BY ALL HAVING vocal IS NOT NULL AND other IS NOT NULL),
 e AS (SELECT track_id, sample_idx // 24 AS win_idx, count(*) AS n, round(sqrt(sum(vocal * vocal) / count(*)), 6) AS vr, round(sqrt(sum(other * other) / count(*)), 6) AS orr FROM m GROUP BY ALL)
 SELECT track_id, win_idx, n, round(vr, 4) AS vocal_rms, round(orr, 4) AS other_rms, round(round(20 * log10((vr + 1e-10) / (orr + 1e-10)), 3), 1) AS snr_db FROM e""",
+    "fine_energy_blocks": """
+SELECT vec_id // 10 AS track_id, (vec_id % 10 * 21 + i - 1) // 16 AS win_idx, count(*) AS n, round(sqrt(sum(v * v) / count(*)), 6) AS vocal_rms, round(sqrt(sum(o * o) / count(*)), 6) AS other_rms
+FROM (SELECT vec_id, i, embedding[i]::DOUBLE AS v, embedding[i + 21]::DOUBLE + embedding[i + 42]::DOUBLE AS o FROM embeddings, (SELECT unnest(range(1, 22)) AS i)) GROUP BY ALL""",
     "fine_energy_arrays": """
 WITH b AS (SELECT vec_id AS track_id, embedding[1 : len(embedding) // 2] AS v, embedding[len(embedding) // 2 + 1 : 2 * (len(embedding) // 2)] AS o FROM embeddings),
 w AS (SELECT *, unnest(range(0, (least(len(v), len(o)) - 1) // 16 + 1)) AS win_idx FROM b),

@@ -227,7 +227,7 @@ SELECT track_id % 10 AS work_id, track_id, string_agg({_LRC.format('start_ms')}
     "written_repair_log": fixtures.DUCK + RANGES_SQL + " SELECT track_id % 10 AS work_id, track_id, start_ms AS r_start, end_ms AS r_end, CASE WHEN start_ms % 2 = 0 THEN 'success' ELSE 'failed' END AS status, count(*) OVER () AS n_written, 0::BIGINT AS n_none FROM mr_",
     "written_attempts": fixtures.DUCK + fixtures.derived_sql("entries") + ATTEMPTS_SQL + " SELECT track_id % 10 AS work_id, track_id, window_idx, count(*) AS n, coalesce(string_agg(attempt || ':' || chunk_idx, ',' ORDER BY attempt, chunk_idx) FILTER (NOT ok), '') AS failed FROM at_ GROUP BY ALL",
     "incremental_run": fixtures.DUCK + """, ir AS (SELECT track_id // 16 AS work_id, track_id, count(*) AS n, sum(len(text))::BIGINT AS chars FROM segments GROUP BY ALL),
-iw AS (SELECT work_id, bool_or(track_id % 64 = 5 OR track_id % 96 = 0) OR work_id % 4 = 3 AS again FROM ir GROUP BY ALL)
+iw AS (SELECT work_id, bool_or(track_id % 64 = 5 OR track_id % 96 = 0 OR work_id % 4 = 3) AS again FROM ir GROUP BY work_id)
 SELECT ir.work_id, track_id, n, chars, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS run FROM ir JOIN iw USING (work_id)""",
     "repository_names": "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS name FROM pages",
 }

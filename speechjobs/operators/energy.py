@@ -37,6 +37,27 @@ def fine_energy_arrays(blocks: DataFrame, per_window: int) -> DataFrame:
     return each.select("track_id", "win_idx", F.round(F.sqrt(F.col("v") / F.col("n")), 6).alias("vocal_rms"), F.round(F.sqrt(F.col("o") / F.col("n")), 6).alias("other_rms"), "n")
 
 
+def fine_energy_blocks(blocks: DataFrame, per_window: int) -> DataFrame:
+    """The same from blocks of a track's samples (track_id, begin, vocal, others), of any lengths and any number of stems.
+
+    begin is the track's number of the block's first sample, others an array of the other stems' arrays, which are mixed
+    sample by sample in the row. A block gives sums of squares for the windows that it touches, at most two of them not its
+    own, so what is shuffled is a few numbers a window and not its samples. Stems end with the shortest of a block.
+    """
+    length = F.array_min(F.concat(F.array(F.size("vocal")), F.transform("others", F.size)))
+    mixed = F.aggregate(F.slice("others", 2, F.greatest(F.size("others"), F.lit(1))), F.transform(F.get("others", F.lit(0)), lambda x: x.cast("double")), lambda s, x: F.zip_with(s, x, lambda a, b: a + b.cast("double")))
+    rows = blocks.where(F.size("others") > 0).select("track_id", F.col("begin").cast("long").alias("begin"), F.transform("vocal", lambda x: x.cast("double")).alias("vocal"), mixed.alias("other"), length.alias("_n")).where("_n > 0")
+    touched = F.sequence(F.floor(F.col("begin") / per_window), F.floor((F.col("begin") + F.col("_n") - 1) / per_window))
+    cut = rows.withColumn("win_idx", F.explode(touched))
+    first = F.greatest(F.col("win_idx") * per_window - F.col("begin"), F.lit(0))
+    last = F.least((F.col("win_idx") + 1) * per_window - F.col("begin"), F.col("_n").cast("long"))
+    power = lambda c: F.aggregate(F.slice(c, (first + 1).cast("int"), (last - first).cast("int")), F.lit(0.0), lambda s, x: s + x * x)
+    parts = cut.select("track_id", "win_idx", power("vocal").alias("_v"), power("other").alias("_o"), (last - first).alias("_k"))
+    sums = parts.groupBy("track_id", "win_idx").agg(F.sum("_v").alias("_v"), F.sum("_o").alias("_o"), F.sum("_k").alias("n"))
+    rms = lambda c: F.round(F.sqrt(F.col(c) / F.col("n")), 6)
+    return sums.select("track_id", "win_idx", rms("_v").alias("vocal_rms"), rms("_o").alias("other_rms"), "n").withColumn("snr_db", decibels(F.col("vocal_rms"), F.col("other_rms")))
+
+
 def bins(df: DataFrame, start: Column, end: Column, name: str = "_bin") -> DataFrame:
     """A row for each bin that [start, end) touches; a range without length touches one."""
     first = F.floor(start / BIN_MS)

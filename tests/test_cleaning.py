@@ -260,6 +260,27 @@ def test_fuzzy_runs_in_pieces(spark):
         assert got == want and sum(want.values()) > 100
 
 
+def test_energy_of_blocks_across_windows(spark):
+    rng = random.Random(3)
+    tracks = {t: [[rng.uniform(-1, 1) for _ in range(n)] for _ in range(stems)] for t, n, stems in ((1, 100, 3), (2, 37, 2), (3, 1, 5))}
+    rows = []
+    for t, stems in tracks.items():
+        at = 0
+        while at < len(stems[0]):
+            n = rng.choice([1, 5, 40])
+            rows.append((t, at, stems[0][at : at + n], [s[at : at + n] for s in stems[1:]]))
+            at += n
+    rows += [(9, 0, [], [[]]), (9, 0, [1.0], [])]
+    got = {(r["track_id"], r["win_idx"]): r for r in energy.fine_energy_blocks(spark.createDataFrame(rows, "track_id long, begin long, vocal array<double>, others array<array<double>>").repartition(3), 16).collect()}
+    want = {(t, w) for t, s in tracks.items() for w in range((len(s[0]) + 15) // 16)}
+    assert set(got) == want
+    for (t, w), r in got.items():
+        vocal, other = tracks[t][0][16 * w : 16 * w + 16], [sum(x) for x in zip(*tracks[t][1:])][16 * w : 16 * w + 16]
+        assert r["n"] == len(vocal)
+        for name, x in (("vocal_rms", vocal), ("other_rms", other)):
+            assert abs(r[name] - (sum(v * v for v in x) / len(x)) ** 0.5) < 2e-6
+
+
 def test_blocks_off_the_grid(spark):
     rng = random.Random(6)
     rows = []
