@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import subtitles, windows
-from ..sources import files, fixtures
+from ..sources import files, fixtures, recordings
 from ..sources.shared import ensure_checkpoint_dir
 from .clean import SCORED
 from .repair import RANGES_SQL, TERMS, _numbered, _terms, _window_texts, merged_ranges
@@ -138,6 +139,22 @@ def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("work_id").cast("long").alias("work_id"), F.col("track_id").cast("long").alias("track_id"), "text")
 
 
+def recording_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a track, written by tasks, listed again with its header: sound in two spellings, and notes that are none."""
+    tracks = fixtures.segments(spark, sf_dir).groupBy("track_id").agg(F.max("end_ms").alias("n"))
+
+    def contents(rows):
+        for pdf in rows:
+            parts = [recordings.wav(8000, 1 + t % 2, bytes(2 * (1 + t % 2) * (n // 1000))) if t % 3 < 2 else b"notes" for t, n in zip(pdf["track_id"], pdf["n"], strict=True)]
+            names = [f"work {t // 16}/track.{t}{('.wav', '.WAV', '.txt')[t % 3]}" for t in pdf["track_id"]]
+            yield pd.DataFrame({"rel_path": names, "content": parts})
+
+    recordings.write_recordings(tracks.mapInPandas(contents, "rel_path string, content binary"), root := _folder(spark))
+    out = recordings.with_headers(files.recordings(spark, root))
+    work = F.regexp_extract("path", r"/work ([0-9]+)/", 1).cast("long")
+    return out.select(work.alias("work_id"), "stem", "ext", "length", "rate", "channels", "length_ms")
+
+
 def written_repair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repair log by work, read again; a log without entries leaves no folder."""
     root = _folder(spark)
@@ -191,6 +208,7 @@ QUERIES = {
     "written_entries": written_entries,
     "written_segments": written_segments,
     "lrc_files": lrc_files,
+    "recording_files": recording_files,
     "written_repair_log": written_repair_log,
     "written_attempts": written_attempts,
     "incremental_run": incremental_run,
@@ -224,6 +242,8 @@ FROM j LEFT JOIN h USING (track_id, window_idx)""",
     "written_segments": fixtures.DUCK + " SELECT track_id % 10 AS work_id, track_id, seg_idx, text, start_ms, end_ms FROM segments",
     "lrc_files": MERGED + f""", n AS (SELECT *, lead(start_ms) OVER (PARTITION BY track_id ORDER BY run) AS nx FROM em)
 SELECT track_id % 10 AS work_id, track_id, string_agg({_LRC.format('start_ms')} || text || CASE WHEN nx - end_ms > 2000 THEN chr(10) || {_LRC.format('end_ms')} ELSE '' END, chr(10) ORDER BY run) || chr(10) AS text FROM n GROUP BY track_id""",
+    "recording_files": fixtures.DUCK + """, rn AS (SELECT track_id, max(end_ms) // 1000 AS k FROM segments GROUP BY ALL)
+SELECT track_id // 16 AS work_id, 'track.' || track_id AS stem, 'wav' AS ext, 44 + 2 * (1 + track_id % 2) * k AS length, 8000::BIGINT AS rate, 1 + track_id % 2 AS channels, k * 1000 // 8000 AS length_ms FROM rn WHERE track_id % 3 < 2""",
     "written_repair_log": fixtures.DUCK + RANGES_SQL + " SELECT track_id % 10 AS work_id, track_id, start_ms AS r_start, end_ms AS r_end, CASE WHEN start_ms % 2 = 0 THEN 'success' ELSE 'failed' END AS status, count(*) OVER () AS n_written, 0::BIGINT AS n_none FROM mr_",
     "written_attempts": fixtures.DUCK + fixtures.derived_sql("entries") + ATTEMPTS_SQL + " SELECT track_id % 10 AS work_id, track_id, window_idx, count(*) AS n, coalesce(string_agg(attempt || ':' || chunk_idx, ',' ORDER BY attempt, chunk_idx) FILTER (NOT ok), '') AS failed FROM at_ GROUP BY ALL",
     "incremental_run": fixtures.DUCK + """, ir AS (SELECT track_id // 16 AS work_id, track_id, count(*) AS n, sum(len(text))::BIGINT AS chars FROM segments GROUP BY ALL),

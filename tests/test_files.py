@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from speechjobs.operators import windows
-from speechjobs.sources import files
+from speechjobs.sources import files, recordings
 
 
 def test_round_trip(spark, tmp_path):
@@ -73,3 +73,14 @@ def test_two_runs_equal_one(spark, tmp_path):
     assert {tuple(r) for r in last.select("work_id", "track_id", "text").collect()} == {tuple(r) for r in texts.collect()}
     changed = tracks.withColumn("version", F.when(F.col("track_id") == 4, "2").otherwise("1"))
     assert files.run_incremental(changed, make, str(tmp_path)).count() == 12 and asked[-1] == [3, 4, 5]
+
+
+def test_recordings_and_headers(spark, tmp_path):
+    sound = recordings.wav(16_000, 2, bytes(4 * 8000))
+    rows = [("a b/100%.wav", sound), ("c/d.e.MP3", b"x"), ("c/short.wav", b"RIFF"), ("notes.txt", b"n")]
+    df = spark.createDataFrame(rows, "rel_path string, content binary").repartition(2)
+    for _ in range(2):
+        recordings.write_recordings(df, str(tmp_path))
+    assert (tmp_path / "a b/100%.wav").read_bytes() == sound
+    got = {r["stem"]: (r["ext"], r["length"], r["rate"], r["channels"], r["length_ms"]) for r in recordings.with_headers(files.recordings(spark, str(tmp_path))).collect()}
+    assert got == {"100%": ("wav", len(sound), 16_000, 2, 500), "d.e": ("mp3", 1, None, None, None), "short": ("wav", 4, None, None, None)}
