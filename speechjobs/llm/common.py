@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import ensure_checkpoint_dir
 
-__all__ = ["SPACE", "WORD", "documents", "ensure_checkpoint_dir", "id_remainder", "row_of", "shuffle_parts", "text_of", "worker_cache"]
+__all__ = ["SPACE", "WORD", "documents", "ensure_checkpoint_dir", "id_remainder", "row_of", "shuffle_parts", "slim_worker", "text_of", "worker_cache"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -41,6 +41,21 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slim_worker() -> dict:
+    """The worker's dictionary without what earlier stages left in it; freed memory goes back to the system."""
+    import ctypes
+    import gc
+
+    cache = worker_cache()
+    cache.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
+    return cache
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, which Spark uses for many tasks."""
     import sys

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, row_of, shuffle_parts, text_of
+from .common import SPACE, documents, row_of, shuffle_parts, slim_worker, text_of
 
 LAST = (1 << 63) - 1
 
@@ -132,6 +132,7 @@ def _fold(limit: int):
     """Trie per input partition: key is hash, length and full bytes, so subtrees below the root are of like size."""
 
     def entries(batches):
+        slim_worker()
         trie = PatriciaTrie()
         for b in batches:
             for n, h, body, owner, count in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):

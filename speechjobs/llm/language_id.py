@@ -32,7 +32,7 @@ from .common import documents, ensure_checkpoint_dir, id_remainder, row_of
 RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 ENTRIES = 1_500_000
-SAMPLE = 3000
+SAMPLE = 1500
 NGRAM = 5
 FLOOR = -8.0
 HELD_OUT = (3, 1)
@@ -131,7 +131,7 @@ class Scorer:
     a batch brings anew are worked out together.
     """
 
-    LIMIT = 250_000
+    LIMIT = 120_000
 
     def __init__(self, model: dict):
         self.langs, self.matrix, self.grams, n = model["langs"], model["matrix"], [], 0

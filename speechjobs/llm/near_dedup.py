@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ensure_checkpoint_dir, row_of, shuffle_parts, text_of, worker_cache
+from .common import documents, ensure_checkpoint_dir, row_of, shuffle_parts, slim_worker, text_of, worker_cache
 from .components import components
 
 COORDINATES = 64
@@ -93,7 +93,8 @@ def _key(s: np.ndarray) -> bytes:
 
 def _sketch(width: int):
     def run(batches):
-        known = worker_cache().setdefault("shingle words", {})
+        cache = worker_cache()
+        known = (cache if "shingle words" in cache else slim_worker()).setdefault("shingle words", {})
         for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sizes, keys, signs = [], [], []
             for text in b.column(1).to_pylist():
