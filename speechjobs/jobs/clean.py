@@ -37,12 +37,12 @@ def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.classify(rows).select("track_id", "run", "rule_id", "dropped", "repeated", "mismatch_type")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Mismatches and kept rows. Flagged and kept rows are written, as two results are made from each."""
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mismatches, kept rows and flagged rows. Flagged and kept rows are written, as two results are made from each."""
     ensure_checkpoint_dir(spark)
     flagged = flagged_segments(spark, sf_dir).checkpoint()
     kept = _kept(flagged).checkpoint()
-    return clean.mismatch_log(flagged, clean.missed_speech(fixtures.energy_windows(spark, sf_dir), kept)), kept
+    return clean.mismatch_log(flagged, clean.missed_speech(fixtures.energy_windows(spark, sf_dir), kept)), kept, flagged
 
 
 def same_start_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def mismatch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repair_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.repair_ranges(*_log(spark, sf_dir))
+    return clean.repair_ranges(*_log(spark, sf_dir)[:2])
 
 
 def garble_rules(spark: SparkSession, sf_dir: str, repair: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from ..sources import files, fixtures, recordings
 from ..sources.shared import ensure_checkpoint_dir
 from .clean import SCORED
 from .repair import RANGES_SQL, TERMS, _numbered, _terms, _window_texts, merged_ranges
-from .translate import ATTEMPTS_SQL, MERGED, _LRC, _attempts, _entries, _merged
+from .translate import _VTT, ATTEMPTS_SQL, MERGED, _LRC, _attempts, _entries, _merged
 
 
 def _folder(spark: SparkSession) -> str:
@@ -139,6 +139,13 @@ def lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("work_id").cast("long").alias("work_id"), F.col("track_id").cast("long").alias("track_id"), "text")
 
 
+def written_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cue files, one a track, read again."""
+    texts = subtitles.vtt_files(subtitles.vtt_cues(_merged(spark, sf_dir), collapse=False))
+    files.write_texts(texts.select((F.col("track_id") % 10).alias("work_id"), "track_id", F.col("vtt").alias("text")), root := _folder(spark))
+    return files.read_texts(spark, root).select(F.col("work_id").cast("long").alias("work_id"), F.col("track_id").cast("long").alias("track_id"), "text")
+
+
 def recording_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a track, written by tasks, listed again with its header: sound in two spellings, and notes that are none."""
     tracks = fixtures.segments(spark, sf_dir).groupBy("track_id").agg(F.max("end_ms").alias("n"))
@@ -208,6 +215,7 @@ QUERIES = {
     "written_entries": written_entries,
     "written_segments": written_segments,
     "lrc_files": lrc_files,
+    "written_vtt": written_vtt,
     "recording_files": recording_files,
     "written_repair_log": written_repair_log,
     "written_attempts": written_attempts,
@@ -242,6 +250,8 @@ FROM j LEFT JOIN h USING (track_id, window_idx)""",
     "written_segments": fixtures.DUCK + " SELECT track_id % 10 AS work_id, track_id, seg_idx, text, start_ms, end_ms FROM segments",
     "lrc_files": MERGED + f""", n AS (SELECT *, lead(start_ms) OVER (PARTITION BY track_id ORDER BY run) AS nx FROM em)
 SELECT track_id % 10 AS work_id, track_id, string_agg({_LRC.format('start_ms')} || text || CASE WHEN nx - end_ms > 2000 THEN chr(10) || {_LRC.format('end_ms')} ELSE '' END, chr(10) ORDER BY run) || chr(10) AS text FROM n GROUP BY track_id""",
+    "written_vtt": MERGED + f""", vc AS (SELECT track_id, run, row_number() OVER (PARTITION BY track_id ORDER BY run) || chr(10) || {_VTT.format('start_ms')} || ' --> ' || {_VTT.format('end_ms')} || chr(10) || text || chr(10) AS b FROM em)
+SELECT track_id % 10 AS work_id, track_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(b, chr(10) ORDER BY run) AS text FROM vc GROUP BY track_id""",
     "recording_files": fixtures.DUCK + """, rn AS (SELECT track_id, max(end_ms) // 1000 AS k FROM segments GROUP BY ALL)
 SELECT track_id // 16 AS work_id, 'track.' || track_id AS stem, 'wav' AS ext, 44 + 2 * (1 + track_id % 2) * k AS length, 8000::BIGINT AS rate, 1 + track_id % 2 AS channels, k * 1000 // 8000 AS length_ms FROM rn WHERE track_id % 3 < 2""",
     "written_repair_log": fixtures.DUCK + RANGES_SQL + " SELECT track_id % 10 AS work_id, track_id, start_ms AS r_start, end_ms AS r_end, CASE WHEN start_ms % 2 = 0 THEN 'success' ELSE 'failed' END AS status, count(*) OVER () AS n_written, 0::BIGINT AS n_none FROM mr_",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_runs, path_safe, strip_speaker
 from ..operators import align, energy, metadata, repair, report, resolve, subtitles, windows
 from ..sources import fixtures
-from .clean import CLEAN, LOG, SIGNALS, _log, clean_segments, flagged_segments, islands_sql
+from .clean import CLEAN, LOG, SIGNALS, _log, clean_segments, islands_sql
 from .repair import JUDGED_SQL, OUTCOME_SQL, judged, merged_ranges
 
 ITEM = "struct<id:bigint,text:string>"
@@ -218,10 +218,10 @@ def track_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, kept = _log(spark, sf_dir)
+    log, kept, flagged = _log(spark, sf_dir)
     w = fixtures.energy_windows(spark, sf_dir)
     outcome = repair.repair_outcome(merged_ranges(spark, sf_dir), judged(spark, sf_dir))
-    return report.timeline(flagged_segments(spark, sf_dir), kept, energy.vad_islands(w), log, energy.signal_norm(w), outcome)
+    return report.timeline(flagged, kept, energy.vad_islands(w), log, energy.signal_norm(w), outcome)
 
 
 def sentence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
