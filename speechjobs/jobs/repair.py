@@ -24,9 +24,11 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rows for each range of 6 s or more, from one of two engines."""
-    r = merged_ranges(spark, sf_dir).where("end_ms - start_ms >= 6000").select("track_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.floor(F.col("start_ms") / 100).alias("range_idx"))
-    cut = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("cand_idx"), (F.col("r_start") + 2500).alias("start_ms"), (F.col("r_start") + 4000).alias("end_ms")), F.struct(F.lit(1).cast("long").alias("cand_idx"), (F.col("r_end") - 4000).alias("start_ms"), (F.col("r_end") - 1500).alias("end_ms"))))
+    """Two rows for each range, in its first half and near its end, from one of two engines."""
+    r = merged_ranges(spark, sf_dir).select("track_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.floor(F.col("start_ms") / 100).alias("range_idx"))
+    part = lambda n: F.floor((F.col("r_end") - F.col("r_start")) / n)
+    candidate = lambda i, start, end: F.struct(F.lit(i).cast("long").alias("cand_idx"), start.alias("start_ms"), end.alias("end_ms"))
+    cut = F.explode(F.array(candidate(0, F.col("r_start") + part(4), F.col("r_start") + part(2)), candidate(1, F.col("r_end") - part(3), F.col("r_end") - part(8))))
     c = r.select("*", cut.alias("c")).select("track_id", "range_idx", "r_start", "r_end", "c.*")
     kind = (F.col("range_idx") + F.col("cand_idx")) % 4
     text = F.when(kind == 0, "ab").when(kind == 1, "またね。").when(kind == 2, "いってきます").otherwise("あ")
@@ -75,8 +77,8 @@ def _sent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of a track's ranges by their number; a result stands for each third segment."""
-    r = fixtures.segments(spark, sf_dir).where("seg_idx % 3 = 0").select("track_id", F.floor(F.col("seg_idx") / 3).alias("ordinal"), "text")
+    """Results of a track's ranges by their number; every segment stands for a result."""
+    r = fixtures.segments(spark, sf_dir).select("track_id", F.col("seg_idx").alias("ordinal"), "text")
     return repair.assign_by_order(_sent_ranges(spark, sf_dir), r)
 
 
@@ -164,8 +166,8 @@ MERGED = fixtures.DUCK + RANGES_SQL
 _C = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF66}-\x{FF9F}]"
 _W = r"[A-Za-z0-9_\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF66}-\x{FF9F}]"
 JUDGED_SQL = RANGES_SQL + f"{rules_sql('scored', p='c')}, classified AS (SELECT *, {DROPS} AS dropped, {MISMATCH.format('')} AS mismatch_type FROM cruled)" + """,
-rg AS (SELECT track_id, start_ms AS r_start, end_ms AS r_end, start_ms // 100 AS range_idx FROM mr_ WHERE end_ms - start_ms >= 6000),
-cd AS (SELECT *, 0 AS cand_idx, r_start + 2500 AS start_ms, r_start + 4000 AS end_ms FROM rg UNION ALL SELECT *, 1, r_end - 4000, r_end - 1500 FROM rg),
+rg AS (SELECT track_id, start_ms AS r_start, end_ms AS r_end, start_ms // 100 AS range_idx FROM mr_),
+cd AS (SELECT *, 0 AS cand_idx, r_start + (r_end - r_start) // 4 AS start_ms, r_start + (r_end - r_start) // 2 AS end_ms FROM rg UNION ALL SELECT *, 1, r_end - (r_end - r_start) // 3, r_end - (r_end - r_start) // 8 FROM rg),
 ct AS (SELECT *, CASE WHEN range_idx % 2 = 0 THEN 'mms' ELSE 'qwen' END AS engine, CASE (range_idx + cand_idx) % 4 WHEN 0 THEN 'ab' WHEN 1 THEN 'またね。' WHEN 2 THEN 'いってきます' ELSE 'あ' END AS text, -40 AS logprob_c, 120 AS ratio_c, 10 AS nospeech_c FROM cd),
 ce AS (SELECT c.*, e.vocal_u, e.snr_milli FROM ct c LEFT JOIN (SELECT c.track_id, c.range_idx, c.cand_idx, sum(w.vocal_u)::DOUBLE / count(*) AS vocal_u, sum(w.snr_milli)::DOUBLE / count(*) AS snr_milli
   FROM ct c JOIN energy_windows w ON w.track_id = c.track_id AND w.start_ms < c.end_ms AND w.end_ms > c.start_ms GROUP BY ALL) e USING (track_id, range_idx, cand_idx))""" + rules_sql("ce", True, "j") + f""",
@@ -198,7 +200,7 @@ SELECT track_id, r_start, r_end, cluster, start_ms, CASE WHEN e - s < 1500 THEN
   UNION ALL SELECT track_id, start_ms, end_ms, text, engine FROM judged WHERE accepted""",
     "repair_mismatches": JUDGED + " SELECT track_id, seg_idx AS mismatch_idx, start_ms, end_ms, mismatch_type FROM classified s WHERE mismatch_type IS NOT NULL AND NOT EXISTS (SELECT 1 FROM judged j WHERE j.accepted AND j.track_id = s.track_id AND s.start_ms < j.r_end AND s.end_ms > j.r_start)",
     "results_by_order": MERGED + """, rn AS (SELECT track_id, start_ms AS r_start, end_ms AS r_end, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms) - 1 AS ordinal FROM mr_)
-SELECT rn.track_id, rn.ordinal, r_start, r_end, s.text FROM rn JOIN segments s ON s.track_id = rn.track_id AND s.seg_idx = 3 * rn.ordinal""",
+SELECT rn.track_id, rn.ordinal, r_start, r_end, s.text FROM rn JOIN segments s ON s.track_id = rn.track_id AND s.seg_idx = rn.ordinal""",
     "results_by_time": MERGED + " SELECT s.track_id, s.seg_idx, s.start_ms, s.end_ms, r.start_ms AS r_start, r.end_ms AS r_end FROM mr_ r JOIN segments s ON s.track_id = r.track_id AND s.start_ms >= r.start_ms - 500 AND s.end_ms <= r.end_ms + 500",
     "repair_outcome": JUDGED + OUTCOME_SQL,
     "tr_segments": fixtures.DUCK + " SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, seg_idx, start_ms, end_ms FROM segments",

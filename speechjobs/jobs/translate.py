@@ -289,7 +289,7 @@ QUERIES = {
     "full_text": lambda spark, sf_dir: report.full_text(fixtures.segments(spark, sf_dir), fixtures.words(spark, sf_dir)),
     "track_report": track_report,
     "timeline": timeline,
-    "incremental_todo": lambda spark, sf_dir: report.todo(fixtures.segments(spark, sf_dir).select("track_id").distinct(), fixtures.derived(spark, sf_dir, "raw_ranges").where("seg_idx % 2 = 0"), fixtures.derived(spark, sf_dir, "second_ranges")),
+    "incremental_todo": lambda spark, sf_dir: report.todo(fixtures.segments(spark, sf_dir).select("track_id").distinct(), fixtures.derived(spark, sf_dir, "raw_ranges").where("reason = 'loop'"), fixtures.derived(spark, sf_dir, "second_ranges")),
 }
 
 ENTRIES = fixtures.DUCK + fixtures.derived_sql("entries")
@@ -391,5 +391,5 @@ tl AS (SELECT track_id, 'raw' AS lane, CASE WHEN ratio_c > 250 OR logprob_c < -1
   UNION ALL SELECT track_id, 'signal', 'vocal', start_ms, end_ms, vocal_01 FROM sig UNION ALL SELECT track_id, 'signal', 'other', start_ms, end_ms, other_01 FROM sig UNION ALL SELECT track_id, 'snr', 'snr', start_ms, end_ms, snr_01 FROM sig
   UNION ALL SELECT track_id, 'repair', status, start_ms, end_ms, NULL FROM oc)
 SELECT track_id, lane, kind, start_ms, CASE WHEN end_ms <= start_ms THEN start_ms + 100 ELSE end_ms END AS end_ms, value FROM tl""",
-    "incremental_todo": fixtures.DUCK + fixtures.derived_sql("raw_ranges") + fixtures.derived_sql("second_ranges") + " SELECT DISTINCT track_id, track_id IN (SELECT track_id FROM second_ranges) AS reapply FROM segments WHERE track_id NOT IN (SELECT track_id FROM raw_ranges WHERE seg_idx % 2 = 0)",
+    "incremental_todo": fixtures.DUCK + fixtures.derived_sql("raw_ranges") + fixtures.derived_sql("second_ranges") + " SELECT DISTINCT track_id, track_id IN (SELECT track_id FROM second_ranges) AS reapply FROM segments WHERE track_id NOT IN (SELECT track_id FROM raw_ranges WHERE reason = 'loop')",
 }

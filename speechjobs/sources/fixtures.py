@@ -44,8 +44,8 @@ DUCK = DUCK_HEAD + COMMON + DUCK_WINDOWS + TAIL
 
 # Derived inputs, in SQL that both engines read alike.
 DERIVED = {
-    "raw_ranges": "SELECT track_id, start_ms, end_ms, CASE seg_idx % 3 WHEN 0 THEN 'loop' WHEN 1 THEN 'missed' ELSE 'low' END AS reason, seg_idx FROM segments WHERE (track_id + seg_idx) % 5 = 0",
-    "second_ranges": "SELECT track_id, start_ms + CASE WHEN seg_idx % 2 = 0 THEN 20 ELSE 700 END AS start_ms, end_ms, 'second' AS reason, seg_idx FROM segments WHERE (track_id + seg_idx) % 10 = 0",
+    "raw_ranges": "SELECT track_id, start_ms, end_ms, CASE WHEN ratio_c > 240 THEN 'loop' WHEN nospeech_c > 60 THEN 'missed' ELSE 'low' END AS reason, seg_idx FROM segments WHERE logprob_c < -120 OR ratio_c > 240",
+    "second_ranges": "SELECT track_id, start_ms + CASE WHEN nospeech_c > 40 THEN 20 ELSE 700 END AS start_ms, end_ms, 'second' AS reason, seg_idx FROM segments WHERE logprob_c < -130",
     "entries": """SELECT track_id, CAST(floor(seg_idx / 8) AS BIGINT) AS window_idx, seg_idx % 8 + 1 AS local_id, seg_idx + 1 AS global_id, text AS input, start_ms, end_ms,
         CASE (track_id + seg_idx) % 9 WHEN 0 THEN 'one constant line' WHEN 4 THEN 'one constant line' WHEN 1 THEN NULL WHEN 2 THEN concat('和名：', text) ELSE text END AS text FROM segments""",
     "sent_rows": """SELECT track_id, window_idx, CASE WHEN window_idx % 4 = 0 THEN CAST(floor(pos / 2) AS BIGINT) WHEN k = 5 THEN 0 ELSE pos END AS entry_idx, pos,
