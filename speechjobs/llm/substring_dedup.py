@@ -16,7 +16,8 @@ smallest hash, and a phrase is a maximal run of windows with one trigger. Neighb
 All that goes between groups is one entry per distinct trigger or phrase of a group, however often it occurs there,
 so a passage in a third of all documents is one entry a group. A trigger that stands in more than `HOT_PHRASES` different
 phrases, as a stock phrase in ever new contexts does, would send them all to one range: its windows are dealt out one by
-one, by a hash of their own bytes. The text is shuffled once, by id and text, so rows that share an id, or have none, are
+one, by a hash of their own bytes. Ranges grow with the text, so that the dictionary of one stays small; they are dealt over at
+most `PARTITIONS` shuffle partitions, in which they come sorted and one is held at a time. The text is shuffled once, by id and text, so rows that share an id, or have none, are
 not one group.
 
 Defined results: null text is empty; a document never repeats itself or rows with its own id; null ids come last;
@@ -41,6 +42,7 @@ LENGTH, GRAM = 50, 20
 GROUP_BYTES = 8 << 20
 CHUNK = 1 << 17
 HOT_PHRASES = 50_000
+PARTITIONS = 8192
 LAST = (1 << 63) - 1
 _U = np.uint64
 _TOP = _U(np.iinfo(np.uint64).max)
@@ -329,7 +331,7 @@ def _remove(bits: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_text: bool = False, hot_phrases: int = HOT_PHRASES) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_text: bool = False, hot_phrases: int = HOT_PHRASES, partitions: int = PARTITIONS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept if wanted."""
     rows = text_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("body"))
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -337,8 +339,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_text: b
     bits = max(1, min(24, (groups - 1).bit_length() + 2))  # four ranges a group keep a range's dictionary small
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "body"), F.lit(groups)))
     by_group = rows.groupBy("grp")
-    ranges = 1 << bits
-    deal = lambda df: df.repartition(ranges, "part").sortWithinPartitions("part", "grp")
+    deal = lambda df: df.repartition(min(1 << bits, partitions), "part").sortWithinPartitions("part", "grp")
     triggers = deal(by_group.applyInArrow(_send_triggers(bits), _SENT)).mapInArrow(_repeated_triggers(hot_phrases), _BACK)
     phrases = by_group.cogroup(triggers.groupBy("grp")).applyInArrow(_send_phrases(bits), _SENT)
     windows = deal(phrases).mapInArrow(_first_owners, _BACK)

@@ -245,7 +245,7 @@ def test_substring_dedup(spark, docs, none):
     passages = ["".join(rng.choice("abc é") for _ in range(rng.choice([30, 49, 50, 51, 120, 700]))) for _ in range(8)]
     texts = [(i, "".join(rng.choice([*passages, "x" * 60, "".join(rng.choice("qrst") for _ in range(20))]) for _ in range(rng.randrange(6)))) for i in range(60)]
     for group_bytes, hot in ((1 << 22, 50_000), (3000, 50_000), (3000, 1), (1 << 22, 0)):  # the last two deal windows out one by one
-        got = rows_of(substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), group_bytes=group_bytes, hot_phrases=hot).drop("kept"))
+        got = rows_of(substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), group_bytes=group_bytes, hot_phrases=hot, partitions=3).drop("kept"))
         assert sorted(map(tuple, got)) == remove_plain(texts)
     last = 1 << 62
     own = [(r[0] if r[0] is not None else last, r[1]) for r in awkward()]
