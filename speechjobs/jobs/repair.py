@@ -121,8 +121,9 @@ def _window_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark, sf_dir).where("kind = 'term'").select("work_id", "ja")
-    return windows.glossary_hits(_window_texts(spark, sf_dir), terms).withColumn("terms", F.array_join("terms", "\n"))
+    terms = _terms(spark, sf_dir)
+    hits = windows.glossary_hits(_window_texts(spark, sf_dir), terms.where("kind = 'term'").select("work_id", "ja"))
+    return windows.window_entries(hits, terms)
 
 
 def glossary_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +207,7 @@ SELECT rn.track_id, rn.ordinal, r_start, r_end, s.text FROM rn JOIN segments s O
     "tr_segments": fixtures.DUCK + " SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, seg_idx) AS id, seg_idx, start_ms, end_ms FROM segments",
     "glossary_hits": ENTRIES + TERMS + """,
 t AS (SELECT track_id, window_idx, track_id // 16 AS work_id, string_agg(input, '' ORDER BY local_id) AS text FROM entries GROUP BY ALL)
-SELECT t.work_id, track_id, window_idx, coalesce(string_agg(ja, chr(10) ORDER BY ja), '') AS terms FROM t LEFT JOIN terms_ g ON g.work_id = t.work_id AND kind = 'term' AND contains(text, ja) GROUP BY ALL""",
+SELECT t.work_id, track_id, window_idx, kind, ja FROM t LEFT JOIN terms_ g ON g.work_id = t.work_id AND (kind <> 'term' OR contains(text, ja))""",
     "glossary_names": fixtures.DUCK + TERMS + " SELECT work_id, string_agg(ja, chr(10) ORDER BY ja) AS names FROM terms_ WHERE kind <> 'term' GROUP BY work_id",
     "budget_windows": fixtures.DUCK + TERMS + f""",
 few AS (SELECT *, 38 + len(to_json(ja)::VARCHAR) + len(to_json(zh)::VARCHAR) AS chars FROM terms_),

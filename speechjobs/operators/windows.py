@@ -75,6 +75,16 @@ def glossary_hits(windows: DataFrame, terms: DataFrame) -> DataFrame:
     return windows.drop("text").join(listed, ["work_id", "track_id", "window_idx"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
+def window_entries(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """work_id, track_id, window_idx, kind, ja: each window's glossary, as its work's cvs and characters, which always count, and
+    the terms that it holds (hits); a window without any has one row of nulls. pairs: (work_id, kind, ja)."""
+    entry = "array<struct<kind:string,ja:string>>"
+    names = pairs.where("ja <> '' and kind in ('cv', 'character')").groupBy("work_id").agg(F.collect_set(F.struct("kind", "ja")).cast(entry).alias("_names"))
+    terms = F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x.alias("ja"))).cast(entry)
+    each = hits.join(names, "work_id", "left").withColumn("_e", F.explode_outer(F.concat(F.coalesce("_names", F.array().cast(entry)), terms)))
+    return each.select("work_id", "track_id", "window_idx", "_e.kind", "_e.ja")
+
+
 def glossary_names(terms: DataFrame) -> DataFrame:
     """work_id, names: the cvs and characters of a work, which count in each of its windows; those without ja never do."""
     return terms.where("ja <> '' and kind in ('cv', 'character')").groupBy("work_id").agg(F.array_sort(F.collect_set("ja")).alias("names"))

@@ -362,6 +362,14 @@ def test_names_always_count_and_terms_of_the_work(spark):
     assert [x["ja"] for x in text[1]["terms"]] and text[4] == {"cvs": [{"ja": "名", "zh": "z"}], "characters": [], "terms": []} and text[3] == {"cvs": [], "characters": [], "terms": []}
 
 
+def test_window_entries_hold_names_and_terms(spark):
+    w = spark.createDataFrame([(1, 0, 7, "赤い花と青"), (2, 0, 7, "白"), (3, 0, 6, "赤"), (4, 0, 8, "青と")], "track_id long, window_idx long, work_id long, text string")
+    terms = spark.createDataFrame([(7, "term", "赤い花"), (7, "term", "黒"), (7, "cv", "名"), (7, "character", "人"), (7, "character", ""), (8, "term", "青")], "work_id long, kind string, ja string")
+    got = windows.window_entries(windows.glossary_hits(w, terms.where("kind = 'term'").drop("kind")), terms)
+    assert sorted((r["track_id"], r["kind"], r["ja"]) for r in got.where("kind is not null").collect()) == [(1, "character", "人"), (1, "cv", "名"), (1, "term", "赤い花"), (2, "character", "人"), (2, "cv", "名"), (4, "term", "青")]
+    assert [(r["track_id"], r["ja"]) for r in got.where("kind is null").collect()] == [(3, None)]
+
+
 def test_term_bands_of_any_width(spark):
     rng = random.Random(8)
     rows = [(t, i + 1, 1, "".join(rng.choice("あい") for _ in range(rng.randrange(0, 30)))) for t in range(3) for i in range(40)]
