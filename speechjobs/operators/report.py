@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .align import sentences
+
 
 def full_text(segments: DataFrame, words: DataFrame) -> DataFrame:
     """A track's text in order, with its numbers of segments and words."""
@@ -13,9 +15,14 @@ def full_text(segments: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def sentence_list(segments: DataFrame) -> DataFrame:
-    """A track's sentences in order, as an array of (text, start_ms, end_ms): one for each of its segments."""
-    item = F.struct("seg_idx", F.struct("text", "start_ms", "end_ms").alias("s"))
-    return segments.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("sentences"))
+    """A track's sentences in order, as two arrays.
+
+    sentences: (text, start_ms, end_ms), one for each segment, as engines that time segments give them; split: the same texts
+    cut at their closing marks, as the engine that splits text gives them.
+    """
+    item = F.struct("seg_idx", F.struct("text", "start_ms", "end_ms").alias("s"), sentences(F.col("text")).alias("cut"))
+    listed = segments.groupBy("track_id").agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    return listed.select("track_id", F.transform("_l", lambda x: x["s"]).alias("sentences"), F.flatten(F.transform("_l", lambda x: F.coalesce(x["cut"], F.array().cast("array<string>")))).alias("split"))
 
 
 def track_report(tracks: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:

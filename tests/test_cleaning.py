@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechjobs.functions.text import collapse_runs, lrc_time, path_safe, strip_speaker, vtt_time
-from speechjobs.operators import align, clean, energy, metadata, repair, resolve, subtitles, windows
+from speechjobs.operators import align, clean, energy, metadata, repair, report, resolve, subtitles, windows
 
 SEGMENT = "track_id long, seg_idx long, text string, start_ms long, end_ms long, logprob_c long, ratio_c long, nospeech_c long, vocal_u double, other_u double, snr_milli double"
 
@@ -370,6 +370,12 @@ def test_window_entries_hold_names_and_terms(spark):
     assert [(r["track_id"], r["ja"]) for r in got.where("kind is null").collect()] == [(3, None)]
 
 
+def test_sentence_list_splits_texts_too(spark):
+    s = spark.createDataFrame([(1, 1, 900, 950, "う"), (1, 0, 0, 800, "あ。 い？"), (2, 0, 5, 9, "")], "track_id long, seg_idx long, start_ms long, end_ms long, text string")
+    got = {r["track_id"]: ([tuple(x) for x in r["sentences"]], r["split"]) for r in report.sentence_list(s).collect()}
+    assert got == {1: ([("あ。 い？", 0, 800), ("う", 900, 950)], ["あ。", "い？", "う"]), 2: ([("", 5, 9)], [])}
+
+
 def test_term_bands_of_any_width(spark):
     rng = random.Random(8)
     rows = [(t, i + 1, 1, "".join(rng.choice("あい") for _ in range(rng.randrange(0, 30)))) for t in range(3) for i in range(40)]
