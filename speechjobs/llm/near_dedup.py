@@ -9,8 +9,9 @@ component then meets once with its full sets: breadth-first search by exact simi
 a large group of copies is listed twice and no link between components is missed inside it.
 
 Large nodes are not searched in one task. Their members are dealt out by a second key and meet a few pivots of the node
-in every part; a member linked with a pivot takes its label. Then the node branches by two further coordinates, and a
-child whose members have one label is done, which is what becomes of a large group of near copies. A loose component
+in every part; a member linked with a pivot takes its label. If few are then apart from the largest group, which is what
+becomes of a large group of near copies, they meet all parts of the group, and the node is done: the group goes no
+further, and is never compared with itself. Other nodes branch by two further coordinates. A loose component
 above `block_shingles` is dealt into blocks that meet a few pivots with full sets first; only what is not linked with the
 largest group is then compared with all blocks, and the group itself is never compared pair by pair.
 
@@ -243,6 +244,44 @@ def _meet(agree: int):
     return run
 
 
+def _near_rest(signs: np.ndarray, rest: np.ndarray, group: np.ndarray, agree: int, within: bool) -> Iterator[tuple[int, int]]:
+    """Loose links of each row of `rest` with one of the group, and, if `within`, with rows of `rest`."""
+    own = signs[group]
+    for n, at in enumerate(rest):
+        yield from ((at, x) for x in group[np.flatnonzero((own == signs[at]).sum(axis=1) >= agree)[:1]])
+        if within:
+            after = rest[n + 1 :]
+            yield from ((at, x) for x in after[(signs[after] == signs[at]).sum(axis=1) >= agree])
+
+
+def _meet_group(agree: int):
+    """Rows apart from the node's largest group against a part of it, and in the first part against each other."""
+
+    def run(batches):
+        out = []
+        for (_, salt), parts in runs(batches, 2):
+            keys, signs, labels, apart = ([x for p in parts for x in p.column(i).to_pylist()] for i in range(2, 6))
+            matrix = np.frombuffer(b"".join(signs), np.uint32).reshape(-1, COORDINATES)
+            rest = np.array(sorted((i for i, x in enumerate(apart) if x), key=keys.__getitem__), np.int64)
+            members = np.array([i for i, x in enumerate(apart) if not x], np.int64)
+            out.extend((keys[a], keys[x]) for a, x in joining(_near_rest(matrix, rest, members, agree, not salt), labels))
+            if len(out) > 50_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    return run
+
+
+def _group_links(met: DataFrame, few: DataFrame, agree: int, parts: int, node_rows: int) -> DataFrame:
+    """a, b: loose links of the nodes `few` (node, most, rows, rest) between their largest groups and the rest, and within the rest."""
+    rows = met.join(few, "node").withColumn("apart", F.col("label") != F.col("most"))
+    salts = F.greatest(F.ceil((F.col("rows") - F.col("rest")) / node_rows).cast("int"), F.lit(1))
+    own = F.pmod(F.xxhash64("set_key"), salts).cast("int")
+    dealt = rows.select("node", F.explode(F.when(F.col("apart"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(own))).alias("salt"), "set_key", "sign", "label", "apart")
+    return dealt.repartition(parts, "node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_meet_group(agree), "a binary, b binary")
+
+
 def _children(with_sign: bool):
     """Two rows for each member: the node's children by the values of two coordinates that its name chooses."""
 
@@ -273,19 +312,31 @@ def loose_links(nodes: DataFrame, agree: int, parts: int, node_rows: int = NODE_
             break
         few = F.broadcast(large) if n <= FEW_NODES else large
         links.append(_searched(held.join(few, "node", "left_anti"), agree, parts))
-        members = held.join(few, "node").withColumn("salts", F.ceil(F.col("rows") / node_rows).cast("int"))
+        members = held.join(few, "node").withColumn("salts", F.ceil(F.col("rows") / node_rows).cast("int")).checkpoint()
         pivots = [F.min(F.struct(F.xxhash64("label", F.lit(j)).alias("h"), "set_key", "sign", "label")).alias(f"p{j}") for j in range(PIVOTS)]
         chosen = members.groupBy("node", "salts").agg(*pivots).select("node", "salts", F.explode(F.array_distinct(F.array(*(F.col(f"p{j}").dropFields("h") for j in range(PIVOTS))))).alias("p"))
         chosen = chosen.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "p.*", F.lit(True).alias("chosen"))
         dealt = members.select("node", F.pmod(F.xxhash64("set_key"), F.col("salts")).cast("int").alias("salt"), "set_key", "sign", "label", F.lit(False).alias("chosen")).unionByName(chosen)
         met = dealt.repartition(parts, "node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_meet(agree), _MET).checkpoint()
         links.append(met.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")))
+        groups = met.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("rows"), F.max("n").alias("_n"))
+        groups = groups.select("node", "most", "rows", (F.col("rows") - F.col("_n")).alias("rest")).where("rest > 0").checkpoint()  # nodes of one group are done
+        few = groups.where(F.col("rest") <= node_rows)
+        if n := few.count():
+            links.append(_group_links(met, F.broadcast(few) if n <= FEW_NODES else few, agree, parts, node_rows))
+        many = groups.where(F.col("rest") > node_rows).select("node")
+        n = many.count()
+        if not n:
+            held = None
+            break
+        met = met.join(F.broadcast(many) if n <= FEW_NODES else many, "node", "left_semi")
         label = F.xxhash64("label")
         mixed = met.mapInArrow(_children(False), "node long, label binary").groupBy("node").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low < high").select("node").checkpoint()
         n = mixed.count()
-        held = met.mapInArrow(_children(True), "node long, set_key binary, sign binary, label binary").join(F.broadcast(mixed) if n <= FEW_NODES else mixed, "node", "left_semi")
-    out = _searched(held, agree, parts)
-    for more in links:
+        held = met.mapInArrow(_children(True), "node long, set_key binary, sign binary, label binary").join(F.broadcast(mixed) if n <= FEW_NODES else mixed, "node", "left_semi").checkpoint()
+    searched = links if held is None else [_searched(held, agree, parts), *links]
+    out = searched[0]
+    for more in searched[1:]:
         out = out.unionByName(more)
     return out
 

@@ -605,6 +605,37 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_components(none).count() == 0
 
 
+def test_near_dedup_large_group_goes_no_further(spark, monkeypatch):
+    """A large group of near copies with few rows apart: its node is done without children, and no loose link is lost."""
+    rng = np.random.default_rng(9)
+    signs = rng.integers(0, 1 << 32, (1000, near_dedup.COORDINATES), dtype=np.uint32)
+    near = lambda i, j, n: signs.__setitem__(i, np.where(rng.permutation(64) < n, rng.integers(0, 1 << 32, 64, dtype=np.uint32), signs[j]))
+    for i in range(1, 900):
+        near(i, 0, 4)
+    for i in range(900, 950):  # near one member each, rather than all
+        near(i, i - 700, 23)
+    for i in range(951, 970):
+        near(i, i - 1, 12)
+    agree, keys = near_dedup.margin(85, 100), [b"%04d" % i for i in range(1000)]
+
+    def branched(with_sign):
+        raise AssertionError("the group was sent to children")
+
+    monkeypatch.setattr(near_dedup, "_children", branched)
+    df = spark.createDataFrame([(5, keys[i], signs[i].tobytes()) for i in range(1000)], "node long, set_key binary, sign binary")
+    got = [(int(r["a"]), int(r["b"])) for r in near_dedup.loose_links(df, agree, 4, node_rows=120).collect()]
+    assert all((signs[a] == signs[b]).sum() >= agree for a, b in got)
+
+    def rooted(pairs):
+        up = list(range(1000))
+        for a, b in pairs:
+            a, b = up[a], up[b]
+            up = [min(a, b) if x in (a, b) else x for x in up]
+        return up
+
+    assert rooted(got) == rooted((i, j) for i in range(1000) for j in np.flatnonzero((signs == signs[i]).sum(axis=1) >= agree) if j > i and (i in (0, 950) or j >= 900))
+
+
 def test_near_dedup_large_nodes(spark):
     """A node far above the bound: a large group of near copies, pairs apart from it, and chains of copies of copies."""
     rng = np.random.default_rng(4)
