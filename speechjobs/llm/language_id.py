@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ensure_checkpoint_dir, id_remainder, row_of
+from .common import documents, ensure_checkpoint_dir, id_remainder, row_of, slim_worker
 
 RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -48,6 +48,7 @@ def words_of(token: str) -> list[str]:
 
 def _count(limit: int):
     def run(batches):
+        slim_worker()
         counts: Counter = Counter()
 
         def flush():
@@ -205,8 +206,10 @@ def scorer(model: dict):
         model = shared.value
         held = model.get("scorer")
         if held is None:
+            slim_worker()
             held = model["scorer"] = Scorer(model)
             model["grams"] = []
+            slim_worker()
         for part in parts:
             rows = [x for i in range(0, len(part), 500) for x in held.score(part.iloc[i : i + 500].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, worker_cache
+from .common import documents, slim_worker, text_of, worker_cache
 
 WINDOW = 2048
 END = 1
@@ -98,7 +98,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _tokenise(files: tuple[str, str, str], window: int, end: int):
     def run(batches):
-        cache = worker_cache()
+        cache = worker_cache() if files in worker_cache() else slim_worker()
         tokenizer = cache.get(files) or cache.setdefault(files, UnitTokenizer(*files))
         tail = np.array([end], dtype="<u4").tobytes()
         for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):

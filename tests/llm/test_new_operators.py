@@ -242,3 +242,18 @@ def test_new_queries_read_whole_tables(spark):
     ids = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     assert conversations.op12_conversations(spark, SF).count() == ids
     assert hashlib.sha256(b"").hexdigest() == sha("")
+
+
+def test_stages_drop_what_others_left_in_a_worker():
+    import pyarrow as pa
+
+    from speechjobs.llm import language_id, packing
+    from speechjobs.llm.common import worker_cache
+
+    worker_cache()["another stage's"] = bytes(10)
+    assert sum(b.num_rows for b in language_id._count(10)([pa.RecordBatch.from_pydict({"lang": ["x"], "text": ["a b a"]})])) == 2
+    assert not worker_cache()
+    worker_cache()["another stage's"] = bytes(10)
+    assert not list(packing._tokenise(packing.vocabulary(), 8, 1)([]))
+    assert list(worker_cache()) == [packing.vocabulary()]
+    worker_cache().clear()
