@@ -54,11 +54,17 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     m = 0x9E3779B97F4A7C15
     power = lambda k: _U(pow(m, k, 1 << 64))
     h1 = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)[data]
-    h2 = h1[:-1] * power(1) + h1[1:]
-    h4 = h2[:-2] * power(2) + h2[2:]
-    h8 = h4[:-4] * power(4) + h4[4:]
-    h16 = h8[:-8] * power(8) + h8[8:]
-    h = h16[: len(data) - GRAM + 1] * power(4) + h4[16 : 16 + len(data) - GRAM + 1]
+
+    def joined(h, gap):
+        out = h[:-gap] * power(gap)
+        out += h[gap:]
+        return out
+
+    h2 = joined(h1, 1)
+    h4 = joined(h2, 2)
+    h16 = joined(joined(h4, 4), 8)
+    h = h16[: len(data) - GRAM + 1] * power(4)
+    h += h4[16 : 16 + len(data) - GRAM + 1]
     h ^= h >> _U(32)
     h *= _U(0xD6E8FEB86659FD93)
     h ^= h >> _U(32)
@@ -108,11 +114,15 @@ class Parse:
 
     def distinct_triggers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted triggers, whether two documents of the group have it, and in how many different phrases it stands."""
-        order = np.lexsort((self.names, self.triggers))
-        t, d, n = self.triggers[order], self.docs[order], self.names[order]
+        order = np.argsort(self.triggers)
+        t = self.triggers[order]
         if not len(t):
             return t, np.zeros(0, bool), np.zeros(0, np.uint32)
         new = np.concatenate([[True], t[1:] != t[:-1]])
+        shared = ~(new & np.concatenate([new[1:], [True]]))  # most triggers stand once: only the others are sorted by name
+        again = order[shared]
+        order[shared] = again[np.lexsort((self.names[again], self.triggers[again]))]
+        d, n = self.docs[order], self.names[order]
         cuts = np.flatnonzero(new)
         fresh = new | np.concatenate([[True], n[1:] != n[:-1]])
         return t[cuts], np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts), np.add.reduceat(fresh.astype(np.uint32), cuts, dtype=np.uint32)
@@ -210,7 +220,7 @@ def _repeated_triggers(hot_phrases: int):
 
 def _chosen(parse: Parse, back: pa.Table, bits: int) -> np.ndarray:
     """The group's repeated triggers, from the bits it got back; phrases of those in too many phrases are split."""
-    triggers, *_ = parse.distinct_triggers()
+    triggers = np.unique(parse.triggers)
     at, out = _ranges(triggers, bits), {"trigger": [], "hot": []}
     for part, kind, flags in zip(*(back.column(c).to_pylist() for c in ("part", "kind", "bits")), strict=True):
         if kind in out:

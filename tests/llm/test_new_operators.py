@@ -257,3 +257,30 @@ def test_stages_drop_what_others_left_in_a_worker():
     assert not list(packing._tokenise(packing.vocabulary(), 8, 1)([]))
     assert list(worker_cache()) == [packing.vocabulary()]
     worker_cache().clear()
+
+
+def test_later_passes_sort_triggers_alone(monkeypatch):
+    """The bits that come back belong to the distinct triggers in order; their phrases are not counted again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from speechjobs.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(3)
+    bodies = [bytes(rng.integers(97, 101, 900, dtype=np.uint8)) for _ in range(6)]
+    bodies += [bodies[0][100:700] + bodies[1], bodies[0][50:650] + bodies[2][:300]]
+    parse = sd.Parse(list(range(8)), bodies)
+    triggers, several, phrases = parse.distinct_triggers()
+    for t, more, n in zip(triggers, several, phrases, strict=True):
+        own = parse.triggers == t
+        assert more == (len(set(parse.docs[own])) > 1) and n == len(set(parse.names[own]))
+    assert (np.diff(triggers) > 0).all() and set(triggers) == set(parse.triggers)
+
+    def counted(self):
+        raise AssertionError("phrases were counted again")
+
+    monkeypatch.setattr(sd.Parse, "distinct_triggers", counted)
+    at = sd._ranges(triggers, 1)
+    flags = [np.packbits(several[a:b]).tobytes() for a, b in zip(at, at[1:])]
+    back = pa.table({"part": [0, 1], "kind": ["trigger"] * 2, "bits": flags})
+    assert (sd._chosen(parse, back, 1) == triggers[several]).all() and several.any()
