@@ -770,3 +770,30 @@ def test_parse_ignores_the_order_of_rows():
     rows = [(i, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(40_000))).encode()) for i in range(20)]
     one, other = (substring_dedup._parse_of(pa.table({"doc_id": [r[0] for r in x], "body": [r[1] for r in x]})) for x in (rows, rng.sample(rows, 20)))
     assert (one.starts == other.starts).all() and (one.counts == other.counts).all() and (one.triggers == other.triggers).all()
+
+
+def test_components_deal_out_labels_once_a_round(spark):
+    """Right roots, in a bounded number of tasks; more ran when each join of a round dealt out the labels anew."""
+    from speechjobs.llm.components import components
+
+    pairs = [(b"%03d" % (7 * i % 101), b"%03d" % (7 * (i + 1) % 101)) for i in range(60) if i % 20] + [(b"x", b"x"), (b"900", b"901"), (b"901", b"900")]
+    links = spark.createDataFrame(pairs, "a binary, b binary").checkpoint()
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    context, name = spark.sparkContext, "components of a test"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup(name, name)
+    try:
+        got = components(links)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((bytes(r["node"]), bytes(r["root"])) for r in got.collect()) == sorted((a, b) for a, b in up.items() if a != b"x")
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    assert tasks <= 320  # of three partitions; 300 were counted
