@@ -5,7 +5,8 @@ all documents. A term's weight has a factor that grows with what its presence te
 examples stand in blocks of like vectors; the posting list of a term has the greatest weight of each block. A text first
 reads the short lists of its rare terms whole. What its common terms can add to an example is bounded twice: by the sum of
 their block maxima, and by the product of the two vectors' norms over common terms. Only blocks with an example that can
-still be among the K nearest read the long lists, which are held without gaps, so the cosines of the nearest are exact.
+still be among the K nearest are read, once for all texts of a batch that want them; the long lists are held without gaps,
+so the cosines of the nearest are exact.
 
 The neighbours vote with their similarity, against the share of toxic examples among those without any word. A fifth of
 the sample gives no examples: a logistic curve through its votes and labels turns votes into calibrated scores. The
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -36,15 +37,26 @@ SAMPLE, CURVE_PART = 12_000, 5
 PSEUDO, FLOOR = 5.0, 0.1
 BLOCK, NEAREST, PROBED, COMMON = 64, 15, 4, 16
 RUN = re.compile(r"[^\W\d_]+")
+LETTERS = bytes(i if RUN.match(chr(i)) else 32 for i in range(256))  # of Latin-1, all else as spaces
+TEXTS = 64  # that are scored together
 SCHEMA = "score double, evidence array<long>"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case; a text within Latin-1 is split through a table of its bytes, with the same words."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return RUN.findall(low)
+
+
 def _present(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each word of a task's rows: how many have it, and how many of them are toxic."""
     a, b = Counter(), Counter()
     for part in parts:
         for label, text in zip(part["label"], part["text"], strict=True):
-            words = set(RUN.findall((text or "").lower()))
+            words = set(words_of(text))
             b.update(words)
             if label:
                 a.update(words)
@@ -60,7 +72,7 @@ def _frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
         counts: Counter = Counter()
         for part in parts:
             for text in part["text"]:
-                counts.update(filter(place.__contains__, set(RUN.findall((text or "").lower()))))
+                counts.update(filter(place.__contains__, set(words_of(text))))
         yield pd.DataFrame({"term": np.fromiter(map(place.get, counts), np.int64, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
     found = text_of(docs).select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -124,7 +136,7 @@ def calibrated(rows: DataFrame, model: dict) -> tuple[float, float]:
     def votes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = index_of(shared)
         for part in parts:
-            yield pd.DataFrame({"label": part["label"], "vote": [index.score(t)[0] for t in part["text"]]})
+            yield pd.DataFrame({"label": part["label"], "vote": [vote for vote, _ in index.scores(part["text"])]})
 
     found = rows.select("label", "text").mapInPandas(votes, "label int, vote double").toArrow()
     return logistic(odds(found["vote"].to_numpy()), found["label"].to_numpy().astype(float))
@@ -154,7 +166,7 @@ class Vectors:
         self.weight = model["idf"] * model.get("factor", 1.0)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(RUN.findall((text or "").lower()))
+        counts = Counter(words_of(text))
         items = np.fromiter(map(self.place.get, counts, repeat(-1)), np.int64, len(counts))
         tf = np.fromiter(counts.values(), float, len(counts))[items >= 0]
         items = items[items >= 0]
@@ -186,7 +198,8 @@ class BlockMaxIndex:
         long = common[terms]
         self.dense = np.zeros((int(common.sum()), self.n_blocks * BLOCK), np.float32)
         self.dense[self.number[terms[long]], rows[long]] = weights[long]
-        self.most = self.dense.reshape(-1, self.n_blocks, BLOCK).max(axis=2) if self.n_blocks else self.dense
+        self.blocks = np.ascontiguousarray(self.dense.reshape(-1, self.n_blocks, BLOCK).transpose(1, 0, 2))
+        self.most, self.dense = self.blocks.max(axis=2).T.copy() if self.n_blocks else self.dense, None
         self.norm = np.sqrt(np.bincount(rows[long], weights[long].astype(float) ** 2, minlength=self.n))
         terms, rows, weights = terms[~long], rows[~long], weights[~long]
         order = np.argsort(terms, kind="stable")
@@ -198,58 +211,71 @@ class BlockMaxIndex:
         at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
         return np.bincount(self.rows[at], self.weights[at] * np.repeat(weights, length), minlength=self.n)
 
-    def candidates(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """All examples that can be among the k nearest, and their exact cosines."""
-        numbers = self.number[terms]
-        rare = numbers < 0
-        short = terms[rare]
-        sums = self._add(self.first[short], self.first[short + 1] - self.first[short], weights[rare])
-        numbers, weights = numbers[~rare], weights[~rare]
-        if not len(numbers):
-            rows = np.flatnonzero(sums)
-            return rows, sums[rows]
-        weights = weights.astype(np.float32)
-        bound = sums + np.minimum(np.repeat(weights @ self.most[numbers], BLOCK)[: self.n], np.linalg.norm(weights) * self.norm)
-        of_block = np.maximum.reduceat(bound, self.block_starts)
-        lists = self.dense.reshape(-1, self.n_blocks, BLOCK)
-
-        def read(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rows = (self.block_starts[blocks][:, None] + np.arange(BLOCK)).ravel()
-            many = len(blocks) * 2 > self.n_blocks
-            more = (weights @ self.dense[numbers])[rows] if many else weights @ lists[numbers[:, None], blocks].reshape(len(numbers), -1)
+    def candidates(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector all examples that can be among the k nearest, and their exact cosines.
+
+        A block's lists are read once for all vectors that want the block.
+        """
+        sums, common = np.zeros((len(vectors), self.n)), np.zeros((len(vectors), len(self.most)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            numbers = self.number[terms]
+            rare = numbers < 0
+            short = terms[rare]
+            sums[i] = self._add(self.first[short], self.first[short + 1] - self.first[short], weights[rare])
+            common[i, numbers[~rare]] = weights[~rare]
+        bound = np.minimum(np.repeat(common @ self.most, BLOCK, axis=1)[:, : self.n], np.linalg.norm(common, axis=1)[:, None] * self.norm.astype(np.float32))
+        bound = sums + bound
+        of_block = np.maximum.reduceat(bound, self.block_starts, axis=1)
+        more = np.zeros((len(vectors), self.n_blocks, BLOCK), np.float32)
+
+        def read(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                of = np.flatnonzero(wanted[:, block])
+                more[of, block] = common[of] @ self.blocks[block]
+
+        probed = np.argpartition(-of_block, min(PROBED, self.n_blocks) - 1, axis=1)[:, :PROBED]
+        first = np.zeros(of_block.shape, bool)
+        np.put_along_axis(first, probed, True, axis=1)
+        read(first)
+        least = np.zeros(len(vectors))
+        places = self.block_starts[:, None] + np.arange(BLOCK)
+        for i, blocks in enumerate(probed):
+            rows = places[blocks].ravel()
             real = rows < self.n
-            return rows[real], sums[rows[real]] + more[real]
-
-        probed = np.argpartition(-of_block, min(PROBED, self.n_blocks) - 1)[:PROBED]
-        rows, cosines = read(probed)
-        least = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
-        of_block[probed] = -1
-        wanted = np.flatnonzero(of_block >= least - 1e-5)
-        if len(wanted):
-            more = read(wanted)
-            rows, cosines = np.concatenate([rows, more[0]]), np.concatenate([cosines, more[1]])
-        return rows, cosines
+            cosines = sums[i, rows[real]] + more[i, blocks].ravel()[real]
+            if len(cosines) >= k:
+                least[i] = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+        read((of_block >= least[:, None] - 1e-5) & ~first)
+        more = more.reshape(len(vectors), -1)
+        for i in range(len(vectors)):
+            rows = np.flatnonzero(bound[i] >= least[i] - 1e-5)
+            yield rows, sums[i, rows] + more[i, rows]
 
     def nearest(self, terms: list[int] | np.ndarray, weights: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest."""
         terms, weights = np.asarray(terms, np.int64), np.asarray(weights, float)
-        if not len(terms) or not self.n:
-            return []
-        rows, cosines = self.candidates(terms, weights, k)
-        floor = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) > k else 0.0
-        high = (cosines >= floor - 2e-6) & (cosines > 0)
-        rows, cosines = rows[high], cosines[high]
-        best = np.lexsort((self.ids[rows], -np.round(cosines, 6)))[:k]
-        return list(zip(cosines[best].tolist(), rows[best].tolist(), strict=True))
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """The neighbours' similarity-weighted share of toxic labels, and the ids of the nearest."""
-        terms, weights = self.vectorise(text)
-        if not len(terms) or not len(self.ids):
-            return self.rest, []
-        near = self.nearest(terms, weights)
-        votes = sum(c * self.labels[i] for c, i in near)
-        return float((votes + 0.5 * self.rest) / (sum(c for c, _ in near) + 0.5)), [int(self.ids[i]) for _, i in near[:3]]
+        return next(self.nearest_each([(terms, weights)], k)) if len(terms) and self.n else []
+
+    def nearest_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> Iterator[list[tuple[float, int]]]:
+        """For each vector with terms (cosine, example) of the k nearest."""
+        for rows, cosines in self.candidates(vectors, k):
+            floor = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) > k else 0.0
+            high = (cosines >= floor - 2e-6) & (cosines > 0)
+            rows, cosines = rows[high], cosines[high]
+            best = np.lexsort((self.ids[rows], -np.round(cosines, 6)))[:k]
+            yield list(zip(cosines[best].tolist(), rows[best].tolist(), strict=True))
+
+    def scores(self, texts: Iterable[str | None]) -> list[tuple[float, list[int]]]:
+        """For each text the neighbours' similarity-weighted share of toxic labels, and the ids of the nearest."""
+        vectors = [self.vectorise(t) for t in texts]
+        out = [(self.rest, [])] * len(vectors)
+        told = [i for i, (terms, _) in enumerate(vectors) if len(terms)] if self.n else []
+        for at in range(0, len(told), TEXTS):
+            part = told[at : at + TEXTS]
+            for i, near in zip(part, self.nearest_each([vectors[i] for i in part]), strict=True):
+                votes = sum(c * self.labels[x] for c, x in near)
+                out[i] = float((votes + 0.5 * self.rest) / (sum(c for c, _ in near) + 0.5)), [int(self.ids[x]) for _, x in near[:3]]
+        return out
 
 
 def index_of(shared) -> BlockMaxIndex:
@@ -269,7 +295,7 @@ def scorer(spark: SparkSession, model: dict):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = index_of(shared)
         for part in parts:
-            out = pd.DataFrame([index.score(t) for t in part], columns=["score", "evidence"])
+            out = pd.DataFrame(index.scores(part), columns=["score", "evidence"])
             bent = 1 / (1 + np.exp(-(slope * odds(out["score"].to_numpy()) + intercept)))
             yield out.assign(score=np.where(out["evidence"].map(len) > 0, bent, out["score"]))
 

@@ -797,3 +797,23 @@ def test_components_deal_out_labels_once_a_round(spark):
     stages = {s for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds}
     tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
     assert tasks <= 320  # of three partitions; 300 were counted
+
+
+def test_toxicity_texts_together():
+    """Words from the table of bytes are those of the expression; texts scored together read no block twice and get what they get alone."""
+    odd = [*map(chr, range(0x250)), "\u0130", "\u212a", "\u0301", "\u2019", "\u4e2d"]
+    for text in [None, "", *(f"A{c}B c{c} {c}{c}D" for c in odd), "".join(odd), " ".join(odd)]:
+        assert toxicity.words_of(text) == toxicity.RUN.findall((text or "").lower())
+    rng = np.random.default_rng(4)
+    vectors = rng.random((900, 60)).astype(np.float32) * (rng.random((900, 60)) < np.r_[np.full(30, 0.3), np.full(30, 0.02)])
+    vectors[vectors.sum(axis=1) == 0, 0] = 1
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    index = toxicity.BlockMaxIndex({"terms": words, "idf": 1 + rng.random(60), "ids": rng.permutation(900), "labels": rng.integers(0, 2, 900), "vectors": vectors, "rest": 0.25})
+    texts = [None, "", "none", *(" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(150)), words[59]]
+    for text, (vote, evidence) in zip(texts, index.scores(texts), strict=True):
+        alone, near = index.scores([text])[0]
+        assert abs(vote - alone) < 1e-5 and len(evidence) == len(near)
+        terms, weights = index.vectorise(text)
+        plain = np.sort(vectors[:, terms] @ weights)[::-1][: toxicity.NEAREST] if len(terms) else np.zeros(0)
+        assert np.allclose([c for c, _ in index.nearest(terms, weights)], plain[plain > 0], atol=1e-5)
