@@ -9,7 +9,8 @@ is the sample, known by (word, t). Two texts agree in a sample with a probabilit
 similarity: sum of the smaller over sum of the larger weights.
 
 Each text is paired with its edited form and shuffled once; words are counted, sampled and reduced to K numbers in
-the partition of their document. The order of ids comes from a range partitioning, with one small row per range.
+the partition of their document. Words that cannot have the least ln(a) are told by a bound without logarithms; texts
+for which the bound was too low, which is seen in their results, are done again without it. The order of ids comes from a range partitioning, with one small row per range.
 
 Defined results: null text is empty text; texts without words share one fingerprint; rows equal in id and text are
 one document, whose result is repeated; rows with one id stand in the order of their texts' hashes; null ids come last;
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, documents, ensure_checkpoint_dir, shuffle_parts, text_of
 
-SAMPLES, PER_ROW = 64, 4
-PART_CHARS = 3_000_000
+SAMPLES, REACH = 64, 16.0
+PART_CHARS, PART_ROWS = 3_000_000, 10_000
+BROADCAST_ROWS = 100_000
 LAST = (1 << 63) - 1
 KEY = ["doc_id", "text_hash"]
 
@@ -56,50 +58,79 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def draws(word: Column, k: Column) -> list[Column]:
-    """r, b and ln(c) of a word in sample k."""
+def uniforms(word: Column, k: Column) -> list[Column]:
+    """Of a word in sample k: exp(-r), b and exp(-c)."""
     one, two = F.xxhash64(word, k), F.xxhash64(k, word)
-    return [-F.log(_uniform(one, 0) * _uniform(one, 21)), _uniform(one, 42), F.log(-F.log(_uniform(two, 0) * _uniform(two, 21)))]
+    return [_uniform(one, 0) * _uniform(one, 21), _uniform(one, 42), _uniform(two, 0) * _uniform(two, 21)]
+
+
+def may_reach(x: Column, b: Column, y: Column, weight: Column, near: Column) -> Column:
+    """False only if a > near, told without logarithms, of x, b, y = exp(-r), b, exp(-c) and a weight that is not exceeded.
+
+    c >= 1 - y, and a >= c * x / weight. Of weight 1, a = c * x ** (1 - b), and x ** p >= x / (p + (1 - p) * x).
+    """
+    p = F.when(weight > 1, 1.0).otherwise(1 - b)
+    return (1 - y) * x <= near * 1.001 * weight * (p + (1 - p) * x)
+
+
+def rank_of(log_a: Column) -> Column:
+    return F.least(F.greatest(((log_a + 64.0) * float(1 << 24)).cast("long"), F.lit(0).cast("long")), F.lit((1 << 31) - 2).cast("long"))
 
 
 def sampled(word: Column, r: Column, b: Column, c: Column, t: Column) -> Column:
     """A long that orders by ln(a) and carries 32 bits of (word, t); null where t is."""
-    a = c - r * (t - b) - r
-    rank = F.least(F.greatest(((a + 64.0) * float(1 << 24)).cast("long"), F.lit(0).cast("long")), F.lit((1 << 31) - 2).cast("long"))
-    return F.when(t.isNotNull(), F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.when(t.isNotNull(), F.shiftleft(rank_of(c - r * (t - b) - r), 32).bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
-def signatures(pairs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, text_hash, edited_sha256, own, other: arrays of sample names, as 32-bit integers, of text and edited text."""
-    blank = F.lit(" ")  # no word begins with a space: such rows carry the hash of the edited text, in four longs
+def counted(pairs: DataFrame, reach: float | None) -> DataFrame:
+    """A row for each word (a hash w) of a text or its edited text: slot -1, its counts n0, n1 there, and near.
+
+    Slots 0 to 3 carry the hash of the edited text, in four longs. No word begins with a space.
+    """
     sha = F.sha2("edited", 256)
     carriers = F.array(*(F.concat(F.lit(f" {i}"), F.substring(sha, 16 * i + 1, 16)) for i in range(4)))
-    none = F.array().cast("array<string>")
-    sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), none.alias("more")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"), carriers.alias("more")))).alias("s"))
-    words = sides.select(*KEY, "s.side", F.explode(F.concat(F.split("s.t", SPACE), F.col("s.more"))).alias("word")).where("word <> ''")
-    carried = F.startswith("word", blank)
+    split = pairs.select(*KEY, F.split("text", SPACE).alias("own"), F.split("edited", SPACE).alias("other"), carriers.alias("more"))
+    near = F.lit(reach) / F.least(F.size("own"), F.size("other")) if reach else F.lit(1.0)
+    sides = split.select(*KEY, near.alias("near"), F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(t).alias("t")) for i, t in enumerate(["own", "other", "more"])))).alias("s"))
+    words = sides.select(*KEY, "near", "s.side", F.explode("s.t").alias("word")).where("word <> ''")
+    carried = F.col("side") == 2
     slot = F.when(carried, F.substring("word", 2, 1).cast("int")).otherwise(-1)
     number = F.when(carried, F.conv(F.substring("word", 3, 16), 16, -10).cast("long")).otherwise(F.xxhash64("word"))
-    counts = words.select(*KEY, "side", slot.alias("slot"), number.alias("w")).groupBy(*KEY, "slot", "w").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"))
+    numbers = words.select(*KEY, "near", slot.alias("slot"), number.alias("w"), *((F.col("side") == i).cast("int").alias(f"n{i}") for i in (0, 1)))
+    return numbers.groupBy(*KEY, "slot", "w").agg(F.max("near").alias("near"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def candidates(counts: DataFrame, samples: int) -> DataFrame:
+    """The rows of `counts` for each sample k in which their a may be at most near. One slot's row stands in every sample."""
+    each = counts.select("*", F.explode(F.array(*(F.lit(i).cast("long") for i in range(samples)))).alias("k"))
+    reached = may_reach(*uniforms(F.col("w"), F.col("k")), F.greatest("n0", "n1"), F.col("near"))
+    return each.where(F.when(F.col("slot") < 0, reached).otherwise(F.col("slot") == F.col("k") % 4))
+
+
+def signatures(pairs: DataFrame, samples: int = SAMPLES, reach: float | None = REACH) -> DataFrame:
+    """doc_id, text_hash, edited_sha256, own, other: arrays of sample names, as 32-bit integers, of text and edited text; settled.
+
+    The least a of a text of n words is above `reach` / n with probability exp(-reach), so draws are worked out only
+    where a may be at most that. If every least is below it, no other word can have it, and the row is settled.
+    """
+    each = candidates(counts := counted(pairs, reach), samples)
+    # in steps, as columns, so that no draw is worked out twice
+    given = [*counts.columns, "k"]
+    x, b, y = uniforms(F.col("w"), F.col("k"))
+    each = each.select(*given, (-F.log(x)).alias("r"), b.alias("b"), F.log(-F.log(y)).alias("c"))
     weight = lambda n: F.when((F.col("slot") < 0) & (F.col(n) > 0), F.log(F.col(n).cast("double")))
-    each = counts.select(*KEY, "slot", "w", weight("n0").alias("w0"), weight("n1").alias("w1"), F.explode(F.array(*(F.lit(i).cast("long") for i in range(samples // PER_ROW)))).alias("part"))
-    # in three steps, as columns, so that no draw is worked out twice and the generated methods stay small
-    given = [*KEY, "slot", "w", "part"]
-    each = each.select(*given, "w0", "w1", *(d.alias(f"{n}{j}") for j in range(PER_ROW) for n, d in zip("rbc", draws(F.col("w"), F.col("part") * PER_ROW + j), strict=True)))
-    each = each.select(*given, *(f"{n}{j}" for j in range(PER_ROW) for n in "rbc"), *(F.floor(F.col(f"w{x}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}{x}") for j in range(PER_ROW) for x in (0, 1)))
+    each = each.select(*given, "r", "b", "c", *(F.floor(weight(f"n{i}") / F.col("r") + F.col("b")).alias(f"t{i}") for i in (0, 1)))
     # most words weigh the same in both texts: their sample is worked out once
-    at = lambda j, t: sampled(F.col("w"), *(F.col(f"{n}{j}") for n in "rbc"), F.col(t))
-    each = each.select(*given, *(f"{n}{j}" for j in range(PER_ROW) for n in "rbc"), *(f"t{j}{x}" for j in range(PER_ROW) for x in (0, 1)), *(at(j, f"t{j}0").alias(f"v{j}") for j in range(PER_ROW)))
-    columns = [F.max(F.when(F.col("slot") == i, F.col("w"))).alias(f"s{i}") for i in range(4)]
-    for j in range(PER_ROW):
-        other = F.when(F.col(f"t{j}1").eqNullSafe(F.col(f"t{j}0")), F.col(f"v{j}")).otherwise(at(j, f"t{j}1"))
-        columns += [F.min(f"v{j}").alias(f"a{j}"), F.min(other).alias(f"b{j}")]
-    least = each.groupBy(*KEY, "part").agg(*columns)
-    low = lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")
-    names = lambda x: F.array(*(low(F.coalesce(F.col(f"{x}{j}"), F.lit(-1).cast("long"))) for j in range(PER_ROW)))
-    parts = least.groupBy(*KEY).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(4)), F.array_sort(F.collect_list(F.struct("part", names("a").alias("own"), names("b").alias("other")))).alias("p"))
-    digest = F.lower(F.concat(*(F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4))))
-    return parts.select(*KEY, digest.alias("edited_sha256"), F.flatten("p.own").alias("own"), F.flatten("p.other").alias("other"))
+    at = lambda t: sampled(F.col("w"), F.col("r"), F.col("b"), F.col("c"), F.col(t))
+    each = each.select(*given, "r", "b", "c", "t0", "t1", at("t0").alias("v0"))
+    other = F.when(F.col("t1").eqNullSafe(F.col("t0")), F.col("v0")).otherwise(at("t1"))
+    least = each.groupBy(*KEY, "k").agg(F.max("near").alias("near"), F.max(F.when(F.col("slot") >= 0, F.col("w"))).alias("sha"), F.min("v0").alias("v0"), F.min(other).alias("v1"))
+    below = lambda v: F.coalesce(F.shiftright(v, 32) < rank_of(F.log("near")), F.lit(False))
+    low = lambda v: F.shiftright(F.shiftleft(F.coalesce(F.col(v), F.lit(-1).cast("long")), 32), 32).cast("int")
+    least = least.select(*KEY, ((F.col("near") >= 1) | below("v0") & below("v1")).alias("settled"), F.struct("k", "sha", low("v0").alias("own"), low("v1").alias("other")).alias("s"))
+    parts = least.groupBy(*KEY).agg(F.min("settled").alias("settled"), F.array_sort(F.collect_list("s")).alias("p"))
+    digest = F.lower(F.concat(*(F.lpad(F.hex(F.col("p.sha")[i]), 16, "0") for i in range(4))))
+    return parts.select(*KEY, digest.alias("edited_sha256"), F.col("p.own").alias("own"), F.col("p.other").alias("other"), "settled")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,8 +141,11 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def fingerprint(docs: DataFrame, samples: int = SAMPLES, reach: float | None = REACH) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    `reach` bounds what is worked out at first; results do not depend on it (None: everything at first).
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     all_rows = text_of(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     ids = all_rows.groupBy(*KEY).agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
@@ -119,9 +153,16 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = all_rows
     if not links.where("copies > 1").isEmpty():
         rows = all_rows.dropDuplicates(KEY)
-    chars = links.agg(F.sum("n_chars")).first()[0] or 0
-    rows = rows.repartition(max(shuffle_parts(docs.sparkSession), -(-chars // PART_CHARS)), *KEY)
-    signs = signatures(edited_pairs(rows, links), samples).checkpoint()
+    chars, n = links.agg(F.coalesce(F.sum("n_chars"), F.lit(0)), F.count("*")).first()
+    parts = max(shuffle_parts(docs.sparkSession), -(-chars // PART_CHARS), -(-n // PART_ROWS))
+    signs = signatures(edited_pairs(rows.repartition(parts, *KEY), links), samples, reach).checkpoint()
+    late = signs.where("not settled").select(*KEY)
+    if n_late := late.count():
+        small = F.broadcast if n_late <= BROADCAST_ROWS else lambda df: df
+        few = links.join(small(late), KEY, "left_semi").checkpoint()
+        read = few.select(*KEY).union(few.select("next_id", "next_hash")).distinct()
+        again = signatures(edited_pairs(rows.join(small(read), KEY, "left_semi").repartition(parts, *KEY), few), samples, None).checkpoint()
+        signs = signs.where("settled").union(again)
     follow = signs.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("own").alias("next_own"))
     out = links.join(signs, KEY).join(follow, ["next_id", "next_hash"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))

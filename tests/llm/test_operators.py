@@ -706,6 +706,19 @@ def test_fingerprints(spark, docs, none):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_work_out_few_draws(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = ["", " ", "one", "a b", *(" ".join(rng.choices(vocabulary, k=n)) for n in (5, 17, 400, 900, 1500)), "same " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {reach: sorted(map(tuple, rows_of(fingerprints.fingerprint(docs, reach=reach)))) for reach in (None, 0.5, 4.0, fingerprints.REACH)}
+    assert len(rows[None]) == len(texts) and all(r == rows[None] for r in rows.values())
+    long = docs.where("doc_id in (7, 8)").select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.concat("text", F.lit(" more")).alias("edited"))
+    counts = fingerprints.counted(long, fingerprints.REACH)
+    assert fingerprints.candidates(counts, 64).count() < 0.15 * 64 * counts.count()
+    assert fingerprints.signatures(long, 64, 0.5).where("not settled").count() == 2
+
+
 # --- entry
 
 
