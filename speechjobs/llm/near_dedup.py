@@ -6,7 +6,8 @@ compared with all that are not yet visited, within a budget of work; what is lef
 further minwise coordinates, and small nodes are compared to the end. Nodes compare minwise estimates with a margin
 under the threshold; the loose links found so, at most one per class and visit, make loose components. Each loose
 component then meets once with its full sets: breadth-first search by exact similarity gives the links, so no pair of
-a large group of copies is listed twice and no link between components is missed inside it.
+a large group of copies is listed twice and no link between components is missed inside it. What a task finds connected
+is given as a star around its smallest name, loose or exact, so that chains of links do not cost rounds over the cluster.
 
 Large nodes are not searched in one task. Their members are dealt out by a second key and meet a few pivots of the node
 in every part; a member linked with a pivot takes its label. If few are then apart from the largest group, which is what
@@ -192,6 +193,22 @@ def joining(links: Iterator[tuple[int, int]], labels: list[bytes]) -> Iterator[t
             yield a, b
 
 
+def stars(links: Iterator[tuple[int, int]], labels: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """What the links connect: the smallest label of each group with each other label of it."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for a, b in links:
+        x, y = top(labels[a]), top(labels[b])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return [(top(x), x) for x in list(up)]
+
+
 def _nodes(agree: int):
     def run(batches):
         out = []
@@ -200,7 +217,7 @@ def _nodes(agree: int):
             if len(keys) > 1:
                 matrix = np.frombuffer(b"".join(signs), np.uint32).reshape(-1, COORDINATES)
                 order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-                out.extend((keys[a], keys[x]) for a, x in joining(search(matrix, order, agree, node % (1 << 31)), labels))
+                out.extend(stars(search(matrix, order, agree, node % (1 << 31)), labels))
                 if len(out) > 50_000:
                     yield _links(out)
                     out = []
@@ -210,7 +227,7 @@ def _nodes(agree: int):
 
 
 def _searched(nodes: DataFrame, agree: int, parts: int) -> DataFrame:
-    """a, b: loose links of nodes that are searched in one task each."""
+    """a, b: what loose links connect in nodes that are searched in one task each, by labels, which are linked with their rows already."""
     return nodes.select("node", "set_key", "sign", "label").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_nodes(agree), "a binary, b binary")
 
 
@@ -303,7 +320,7 @@ def _children(with_sign: bool):
 
 
 def loose_links(nodes: DataFrame, agree: int, parts: int, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
-    """a, b from (node, set_key, sign): loose links that connect what the nodes hold."""
+    """a, b from (node, set_key, sign): pairs that connect what loose links connect in the nodes."""
     held, links = nodes.withColumn("label", F.col("set_key")), []
     for _ in range(levels):
         large = held.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > node_rows).checkpoint()
@@ -375,7 +392,7 @@ def _verify(numerator: int, denominator: int):
             for p in parts:
                 by_key.update(zip(p.column(3).to_pylist(), p.column(4).to_pylist(), strict=True))
             keys = sorted(by_key)
-            out.extend((keys[a], keys[x]) for a, x in exact_links([np.frombuffer(by_key[k], np.uint64) for k in keys], numerator, denominator))
+            out.extend(stars(exact_links([np.frombuffer(by_key[k], np.uint64) for k in keys], numerator, denominator), keys))
             if len(out) > 50_000:
                 yield _links(out)
                 out = []
@@ -405,7 +422,7 @@ def _verify_pivots(numerator: int, denominator: int):
 
 
 def _verified(dealt: DataFrame, numerator: int, denominator: int, parts: int) -> DataFrame:
-    """a, b from (root, i, j, set_key, shingles): exact links of the sets that meet in (root, i, j)."""
+    """a, b from (root, i, j, set_key, shingles): what exact links connect of the sets that meet in (root, i, j)."""
     return dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(numerator, denominator), "a binary, b binary")
 
 
@@ -458,14 +475,17 @@ def near_components(docs: DataFrame, width: int = 3, trees: int = TREES, numerat
     members = classes.select("set_key", "owner", "n_shingles").join(rooted.select(F.col("node").alias("set_key"), "root"), "set_key")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")).checkpoint()
-    def full(part: DataFrame) -> DataFrame:
-        texts = rows.join(part.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    counted = members.agg(F.count_if(F.col("blocks") <= 1).alias("small"), F.count_if(F.col("blocks") > 1).alias("large")).first()
+
+    def full(part: DataFrame, size: int) -> DataFrame:
+        owners = part.select(F.col("owner").alias("doc_id"))
+        texts = rows.join(F.broadcast(owners) if size <= FEW_NODES else owners, "doc_id", "left_semi")
         return texts.mapInArrow(_full_sets(width), "doc_id long, set_key binary, shingles binary").drop("doc_id").join(part, "set_key")
 
-    one = full(members.where("blocks <= 1")).select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "set_key", "shingles")
+    one = full(members.where("blocks <= 1"), counted["small"]).select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "set_key", "shingles")
     links = _verified(one, numerator, denominator, 2 * n)
-    if not members.where("blocks > 1").isEmpty():
-        links = links.unionByName(large_links(full(members.where("blocks > 1")).checkpoint(), numerator, denominator, 2 * n, block_shingles))
+    if counted["large"]:
+        links = links.unionByName(large_links(full(members.where("blocks > 1"), counted["large"]).checkpoint(), numerator, denominator, 2 * n, block_shingles))
 
     linked = components(links).select(F.col("node").alias("set_key"), "root")
     grouped = classes.select("set_key", "owner").join(linked, "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "owner").checkpoint()

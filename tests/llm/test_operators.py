@@ -636,6 +636,27 @@ def test_near_dedup_large_group_goes_no_further(spark, monkeypatch):
     assert rooted(got) == rooted((i, j) for i in range(1000) for j in np.flatnonzero((signs == signs[i]).sum(axis=1) >= agree) if j > i and (i in (0, 950) or j >= 900))
 
 
+def test_near_dedup_chains_cost_no_rounds(spark):
+    """A chain of copies of copies comes out of a task as a star, so labels are right before the first round over the cluster."""
+    words = [f"w{i}" for i in range(230)]
+    rows = [(100 - i, " ".join(words[4 * i : 4 * i + 100])) for i in range(30)]
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 1 << 32, (30, near_dedup.COORDINATES), dtype=np.uint32)
+    for i in range(1, 30):
+        signs[i] = np.where(rng.permutation(64) < 8, signs[i], signs[i - 1])
+    agree = near_dedup.margin(85, 100)
+    keys = sorted(bytes([i * 37 % 101]) for i in range(30))
+    order = rng.permutation(30)
+    nodes = spark.createDataFrame([(5, keys[i], signs[n].tobytes(), keys[i]) for n, i in enumerate(order.tolist())], "node long, set_key binary, sign binary, label binary")
+    sets = [near_dedup.shingle_set(text, 3, {}) for _, text in rows]
+    dealt = spark.createDataFrame([(b"r", 0, 0, keys[i], sets[n].tobytes()) for n, i in enumerate(order.tolist())], "root binary, i int, j int, set_key binary, shingles binary")
+    for links in (near_dedup._searched(nodes, agree, 3), near_dedup._verified(dealt, 85, 100, 3)):
+        assert sorted((bytes(r["a"]), bytes(r["b"])) for r in links.collect()) == [(keys[0], k) for k in keys[1:]]
+    assert near_dedup.stars(iter([(2, 1), (4, 3), (3, 2), (0, 0), (5, 6), (6, 5)]), [b"a", b"b", b"c", b"d", b"c", b"y", b"x"]) == [(b"b", b"c"), (b"b", b"d"), (b"x", b"y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(near_dedup.near_components(df))) == near_plain(rows)
+
+
 def test_near_dedup_large_nodes(spark):
     """A node far above the bound: a large group of near copies, pairs apart from it, and chains of copies of copies."""
     rng = np.random.default_rng(4)
