@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,9 @@ from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, is_active, islands
 GAP_MS, REPEATS, LONG_TEXT = 1000, 3, 20
 LEEWAY_MS, LONGEST_BLOCK_MS, PIECE_ROWS = 1000, 30_000, 4096
 MIN_MISSED_MS, BAD_LOGPROB, MERGE_GAP_MS, MAX_RANGE_MS, PAD_MS = 1500, -200, 8000, 90000, 2000
-TERMINAL = r"[。！？!?]$"
+# As pyarrow reads them: marks and blanks alone, and a mark with nothing but blanks behind it.
 SILENCE = r"^[\s…・。、！？!?]+$"
+ENDED = r"[。！？!?][\s\x{00A0}\x{3000}\x{FEFF}]*$"
 # Stock closings that a recogniser invents in silence.
 OUTROS = [
     "[おオ]やすみなさい[。！]?",
@@ -33,22 +38,51 @@ OUTROS = [
 RULES = {1: (True, "hallucinated"), 2: (False, "uncertain"), 3: (True, "hallucinated"), 4: (True, "hallucinated"), 5: (True, "hallucinated"), 6: (True, "hallucinated"), 7: (True, None), 8: (True, None), 9: (True, None), 10: (True, "hallucinated"), 11: (True, "hallucinated"), 13: (True, "hallucinated"), 14: (False, None)}
 
 
-def resplit(segments: DataFrame, words: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """Segments cut between words; part_idx counts the parts, and an uncut segment keeps its own text and times."""
-    by_seg = Window.partitionBy("track_id", "seg_idx").orderBy("word_idx")
-    prev = lambda c: F.lag(c).over(by_seg)
-    end = F.col("start_ms") + F.col("w_dur")
-    gap = F.col("start_ms") - prev("end_ms") >= gap_ms
-    long_silence = prev("text").rlike(SILENCE) & F.contains(prev("text"), F.lit("…")) & (prev("w_dur") >= gap_ms)
-    cut = gap | long_silence | trimmed(prev("text")).rlike(TERMINAL)
-    w = words.withColumn("end_ms", end).withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("part_idx", F.sum("_cut").over(by_seg))
-    parts = w.groupBy("track_id", "seg_idx", "part_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), "").alias("_text"), F.min("start_ms").alias("_start"), F.max(F.struct("word_idx", "end_ms"))["end_ms"].alias("_end"))
-    n = Window.partitionBy("track_id", "seg_idx")
-    parts = parts.withColumn("_n", F.count("*").over(n))
-    own = lambda new, old: F.when(F.col("_n") > 1, F.col(new)).otherwise(F.col(old)).alias(old)
-    rest = [c for c in segments.columns if c not in ("track_id", "seg_idx", "text", "start_ms", "end_ms")]
-    joined = segments.join(parts, ["track_id", "seg_idx"], "left")
-    return joined.select("track_id", "seg_idx", F.coalesce("part_idx", F.lit(0)).cast("long").alias("part_idx"), own("_text", "text"), own("_start", "start_ms"), own("_end", "end_ms"), *rest)
+def _parts(gap_ms: int):
+    """Parts of segments from their words (text, at_ms, w_dur) in order; none for a segment that is not cut."""
+
+    @F.arrow_udf("array<struct<text:string,from_ms:bigint,to_ms:bigint>>")
+    def run(words: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        row, each = np.repeat(np.arange(len(sizes)), sizes), words.flatten()
+        text, start, lasts = (pc.struct_field(each, c) for c in ("text", "at_ms", "w_dur"))
+        start, lasts = start.to_numpy(zero_copy_only=False), lasts.to_numpy(zero_copy_only=False)
+        end = start + lasts
+        yes = lambda mask: pc.fill_null(mask, False).to_numpy(zero_copy_only=False)[:-1]
+        inner = row[1:] == row[:-1]
+        after = yes(pc.match_substring_regex(text, ENDED)) | (yes(pc.and_(pc.match_substring_regex(text, SILENCE), pc.match_substring(text, "…"))) & (lasts[:-1] >= gap_ms))
+        cut = inner & ((start[1:] - end[:-1] >= gap_ms) | after)
+        shared = np.isin(row, row[1:][cut])
+        begins = np.append(True, ~inner | cut)[: len(row)] & shared
+        text, row, start, end, at = text.filter(pa.array(shared)), row[shared], start[shared], end[shared], np.flatnonzero(begins[shared])
+        until = np.append(at[1:], len(row))[: len(at)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), text), "")
+        parts = pa.StructArray.from_arrays([joined, pa.array(np.minimum.reduceat(start, at) if len(at) else start), pa.array(end[until - 1])], ["text", "from_ms", "to_ms"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[at], minlength=len(sizes)))), pa.int32()), parts)
+
+    return run
+
+
+def cut(segments: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """Adds parts (text, from_ms, to_ms after the segment's start), none for a segment that is not cut, in place of words."""
+    return segments.withColumn("parts", _parts(gap_ms)("words")).drop("words")
+
+
+def resplit(segments: DataFrame, words: DataFrame | None = None, gap_ms: int = GAP_MS) -> DataFrame:
+    """Segments cut between words; part_idx counts the parts, and an uncut segment keeps its own text and times.
+
+    Words are a table; or an array in each segment (text, at_ms, w_dur), which needs no shuffle; or they are cut already.
+    """
+    if words is not None:
+        own = words.join(segments.select("track_id", "seg_idx", F.col("start_ms").alias("_s")), ["track_id", "seg_idx"])
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text", (F.col("start_ms") - F.col("_s")).alias("at_ms"), "w_dur"))), lambda x: x.dropFields("word_idx"))
+        segments = segments.join(own.groupBy("track_id", "seg_idx").agg(listed.alias("words")), ["track_id", "seg_idx"], "left")
+    if "words" in segments.columns:
+        segments = cut(segments, gap_ms)
+    rest = [c for c in segments.columns if c not in ("track_id", "seg_idx", "text", "start_ms", "end_ms", "parts")]
+    whole = F.array(F.struct("text", F.lit(0).cast("long").alias("from_ms"), (F.col("end_ms") - F.col("start_ms")).alias("to_ms")))
+    each = segments.select("track_id", "seg_idx", "start_ms", F.posexplode(F.when(F.size("parts") > 1, F.col("parts")).otherwise(whole)).alias("_at", "_p"), *rest)
+    return each.select("track_id", "seg_idx", F.col("_at").cast("long").alias("part_idx"), "_p.text", (F.col("start_ms") + F.col("_p.from_ms")).alias("start_ms"), (F.col("start_ms") + F.col("_p.to_ms")).alias("end_ms"), *rest)
 
 
 def repetition_exact(rows: DataFrame, order: list[str], n: int = REPEATS) -> DataFrame:
@@ -62,80 +96,49 @@ def repetition_exact(rows: DataFrame, order: list[str], n: int = REPEATS) -> Dat
     return r.withColumn("repeated", (F.col("_run") > 0) & (count >= n)).drop("_blank", "_norm", "_new", "_run")
 
 
-def _runs(rows: bool):
-    """Reads pieces (track_id, _piece, _ord, _norm, _blank, _incoming) in order, each from the anchor that comes in.
+def _long_runs(n: int, piece: int):
+    """(first, last) place of a run of at least n rows that are not blank, at the row behind it or the track's last row.
 
-    Gives the anchor that each piece ends with, or for each row whether it begins a run.
+    Reads rows as a window function gives them: a track at a time, in order; the places tell that none is missing. What is
+    carried from row to row is the run's first text and its size.
     """
 
-    def fold(batches):
-        now, anchor, out = None, None, []
-        for b in batches:
-            for track, piece, place, norm, blank, incoming in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (track, piece) != now:
-                    if now is not None and not rows:
-                        out.append((*now, anchor))
-                    now, anchor = (track, piece), incoming
-                same = blank or (bool(norm) and bool(anchor) and (norm == anchor or (len(norm) > 10 and len(anchor) > 10 and (norm in anchor or anchor in norm))))
-                if not same:
-                    anchor = norm
-                if rows:
-                    out.append((track, place, int(not same), blank))
-            if rows and out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["track_id", "_ord", "_new", "_blank"])
-                out = []
-        if now is not None and not rows:
-            out.append((*now, anchor))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["track_id", "_piece", "_exit"])
-
-    return fold
-
-
-def _anchors(pieces: DataFrame) -> DataFrame:
-    """track_id, _piece, _incoming of tracks with more than one piece.
-
-    All pieces are read as if a run began there; then those again whose predecessor ends with another anchor than they were
-    read with, until none does. A piece mostly ends with an anchor of its own, so one more round is the rule.
-    """
-    many = pieces.where("_piece > 0").select("track_id").distinct()
-    long = pieces.join(many, "track_id", "left_semi").checkpoint()
-    by, read = ["track_id", "_piece"], "track_id long, _piece long, _exit string"
-    exits = lambda df: df.repartition(*by).sortWithinPartitions(*by, "_ord").select(*by, "_ord", "_norm", "_blank", "_incoming").mapInArrow(_runs(False), read)
-    state = exits(long.withColumn("_incoming", F.lit(None).cast("string"))).withColumn("_incoming", F.lit(None).cast("string")).checkpoint()
-    while True:
-        state = state.withColumn("_now", F.lag("_exit").over(Window.partitionBy("track_id").orderBy("_piece")))
-        changed = state.where(~F.col("_now").eqNullSafe(F.col("_incoming"))).select(*by, F.col("_now").alias("_incoming")).checkpoint()
-        if changed.isEmpty():
-            return state.select(*by, "_incoming")
-        again = exits(long.join(changed, by)).withColumnRenamed("_exit", "_again")
-        state = state.join(again, by, "left").select(*by, F.coalesce("_again", "_exit").alias("_exit"), F.col("_now").alias("_incoming")).checkpoint()
+    @F.arrow_udf("struct<first:int,last:int>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        now, place, anchor, first, size = None, 0, None, None, 0
+        for columns in batches:
+            out = []
+            for begin in range(0, len(columns[0]), piece):
+                for track, at, norm, blank, end in zip(*(c.slice(begin, piece).to_pylist() for c in columns), strict=True):
+                    if at == 1:
+                        now, anchor, first, size = track, None, None, 0
+                    elif track != now or at != place + 1:
+                        raise ValueError(f"row {at} of track {track} is not after row {place} of track {now}")
+                    place, found = at, None
+                    if not (blank or (norm and anchor and (norm == anchor or (len(norm) > 10 and len(anchor) > 10 and (norm in anchor or anchor in norm))))):
+                        found = (first, at - 1) if first is not None and size >= n else None
+                        anchor, first, size = norm, at, 0
+                    size += not blank
+                    if end and first is not None and size >= n:
+                        found = (first, at)
+                    out.append(found and {"first": found[0], "last": found[1]})
+            yield pa.array(out, pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    return run.asNondeterministic()  # what it gives depends on the rows before, so no filter may go below it
 
 
 def repetition_fuzzy(rows: DataFrame, order: list[str], n: int = REPEATS, piece: int = PIECE_ROWS) -> DataFrame:
     """Adds `repeated`: a row joins a run if it equals the run's first text or, both over 10 characters, holds it or is held.
 
-    A run of two or more begins with two neighbours that match. So only rows from a track's first such pair on go to the
-    fold, and of them only place and normalised text; tracks without a pair have no runs. What a fold carries is its anchor
-    alone, so a track is folded in pieces that many tasks share; runs are counted over them.
+    Blank rows belong to the run before them. The fold is one pass over places and texts, sorted as for the window beside it,
+    `piece` rows at a time, and gives only the runs that are long enough; all else stays where it is.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     w = Window.partitionBy("track_id").orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    norm, last = F.col("_norm"), F.col("_last")
-    placed = rows.withColumn("_ord", F.row_number().over(w)).withColumn("_blank", trimmed(F.col("text")) == "").withColumn("_norm", normalised(F.col("text")))
-    seen = placed.withColumn("_last", F.last(F.when(~F.col("_blank"), norm), ignorenulls=True).over(before)).withColumn("_last_ord", F.max(F.when(~F.col("_blank"), F.col("_ord"))).over(before))
-    long = (F.length(norm) > 10) & (F.length(last) > 10)
-    pair = ~F.col("_blank") & (norm != "") & (last != "") & ((norm == last) | (long & (F.contains(norm, last) | F.contains(last, norm))))
-    seen = seen.withColumn("_from", F.min(F.when(pair, F.col("_last_ord"))).over(Window.partitionBy("track_id")))
-    by = ["track_id", "_piece"]
-    pieces = seen.where(F.col("_ord") >= F.col("_from")).select(F.col("track_id").cast("long").alias("track_id"), F.floor((F.col("_ord") - F.col("_from")) / piece).alias("_piece"), "_ord", "_norm", F.coalesce("_blank", F.lit(True)).alias("_blank")).checkpoint()
-    ready = pieces.withColumn("_incoming", F.lit(None).cast("string")) if pieces.where("_piece > 0").isEmpty() else pieces.join(_anchors(pieces), by, "left")
-    dealt = ready.repartition(*by).sortWithinPartitions(*by, "_ord").select(*by, "_ord", "_norm", "_blank", "_incoming")
-    marked = dealt.mapInArrow(_runs(True), "track_id long, _ord int, _new int, _blank boolean")
-    runs = marked.withColumn("_run", F.sum("_new").over(Window.partitionBy("track_id").orderBy("_ord")))
-    size = F.sum((~F.col("_blank")).cast("int")).over(Window.partitionBy("track_id", "_run"))
-    flags = runs.withColumn("repeated", (F.col("_run") > 0) & (size >= n)).where("repeated").select("track_id", "_ord", "repeated")
-    return placed.drop("_blank", "_norm").join(flags, ["track_id", "_ord"], "left").na.fill(False, ["repeated"]).drop("_ord")
+    placed = rows.withColumn("_ord", F.row_number().over(w))
+    read = placed.select("track_id", "_ord", "text", F.lead(F.lit(1)).over(w).isNull().alias("_end"))
+    found = read.select("track_id", _long_runs(n, piece)("track_id", "_ord", normalised(F.col("text")), F.coalesce(trimmed(F.col("text")) == "", F.lit(True)), "_end").alias("_r")).where("_r is not null")
+    flags = found.select("track_id", F.explode(F.sequence("_r.first", "_r.last")).alias("_ord"), F.lit(True).alias("repeated"))
+    return placed.join(flags, ["track_id", "_ord"], "left").na.fill(False, ["repeated"]).drop("_ord")
 
 
 def with_rule(rows: DataFrame, repair: bool = False) -> DataFrame:
@@ -158,8 +161,14 @@ def with_rule(rows: DataFrame, repair: bool = False) -> DataFrame:
     rule = rule.when(length < 2, 9).when((length > 10) & (length * 1000 > 25 * F.greatest(duration, F.lit(100))), 10).when(loop, 11)
     if repair:
         rule = rule.when(trimmed(text).rlike("^(?:" + "|".join(OUTROS) + ")$"), 13)
-    measured = rows.withColumn("_effective", effective(text)).withColumn("_length", F.length("_effective")).withColumn("_top", F.when(F.col("_length") > 10, top_counts(F.col("_effective"))))
-    return measured.withColumn("rule_id", rule.otherwise(14)).drop("_effective", "_length", "_top")
+    bare = _once(rows, effective(text).alias("_effective"))
+    measured = _once(bare, F.length("_effective").alias("_length"), F.when(F.length("_effective") > 10, top_counts(F.col("_effective"))).alias("_top"))
+    return _once(measured, rule.otherwise(14).alias("rule_id")).drop("_effective", "_length", "_top")
+
+
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, however often a filter or other columns name them: nothing is pulled through a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def classify(segments: DataFrame, repair: bool = False) -> DataFrame:
