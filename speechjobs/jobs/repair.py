@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, repair, windows
 from ..sources import fixtures
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import stored
 from .clean import DROPS, MISMATCH, SCORED, rules_sql, scored_segments, united_sql
 
 PROMPT_CHARS = 500  # length of the caller's template without what is filled in
@@ -19,8 +19,7 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written, as more than one thing is made from it."""
-    ensure_checkpoint_dir(spark)
-    return clean.classify(scored_segments(spark, sf_dir)).checkpoint()
+    return stored(clean.classify(scored_segments(spark, sf_dir)))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf_dir: str, classified: DataFrame | None = None) -> DataFrame:
     rows = classified if classified is not None else _classified(spark, sf_dir)
-    return repair.judge(_candidates(spark, sf_dir), fixtures.energy_windows(spark, sf_dir), rows.where("not dropped and mismatch_type is null")).checkpoint()
+    return stored(repair.judge(_candidates(spark, sf_dir), fixtures.energy_windows(spark, sf_dir), rows.where("not dropped and mismatch_type is null")))
 
 
 def _with_engine(spark: SparkSession, sf_dir: str, classified: DataFrame) -> DataFrame:
@@ -94,15 +93,14 @@ def _work(track: str = "track_id"):
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A work's glossary: the first word of eight letters or more in each of its lines; each tenth is a name. Written."""
-    ensure_checkpoint_dir(spark)
     s = fixtures.segments(spark, sf_dir).select(_work().alias("work_id"), F.regexp_extract("text", r"([^\s。、]{8,})", 1).alias("ja")).where("ja <> ''").distinct()
     ranked = s.withColumn("ord", F.dense_rank().over(Window.partitionBy("work_id").orderBy("ja")).cast("long"))
     kind = F.when(F.col("ord") % 20 == 0, "cv").when(F.col("ord") % 20 == 1, "character").otherwise("term")
-    return ranked.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), "ord").checkpoint()
+    return ranked.select("work_id", kind.alias("kind"), "ja", F.reverse("ja").alias("zh"), "ord").transform(stored)
 
 
 def budget_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).withColumn("work_id", _work()).checkpoint()
+    s = windows.translation_segments(fixtures.segments(spark, sf_dir), ["start_ms", "seg_idx"]).withColumn("work_id", _work()).transform(stored)
     glossary = _terms(spark, sf_dir)
     terms = glossary.where("kind = 'term'").select("work_id", F.col("ord").alias("term_id"), "ja", F.length(windows.glossary_entry(F.col("ja"), F.col("zh"))).cast("long").alias("chars"))
     places = windows.term_places(s, terms).groupBy("track_id", "id").agg(F.collect_list(F.struct(F.col("term_id").alias("id"), "chars", "first")).alias("terms"))

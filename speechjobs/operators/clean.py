@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import effective, normalised, top_counts, trimmed
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import stored
 from .chains import reached
 from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, is_active, islands
 
@@ -183,14 +183,14 @@ def classify(segments: DataFrame, repair: bool = False) -> DataFrame:
 def merge_same_start(rows: DataFrame, order: list[str]) -> DataFrame:
     """Neighbours that start in the same millisecond become one row; what has no rule comes from the first.
 
-    Arrays of words, where there are any, are joined in order.
+    Texts and arrays of words, where there are any, are joined in order.
     """
     w = Window.partitionBy("track_id").orderBy(*order)
     r = rows.withColumn("_ord", F.row_number().over(w)).withColumn("_new", F.when(F.lag("start_ms").over(w) == F.col("start_ms"), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w))
     first = lambda c: F.min(F.struct("_ord", c))[c].alias(c)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "text"))), lambda x: x["text"]), "").alias("text")
+    text = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "text"))), lambda x: x["text"]), "").alias("text")] if "text" in rows.columns else []
     words = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "words"))), lambda x: F.coalesce(x["words"], F.array()))).alias("words")] if "words" in rows.columns else []
-    out = r.groupBy("track_id", "run").agg(text, F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("logprob_c").alias("logprob_c"), F.max("ratio_c").alias("ratio_c"), F.max("nospeech_c").alias("nospeech_c"), F.max("vocal_u").alias("vocal_u"), F.min("snr_milli").alias("snr_milli"), first("other_u"), first("mismatch_type"), F.count("*").alias("n_merged"), *words)
+    out = r.groupBy("track_id", "run").agg(*text, F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min("logprob_c").alias("logprob_c"), F.max("ratio_c").alias("ratio_c"), F.max("nospeech_c").alias("nospeech_c"), F.max("vocal_u").alias("vocal_u"), F.min("snr_milli").alias("snr_milli"), first("other_u"), first("mismatch_type"), F.count("*").alias("n_merged"), *words)
     return out.withColumn("run", F.col("run").cast("long"))
 
 
@@ -201,13 +201,13 @@ def missed_blocks(windows: DataFrame, longest_ms: int = LONGEST_BLOCK_MS) -> Dat
     windows is linked with the one that would begin the block after it, and the chain of these links from the island's
     first window gives the blocks' starts. An island is never held in one row.
     """
-    ensure_checkpoint_dir(windows.sparkSession)
     by = ["track_id", "island"]
-    on = islands(windows, is_active()).select(*by, F.col("pos").alias("at"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "vocal_u", "snr_milli").checkpoint()
-    wide = on.groupBy(*by).agg((F.max("end_ms") - F.min("start_ms")).alias("_length")).where(F.col("_length") >= longest_ms).select(*by).checkpoint()
-    blocks = on.withColumn("block", F.lit(0).cast("long"))
-    if not wide.isEmpty():
-        cut = on.join(wide, by, "left_semi")
+    on = islands(windows, is_active()).select(*by, F.col("pos").alias("at"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "vocal_u", "snr_milli")
+    whole = Window.partitionBy(*by)
+    on = on.withColumn("_wide", F.max("end_ms").over(whole) - F.min("start_ms").over(whole) >= longest_ms)
+    cut = stored(on.where("_wide").drop("_wide"))
+    blocks = on.drop("_wide").withColumn("block", F.lit(0).cast("long"))
+    if not cut.isEmpty():
         asked = cut.select(*by, (F.col("start_ms") + longest_ms).alias("_ms"), F.lit(1).alias("_asks"), "at", F.lit(None).cast("int").alias("_has"))
         given = cut.select(*by, F.col("end_ms").alias("_ms"), F.lit(0).alias("_asks"), "at", F.col("at").alias("_has"))
         later = Window.partitionBy(*by).orderBy(F.col("_ms").desc(), "_asks").rowsBetween(Window.unboundedPreceding, 0)
@@ -216,7 +216,7 @@ def missed_blocks(windows: DataFrame, longest_ms: int = LONGEST_BLOCK_MS) -> Dat
         starts = reached(links, cut.where("at = 0"), by).withColumn("_first", F.lit(1))
         number = F.sum(F.coalesce("_first", F.lit(0))).over(Window.partitionBy(*by).orderBy("at")) - 1
         numbered = cut.join(starts, [*by, "at"], "left").withColumn("block", number.cast("long")).drop("_first")
-        blocks = blocks.join(wide, by, "left_anti").unionByName(numbered)
+        blocks = on.where("not _wide").drop("_wide").withColumn("block", F.lit(0).cast("long")).unionByName(numbered)
     mean = lambda c: (F.sum(c).cast("double") / F.count("*")).alias(c)
     return blocks.groupBy(*by, "block").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), mean("vocal_u"), mean("snr_milli"))
 
