@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from speechjobs.jobs import clean as clean_jobs
-from speechjobs.operators import clean
+from speechjobs.operators import align, clean
 from speechjobs.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,8 @@ def test_long_runs_in_several_partitions(spark):
     df = spark.createDataFrame(rows, "track_id long, seg_idx long, text string").repartition(5, F.rand())
     got = clean.repetition_fuzzy(df, ["seg_idx"], piece=2).where("repeated").groupBy("track_id").count().collect()
     assert {r["track_id"]: r["count"] for r in got} == {t: 4 + (3 if t % 4 == 3 else 0) for t in range(60)}
+
+
+def test_a_full_stop_in_a_prompt_is_no_letter(spark):
+    df = spark.createDataFrame([("Os ñja。 Laos bo、rr", "Xy. Os ñja. Laos bo, rr. Zz."), ("Os ñja。 Laosx", "Os ñja. Laos.")], "text string, prompt string")
+    assert [r[0] for r in df.select(align.leaks_exactly(F.regexp_replace("text", "、", ""), F.regexp_replace("prompt", ",", ""))).collect()] == [True, False]
