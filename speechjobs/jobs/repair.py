@@ -35,7 +35,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str, classified: DataFrame | None = None) -> DataFrame:
-    rows = classified if classified is not None else _classified(spark, sf_dir)
+    rows = classified if classified is not None else clean.classify(scored_segments(spark, sf_dir))
     return stored(repair.judge(_candidates(spark, sf_dir), fixtures.energy_windows(spark, sf_dir), rows.where("not dropped and mismatch_type is null")))
 
 

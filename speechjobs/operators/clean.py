@@ -64,8 +64,11 @@ def _parts(gap_ms: int):
 
 
 def cut(segments: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """Adds parts (text, from_ms, to_ms after the segment's start), none for a segment that is not cut, in place of words."""
-    return segments.withColumn("parts", _parts(gap_ms)("words")).drop("words")
+    """Parts (text, from_ms, to_ms after the segment's start), none for a segment that is not cut, in place of words.
+
+    A text that its parts hold is not kept beside them.
+    """
+    return segments.withColumn("parts", _parts(gap_ms)("words")).drop("words").withColumn("text", F.when(F.size("parts") < 2, F.col("text")))
 
 
 def resplit(segments: DataFrame, words: DataFrame | None = None, gap_ms: int = GAP_MS) -> DataFrame:
@@ -224,7 +227,7 @@ def missed_blocks(windows: DataFrame, longest_ms: int = LONGEST_BLOCK_MS) -> Dat
 def missed_speech(windows: DataFrame, segments: DataFrame, leeway_ms: int = LEEWAY_MS) -> DataFrame:
     """Blocks that no segment overlaps or comes nearer to than the leeway."""
     b = bins(missed_blocks(windows), F.col("start_ms") - leeway_ms, F.col("end_ms") + leeway_ms + 1)
-    s = bins(segments.select("track_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).distinct(), F.col("_s"), F.col("_e") + 1, "_sbin").select("track_id", F.col("_sbin").alias("_bin"), "_s", "_e")
+    s = bins(segments.select("track_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).repartition("track_id").distinct(), F.col("_s"), F.col("_e") + 1, "_sbin").select("track_id", F.col("_sbin").alias("_bin"), "_s", "_e")
     near = ((F.col("_s") < F.col("end_ms")) & (F.col("_e") > F.col("start_ms"))) | (F.least(F.abs(F.col("start_ms") - F.col("_e")), F.abs(F.col("end_ms") - F.col("_s"))) < leeway_ms)
     met = b.join(s, ["track_id", "_bin"], "left").groupBy("track_id", "island", "block", "start_ms", "end_ms", "vocal_u", "snr_milli").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("_near"))
     return met.where("not _near").drop("_near")
