@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import stored
 from .clean import classify, unite
 from .energy import SILENCE_U, SNR_MILLI, VOCAL_U, bins, energy_join
 
@@ -127,25 +127,31 @@ def apply_repair_log(mismatches: DataFrame, judged: DataFrame) -> DataFrame:
     return mismatches.join(gone, ["track_id", "mismatch_idx"], "left_anti")
 
 
-_REPLAYED = "track_id long, kind string, seg_idx long, log_idx long, start_ms long, end_ms long, text string, engine string"
+_REPLAYED = "struct<rows:array<struct<start_ms:bigint,end_ms:bigint,text:string,engine:string>>,applied:array<bigint>>"
 
 
-def _replay(segments: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+def _replay(segments: list[dict], log: list[dict]) -> dict:
     """One cluster of a track: the log's entries in order, on the segments that any of its ranges touches."""
-    value = lambda x: None if pd.isna(x) else x
-    now = [{"seg_idx": r.seg_idx, "s": r.start_ms, "e": r.end_ms, "text": r.text, "engine": value(r.engine), "bad": value(r.mismatch_type) is not None, "log": None} for r in segments.itertuples()]
+    now = [x | {"bad": x["mismatch_type"] is not None} for x in segments]
     applied = []
-    for entry in log.sort_values("log_idx").itertuples():
-        inside = lambda x, a=entry.r_start, b=entry.r_end: x["s"] < b and x["e"] > a
+    for entry in sorted(log, key=lambda x: x["log_idx"]):
+        inside = lambda x, a=entry["r_start"], b=entry["r_end"]: x["start_ms"] < b and x["end_ms"] > a
         good = [x for x in now if inside(x) and not x["bad"]]
-        new = [n for n in entry.new_segments if not any(g["s"] < n["end_ms"] and g["e"] > n["start_ms"] for g in good)]
+        new = [n for n in entry["new_segments"] if not any(g["start_ms"] < n["end_ms"] and g["end_ms"] > n["start_ms"] for g in good)]
         if new:
             now = [x for x in now if not inside(x) or (not x["bad"] and x["engine"] is None)]
-            now += [{"seg_idx": None, "s": n["start_ms"], "e": n["end_ms"], "text": n["text"], "engine": n["engine"], "bad": False, "log": entry.log_idx} for n in new]
-            applied.append(entry.log_idx)
-    track = int((segments if len(segments) else log)["track_id"].iloc[0])
-    rows = [(track, "segment", x["seg_idx"], x["log"], x["s"], x["e"], x["text"], x["engine"]) for x in now] + [(track, "applied", None, i, None, None, None, None) for i in applied]
-    return pd.DataFrame(rows, columns=["track_id", "kind", "seg_idx", "log_idx", "start_ms", "end_ms", "text", "engine"]).astype({"seg_idx": "Int64", "log_idx": "Int64", "start_ms": "Int64", "end_ms": "Int64"})
+            now += [n | {"bad": False} for n in new]
+            applied.append(entry["log_idx"])
+    return {"rows": [{k: x[k] for k in ("start_ms", "end_ms", "text", "engine")} for x in now], "applied": applied}
+
+
+def _replayed():
+    @F.arrow_udf(_REPLAYED)
+    def run(segments: pa.Array, log: pa.Array) -> pa.Array:
+        row = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("text", pa.string()), ("engine", pa.string())])
+        return pa.array([_replay(s or [], e or []) for s, e in zip(segments.to_pylist(), log.to_pylist(), strict=True)], pa.struct([("rows", pa.list_(row)), ("applied", pa.list_(pa.int64()))]))
+
+    return run
 
 
 def replay_log(segments: DataFrame, mismatches: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +162,6 @@ def replay_log(segments: DataFrame, mismatches: DataFrame, log: DataFrame) -> tu
     touches meet the log. Entries, with what they bring, and segments form clusters that do not overlap, so each cluster is
     replayed alone, whatever else its track holds.
     """
-    ensure_checkpoint_dir(segments.sparkSession)
     used = log.where((F.col("status") == "success") & (F.size("new_segments") > 0))
     ranges = used.select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
     touched = overlapping(ranges, segments.select("track_id", "seg_idx", "start_ms", "end_ms")).select("track_id", "seg_idx").distinct()
@@ -166,13 +171,15 @@ def replay_log(segments: DataFrame, mismatches: DataFrame, log: DataFrame) -> tu
     spans = mine.select("track_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), "seg_idx", F.lit(None).cast("long").alias("log_idx")).unionByName(entries)
     by_time = Window.partitionBy("track_id").orderBy("_s", "_e")
     reach = F.max("_e").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_cluster", F.sum(F.when(F.col("_s") >= reach, 1).otherwise(0)).over(by_time.rowsBetween(Window.unboundedPreceding, 0))).checkpoint()
+    spans = spans.withColumn("_cluster", F.sum(F.when(F.col("_s") >= reach, 1).otherwise(0)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     of = lambda c: spans.where(F.col(c).isNotNull()).select("track_id", c, "_cluster")
     by = ["track_id", "_cluster"]
-    out = mine.join(of("seg_idx"), ["track_id", "seg_idx"]).groupBy(*by).cogroup(used.join(of("log_idx"), ["track_id", "log_idx"]).groupBy(*by)).applyInPandas(_replay, _REPLAYED)
+    held = mine.join(of("seg_idx"), ["track_id", "seg_idx"]).groupBy(*by).agg(F.collect_list(F.struct("start_ms", "end_ms", "text", "engine", "mismatch_type")).alias("_rows"))
+    told = used.join(of("log_idx"), ["track_id", "log_idx"]).groupBy(*by).agg(F.collect_list(F.struct("log_idx", "r_start", "r_end", "new_segments")).alias("_log"))
+    out = stored(told.join(held, by, "left").select("track_id", _replayed()("_rows", "_log").alias("o")))
     columns = ["track_id", "start_ms", "end_ms", "text", "engine"]
-    after = segments.join(touched, ["track_id", "seg_idx"], "left_anti").select(*columns).unionByName(out.where("kind = 'segment'").select(*columns))
-    applied = used.join(out.where("kind = 'applied'").select("track_id", "log_idx"), ["track_id", "log_idx"], "left_semi").select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
+    after = segments.join(touched, ["track_id", "seg_idx"], "left_anti").select(*columns).unionByName(out.select("track_id", F.explode("o.rows").alias("x")).select("track_id", "x.*"))
+    applied = used.join(out.select("track_id", F.explode("o.applied").alias("log_idx")), ["track_id", "log_idx"], "left_semi").select("track_id", F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms")).distinct()
     gone = overlapping(applied, mismatches.select("track_id", "mismatch_idx", "start_ms", "end_ms")).select("track_id", "mismatch_idx").distinct()
     return after, mismatches.join(gone, ["track_id", "mismatch_idx"], "left_anti")
 
