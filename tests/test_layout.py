@@ -47,3 +47,28 @@ def test_long_runs_in_several_partitions(spark):
 def test_a_full_stop_in_a_prompt_is_no_letter(spark):
     df = spark.createDataFrame([("Os ñja。 Laos bo、rr", "Xy. Os ñja. Laos bo, rr. Zz."), ("Os ñja。 Laosx", "Os ñja. Laos.")], "text string, prompt string")
     assert [r[0] for r in df.select(align.leaks_exactly(F.regexp_replace("text", "、", ""), F.regexp_replace("prompt", ",", ""))).collect()] == [True, False]
+
+
+def test_replay_is_no_group_of_pandas_for_each_cluster(spark):
+    from speechjobs.jobs import repair as repair_jobs
+
+    after, _ = repair_jobs.replayed(spark, SF)
+    assert "FlatMapCoGroups" not in after._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_files_in_the_folder_of_their_work(spark, tmp_path):
+    from speechjobs.sources import files
+
+    df = spark.createDataFrame([(1, 5, "a\n"), (1, 6, "b\nc\n"), (2, 7, "d")], "work_id long, track_id long, text string")
+    for rows in (df, df.where("track_id <> 6")):
+        files.write_texts(rows, f"{tmp_path}/texts")
+        assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.txt")) == sorted(f"texts/work_id={r.work_id}/{r.track_id}.txt" for r in rows.collect())
+    assert {(int(r.track_id), r.text) for r in files.read_texts(spark, f"{tmp_path}/texts").collect()} == {(5, "a\n"), (7, "d\n")}
+
+
+def test_a_work_is_written_by_one_task(spark, tmp_path):
+    from speechjobs.sources import files
+
+    tracks = spark.range(300).selectExpr("id % 3 as work_id", "id as track_id", "'1' as version")
+    files.run_incremental(tracks, lambda left: left.repartition(7, F.rand()).select("work_id", "track_id"), str(tmp_path))
+    assert len(list(tmp_path.glob("results/work_id=*/*.parquet"))) == 3
